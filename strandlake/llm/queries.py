@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, exact, packing, simhash
-from .common import table
+from . import bytebpe, embeddings, exact, packing, pii, simhash, toxicity, urltemplates
+from .common import crc_fold, table
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +16,42 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.ids_crc32, "ids_crc32 long")
 
 
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url, by the rules or else the template tree."""
+    return urltemplates.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text; the counts and the digest are of the fixed patterns' spans."""
+    schema = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    return pii.personal_data(table(spark, sf_dir, "documents"), derive=pii.digests, schema=schema)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again, as digests."""
     return bytebpe.encode_decode(table(spark, sf_dir, "documents"), bytebpe.digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from three of four folds of the labelled rows."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(learning_rows(docs, table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of labelled rows outside the held-out fold."""
+    known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(crc_fold(F.col("doc_id"), 4) != 2)
+    return texts.join(known, "doc_id")
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of every vector."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, seed=42, max_bits=4)
@@ -46,7 +77,7 @@ ORACLE_SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator's query over its whole table."""
-    return {f.__name__: f for f in (op2_packing, op5_byte_bpe, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_packing, op3_url_templates, op4_pii, op5_byte_bpe, op6_toxicity, op8_embeddings, op9_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
