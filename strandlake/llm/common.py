@@ -115,3 +115,18 @@ def map_texts(docs: DataFrame, work: Callable[[list[str]], Sequence], schema: st
 def long_ids(docs: DataFrame) -> DataFrame:
     """``doc_id`` as a long and ``text``; whatever else the table has is left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def bounded_sample(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """The ``rows`` rows of least hash of ``keys``, or all if there are fewer.
+
+    The hash's range is narrowed first, from a count, so that what the tasks
+    hand to the final ordering is about the sample itself however many they are.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    share = min(1.0, 1.2 * rows / total + 30 / total)
+    hashed = F.xxhash64(*keys)
+    near = df.where(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)))
+    return near.orderBy(hashed, *keys).limit(rows)

@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, embeddings, exact, packing, pii, simhash, toxicity, urltemplates
+from . import bytebpe, embeddings, exact, lm, packing, pii, simhash, toxicity, urltemplates
 from .common import crc_fold, table
 
 
+def op1_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log10 probability under the counts and under the network, learned from six of seven folds."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 7) == 2
+    found = lm.score(docs, ~held_out)
+    return found.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 4096 tokens, a row for each piece."""
     return packing.pack(table(spark, sf_dir, "documents"), packing.ids_crc32, "ids_crc32 long")
@@ -77,7 +85,7 @@ ORACLE_SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator's query over its whole table."""
-    return {f.__name__: f for f in (op2_packing, op3_url_templates, op4_pii, op5_byte_bpe, op6_toxicity, op8_embeddings, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_gru_lm, op2_packing, op3_url_templates, op4_pii, op5_byte_bpe, op6_toxicity, op8_embeddings, op9_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
