@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, shards_for, small_batches, stored
@@ -100,9 +100,14 @@ class PerfectHash:
 INDEX = "shard long, hash binary, digests binary, locators array<long>, sizes array<long>"
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the A-Z lower-cased text, null as ''."""
+    return F.unhex(F.sha2(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))).cast("binary"), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest) of every row: SHA-256 of the A-Z lower-cased text, null as ''."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary"), 256)).alias("digest"))
+    """(doc_id, digest) of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
