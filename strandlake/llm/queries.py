@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, embeddings, exact, lm, packing, pii, simhash, toxicity, urltemplates
+from . import bytebpe, embeddings, exact, lines, lm, packing, pii, simhash, toxicity, urltemplates
 from .common import crc_fold, table
 
 
@@ -55,6 +55,12 @@ def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(known, "doc_id")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat, nearly or exactly, in another place."""
+    found = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and verdict of every vector."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
@@ -85,7 +91,7 @@ ORACLE_SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator's query over its whole table."""
-    return {f.__name__: f for f in (op1_gru_lm, op2_packing, op3_url_templates, op4_pii, op5_byte_bpe, op6_toxicity, op8_embeddings, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_gru_lm, op2_packing, op3_url_templates, op4_pii, op5_byte_bpe, op6_toxicity, op7_line_dedup, op8_embeddings, op9_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

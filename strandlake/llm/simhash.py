@@ -91,10 +91,11 @@ def _signed(mask: int) -> int:
 
 
 class _Forest:
-    """Union-find that turns many links into one link for each node."""
+    """Union-find that keeps of many links a spanning forest, each of them a link that was found."""
 
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
+        self.found: list[tuple[int, int]] = []
 
     def root(self, x: int) -> int:
         up = self.up
@@ -103,13 +104,13 @@ class _Forest:
         return x
 
     def link(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        self.up.setdefault(min(a, b), min(a, b))
+        one, two = self.root(a), self.root(b)
+        if one != two:
+            self.up[max(one, two)] = min(one, two)
+            self.found.append((a, b))
 
     def frame(self) -> pd.DataFrame:
-        nodes = np.array([x for x in self.up], np.int64)
-        return pd.DataFrame({"a": nodes, "b": np.array([self.root(int(x)) for x in nodes], np.int64)})
+        return pd.DataFrame(np.array(self.found, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -145,7 +146,7 @@ def _block_links(max_bits: int, hot: int):
                 yield pd.DataFrame({"a": fp[heavy], "b": pd.array([None] * int(heavy.sum()), "Int64")})
             forest = _Forest()
             _linked(key[~heavy], fp[~heavy], max_bits, forest)
-            if forest.up:
+            if forest.found:
                 yield forest.frame()
 
         for pdf in batches:
