@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_ids, map_texts, small_batches, stored
+from .common import bounded_sample, long_ids, map_texts, small_batches, stored
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 16_000
@@ -262,7 +262,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Mo
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.where(F.col("toxic").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    taken = stored(rows.orderBy(F.xxhash64("text"), "text", "toxic").limit(sample), "toxicity-sample")
+    taken = stored(bounded_sample(rows, ["text", "toxic"], sample), "toxicity-sample")
     totals = {r["toxic"]: r["n"] for r in taken.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     counted = taken.repartition(64).mapInArrow(_entries, "entry string, sketch long, toxic int").groupBy("entry").agg(
         F.countDistinct(F.when(F.col("toxic") == 1, F.col("sketch"))).alias("p"), F.sum(1 - F.col("toxic")).alias("n")
