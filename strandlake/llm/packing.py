@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,16 +28,22 @@ WINDOW = 4096
 END_ID = 2
 #: Rests that one shard packs; its only waste is its last windows.
 PER_SHARD = 40_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, twice over: those of late, and those before.
+REMEMBERED = 600_000
+# The ASCII characters that are neither white space, letters nor digits.
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class WordEncoder:
     """Ids of texts under a tokenizer that never merges across white space.
 
-    The vocabulary's normaliser and splitter treat ASCII white space as a
-    boundary, so a text's ids are those of its white-space separated words one
-    after the other, and a word is encoded once and remembered.
+    The vocabulary's normaliser lower-cases, and its splitter treats ASCII white
+    space as a boundary, so a text's ids are those of its lower-cased words one
+    after the other; a word is encoded once and remembered.  Marks after the
+    last ASCII letter or digit of a word are a token run of their own, so such a
+    word is put together from the two.  Words of letters alone are one run each
+    and are encoded many at a time: each ends at its only id with a word's end.
     """
 
     def __init__(self, path: str):
@@ -45,27 +51,65 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[bytes, array] = {}
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.late: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[array]:
-        """Ids of each text, without special tokens."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.known
-        missing = [w for w in {w for found in split for w in found} if w not in known]
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = list({w for found in split for w in found})
-        if missing:
-            for word, got in zip(missing, self.model.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in missing], add_special_tokens=False)):
-                known[word] = array("I", got.ids)
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone."""
         out = []
-        for found in split:
-            ids = array("I")
-            for word in found:
-                ids.extend(known[word])
-            out.append(ids)
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                raw, cuts = ids.tobytes(), (4 * np.r_[0, stops]).tolist()
+                out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+            else:
+                out += self._one_by_one(part)
         return out
 
+    def _unseen(self, words: set[bytes]) -> set[bytes]:
+        """Those of the words that are not remembered; those of before count as of late again."""
+        missing = words.difference(self.late)
+        before = self.before
+        old = {w for w in missing if w in before}
+        self.late.update((w, before[w]) for w in old)
+        return missing - old
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Make sure that ``late`` has all of the words."""
+        if len(self.late) > REMEMBERED:
+            self.before, self.late = self.late, {}
+        late, joined = self.late, []
+        parts = self._unseen(words)
+        for w in list(parts):
+            core = w.rstrip(MARKS)
+            if core and len(core) < len(w) and core[-1] in ALNUM:
+                joined.append((w, core, w[len(core) :]))
+        parts.difference_update(w for w, _, _ in joined)
+        parts |= self._unseen({x for j in joined for x in j[1:]})
+        letters, others = [], []
+        for w in parts:
+            text = w.decode("utf-8", "surrogatepass")
+            (letters if text.lower().isalpha() else others).append((w, text))
+        for kind, encode in ((letters, self._together), (others, self._one_by_one)):
+            late.update(zip([w for w, _ in kind], encode([t for _, t in kind])))
+        for w, core, marks in joined:
+            late[w] = late[core] + late[marks]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, without special tokens."""
+        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        self._learn(set().union(*split))
+        late = self.late
+        return [np.frombuffer(b"".join(map(late.__getitem__, found)), np.uint32) for found in split]
+
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -77,18 +121,18 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
-    """The multiset out of ``counts`` (length: how many) whose total comes closest to ``capacity`` from below.
+def fill(alive: list[int], counts: list[int], capacity: int) -> dict[int, int]:
+    """The multiset of lengths whose total comes closest to ``capacity`` from below.
 
-    Longer lengths are offered first; the programme ends early once the
-    capacity itself is reached.
+    ``alive`` holds the lengths left in ascending order, ``counts`` how many there
+    are of each length.  Longer lengths are offered first; the programme ends
+    early once the capacity itself is reached.
     """
-    full = (1 << (capacity + 1)) - 1
-    goal = 1 << capacity
+    full, goal = (1 << (capacity + 1)) - 1, 1 << capacity
     reach, steps = 1, []
-    for length in sorted(counts, reverse=True):
-        left = min(counts[length], capacity // length)
-        take = 1
+    for k in range(bisect_right(alive, capacity) - 1, -1, -1):
+        length = alive[k]
+        left, take = min(counts[length], capacity // length), 1
         while left > 0:
             take = min(take, left)
             steps.append((length, take, reach))
@@ -99,32 +143,37 @@ def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
                 break
         if reach & goal:
             break
-    total, chosen = reach.bit_length() - 1, defaultdict(int)
+    total, chosen = reach.bit_length() - 1, {}
     for length, take, before in reversed(steps):
         if not before >> total & 1:
-            chosen[length] += take
+            chosen[length] = chosen.get(length, 0) + take
             total -= length * take
-    return dict(chosen)
+    return chosen
 
 
 def windows(lengths: list[int], window: int = WINDOW) -> Iterator[list[int]]:
     """Each yield is one window, as positions in ``lengths``; every position lies in one.
 
-    Lengths are 1 to ``window``; ties go to the earlier position.
+    Lengths are 1 to ``window``; of equal lengths the earlier position goes first.
     """
-    at: dict[int, list[int]] = defaultdict(list)
+    at: list[list[int]] = [[] for _ in range(window + 1)]
     for i in reversed(range(len(lengths))):
         at[lengths[i]].append(i)
-    while at:
-        longest = max(at)
-        picked = [at[longest].pop()]
-        if not at[longest]:
-            del at[longest]
+    counts = [len(x) for x in at]
+    alive = [k for k in range(1, window + 1) if counts[k]]
+
+    def draw(length: int, n: int) -> list[int]:
+        counts[length] -= n
+        if not counts[length]:
+            del alive[bisect_left(alive, length)]
+        return [at[length].pop() for _ in range(n)]
+
+    while alive:
+        longest = alive[-1]
+        picked = draw(longest, 1)
         if longest < window:
-            for length, n in fill({k: len(v) for k, v in at.items() if k <= window - longest}, window - longest).items():
-                picked += [at[length].pop() for _ in range(n)]
-                if not at[length]:
-                    del at[length]
+            for length, n in fill(alive, counts, window - longest).items():
+                picked += draw(length, n)
         yield picked
 
 
@@ -135,8 +184,7 @@ def pieces(docs: DataFrame, payload: Callable | None, payload_schema: str, windo
     def work(texts: list[str]) -> list[list]:
         found = []
         for ids in encoder(path).encode(texts):
-            ids.append(end_id)
-            whole = np.frombuffer(ids, np.uint32)
+            whole = np.append(ids, np.uint32(end_id))
             found.append([(at, min(window, len(whole) - at), len(whole), made(whole[at : at + window])) for at in range(0, len(whole), window)])
         return [found]
 
