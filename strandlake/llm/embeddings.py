@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import bounded_sample, small_batches, stored
 from .graph import components
 
 BITS = 64
@@ -180,7 +180,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
     as_bytes = stored(rows.select(F.col("vec_id").cast("string").alias("vec_id"), "v").mapInPandas(pad, "vec_id string, vec binary").select(F.col("vec_id").cast("long").alias("vec_id"), "vec"), "vectors")
     grouped = as_bytes.where(F.col("vec").isNotNull()).groupBy("vec").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
-    taken = [r[0] for r in classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(sample).collect()]
+    taken = [r[0] for r in bounded_sample(classes.select("vec"), ["vec"], sample).collect()]
     mean, projection = learn_rotation(_unit(b"".join(taken), len(taken)) if taken else np.zeros((0, max(1, wide))))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,6 +191,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
     coded = stored(classes.select("cid", "weight", "vec").mapInPandas(encode, "cid long, weight long, vec binary, code long"), "codes")
     per_code = stored(coded.groupBy("code").agg(F.count("*").alias("members")), "distinct-codes")
     many = per_code.where("members > 1").select(F.col("code").alias("a"), F.col("code").alias("b"))
+    small_batches(spark, rows=32_768)
     pairs = stored(code_pairs(per_code.select("code"), max_bits, blocks).unionByName(many), "code-pairs")
     parts = per_code.select("code", F.ceil(F.col("members") / chunk).alias("parts"))
     used = pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct().join(parts, "code")
