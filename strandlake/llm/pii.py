@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_ids, map_texts, small_batches
+from .common import bounded_sample, long_ids, map_texts, small_batches, stored
 from .tagger import PAD, Tagger, char_ids
 
 KINDS = ("email", "ip", "card", "phone")
@@ -206,7 +206,7 @@ def train(background: list[str], count: int = EXAMPLES, steps: int = STEPS, seed
 
 
 def background_windows(docs: DataFrame, limit: int = BACKGROUND) -> list[str]:
-    """Stretches of the documents without a digit or at sign, for training: of each text one, the least by hash."""
+    """Stretches of the documents without a digit or at sign, for training; of each text one is offered."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +218,8 @@ def background_windows(docs: DataFrame, limit: int = BACKGROUND) -> list[str]:
                     out.append(middle)
             yield pa.RecordBatch.from_pydict({"part": pa.array(out, pa.string())})
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part string")
-    return [r[0] for r in found.distinct().orderBy(F.xxhash64("part"), "part").limit(limit).collect()]
+    found = stored(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part string"), "background")
+    return [r[0] for r in bounded_sample(found, ["part"], limit).collect()]
 
 
 # Finding -------------------------------------------------------------------
