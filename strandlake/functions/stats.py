@@ -65,11 +65,12 @@ def _falling(ratio) -> np.ndarray:
 
 
 def _score_batch(k: pd.Series, lam: pd.Series) -> pd.Series:
-    return pd.Series(poisson_score(k.to_numpy(np.float64), lam.to_numpy(np.float64)))
+    pairs, where = np.unique(np.column_stack((k.to_numpy(np.float64), lam.to_numpy(np.float64))), axis=0, return_inverse=True)
+    return pd.Series(poisson_score(pairs[:, 0], pairs[:, 1])[where.ravel()])
 
 
 def poisson_score_column(k: Column | str, lam: Column | str) -> Column:
-    """Arrow-batched ``poisson_score``; meant for distinct (k, lam) rows."""
+    """``poisson_score`` of columns in Arrow batches."""
     return F.pandas_udf(_score_batch, DoubleType())(k, lam)
 
 

@@ -1,7 +1,7 @@
 """Scores of aligned runs: Poisson p, rank-based q, fold enrichment.
 
-The Poisson tail is taken once for each distinct (count, rate) pair in Arrow
-batches and joined back.  The q table ranks distinct scores by the bases at
+The Poisson tail is taken in Arrow batches, once for each distinct (count, rate)
+pair of a batch, so no run is shuffled for its score.  The q table ranks distinct scores by the bases at
 each; its running sums have two levels like a sweep's, so the ordered pass is
 never one task over all scores.
 """
@@ -21,10 +21,7 @@ DECIMALS = 9
 def with_poisson(runs: DataFrame, treat: str = "treat", control: str = "lambda") -> DataFrame:
     """Adds p = -log10 P(X > floor(treat)) at rate ``control``."""
     k = F.floor(F.col(treat) + F.lit(1e-9)).cast("double")
-    keyed = runs.withColumn("_k", k).withColumn("_l", F.col(control).cast("double"))
-    pairs = keyed.select("_k", "_l").distinct()
-    scores = pairs.select("_k", "_l", F.round(poisson_score_column("_k", "_l"), DECIMALS).alias("p"))
-    return keyed.join(scores.withColumnsRenamed({"_k": "_k2", "_l": "_l2"}), F.col("_k").eqNullSafe(F.col("_k2")) & F.col("_l").eqNullSafe(F.col("_l2")), "left").drop("_k", "_l", "_k2", "_l2")
+    return runs.withColumn("p", F.round(poisson_score_column(k, F.col(control).cast("double")), DECIMALS))
 
 
 def with_fold(runs: DataFrame, treat: str = "treat", control: str = "lambda", pseudo: float = 1.0) -> DataFrame:

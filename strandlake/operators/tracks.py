@@ -71,11 +71,15 @@ def align(tracks: dict[str, DataFrame], value: str = "value", bin_width: int = B
 def compact(track: DataFrame, values: Sequence[str] = ("value",), bin_width: int = BIN) -> DataFrame:
     """The same function with adjacent runs of equal values merged.
 
-    Merging works within bins first and joins what meets at bin borders after.
+    Merging works within bins; of each bin only the first and the last run go
+    into the pass over the whole chromosome that joins what meets at borders.
     """
+    columns = ["chrom", "start", "end", *values]
     track = track.where("end > start").withColumn("_bin", F.floor(F.col("start") / F.lit(bin_width)))
     local = _merge(track, ["chrom", "_bin"], values)
-    return _merge(local, ["chrom"], values).select("chrom", "start", "end", *values)
+    order = Window.partitionBy("chrom", "_bin").orderBy("start")
+    marked = local.withColumn("_edge", F.lag("end").over(order).isNull() | F.lead("end").over(order).isNull())
+    return marked.where("not _edge").select(*columns).unionByName(_merge(marked.where("_edge"), ["chrom"], values).select(*columns))
 
 
 def _merge(track: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:

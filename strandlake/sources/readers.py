@@ -29,16 +29,16 @@ def _fields(line: Column, kind: str) -> Column:
 def read_lines(lines: DataFrame, kind: str, keep_bad: bool = False) -> DataFrame:
     """Rows of a layout from a table with a text column ``value``."""
     layout = LAYOUTS[kind]
-    rows = lines.where(~F.col("value").rlike(SKIP)).select("value", _fields(F.col("value"), kind).alias("_f"))
+    rows = lines.where(~F.col("value").rlike(SKIP)).select(F.col("value").alias("_line"), _fields(F.col("value"), kind).alias("_f"))
     columns = [F.expr(f"try_cast(get(_f, {i}) as {t})").alias(n) for i, (n, t) in enumerate(layout)]
-    parsed = rows.select("value", F.size("_f").alias("_n"), *columns)
+    parsed = rows.select("_line", F.size("_f").alias("_n"), *columns)
     must = [F.col(n).isNotNull() for n, t in layout[: NEEDED[kind]]]
     good = F.col("_n") >= NEEDED[kind]
     for m in must:
         good = good & m
     names = [n for n, _ in layout]
     if keep_bad:
-        return parsed.select(*[F.when(good, F.col(n)).alias(n) for n in names], F.when(~good, F.col("value")).alias("_bad"))
+        return parsed.select(*[F.when(good, F.col(n)).alias(n) for n in names], F.when(~good, F.col("_line")).alias("_bad"))
     return parsed.where(good).select(*names)
 
 
