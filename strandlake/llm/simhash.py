@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_ids, map_texts, stored, words
+from .common import long_ids, map_texts, small_batches, stored, words
 
 BITS = 64
 
@@ -48,13 +48,26 @@ def shingle_hashes(text: str, size: int, seed: int) -> np.ndarray:
     return np.fromiter((digest(flat[a:b], seed) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
 
 
+def bit_counts(digests: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in each run of big-endian hashes (n, 8 bytes); the highest bit first.
+
+    Eight bits are counted at once, a byte each, so runs are added up in parts
+    of 255 hashes at most.
+    """
+    ends = np.r_[starts[1:], len(digests)]
+    parts = np.concatenate([np.arange(a, b, 255) for a, b in zip(starts, ends)]) if (ends - starts).max(initial=0) > 255 else starts
+    lanes = np.unpackbits(digests, axis=1).view(np.uint64)
+    counts = np.add.reduceat(lanes, parts, axis=0).view(np.uint8).astype(np.int32)
+    return counts if len(parts) == len(starts) else np.add.reduceat(counts, np.searchsorted(parts, starts), axis=0)
+
+
 def fingerprint(text: str, size: int = 4, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash; a bit is set if over half the hashes set it."""
     hashes = shingle_hashes(text, size, seed)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+        ones += bit_counts(part, np.zeros(1, np.int64))[0]
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
@@ -201,19 +214,20 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, hot: int = HOT) ->
     """Links (a, b) that span every component of distinct fingerprints ``fp``.
 
     Exact at any size: a pair within ``max_bits`` bits is always connected by
-    the links returned, though not every such pair is returned itself.
+    the links returned, though not every such pair is returned itself.  Where
+    ``max_bits`` is odd, links through hot keys reach one bit further.
     """
     masks = [_signed(m) for m in block_masks(blocks_for(distinct.count(), max_bits), max_bits)]
     keys = distinct.select("fp", F.explode(F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(masks)])).alias("key"))
     dealt = keys.repartition("key").sortWithinPartitions("key")
+    small_batches(distinct.sparkSession, rows=32_768)
     found = stored(dealt.mapInPandas(_block_links(max_bits, hot), "a long, b long"), "block-links")
+    small_batches(distinct.sparkSession)
     links = found.where(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     heavy = found.where(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct()
     if found.where(F.col("b").isNull()).isEmpty():
         return links
-    if max_bits % 2:
-        raise ValueError("hot block keys need an even number of bits")
-    rows = stored(heavy.mapInPandas(_midpoint_rows(max_bits // 2), "point long, fp long, inner boolean"), "midpoints")
+    rows = stored(heavy.mapInPandas(_midpoint_rows((max_bits + 1) // 2), "point long, fp long, inner boolean"), "midpoints")
     outer = rows.where(~F.col("inner")).select("point", "fp")
     lead = outer.groupBy("point").agg(F.min("fp").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     across = outer.join(lead, "point").where("fp != lead").select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct()
