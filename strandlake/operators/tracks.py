@@ -22,15 +22,22 @@ from pyspark.sql.window import Window
 BIN = 1 << 18
 
 
-def sweep(events: DataFrame, deltas: Sequence[str], bin_width: int = BIN) -> DataFrame:
+def sweep(events: DataFrame, deltas: Sequence[str], bin_width: int = BIN, merged: bool = False) -> DataFrame:
     """Runs (chrom, start, end, <deltas>) from events (chrom, pos, <deltas>).
 
     A run reaches from one event to the next of its chromosome; its values are
     the sums of all deltas up to its start.  The stretch after a chromosome's
     last event is no run.  Events may repeat and come in any order; null deltas
-    count as zero, rows without chrom or pos are dropped.
+    count as zero, rows without chrom or pos are dropped.  With ``merged``, places
+    where nothing changes are left out before the prefix sum, except zero, so
+    neighbouring runs differ and need no compaction.
     """
     points = events.where("chrom is not null and pos is not null").groupBy("chrom", F.col("pos").cast("long").alias("pos")).agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in deltas])
+    if merged:
+        changes = F.col("pos") == 0
+        for d in deltas:
+            changes = changes | (F.col(d) != 0)
+        points = points.where(changes)
     points = points.withColumn("_bin", F.floor(F.col("pos") / F.lit(bin_width)))
     bins = points.groupBy("chrom", "_bin").agg(F.min("pos").alias("_first"), *[F.sum(d).alias(f"_{d}") for d in deltas])
     before = Window.partitionBy("chrom").orderBy("_bin")
@@ -107,4 +114,4 @@ def coverage(intervals: DataFrame, weight: Column | None = None) -> DataFrame:
     w = F.lit(1).cast("long") if weight is None else weight
     clipped = intervals.select("chrom", F.greatest(F.col("start"), F.lit(0)).cast("long").alias("start"), F.col("end").cast("long").alias("end"), w.alias("w")).where("end > start")
     events = events_of(clipped, "w", "value").unionByName(clipped.select("chrom").distinct().select("chrom", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("value")))
-    return compact(sweep(events, ["value"]))
+    return sweep(events, ["value"], merged=True)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 
 from ..operators import background, reads, regions, scoring
+from .scratch import stored
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ def scored_track(treat: DataFrame, control: DataFrame | None, options: PeakOptio
     else:
         limit = lambda t: reads.filter_duplicates(t, options.keep_duplicates, options.genome_size)
         both = background.enrich_reads(limit(treat), limit(control) if control is not None else None, options.background())
-    return scoring.with_q(scoring.with_fold(scoring.with_poisson(both)))
+    return scoring.with_q(stored(scoring.with_fold(scoring.with_poisson(both)), "scored-runs"))
 
 
 def call_narrow(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> DataFrame:
