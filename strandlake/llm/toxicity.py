@@ -33,6 +33,10 @@ SAMPLE = 16_000
 ENTRIES = 2_000
 #: Independent toxic texts that an entry must occur in.
 SUPPORT = 4
+#: Times that an entry's share of the toxic texts exceeds its share of the clean ones.
+RATIO = 8.0
+#: Nats by which the two shares must be likelier than one, against the many entries that are tried.
+GAIN = 10.0
 THRESHOLD = 0.3
 EDGE = string.punctuation + "«»„“”‘’‹›…–—¿¡|"
 STEM_LENGTHS = range(4, 8)
@@ -44,7 +48,7 @@ OPENING, CLOSING = "\"«„“‹", "\"»“”›"
 SAYING = frozenset("said says called quoted quote wrote writes calling term word slur reported sagte nannte schrieb zitat wort dit appelé écrit citation mot dijo llamó escribió cita palabra".split())
 ADDRESS = frozenset("you your you're u ye du dich dir dein ihr euch tu te toi vous ton votre tú ti usted vos ustedes".split())
 
-FEATURES = ("exact", "stem", "fuzzy", "quoted", "reported", "addressed", "any")
+FEATURES = ("exact", "stem", "fuzzy", "quoted", "reported", "addressed", "any", "repeated")
 
 
 def edits_for(length: int, stem: bool) -> int:
@@ -159,7 +163,7 @@ class Model:
             bare = token.strip(EDGE)
             word, stem = self.trie.match(bare) if bare else (None, None)
             found = 1 if word == 0 else 2 if stem == 0 else 3 if (word is not None or stem is not None) and bare not in self.harmless else 0
-            if len(self.known) > 300_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             self.known[token] = found
         return found
@@ -189,8 +193,8 @@ class Model:
             else:
                 count[FEATURES[k - 1]] += 1
                 count["addressed"] += spoken
-        counts = [math.log1p(count[f]) for f in FEATURES[:-1]]
-        return [*counts, float(any(count[f] for f in ("exact", "stem")))]
+        counts = [math.log1p(count[f]) for f in FEATURES[:-2]]
+        return [*counts, float(count["exact"] > 0), float(count["exact"] + count["stem"] > 1)]
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probabilities of the toxic label."""
@@ -201,7 +205,7 @@ class Model:
 
 
 #: Bias and weights before any label is seen: direct hits count, quotation hardly does.
-PRIOR = np.array([-3.0, 2.0, 2.0, 0.5, 0.2, 0.4, 0.5, 1.0])
+PRIOR = np.array([-3.0, 2.0, 2.0, 0.5, 0.2, 0.4, 0.5, 1.0, 1.0])
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 0.05, rounds: int = 40) -> np.ndarray:
@@ -221,7 +225,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 0.05, rounds: in
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entry, toxic, group) for the words and stems of each labelled text; group tells independent texts apart."""
+    """(entry, sketch, toxic) for the words and stems of each labelled text; sketch tells independent texts apart."""
     for batch in batches:
         entries, groups, toxic = [], [], []
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
@@ -237,18 +241,28 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[list[str], list[str]]:
-    """Words and stems out of (entry, independent toxic texts, clean texts) rows.
+    """Words and stems out of (entry, toxic texts, clean texts) rows, in which like texts count once.
 
-    A stem stands for its words where it gathers clearly more texts than any one
-    of them; the shortest that stays clean is taken.
+    An entry needs ``SUPPORT`` toxic texts and a share of them that is ``RATIO``
+    times its share of the clean ones, by a gain beyond chance.  Those that tell most (by the likelihood
+    ratio of the two shares) go first; of a stem and a longer one that begins
+    with it only the first is taken, and a stem counts only where it gathers
+    clearly more texts than any word of it.
     """
-    good = {e: p for e, p, n in rows if p >= SUPPORT and (p / max(1, toxic)) / ((n + 0.5) / max(1, clean)) > 25}
+    every = toxic + clean
+
+    def gain(p: int, n: int) -> float:
+        cells = ((p, toxic), (n, clean), (toxic - p, toxic), (clean - n, clean))
+        share = (p + n) / every, 1 - (p + n) / every
+        return sum(x * math.log(x / (side * share[k > 1])) for k, (x, side) in enumerate(cells) if x > 0)
+
+    good = {e: (p, gain(p, n)) for e, p, n in rows if p >= SUPPORT and (p / max(1, toxic)) / ((n + 0.5) / max(1, clean)) > RATIO and gain(p, n) > GAIN}
+    words = {e: p for e, (p, _) in good.items() if not e.endswith("*")}
     stems: list[str] = []
-    words = {e: p for e, p in good.items() if not e.endswith("*")}
-    for entry in sorted((e for e in good if e.endswith("*")), key=lambda e: (len(e), e)):
-        stem = entry[:-1]
-        best = max((p for w, p in words.items() if w.startswith(stem)), default=0)
-        if good[entry] >= 1.5 * best and good[entry] >= best + SUPPORT and not any(stem.startswith(s) for s in stems):
+    for entry in sorted((e for e in good if e.endswith("*")), key=lambda e: (-good[e][1], len(e), e)):
+        stem, p = entry[:-1], good[entry][0]
+        best = max((q for w, q in words.items() if w.startswith(stem)), default=0)
+        if p >= 1.5 * best and p >= best + SUPPORT // 2 and not any(stem.startswith(s) or s.startswith(stem) for s in stems):
             stems.append(stem)
     return sorted(w for w in words if not any(w.startswith(s) for s in stems)), stems
 
@@ -265,7 +279,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Mo
     taken = stored(bounded_sample(rows, ["text", "toxic"], sample), "toxicity-sample")
     totals = {r["toxic"]: r["n"] for r in taken.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     counted = taken.repartition(64).mapInArrow(_entries, "entry string, sketch long, toxic int").groupBy("entry").agg(
-        F.countDistinct(F.when(F.col("toxic") == 1, F.col("sketch"))).alias("p"), F.sum(1 - F.col("toxic")).alias("n")
+        F.countDistinct(F.when(F.col("toxic") == 1, F.col("sketch"))).alias("p"), F.countDistinct(F.when(F.col("toxic") == 0, F.col("sketch"))).alias("n")
     )
     counted = stored(counted, "toxicity-entries")
     found = counted.where(f"p >= {SUPPORT} and p > n").orderBy(F.desc(F.col("p") / (F.col("n") + 1)), "entry").limit(entries * len(STEM_LENGTHS)).collect()
