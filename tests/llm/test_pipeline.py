@@ -87,7 +87,8 @@ def test_nothing_else_imports_the_subpackage():
 def test_held_out_toxicity(spark):
     from strandlake.llm import queries
 
-    data = "/root/testdata/sf0.01"
+    data = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{data}/labels.parquet")
     rows = queries.op6_toxicity(spark, data).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
-    assert len(rows) > 50 and np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.95
+    assert len(rows) > 500 and np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.97
+    assert np.mean([r["predicted"] for r in rows if r["toxic"]]) > 0.85
