@@ -88,12 +88,23 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
-def map_texts(docs: DataFrame, work: Callable[[list[str]], Sequence], schema: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+#: What a worker process remembers from task to task, by operator.
+HELD: dict[str, object] = {}
+
+
+def forget(holds: str) -> None:
+    """Let go of what operators other than ``holds`` remember in this process."""
+    for other in [k for k in HELD if k != holds]:
+        del HELD[other]
+
+
+def map_texts(docs: DataFrame, work: Callable[[list[str]], Sequence], schema: str, keep: Sequence[str] = ("doc_id",), holds: str = "") -> DataFrame:
     """The columns ``keep`` of ``docs`` untouched, with what ``work`` makes of the texts.
 
     ``work`` gets the texts of a batch, nulls as '', and returns one sequence for
     each column of ``schema`` in order.  The kept columns never leave Arrow, so
-    nulls and large integers come back as they were.
+    nulls and large integers come back as they were.  A worker forgets what other
+    operators than ``holds`` remember in ``HELD`` when it begins.
     """
     small_batches(docs.sparkSession)
     names = list(keep)
@@ -102,6 +113,7 @@ def map_texts(docs: DataFrame, work: Callable[[list[str]], Sequence], schema: st
     arrow = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(holds)
         for batch in batches:
             if batch.num_rows == 0:
                 continue

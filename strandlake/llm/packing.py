@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_ids, map_texts, shards_for, stored, tokenizer_path
+from .common import HELD, long_ids, map_texts, shards_for, stored, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 4096
@@ -111,14 +111,12 @@ class WordEncoder:
         return [np.frombuffer(b"".join(map(late.__getitem__, found)), np.uint32) for found in split]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    held = HELD.get("packing")
+    if held is None or held[0] != path:
+        held = HELD["packing"] = (path, WordEncoder(path))
+    return held[1]
 
 
 def fill(alive: list[int], counts: list[int], capacity: int) -> dict[int, int]:
@@ -189,7 +187,7 @@ def pieces(docs: DataFrame, payload: Callable | None, payload_schema: str, windo
         return [found]
 
     name = payload_schema.split()[0]
-    cut = map_texts(long_ids(docs), work, f"piece array<struct<start:long,length:long,doc_tokens:long,{name}:{payload_schema.split(None, 1)[1]}>>")
+    cut = map_texts(long_ids(docs), work, f"piece array<struct<start:long,length:long,doc_tokens:long,{name}:{payload_schema.split(None, 1)[1]}>>", holds="packing")
     return cut.select("doc_id", F.explode("piece").alias("piece")).select("doc_id", "piece.*")
 
 
