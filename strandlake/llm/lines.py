@@ -1,15 +1,22 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, verified edit similarity.
+"""Fuzzy line dedup: MinHash bands, then verified edit similarity.
 
 Every line of enough words is normalised (lower-cased, ASCII marks made spaces,
-single spaces), named by a digest and given the SimHash of its distinct longer
-words.
-Lines of one digest are equal; fingerprints are joined on pigeonhole blocks, and
-each link found is verified by the edit similarity of the lines themselves.  Of
-each connected group of lines one occurrence stays: the first line of the
-smallest doc_id.
-
-Only digests and fingerprints are shuffled by line; the lines' texts travel for
-the few that are candidates.
+single spaces), named by a digest and given ``BANDS`` hashes, each of ``ROWS``
+minima over the line's distinct longer words.  Lines of one digest are equal; two lines
+that agree on a band are a candidate, and every candidate pair is verified by the
+edit similarity of the lines themselves before anything is joined.  Of each
+connected group of lines one occurrence stays: the first line of the smallest
+doc_id.
+
+Two lines whose words are alike by J (common over all distinct words) share a
+band with probability 1 - (1 - J ** ROWS) ** BANDS.
+
+Hot keys.  A band with more than ``HOT`` lines is not compared pairwise.  Its
+lines are compared with up to ``HEADS`` of them; those like none of these are
+compared with new heads, round by round, until no line is left.
+
+Only digests and bands are shuffled by line; the lines' texts travel for the few
+that are candidates.
 """
 
 from __future__ import annotations
@@ -18,22 +25,31 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import long_ids, small_batches, stored
 from .graph import components
-from .simhash import bit_counts, fingerprint_links
 
 #: Shorter lines are never dropped.
 MIN_WORDS = 5
-MAX_BITS = 3
 SIMILARITY = 0.8
+BANDS, ROWS = 20, 5
+#: Above so many lines under one band's key they are compared with heads, so many a round.
+HOT, HEADS = 64, 32
 #: ASCII marks and control characters become spaces; line ends stay.
 SPACED = bytes(c if c in b"\n0123456789abcdefghijklmnopqrstuvwxyz" or c > 127 else 32 for c in range(256))
 #: Words of so many bytes say little, and are left out where as many others are there.
 SHORT, FEW = 3, 5
+#: How far two lists of words are moved on, the nearest first, to find the words that both have.
+STEPS = sorted(((x, y) for x in range(4) for y in range(4) if x or y), key=sum)
+#: Low bits of a line's short name that hold its length, this value for all longer ones.
+LONG = 4095
+#: Lines that a task remembers having given the bands of.
+SEEN = 1_000_000
+_FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
@@ -58,9 +74,9 @@ def word_hashes(raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarr
         return x ^ (x >> np.uint64(31))
 
 
-def line_prints(lines: list[bytes]) -> np.ndarray:
-    """The 64-bit SimHash of the longer words of each line (words single-spaced, one at least), as signed integers."""
-    out = np.zeros(len(lines), np.int64)
+def line_bands(lines: list[bytes]) -> np.ndarray:
+    """A row of ``BANDS`` hashes for each line (words single-spaced, one at least), as signed integers."""
+    out = np.zeros((len(lines), BANDS), np.int32)
     for at in range(0, len(lines), 1024):
         raw = b"\n".join(lines[at : at + 1024])
         text = np.frombuffer(raw, np.uint8)
@@ -68,16 +84,26 @@ def line_prints(lines: list[bytes]) -> np.ndarray:
         starts = np.r_[0, stops[:-1] + 1]
         lengths = stops - starts
         line = np.r_[0, np.cumsum(text[stops[:-1]] == 10)]
-        size = line[-1] + 1
-        long = np.bincount(line, lengths > SHORT, size)
+        long = np.bincount(line, lengths > SHORT)
         used = (lengths > SHORT) | (long < FEW)[line]
-        digests = word_hashes(raw + bytes(24), starts[used], lengths[used]).astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts = np.bincount(line[used], minlength=size)
-        ones = bit_counts(digests, np.cumsum(counts) - counts)
-        out[at : at + 1024] = np.packbits(ones * 2 > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+        first = np.flatnonzero(np.diff(line[used], prepend=-1))
+        digests = word_hashes(raw + bytes(24), starts[used], lengths[used])
+        with np.errstate(over="ignore"):
+            for band in range(BANDS):
+                mixed = np.zeros(len(first), np.uint64)
+                for factor in _FACTORS[band * ROWS : (band + 1) * ROWS]:
+                    mixed = (mixed ^ np.minimum.reduceat(digests * factor, first)) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed ^= mixed >> np.uint64(29)
+                out[at : at + 1024, band] = (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return out
 
 
+def short_name(digest: bytes, line: bytes) -> int:
+    """A signed 64-bit name whose low bits are the line's length; unlike lines may share it, which verification tells apart."""
+    length = min(LONG, len(line.decode("utf-8", "surrogatepass")))
+    return int.from_bytes(digest[:8], "big", signed=True) & ~LONG | length
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance, a column of the table at a time as one integer's bits."""
     if not a or not b:
@@ -97,6 +123,30 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def pair_counts(a: str) -> np.ndarray:
+    """How often each of 1,024 hashes of neighbouring characters occurs; an edit changes four counts by one at most."""
+    c = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.bincount((c[:-1] * 31 + c[1:]) & 1023, minlength=1024)
+
+
+def aligned_cost(a: list[str], b: list[str]) -> int:
+    """Edits in characters, at most, from one list of words to another: after unlike words it goes on at the next two that both have."""
+    i = j = cost = 0
+    size = lambda words: sum(map(len, words)) + len(words)
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        for x, y in STEPS:
+            if a[i + x : i + x + 2] == b[j + y : j + y + 2] and i + x < len(a) and j + y < len(b):
+                cost += max(size(a[i : i + x]), size(b[j : j + y]))
+                i, j = i + x, j + y
+                break
+        else:
+            break
+    return cost + max(size(a[i:]), size(b[j:]))
+
+
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     """Whether 1 - distance / longer length reaches ``similarity``."""
     allowed = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
@@ -109,7 +159,13 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     while high < end - low and a[-1 - high] == b[-1 - high]:
         high += 1
     a, b = a[low : len(a) - high], b[low : len(b) - high]
-    return max(len(a), len(b)) <= allowed or edit_distance(a, b) <= allowed
+    if max(len(a), len(b)) <= allowed:
+        return True
+    if aligned_cost(a.split(" "), b.split(" ")) <= allowed:
+        return True
+    if min(len(a), len(b)) > 64 and np.abs(pair_counts(a) - pair_counts(b)).sum() > 4 * allowed:
+        return False
+    return edit_distance(a, b) <= allowed
 
 
 def _similar_rows(similarity: float):
@@ -126,26 +182,121 @@ def _long_enough(text: str, min_words: int) -> list[tuple[int, list[bytes]]]:
 
 
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, line_no, name, fp) for each line of enough words."""
+    """(doc_id, text_key, line_no, name, short, bands) for each line of enough words; bands are null where the task has given them already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             found = [(row, k, b" ".join(line)) for row, text in enumerate(batch.column("text").to_pylist()) if text for k, line in _long_enough(text, min_words)]
             rows = pa.array([f[0] for f in found], pa.int64())
+            names = [hashlib.md5(f[2]).digest() for f in found]
+            shorts = [short_name(n, f[2]) for n, f in zip(names, found)]
+            new = []
+            for i, x in enumerate(shorts):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            given = np.zeros(len(found), bool)
+            given[new] = True
+            bands = line_bands([found[i][2] for i in new])
+            ends = pa.array(np.r_[0, np.cumsum(given) * BANDS].astype(np.int32), mask=np.r_[~given, False])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(rows),
                     batch.column("text_key").take(rows),
                     pa.array([f[1] for f in found], pa.int32()),
-                    pa.array([hashlib.md5(f[2]).digest() for f in found], pa.binary()),
-                    pa.array(line_prints([f[2] for f in found]), pa.int64()),
+                    pa.array(names, pa.binary()),
+                    pa.array(shorts, pa.int64()),
+                    pa.ListArray.from_arrays(ends, pa.array(bands.ravel(), pa.int32())),
                 ],
-                names=["doc_id", "text_key", "line_no", "name", "fp"],
+                names=["doc_id", "text_key", "line_no", "name", "short", "bands"],
             )
 
     small_batches(docs.sparkSession)
     keyed = long_ids(docs).withColumn("text_key", F.xxhash64("text"))
-    return keyed.mapInArrow(run, "doc_id long, text_key long, line_no int, name binary, fp long")
+    return keyed.mapInArrow(run, "doc_id long, text_key long, line_no int, name binary, short long, bands array<int>")
+
+
+def _candidates(similarity: float, hot: int):
+    """Over rows sorted by key and short name: the pairs (a, b) of ordinary keys that their lengths allow, and the members (a, a) of hot ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held_key, held_short = np.empty(0, np.int64), np.empty(0, np.int64)
+        in_hot: int | None = None
+
+        def work(key: np.ndarray, short: np.ndarray) -> Iterator[pd.DataFrame]:
+            if not len(key):
+                return
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[starts, len(key)])
+            heavy = np.repeat((sizes > hot) | (key[starts] == in_hot if in_hot is not None else False), sizes)
+            if heavy.any():
+                yield pd.DataFrame({"key": key[heavy], "a": short[heavy], "b": short[heavy]})
+            key, short = key[~heavy], short[~heavy]
+            length = short & LONG
+            at, shift = np.arange(len(key) - 1), 1
+            while len(at := at[at + shift < len(key)]):
+                at = at[key[at] == key[at + shift]]
+                most = np.maximum(length[at], length[at + shift])
+                allowed = ((1 - similarity) * most + 1e-9).astype(np.int64)
+                near = at[(abs(length[at] - length[at + shift]) <= allowed) | (most == LONG)]
+                if len(near):
+                    yield pd.DataFrame({"key": key[near], "a": short[near], "b": short[near + shift]})
+                shift += 1
+
+        for pdf in batches:
+            key = np.concatenate((held_key, pdf["key"].to_numpy(np.int64)))
+            short = np.concatenate((held_short, pdf["short"].to_numpy(np.int64)))
+            new = np.r_[True, (key[1:] != key[:-1]) | (short[1:] != short[:-1])][: len(key)]
+            key, short = key[new], short[new]
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            yield from work(key[:cut], short[:cut])
+            key, short = key[cut:], short[cut:]
+            if len(key) and in_hot is not None and key[0] != in_hot:
+                in_hot = None
+            if len(key) > hot:  # goes on into the next batch, and is hot whatever follows
+                in_hot = int(key[0])
+                yield pd.DataFrame({"key": key, "a": short, "b": short})
+                key, short = key[:0], short[:0]
+            held_key, held_short = key, short
+        yield from work(held_key, held_short)
+
+    return run
+
+
+def _against_heads(similarity: float):
+    """For each line under a hot key: the head that it is like, and whether it goes on to the next round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            like, on = [], []
+            for own, line, heads in zip(batch.column("line_id").to_pylist(), batch.column("line").to_pylist(), batch.column("heads").to_pylist()):
+                is_head = any(h["line_id"] == own for h in heads)
+                like.append(next((h["line_id"] for h in heads if (h["line_id"] < own or not is_head) and similar(line, h["line"], similarity)), None))
+                on.append(like[-1] is None and not is_head)
+            columns = [*(batch.column(c) for c in ("key", "line_id", "line")), pa.array(like, pa.int64()), pa.array(on, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "line_id", "line", "like", "goes_on"])
+
+    return run
+
+
+def hot_links(members: DataFrame, similarity: float = SIMILARITY, heads: int = HEADS) -> DataFrame:
+    """Verified links (a, b) among the lines (key, line_id, line) of each hot key.
+
+    In each round a line is compared with the key's heads, the least line of
+    each of ``heads`` slots; heads and lines like one are done, the others go on.
+    """
+    links, left = None, members
+    while not left.isEmpty():
+        slots = left.groupBy("key", F.pmod(F.xxhash64("line_id"), F.lit(heads)).alias("slot")).agg(F.min(F.struct("line_id", "line")).alias("head"))
+        asked = left.join(slots.groupBy("key").agg(F.sort_array(F.collect_list("head")).alias("heads")), "key")
+        done = stored(asked.mapInArrow(_against_heads(similarity), "key long, line_id long, line string, like long, goes_on boolean"), "line-heads")
+        found = done.where("like IS NOT NULL").select(F.col("line_id").alias("a"), F.col("like").alias("b"))
+        links = found if links is None else links.unionByName(found)
+        left = done.where("goes_on").select("key", "line_id", "line")
+    return members.select(F.col("line_id").alias("a"), F.col("line_id").alias("b")).limit(0) if links is None else links
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
@@ -167,28 +318,33 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     return chosen.mapInArrow(run, "line_id long, line string").dropDuplicates(["line_id"])
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
     """(doc_id, text_key, dropped array<int>) for each document with lines to drop.
 
     A document is a doc_id and a text (``text_key`` is the text's hash); rows that
     repeat both are one document and lose the same lines.  Null and empty texts
-    have no lines of enough words.  Lines under one fingerprint are compared with
-    the first of them, and fingerprints along the links that span each group.
+    have no lines of enough words.  Every pair of lines under a band's key is
+    verified, but for hot keys, whose lines are verified against heads.
     """
+    spark = docs.sparkSession
     found = stored(occurrences(docs, min_words), "line-occurrences")
     place = F.struct("doc_id", "text_key", "line_no")
-    names = found.groupBy("name").agg(F.min("fp").alias("fp"), F.min(place).alias("place"), F.count("*").alias("n"))
+    names = found.groupBy("name").agg(F.min("short").alias("short"), F.min(place).alias("place"), F.count("*").alias("n"))
     names = stored(names.withColumn("line_id", F.monotonically_increasing_id()), "line-names")
-    prints = stored(names.groupBy("fp").agg(F.min("line_id").alias("head"), F.count("*").alias("n")), "line-prints")
-    links = fingerprint_links(prints.select("fp"), max_bits)
-    head = lambda side: prints.select(F.col("fp").alias(f"fp_{side}"), F.col("head").alias(side))
-    across = links.select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(head("a"), "fp_a").join(head("b"), "fp_b").select("a", "b")
-    within = names.join(prints.where("n > 1").select("fp", "head"), "fp").where("line_id != head").select(F.col("line_id").alias("a"), F.col("head").alias("b"))
-    pairs = stored(across.unionByName(within).distinct(), "line-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-    text = stored(_texts(docs, names.join(needed, "line_id").select("line_id", "place"), min_words), "line-texts")
-    side = lambda x: text.select(F.col("line_id").alias(x), F.col("line").alias(f"line_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "line_a", "line_b").mapInArrow(_similar_rows(similarity), "a long, b long")
+    bands = found.where(F.col("bands").isNotNull()).select("short", F.posexplode("bands").alias("band", "hash"))
+    keys = bands.select(F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("hash").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "short")
+    small_batches(spark, rows=32_768)
+    alike = stored(keys.repartition("key").sortWithinPartitions("key", "short").mapInPandas(_candidates(similarity, hot), "key long, a long, b long"), "line-candidates")
+    small_batches(spark)
+    pairs = stored(alike.where("a != b").select("a", "b").distinct(), "line-pairs")
+    members = alike.where("a = b").select("key", F.col("a").alias("short"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("short")).unionByName(members.select("short")).distinct()
+    wanted = stored(names.join(needed, "short").select("line_id", "short", "place"), "line-wanted")
+    text = stored(_texts(docs, wanted, min_words).join(wanted.select("line_id", "short"), "line_id"), "line-texts")
+    side = lambda x: text.select(F.col("short").alias(f"short_{x}"), F.col("line_id").alias(x), F.col("line").alias(f"line_{x}"))
+    both = pairs.withColumnsRenamed({"a": "short_a", "b": "short_b"}).join(side("a"), "short_a").join(side("b"), "short_b")
+    near = both.select("a", "b", "line_a", "line_b").mapInArrow(_similar_rows(similarity), "a long, b long")
+    near = near.unionByName(hot_links(members.join(text, "short").select("key", "line_id", "line"), similarity))
     roots = components(near).withColumnsRenamed({"node": "line_id"})
     grouped = names.join(roots, "line_id", "left").select("name", "place", "n", F.coalesce("root", "line_id").alias("root"))
     first = grouped.groupBy("root").agg(F.min("place").alias("stays"), F.sum("n").alias("all")).where(F.col("all") > 1)
@@ -197,13 +353,13 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int = MAX_BIT
     return drop.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and n_lines, n_dropped.
 
     All other columns are as they were; a null text stays null and has no lines.
     Lines end at a newline; those with fewer than ``min_words`` words always stay.
     """
-    dropped = stored(repeats(docs, min_words, max_bits, similarity), "dropped-lines").withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "dropped": "_dropped"})
+    dropped = stored(repeats(docs, min_words, similarity), "dropped-lines").withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "dropped": "_dropped"})
     key = F.xxhash64(F.col("text").cast("string"))
     joined = docs.withColumn("_text_key", key).join(dropped.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("_text_key").eqNullSafe(F.col("_key")), "left")
     lines = F.split("text", "\n", -1)

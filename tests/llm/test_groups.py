@@ -191,6 +191,34 @@ def test_near_lines_are_verified(spark):
     assert got[9] == 0  # the same words in another order are another line
 
 
+def test_near_lines_of_few_words_are_found(spark):
+    rng = np.random.default_rng(16)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9)))
+    pairs = []
+    while len(pairs) < 150:
+        base = [word() for _ in range(rng.integers(10, 41))]
+        other = list(base)
+        for at in rng.choice(len(base), max(1, len(base) // 8), replace=False):
+            other[at] = word()
+        if lines.similar(" ".join(base), " ".join(other)):
+            pairs.append((" ".join(base), " ".join(other)))
+    got = lines.without_repeats(table(spark, [(i, x) for i, x in enumerate(x for p in pairs for x in p)])).collect()
+    assert all(r["n_dropped"] == 0 for r in got if r["doc_id"] % 2 == 0)
+    assert sum(r["n_dropped"] for r in got) >= 143
+
+
+def test_bounds_of_similarity_are_exact():
+    rng = np.random.default_rng(17)
+    for _ in range(300):
+        base = ["".join(rng.choice(list("abcde"), rng.integers(1, 7))) for _ in range(30)]
+        other = [w if rng.random() < 0.75 else "".join(rng.choice(list("abcde"), rng.integers(1, 7))) for w in base if rng.random() < 0.97]
+        a, b = " ".join(base), " ".join(other)
+        distance = lines.edit_distance(a, b)
+        assert lines.aligned_cost(base, other) >= distance
+        assert np.abs(lines.pair_counts(a) - lines.pair_counts(b)).sum() <= 4 * distance
+        assert lines.similar(a, b) == (distance <= int(0.2 * max(len(a), len(b)) + 1e-9))
+
+
 # embeddings
 
 
