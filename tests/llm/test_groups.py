@@ -219,6 +219,20 @@ def test_bounds_of_similarity_are_exact():
         assert lines.similar(a, b) == (distance <= int(0.2 * max(len(a), len(b)) + 1e-9))
 
 
+def test_unlike_lines_in_front_hide_no_similar_ones(spark):
+    rng = np.random.default_rng(18)
+    base = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(30)]
+    moved = [" ".join(rng.permutation(base)) for _ in range(5)]
+    swapped = " ".join([base[1], base[0], *base[2:]])
+    rows = [*enumerate(moved), (5, " ".join(base)), (6, swapped)]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.without_repeats(table(spark, rows)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1}
+    members = spark.createDataFrame([(7, i, t) for i, t in rows], "key long, line_id long, line string")
+    assert {(r["a"], r["b"]) for r in lines.hot_links(members, heads=1).collect()} == {(6, 5)}
+    got = {r["doc_id"]: [*r["dropped"]] for r in lines.repeats(table(spark, rows), hot=2).collect()}
+    assert got == {6: [0]}
+
+
 # embeddings
 
 
