@@ -1,7 +1,7 @@
 """State segmentation: k-means, Gaussian hidden Markov models, fragment-length digestion.
 
-Training works on a bounded sample in numpy; decoding runs sequence by sequence
-on the executors.
+Training and decoding run over all rows on the executors; only sums and the
+parameters reach the driver.
 """
 
 from __future__ import annotations
@@ -41,6 +41,50 @@ def kmeans(x: np.ndarray, k: int, starts: int = 10, rounds: int = 300, tolerance
     return centres[np.lexsort(centres.T[::-1])], inertia
 
 
+def weighted_points(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The distinct rows of ``features``, with the column n of how often each occurs."""
+    return rows.groupBy(*features).agg(F.count("*").alias("n"))
+
+
+def _nearest(points: DataFrame, features: Sequence[str], centres: np.ndarray) -> DataFrame:
+    """Adds ``own``, the first of the nearest centres, and ``far``, the squared distance to it."""
+    gaps = [sum(((F.col(f) - F.lit(float(v))) ** 2 for f, v in zip(features, c)), F.lit(0.0)) for c in centres]
+    best = F.least(*gaps) if len(gaps) > 1 else gaps[0]
+    own = F.coalesce(*[F.when(g == best, F.lit(j)) for j, g in enumerate(gaps)])
+    return points.withColumn("own", own).withColumn("far", best)
+
+
+def kmeans_rows(points: DataFrame, features: Sequence[str], k: int, starts: int = 10, rounds: int = 300, tolerance: float = 1e-4, seed: int = 12345) -> tuple[np.ndarray, float]:
+    """``kmeans`` over all rows of a table of weighted points: a start is drawn by weight and distance, a round is one aggregate."""
+    rng = np.random.RandomState(seed)
+    spread = points.agg(F.sum("n"), *[F.sum(F.col("n") * F.col(f)) / F.sum("n") for f in features], *[F.sum(F.col("n") * F.col(f) ** 2) / F.sum("n") for f in features]).first()
+    if not spread[0]:
+        return np.empty((0, len(features))), 0.0
+    mean, square = np.array(spread[1 : len(features) + 1]), np.array(spread[len(features) + 1 :])
+    limit = tolerance * float((square - mean**2).mean())
+    best: tuple[np.ndarray, float] | None = None
+    for _ in range(starts):
+        centres = np.empty((0, len(features)))
+        while len(centres) < k:
+            weight = F.col("n") * F.col("far") if len(centres) else F.col("n")
+            draw = -F.log((F.pmod(F.xxhash64(*features, F.lit(int(rng.randint(1 << 30)))), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))) / weight
+            rows = _nearest(points, features, centres).where("far > 0") if len(centres) else points
+            pick = rows.orderBy(draw, *features).select(*features).first()
+            centres = np.concatenate((centres, [list(pick) if pick else centres[-1]]))
+        for _ in range(rounds):
+            sums = {r["own"]: r for r in _nearest(points, features, centres).groupBy("own").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f)).alias(f) for f in features]).collect()}
+            moved = np.array([[sums[j][f] / sums[j]["n"] for f in features] if j in sums else centres[j] for j in range(k)])
+            step = ((moved - centres) ** 2).sum()
+            centres = moved
+            if step <= limit:
+                break
+        inertia = float(_nearest(points, features, centres).agg(F.sum(F.col("n") * F.col("far"))).first()[0])
+        if best is None or inertia < best[1]:
+            best = centres, inertia
+    centres, inertia = best
+    return centres[np.lexsort(centres.T[::-1])], inertia
+
+
 @dataclass
 class GaussianHmm:
     """Start and transition probabilities, means and full covariances of the states."""

@@ -13,6 +13,7 @@ from ..functions import stats
 from ..operators import arithmetic, background, model, reads, regions, scoring, smooth, states, tracks
 from ..streaming import coverage as streaming
 from . import adapter
+from .scratch import stored
 from .callpeak import PeakOptions, scored_track
 
 GENOME, SIZE, SMALL, LARGE = 7500.0, 8, 50, 400
@@ -280,9 +281,9 @@ def _state_rows(spark, sf_dir) -> DataFrame:
 
 
 def kmeans_state(spark, sf_dir):
-    """Centres of three clusters of log coverage, from a bounded sample."""
-    rows = _state_rows(spark, sf_dir).orderBy("chrom", "start").limit(5000).select("x", "y").toPandas().to_numpy()
-    centres, _ = states.kmeans(rows, 3)
+    """Centres of three clusters of log coverage, over all runs."""
+    points = stored(states.weighted_points(_state_rows(spark, sf_dir), ["x", "y"]), "state-points")
+    centres, _ = states.kmeans_rows(points, ["x", "y"], 3)
     return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(np.round(centres, 6))], "state int, x double, y double")
 
 

@@ -33,6 +33,17 @@ def test_kmeans():
     assert centres.ravel() == pytest.approx([0, 5, 9], abs=0.1) and inertia < 3
 
 
+def test_kmeans_query_takes_every_row(spark, monkeypatch):
+    from strandlake.plans import queries
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.round(rng.normal(c, 0.2, (n, 2)), 1) for c, n in ((0, 4000), (4, 2000), (9, 300))])
+    rows = [("a" if i < 5000 else "b", i, *map(float, v)) for i, v in enumerate(x)]
+    monkeypatch.setattr(queries, "_state_rows", lambda *_: spark.createDataFrame(rows, "chrom string, start long, x double, y double"))
+    got = [[r["x"], r["y"]] for r in queries.kmeans_state(spark, "").orderBy("state").collect()]
+    assert np.array(got) == pytest.approx(states.kmeans(x, 3)[0], abs=1e-3)
+
+
 def test_posteriors_match_enumeration():
     import itertools
 
