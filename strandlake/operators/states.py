@@ -156,6 +156,59 @@ class GaussianHmm:
         return cls(np.full(k, 1 / k), step, centres, covariances)
 
 
+def _start_model(points: DataFrame, features: Sequence[str], k: int) -> GaussianHmm:
+    """``GaussianHmm.from_kmeans`` over weighted points."""
+    size = len(features)
+    centres, _ = kmeans_rows(points, features, k)
+    sums = [F.sum(F.col("n") * F.col(f)).alias(f"s{i}") for i, f in enumerate(features)]
+    squares = [F.sum(F.col("n") * F.col(f) * F.col(g)).alias(f"q{i}_{j}") for i, f in enumerate(features) for j, g in enumerate(features)]
+    found = {r["own"]: r for r in _nearest(points, features, centres).groupBy("own").agg(F.sum("n").alias("n"), *sums, *squares).collect()}
+    covariances = np.array([np.eye(size)] * k)
+    for own, r in found.items():
+        if r["n"] > size:
+            mean = np.array([r[f"s{i}"] for i in range(size)]) / r["n"]
+            square = np.array([[r[f"q{i}_{j}"] for j in range(size)] for i in range(size)])
+            covariances[own] = (square - r["n"] * np.outer(mean, mean)) / (r["n"] - 1)
+    step = np.full((k, k), 0.1 / max(1, k - 1))
+    np.fill_diagonal(step, 0.9)
+    return GaussianHmm(np.full(k, 1 / k), step, centres, covariances + 1e-3 * np.eye(size))
+
+
+def _sums(model: GaussianHmm, position: str, features: Sequence[str]):
+    """What one sequence adds to the expected starts, moves, weights and moments (about the model's means)."""
+    centre = model.means
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(position)[list(features)].to_numpy(np.float64)
+        a, b, dens = model._forward_backward(x)
+        whole = np.logaddexp.reduce(a[-1])
+        g = np.exp(a + b - whole)
+        with np.errstate(divide="ignore"):
+            moves = np.exp(a[:-1, :, None] + np.log(model.step)[None] + (dens[1:] + b[1:])[:, None, :] - whole).sum(axis=0)
+        off = x[:, None] - centre[None]
+        flat = np.concatenate((g[0], moves.ravel(), g.sum(axis=0), np.einsum("tj,tjd->jd", g, off).ravel(), np.einsum("tj,tjd,tje->jde", g, off, off).ravel()))
+        return pd.DataFrame({"at": range(len(flat)), "x": flat})
+
+    return run
+
+
+def fit_rows(rows: DataFrame, points: DataFrame, sequence: str, position: str, features: Sequence[str], k: int = 3, rounds: int = 20, floor: float = 1e-3) -> GaussianHmm:
+    """``GaussianHmm.fit`` over every sequence of a table, from the clusters of its weighted points; a round is one aggregate of sums."""
+    size = len(features)
+    model = _start_model(points, features, k)
+    for _ in range(rounds):
+        parts = rows.select(sequence, position, *features).groupBy(sequence).applyInPandas(_sums(model, position, features), "at int, x double")
+        flat = np.array([r["x"] for r in sorted(parts.groupBy("at").agg(F.sum("x").alias("x")).collect(), key=lambda r: r["at"])])
+        if not len(flat):
+            break
+        starts, moves, weight, first, second = np.split(flat, np.cumsum([k, k * k, k, k * size]))
+        weight, moves = weight + 1e-12, moves.reshape(k, k) + 1e-12
+        shift = first.reshape(k, size) / weight[:, None]
+        covariances = second.reshape(k, size, size) / weight[:, None, None] - np.einsum("jd,je->jde", shift, shift) + floor * np.eye(size)
+        model = GaussianHmm(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), model.means + shift, covariances)
+    return model
+
+
 def decode(rows: DataFrame, model: GaussianHmm, sequence: str, position: str, features: Sequence[str]) -> DataFrame:
     """(sequence, position, state, posteriors) of every row, each sequence decoded by itself in order of position.
 

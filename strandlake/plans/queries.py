@@ -13,8 +13,8 @@ from ..functions import stats
 from ..operators import arithmetic, background, model, reads, regions, scoring, smooth, states, tracks
 from ..streaming import coverage as streaming
 from . import adapter
-from .scratch import stored
 from .callpeak import PeakOptions, scored_track
+from .scratch import stored
 
 GENOME, SIZE, SMALL, LARGE = 7500.0, 8, 50, 400
 P_CUTOFF, WEAK, GAP, LEAST = 1.0, 0.6, 3, 4
@@ -288,11 +288,10 @@ def kmeans_state(spark, sf_dir):
 
 
 def hmm_posterior(spark, sf_dir):
-    """States of every stretch of coverage, decoded in sequences of bounded length."""
-    rows = states.cut_sequences(_state_rows(spark, sf_dir), "chrom", "start", 500)
-    sample = rows.orderBy("chrom", "start").limit(1500).select("sequence", "x", "y").toPandas()
-    fitted = states.GaussianHmm.from_kmeans(sample[["x", "y"]].to_numpy(), 3)
-    fitted.fit([g[["x", "y"]].to_numpy() for _, g in sample.groupby("sequence", sort=True)], rounds=5)
+    """States of every stretch of coverage, learned from all of them, decoded in sequences of bounded length."""
+    rows = stored(states.cut_sequences(_state_rows(spark, sf_dir), "chrom", "start", 500), "state-rows")
+    points = stored(states.weighted_points(rows, ["x", "y"]), "state-points")
+    fitted = states.fit_rows(rows, points, "sequence", "start", ["x", "y"], rounds=5)
     return states.decode(rows, fitted, "sequence", "start", ["x", "y"]).select("sequence", "start", "state", F.round(F.array_max("posteriors"), 6).alias("posterior"))
 
 

@@ -70,6 +70,23 @@ def test_fit_and_decode_by_sequence(spark):
     assert len(got) == 120 and {got[i] for i in range(60)} == {0} and {got[i] for i in range(60, 120)} == {1}
 
 
+def test_hmm_query_learns_from_every_row(spark, monkeypatch):
+    from strandlake.plans import queries
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.round(rng.normal(c, 0.3, (n, 2)), 1) for c, n in ((0, 1200), (4, 600), (9, 400))])
+    rows = [("a" if i < 1800 else "b", i, *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "chrom string, start long, x double, y double")
+    monkeypatch.setattr(queries, "_state_rows", lambda *_: df)
+    got = {r["start"]: r["state"] for r in queries.hmm_posterior(spark, "").collect()}
+    assert len(got) == 2200 and {got[i] for i in range(1200)} == {0} and {got[i] for i in range(1200, 1800)} == {1} and {got[i] for i in range(1800, 2200)} == {2}
+    cut = states.cut_sequences(df, "chrom", "start", 500)
+    whole = states.GaussianHmm.from_kmeans(x, 3).fit([g[["x", "y"]].to_numpy() for _, g in cut.orderBy("start").toPandas().groupby("sequence")], rounds=2)
+    spread = states.fit_rows(cut, states.weighted_points(cut, ["x", "y"]), "sequence", "start", ["x", "y"], rounds=2)
+    for name in ("start", "step", "means", "covariances"):
+        assert getattr(spread, name) == pytest.approx(getattr(whole, name), abs=1e-3)
+
+
 def test_digestion_weights_sum_to_one(spark):
     df = spark.createDataFrame([("c", 0, 50), ("c", 0, 210), ("c", 0, 3000)], "chrom string, left long, right long")
     rows = states.digested(df).collect()
