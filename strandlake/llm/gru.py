@@ -6,12 +6,15 @@ Before training the biases make it the unigram model of the counts.
 
 Texts run in lanes: each lane is a sequence of whole texts, the state starts
 anew at a text's first output and is carried from window to window, so a text's
-log-likelihood is complete however long it is.
+log-likelihood is complete however long it is.  Lanes have lengths of their own
+and a window is laid out only for those that reach it, so memory follows the
+number of outputs, not the longest text.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -21,8 +24,8 @@ F32 = np.float32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place; what is too large to be raised to a power is 0 or 1."""
     np.negative(x, out=x)
-    np.clip(x, -60, 60, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
@@ -39,21 +42,34 @@ def lanes(texts: list[np.ndarray], count: int) -> list[list[int]]:
     return sorted(out, key=lambda lane: -sum(len(texts[i]) for i in lane))
 
 
-def grid(texts: list[np.ndarray], dealt: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(targets, whether a text goes on) as (time, lane) tables; target -1 where a lane has ended."""
-    longest = max(sum(len(texts[i]) for i in lane) for lane in dealt)
-    target, goes_on = np.full((longest, len(dealt)), -1, np.int32), np.ones((longest, len(dealt)), bool)
-    for k, lane in enumerate(dealt):
-        row = np.concatenate([texts[i] for i in lane])
-        target[: len(row), k] = row
-        goes_on[np.cumsum([0, *(len(texts[i]) for i in lane[:-1])]), k] = False
-    return target, goes_on
+class Lanes:
+    """Texts (one output each at least) end to end, lane after lane, and the windows over them."""
+
+    def __init__(self, texts: list[np.ndarray], count: int):
+        dealt = lanes(texts, count)
+        self.order = [i for lane in dealt for i in lane]
+        sizes = np.array([len(texts[i]) for i in self.order], np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([texts[i] for i in self.order])
+        self.goes_on = np.ones(len(self.flat), bool)
+        self.goes_on[self.starts] = False
+        self.lengths = np.array([sum(len(texts[i]) for i in lane) for lane in dealt], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+
+    def windows(self, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places in ``flat``, which of them are real, places before them) of each window, as (time, lane) tables of the lanes left."""
+        for at in range(0, int(self.lengths[0]), window):
+            left = int(np.searchsorted(-self.lengths, -at))
+            steps = min(window, int(self.lengths[0]) - at)
+            time = at + np.arange(steps)[:, None]
+            real = time < self.lengths[None, :left]
+            yield np.where(real, self.begins[None, :left] + time, 0), real, np.where(real, self.begins[None, :left] + time - 1, 0)
 
 
 class Gru:
     """Parameters of the network, its windows forwards and backwards, and Adam."""
 
-    NAMES = ("embed", "wx", "bx", "u", "un", "wc", "bc", "wo", "bo")
+    NAMES = ("embed", "wx", "bx", "u", "wc", "bc", "wo", "bo")
 
     def __init__(self, frequencies: np.ndarray, classes: int, hidden: int = HIDDEN, seed: int = 17):
         rng = np.random.default_rng(seed)
@@ -67,14 +83,20 @@ class Gru:
             "embed": draw(0.3, classes * size, hidden),
             "wx": draw(hidden**-0.5, hidden, 3 * hidden),
             "bx": np.zeros(3 * hidden, F32),
-            "u": draw(hidden**-0.5, hidden, 2 * hidden),
-            "un": draw(hidden**-0.5, hidden, hidden),
+            "u": draw(hidden**-0.5, hidden, 3 * hidden),
             "wc": draw(0.1, hidden, classes),
             "bc": np.log(mass.sum(axis=1)).astype(F32),
             "wo": draw(0.1, classes * size, hidden),
             "bo": np.log(mass / mass.sum(axis=1, keepdims=True)).astype(F32).ravel(),
         }
 
+    def copy(self) -> Gru:
+        """A network of its own with the same parameters."""
+        other = Gru.__new__(Gru)
+        other.hidden, other.classes, other.size = self.hidden, self.classes, self.size
+        other.p = {name: v.copy() for name, v in self.p.items()}
+        return other
+
     def flat(self) -> np.ndarray:
         """All parameters end to end."""
         return np.concatenate([self.p[n].ravel() for n in self.NAMES])
@@ -89,140 +111,170 @@ class Gru:
         """Hidden states of a window, each the one that its output is predicted from.
 
         ``x`` is the projected input that leads to each state: the output before.
+        ``keep`` gets the states before, the gates, and the two parts of the new state.
         """
-        k, u, un = self.hidden, self.p["u"], self.p["un"]
+        k, u = self.hidden, self.p["u"]
         out = np.empty((len(x), *h.shape), F32)
-        for t in range(len(x)):
-            h = h * goes_on[t][:, None]
-            gates = _sigmoid(x[t][:, : 2 * k] + h @ u)
-            z, r, q = gates[:, :k], gates[:, k:], h @ un
-            new = np.tanh(x[t][:, 2 * k :] + r * q)
-            if keep is not None:
-                keep.append((h, z, r, q, new))
-            h = new + z * (h - new)
-            out[t] = h
+        before, gates = (np.empty_like(out), np.empty((*out.shape[:2], 2 * k), F32)) if keep is not None else (None, None)
+        inner, new = (np.empty_like(out), np.empty_like(out)) if keep is not None else (None, None)
+        with np.errstate(over="ignore"):
+            for t, whole in enumerate(goes_on.all(axis=1).tolist()):
+                if not whole:
+                    h = h * goes_on[t][:, None]
+                a = h @ u
+                a[:, : 2 * k] += x[t][:, : 2 * k]
+                g = _sigmoid(a[:, : 2 * k])
+                c = g[:, k:] * a[:, 2 * k :]
+                c += x[t][:, 2 * k :]
+                np.tanh(c, out=c)
+                if keep is not None:
+                    before[t], gates[t], inner[t], new[t] = h, g, a[:, 2 * k :], c
+                h = h - c
+                h *= g[:, :k]
+                h += c
+                out[t] = h
+        if keep is not None:
+            keep += [before, gates, inner, new]
         return out
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of outputs ``y`` after states ``h``; with ``grads``, also the states' gradient."""
-        p, size = self.p, self.size
-        kind = y // size
+        p, size, ones = self.p, self.size, np.ones(max(self.classes, self.size), F32)
+        kind = (y // size).astype(np.int16)
+        order = np.argsort(kind, kind="stable")
+        h, kind = h[order], kind[order]
+        own = y[order] - kind * size
         at = np.arange(len(y))
-        scores = h @ p["wc"] + p["bc"]
+        scores = h @ p["wc"]
+        scores += p["bc"]
         scores -= scores.max(axis=1, keepdims=True)
         logp = scores[at, kind].astype(np.float64)
         np.exp(scores, out=scores)
-        total = scores.sum(axis=1)
-        logp -= np.log(total)
+        total = scores @ ones[: self.classes]
         down = None
         if grads is not None:
-            scores /= total[:, None]
+            scores *= np.reciprocal(total)[:, None]
             scores[at, kind] -= 1
             grads["wc"], grads["bc"] = h.T @ scores, scores.sum(axis=0)
             grads["wo"], grads["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
             down = scores @ p["wc"].T
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[edges[c] : edges[c + 1]]
-            if not len(rows):
+        edges = np.searchsorted(kind, np.arange(self.classes + 1)).tolist()
+        inside = np.empty(len(y), F32)
+        for c, (a, b) in enumerate(zip(edges, edges[1:])):
+            if a == b:
                 continue
-            part, own = slice(c * size, (c + 1) * size), y[rows] - c * size
-            hc = h[rows]
-            s = hc @ p["wo"][part].T + p["bo"][part]
+            part, hc, line = slice(c * size, (c + 1) * size), h[a:b], at[: b - a]
+            s = hc @ p["wo"][part].T
+            s += p["bo"][part]
             s -= s.max(axis=1, keepdims=True)
-            line = np.arange(len(rows))
-            picked = s[line, own].astype(np.float64)
+            logp[a:b] += s[line, own[a:b]]
             np.exp(s, out=s)
-            total = s.sum(axis=1)
-            logp[rows] += picked - np.log(total)
+            inside[a:b] = s @ ones[:size]
             if grads is not None:
-                s /= total[:, None]
-                s[line, own] -= 1
+                s *= np.reciprocal(inside[a:b])[:, None]
+                s[line, own[a:b]] -= 1
                 grads["wo"][part], grads["bo"][part] = s.T @ hc, s.sum(axis=0)
-                down[rows] += s @ p["wo"][part]
-        return logp, down
+                down[a:b] += s @ p["wo"][part]
+        logp -= np.log(total)
+        logp -= np.log(inside)
+        back = np.empty_like(order)
+        back[order] = at
+        return logp[back], down[back] if down is not None else None
 
     def log_likelihoods(self, texts: list[np.ndarray], width: int = 256, window: int = 64) -> np.ndarray:
         """Natural log-probability of each whole text."""
         if not texts:
             return np.empty(0)
-        dealt = lanes(texts, width)
-        target, goes_on = grid(texts, dealt)
-        live = (target >= 0).sum(axis=1)
+        laid = Lanes(texts, width)
         table = (self.p["embed"] @ self.p["wx"] + self.p["bx"]).astype(F32)
-        logp = np.zeros(target.shape)
-        h = np.zeros((len(dealt), self.hidden), F32)
-        before = np.zeros(len(dealt), np.int32)
-        for at in range(0, len(target), window):
-            lanes_left = live[at]
-            y, on = target[at : at + window, :lanes_left], goes_on[at : at + window, :lanes_left]
-            x = table[np.concatenate((before[None, :lanes_left], np.maximum(y[:-1], 0)))]
+        logp = np.zeros(len(laid.flat), F32)
+        h = np.zeros((len(laid.lengths), self.hidden), F32)
+        for at, real, before in laid.windows(window):
+            on = laid.goes_on[at] | ~real
+            x = table[laid.flat[before]]
             x[~on] = self.p["bx"]
-            out = self.states(x, on, h[:lanes_left])
-            h, before = out[-1], np.maximum(y[-1], 0)
-            real = y >= 0
-            logp[at : at + window, :lanes_left][real] = self.outputs(out[real], y[real])[0]
-        result = np.zeros(len(texts))
-        for k, lane in enumerate(dealt):
-            ends = np.cumsum([len(texts[i]) for i in lane])
-            total = np.concatenate(([0.0], np.cumsum(logp[:, k])))
-            result[lane] = total[ends] - total[np.concatenate(([0], ends[:-1]))]
+            out = self.states(x, on, h[: at.shape[1]])
+            h = out[-1]
+            logp[at[real]] = self.outputs(out[real], laid.flat[at[real]])[0]
+        result = np.empty(len(texts))
+        result[laid.order] = np.add.reduceat(logp, laid.starts, dtype=np.float64)
         return result
 
     def window_loss(self, inputs: np.ndarray, y: np.ndarray, goes_on: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """Loss an output, gradients truncated at the window's start, and the state after it."""
         p, k, kept, g = self.p, self.hidden, [], {}
-        e = p["embed"][inputs] * goes_on[:, :, None]
-        x = e @ p["wx"] + p["bx"]
-        out = self.states(x, goes_on, h, kept)
+        on = goes_on.astype(F32)
+        e = p["embed"][inputs] * on[:, :, None]
+        x = e.reshape(-1, k) @ p["wx"]
+        x += p["bx"]
+        out = self.states(x.reshape(*y.shape, 3 * k), goes_on, h, kept)
         real = y >= 0
-        logp, down = self.outputs(out[real], y[real], g)
-        grad = np.zeros_like(out)
-        grad[real] = down
-        dx, dh = np.empty_like(x), np.zeros_like(h)
-        g["u"], g["un"] = np.zeros_like(p["u"]), np.zeros_like(p["un"])
+        whole = bool(real.all())
+        logp, down = self.outputs(out.reshape(-1, k), y.ravel(), g) if whole else self.outputs(out[real], y[real], g)
+        if whole:
+            grad = down.reshape(out.shape)
+        else:
+            grad = np.zeros_like(out)
+            grad[real] = down
+        before, gates, inner, new = kept
+        z, r = gates[:, :, :k], gates[:, :, k:]
+        to_new = (1 - z) * (1 - new * new)
+        to_z = (before - new) * z * (1 - z)
+        to_r = inner * r * (1 - r)
+        dx, du = np.empty((*y.shape, 3 * k), F32), np.empty((*y.shape, 3 * k), F32)
+        back = np.ascontiguousarray(p["u"].T)
+        dh = np.zeros_like(h)
+        goes = goes_on.all(axis=1).tolist()
         for t in reversed(range(len(y))):
-            hp, z, r, q, new = kept[t]
             dh = dh + grad[t]
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (hp - new) * z * (1 - z)
-            dr, dq = dn * q * r * (1 - r), dn * r
-            gates = np.concatenate((dz, dr), axis=1)
-            dx[t] = np.concatenate((gates, dn), axis=1)
-            g["u"] += hp.T @ gates
-            g["un"] += hp.T @ dq
-            dh = (dh * z + gates @ p["u"].T + dq @ p["un"].T) * goes_on[t][:, None]
+            dn = dx[t][:, 2 * k :]
+            np.multiply(dh, to_new[t], out=dn)
+            np.multiply(dh, to_z[t], out=du[t][:, :k])
+            np.multiply(dn, to_r[t], out=du[t][:, k : 2 * k])
+            np.multiply(dn, r[t], out=du[t][:, 2 * k :])
+            dh *= z[t]
+            dh += du[t] @ back
+            if not goes[t]:
+                dh *= on[t][:, None]
+        dx[:, :, : 2 * k] = du[:, :, : 2 * k]
         flat = dx.reshape(-1, 3 * k)
+        g["u"] = before.reshape(-1, k).T @ du.reshape(-1, 3 * k)
         g["wx"], g["bx"] = e.reshape(-1, k).T @ flat, flat.sum(axis=0)
-        de = (flat @ p["wx"].T) * goes_on.reshape(-1, 1)
+        de = flat @ p["wx"].T
+        de *= on.reshape(-1, 1)
         g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], inputs.ravel(), de)
-        n = max(1, int(real.sum()))
+        order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
+        ids = inputs.ravel()[order]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        g["embed"][ids[first]] = np.add.reduceat(de[order], first, axis=0)
+        n = max(1, len(logp))
         return -float(logp.sum()) / n, {name: v / n for name, v in g.items()}, out[-1]
 
     def train(self, texts: list[np.ndarray], rate: float, width: int = 64, window: int = 32) -> list[float]:
         """One pass of truncated backpropagation over the texts with Adam; the losses."""
         if not texts:
             return []
-        target, goes_on = grid(texts, lanes(texts, width))
-        h, before = np.zeros((target.shape[1], self.hidden), F32), np.zeros(target.shape[1], np.int32)
+        laid = Lanes(texts, width)
+        h = np.zeros((len(laid.lengths), self.hidden), F32)
         first = {n: np.zeros_like(v) for n, v in self.p.items()}
         second = {n: np.zeros_like(v) for n, v in self.p.items()}
         losses = []
-        for n, at in enumerate(range(0, len(target), window), 1):
-            y = target[at : at + window]
-            inputs = np.concatenate((before[None, :], np.maximum(y[:-1], 0)))
-            value, g, h = self.window_loss(inputs, y, goes_on[at : at + window].astype(F32), h)
-            before = np.maximum(y[-1], 0)
+        for n, (at, real, before) in enumerate(laid.windows(window), 1):
+            value, g, h = self.window_loss(laid.flat[before], np.where(real, laid.flat[at], -1), laid.goes_on[at] | ~real, h[: at.shape[1]])
             losses.append(value)
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
             cut = min(1.0, 1.0 / (norm + 1e-9))
             warm = rate * min(1.0, n / 20)
             a, b = warm / (1 - 0.9**n), 1 / (1 - 0.99**n)
             for name, v in g.items():
                 m, s = first[name], second[name]
-                m += 0.1 * (v * cut - m)
-                s += 0.01 * (v * v * (cut * cut) - s)
-                self.p[name] -= (a * m / (np.sqrt(s * b) + 1e-6)).astype(F32)
+                v *= F32(cut)
+                m += F32(0.1) * (v - m)
+                v *= v
+                s += F32(0.01) * (v - s)
+                step = np.sqrt(s * F32(b))
+                step += F32(1e-6)
+                np.divide(m, step, out=step)
+                step *= F32(a)
+                self.p[name] -= step
         return losses

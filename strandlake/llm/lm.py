@@ -8,8 +8,8 @@ counts.  So any text has a probability, and the whole vocabulary takes part.
 
 The network starts as the unigram model and is trained by several trainers at
 once, each on its own texts, whose parameters are averaged after each round; the
-number of trainers follows the number of tokens.  Words outside the head are
-joined to the counts, never broadcast.
+number of trainers follows the number of tokens, and every training text is seen
+once.  Words outside the head are joined to the counts, never broadcast.
 """
 
 from __future__ import annotations
@@ -33,13 +33,12 @@ HEAD, MODEL_WORDS = 262_144, 2_432
 #: Outputs that other words share by their last three bytes.
 BUCKETS = 128
 CLASSES = 51
-#: The counts cover all training texts; the network trains on this share of them at
-#: least, and on so many tokens where there are as many.
-TRAIN_SHARE, TRAIN_TOKENS = 0.1, 3_000_000
+#: Rounds of training; every text is in one of them.
 ROUNDS = 3
 RATE = 0.02
-#: Tokens that one trainer sees over all rounds at about.
-TRAINER_TOKENS = 1_000_000
+#: Tokens that one trainer sees over all rounds at about, and lanes at most and tokens a lane of its texts.
+TRAINER_TOKENS = 3_000_000
+LANES, LANE_TOKENS = 256, 5_120
 #: Parameters travel in so many blocks.
 BLOCKS = 16
 #: Words that a task counts before it hands them on, and tokens that it scores at once.
@@ -156,38 +155,46 @@ def _vocabulary(counts: DataFrame) -> tuple[LanguageModel, Column]:
     return model, step < cut
 
 
-def _train(model: LanguageModel, docs: DataFrame) -> None:
-    """Rounds of parallel training; the averaged parameters end up in ``model``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def _encoded(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """(row, doc_id, learns, n_tokens, outputs, head_known, head_log, add, others) of every text, stored; ``row`` tells any two rows apart."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def work(texts: list[str]) -> list:
+        found = [shared.value.read(t) for t in texts]
+        return [[len(f[0]) for f in found], [f[0].astype("<i2").tobytes() for f in found], *([f[k] for f in found] for k in (3, 1, 2, 4))]
+
+    schema = "n_tokens long, outputs binary, head_known long, head_log double, add double, others array<binary>"
+    return stored(map_texts(rows, work, schema, keep=("doc_id", "learns")).withColumn("row", F.monotonically_increasing_id()), "text-outputs")
+
 
-    def outputs(texts: list[str]) -> list:
-        found = [shared.value.read(t)[0] for t in texts]
-        return [[x.astype("<i2").tobytes() for x in found], [len(x) for x in found]]
+def _outputs(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<i2").astype(np.int32) for x in column]
 
-    share = max(TRAIN_SHARE, min(1.0, TRAIN_TOKENS / max(1, model.total)))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    encoded = stored(map_texts(sample, outputs, "outputs binary, n long"), "training-outputs")
-    size = encoded.agg(F.sum("n")).first()[0] or 0
+
+def _train(model: LanguageModel, encoded: DataFrame) -> None:
+    """Rounds of parallel training on every text that teaches; the averaged parameters end up in ``model``.
+
+    Texts are dealt by row, so ids that are null or repeat make no trainer larger.
+    """
+    spark = encoded.sparkSession
+    size = encoded.agg(F.sum("n_tokens")).first()[0] or 0
     if not size:
         return
     trainers = shards_for(size, TRAINER_TOKENS)
-    mixed = F.xxhash64("doc_id", F.lit(1))
-    dealt = encoded.withColumn("trainer", F.pmod(mixed, F.lit(trainers))).withColumn("round", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(ROUNDS)))
+    deal = lambda seed, parts: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(parts))
+    dealt = encoded.select("row", "outputs", deal(1, trainers).alias("trainer"), deal(2, ROUNDS).alias("round"))
     network = model.network
     for k in range(ROUNDS):
         start = spark.sparkContext.broadcast(network)
         rate = RATE * (1 - k / ROUNDS)
 
         def work(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("doc_id")
-            own = Gru.__new__(Gru)
-            own.__dict__.update(start.value.__dict__)
-            own.p = {name: v.copy() for name, v in start.value.p.items()}
-            texts = [np.frombuffer(x, "<i2").astype(np.int32) for x in pdf["outputs"]]
-            own.train(texts, rate, width=max(8, min(64, sum(map(len, texts)) // 6400)))
+            texts = _outputs(pdf.sort_values("row")["outputs"])
+            size = sum(map(len, texts))
+            own = start.value.copy()
+            own.train(texts, rate, width=max(8, min(LANES, size // LANE_TOKENS)))
             parts = np.array_split(own.flat(), BLOCKS)
-            return pd.DataFrame({"block": range(BLOCKS), "weights": [x.tobytes() for x in parts], "n": [sum(map(len, texts))] * BLOCKS})
+            return pd.DataFrame({"block": range(BLOCKS), "weights": [x.tobytes() for x in parts], "n": [size] * BLOCKS})
 
         def mean(pdf: pd.DataFrame) -> pd.DataFrame:
             total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for w, n in zip(pdf["weights"], pdf["n"]))
@@ -210,56 +217,43 @@ def score(docs: DataFrame, learns: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
-    training = rows.where("learns")
-    counts = stored(word_counts(training), "word-counts")
+    counts = stored(word_counts(rows.where("learns")), "word-counts")
     model, outside = _vocabulary(counts)
-    _train(model, training)
-    shared = spark.sparkContext.broadcast(model)
-    scale = 1 / np.log(10)
+    encoded = _encoded(rows, model)
+    _train(model, encoded.where("learns"))
+    shared = spark.sparkContext.broadcast(model.network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[pa.RecordBatch, list]] = []
+        held: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            logs = shared.value.network.log_likelihoods([f[0] for _, found in held for f in found]) * scale
+            logs = shared.value.log_likelihoods([x for _, texts in held for x in texts]) / np.log(10)
             at = 0
-            for batch, found in held:
-                own = logs[at : at + len(found)]
-                at += len(found)
-                columns = [
-                    pa.array([len(f[0]) for f in found], pa.int64()),
-                    pa.array([f[3] for f in found], pa.int64()),
-                    pa.array([f[1] for f in found], pa.float64()),
-                    pa.array(own + np.array([f[2] for f in found]), pa.float64()),
-                    pa.array([f[4] for f in found], pa.list_(pa.binary())),
-                ]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("learns"), *columns], names=["doc_id", "learns", "n_tokens", "head_known", "head_log", "own", "others"])
+            for batch, texts in held:
+                yield batch.append_column("own", pa.array(logs[at : at + len(texts)], pa.float64()))
+                at += len(texts)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = [shared.value.read(t or "") for t in batch.column("text").to_pylist()]
-            held.append((batch.drop_columns(["text"]), found))
-            size += sum(len(f[0]) for f in found)
+            held.append((batch.drop_columns(["outputs"]), _outputs(batch.column("outputs").to_pylist())))
+            size += sum(map(len, held[-1][1]))
             if size > POOL:
                 yield from flush()
                 held, size = [], 0
-        if held:
-            yield from flush()
+        yield from flush()
 
-    schema = "doc_id long, learns boolean, n_tokens long, head_known long, head_log double, own double, others array<binary>"
-    part = stored(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "text-scores")
-    tail = part.where(F.size("others") > 0).select("row", F.explode("others").alias("word"))
+    schema = "row long, doc_id long, learns boolean, n_tokens long, head_known long, head_log double, add double, own double"
+    own = encoded.select("row", "doc_id", "learns", "n_tokens", "head_known", "head_log", "add", "outputs").mapInArrow(run, schema)
+    tail = encoded.where(F.size("others") > 0).select("row", F.explode("others").alias("word"))
     sums = tail.join(counts.where(outside), "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("tail_log"), F.count("*").alias("tail_known"))
     log, known = F.coalesce("tail_log", F.lit(0.0)), F.coalesce("tail_known", F.lit(0))
     one = float(np.log10(model.total + model.distinct + 1))
-    return part.join(sums, "row", "left").select(
+    return own.join(sums, "row", "left").select(
         "doc_id",
         "learns",
         "n_tokens",
         (F.col("head_known") + known).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("head_log") + log - F.col("n_tokens") * F.lit(one)).alias("base_score"),
-        (F.col("own") + log).alias("score"),
+        (F.col("own") + F.col("add") + log).alias("score"),
     )
