@@ -1,6 +1,7 @@
 """Operators on groups: exact and near duplicates, lines, embeddings, urls, components."""
 
 import hashlib
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -305,8 +306,118 @@ def test_templates_generalise_pool_and_reject(spark):
     assert {got[i][1] for i in range(56)} == {"allow"} and {got[i] for i in range(56, 61)} == {("/p/{n}", "block")}
 
 
-def test_similar_branches_share_their_evidence(spark):
-    schema = "host string, t1 string, t2 string, t3 string, t4 string, rest string, pos long, labelled long"
-    rows = [("h", "a", "x", None, None, None, 9, 10), ("h", "b", "x", None, None, None, 1, 1), ("h", "c", "x", None, None, None, 0, 40), ("h", "d", "x", None, None, None, 0, 0)]
-    got = {r["t1"]: (r["pos"], r["labelled"]) for r in urltemplates.pooled(spark.createDataFrame(rows, schema)).collect()}
-    assert got["a"] == (9, 10) and got["d"] == (0, 0) and got["b"] == (10, 51) or got["b"] == (1, 1)
+def plain_tree(pages, depth, fan):
+    """Purity of each page of (host, segments, label or None), by dictionaries."""
+    prior, strength, reach = urltemplates.PRIOR, urltemplates.STRENGTH, urltemplates.REACH
+    rows = [[h, [*seg[:depth], *[None] * (depth - len(seg[:depth]))], "**" if len(seg) > depth else None, y, [], []] for h, seg, y in pages]
+
+    def far(p, n, q, m):
+        whole = (p + q) / (n + m)
+        return abs(p / n - q / m) > urltemplates.ALIKE * math.sqrt(max(whole * (1 - whole), 0) * (1 / n + 1 / m)) + 1e-12
+
+    for level in range(depth):
+        nodes = defaultdict(list)
+        for r in rows:
+            nodes[r[0], *r[5]].append(r)
+        for inside in nodes.values():
+            kids = Counter(r[1][level] for r in inside)
+            named = [k for k in kids if k is not None]
+            wild = len(named) > fan and max(kids.values()) < urltemplates.PREVAILS * len(inside)
+            for r in inside:
+                r[4].append("*" if wild and r[1][level] is not None else r[1][level])
+            sums = defaultdict(lambda: [0, 0])
+            for r in inside:
+                if r[4][level] is not None and r[3] is not None:
+                    sums[r[4][level]][0] += r[3]
+                    sums[r[4][level]][1] += 1
+            kinds = sorted({tuple(v) for v in sums.values()}, key=lambda v: (v[0] / v[1], v[1]))
+            stretches, place = [], {}
+            for k in kinds:
+                if not stretches or far(*k, *stretches[-1][-1]):
+                    stretches.append([])
+                stretches[-1].append(k)
+                place[k] = len(stretches)
+            joined = set()
+            for i, stretch in enumerate(stretches, 1):
+                members = [c for c, v in sums.items() if place[tuple(v)] == i]
+                low = min(stretch, key=lambda v: (v[0] / v[1], -v[1]))
+                high = max(stretch, key=lambda v: (v[0] / v[1], v[1]))
+                if len(members) > 1 and not far(*low, *high):
+                    joined |= set(members)
+            for r in inside:
+                c = r[4][level]
+                r[5].append(f"~{place[tuple(sums[c])]}" if c in joined else c)
+
+    def climb(own, chain):
+        below = own
+        for keys in chain:
+            n = [r for r in rows if keys(r)]
+            less = [r for r in rows if below(r)]
+            if sum(r[3] is not None for r in n) > sum(r[3] is not None for r in less):
+                out = [r for r in n if not below(r)]
+                return len(out), sum(r[3] is not None for r in out), sum(r[3] or 0 for r in out)
+            below = keys
+        return 0, 0, 0
+
+    def domains(host):
+        parts = host.split(".")
+        short = ".".join(parts[1:]) if len(parts) > 2 else host
+        return short, ".".join(short.split(".")[-2:])
+
+    found = []
+    for host, _, rest, _, g, t in rows:
+        own = lambda r: (r[0], r[5], r[2]) == (host, t, rest)  # noqa: B023, E731
+        ups = [lambda r, k=k: r[0] == host and r[5][:k] == t[:k] for k in range(depth, -1, -1)]  # noqa: B023
+        same = lambda r: r[4] == g and r[2] == rest  # noqa: B023, E731
+        sides = [lambda r: same(r) and domains(r[0]) == domains(host), lambda r: same(r) and domains(r[0])[1] == domains(host)[1], same]  # noqa: B023
+        here = [r[3] for r in rows if own(r) and r[3] is not None]
+        top, bottom = sum(here) + prior * strength, len(here) + strength
+        for n, labelled, pos in (climb(own, ups), climb(lambda r: same(r) and r[0] == host, sides)):  # noqa: B023
+            if n:
+                top += min(n, reach) * (pos + prior * (n - labelled)) / n
+                bottom += min(n, reach)
+        found.append(top / bottom)
+    return found
+
+
+@pytest.mark.parametrize("seed", [19, 20, 21])
+def test_purities_equal_a_plain_tree(spark, seed):
+    rng = np.random.default_rng(seed)
+    hosts = ["a.x.org", "b.x.org", "x.org", "c.y.org", "y.net", "d.e.y.net", "single"]
+    rules = [("block", "org/bad/"), ("allow", "x.org/good/"), ("block", "y.net/odd/"), ("allow", "b.x.org/bad/fine/")]
+    first = ["bad", "good", "odd", "plain", "q", "w", "e", "r"]
+    pages, urls = [], []
+    for _ in range(260):
+        host = str(rng.choice(hosts))
+        segments = [str(rng.choice(first)), *rng.choice(["fine", "page", "other", "u", "v"], rng.integers(0, 4)).tolist()]
+        path = "/" + "/".join(segments)
+        fits = [(len(r), v) for v, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        pages.append((host, segments, int(max(fits)[1] == "block") if fits else None))
+        urls.append(f"http://{host}{path}")
+    want = plain_tree(pages, 2, 5)
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urltemplates.judge(df, rules, (), depth=2, fan=5).collect()}
+    assert len({round(w, 6) for w in want}) > 20
+    for i, w in enumerate(want):
+        assert got[i]["purity"] == pytest.approx(w), (urls[i], got[i]["template"])
+        assert (got[i]["rule"] is None) == (pages[i][2] is None)
+        label = pages[i][2] if pages[i][2] is not None else int(w >= urltemplates.REJECT)
+        assert got[i]["verdict"] == ("block" if label else "allow"), urls[i]
+
+
+def test_verdicts_follow_labelled_neighbours(spark):
+    rules = [("block", "bad.org/x/"), ("block", "other.net/y/"), ("allow", "fine.net/y/")]
+    urls = [*[f"http://bad.org/x/{i}" for i in range(20)], "http://bad.org/z/1", "http://calm.org/z/1"]
+    urls += [*[f"http://other.net/y/{i}" for i in range(20)], "http://third.net/y/1"]
+    judged = lambda us: {r["url"]: r["verdict"] for r in urltemplates.judge(spark.createDataFrame(list(enumerate(us)), "page_id long, url string"), rules, ()).join(spark.createDataFrame(list(enumerate(us)), "page_id long, url string"), "page_id").collect()}
+    got = judged(urls)
+    assert got["http://bad.org/z/1"] == "block" and got["http://calm.org/z/1"] == "allow"  # what else its host has
+    assert got["http://third.net/y/1"] == "block"  # the same template on other hosts
+    assert judged([*urls, *[f"http://fine.net/y/{i}" for i in range(60)]])["http://third.net/y/1"] == "allow"
+
+
+def test_alike_branches_become_one(spark):
+    schema = "host string, t1 string, n long, labelled long, pos long"
+    rows = [("h", "a", 10, 10, 9), ("h", "b", 1, 1, 1), ("h", "c", 40, 40, 0), ("h", "d", 5, 0, 0), ("h", None, 2, 2, 2)]
+    got = {r["n"]: r["t1"] for r in urltemplates._merged(spark.createDataFrame(rows, schema), ["host"], "t1").collect()}
+    assert got[10] == got[1] == "~2" and got[40] == "c" and got[5] == "d" and got[2] is None
