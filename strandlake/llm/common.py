@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,16 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can read and write.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a single machine) is one made here.
+    A cluster names it in ``spark.checkpoint.dir``; only on a single machine
+    (tests) is one made here where that is unset.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Tables of this process that ``stored`` has written and ``dropped`` has not deleted.
+WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str, partitions_by: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
@@ -47,9 +53,38 @@ def stored(df: DataFrame, name: str, partitions_by: str | None = None) -> DataFr
     if partitions_by:
         writer = writer.partitionBy(partitions_by)
     writer.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        WRITTEN.remove(path)
+
+
+def free_name(taken: Iterable[str], wanted: str) -> str:
+    """``wanted``, with as many underscores as it takes to be none of ``taken`` in any case."""
+    known = {c.lower() for c in taken}
+    while wanted.lower() in known:
+        wanted += "_"
+    return wanted
+
+
+def by_class(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows``, ``total`` of them at most, joined to ``classes``: one row a ``key`` with the number ``size`` of its rows.
+
+    A class of over ``max(256, total / 10,000)`` rows is hot: there are 10,000 of
+    those at most, so they are broadcast and their rows never shuffled by key.
+    """
+    is_hot = F.col(size) > max(256, total // 10_000)
+    hot = classes.where(is_hot)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes.where(~is_hot), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def small_batches(spark: SparkSession, rows: int = 512, megabytes: int = 8) -> None:
     """Bound what an Arrow batch of long texts can take in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -103,13 +138,16 @@ def map_texts(docs: DataFrame, work: Callable[[list[str]], Sequence], schema: st
 
     ``work`` gets the texts of a batch, nulls as '', and returns one sequence for
     each column of ``schema`` in order.  The kept columns never leave Arrow, so
-    nulls and large integers come back as they were.  A worker forgets what other
-    operators than ``holds`` remember in ``HELD`` when it begins.
+    nulls and large integers come back as they were; ``schema`` must not name any
+    of them.  A worker forgets what other operators than ``holds`` remember in
+    ``HELD`` when it begins.
     """
     small_batches(docs.sparkSession)
     names = list(keep)
     made = StructType.fromDDL(schema)
-    out = StructType([*docs.select(*names).schema.fields, *made.fields])
+    text = free_name(names, "text")
+    kept = docs.select(*[f"`{n}`" for n in names])
+    out = StructType([*kept.schema.fields, *made.fields])
     arrow = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +155,11 @@ def map_texts(docs: DataFrame, work: Callable[[list[str]], Sequence], schema: st
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            columns = work([t or "" for t in batch.column("_text").to_pylist()])
+            columns = work([t or "" for t in batch.column(text).to_pylist()])
             arrays = [batch.column(n) for n in names] + [pa.array(c, f.type, from_pandas=False) for c, f in zip(columns, arrow)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, *arrow.names])
 
-    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, out)
+    return docs.select(*[f"`{n}`" for n in names], F.col("text").cast("string").alias(text)).mapInArrow(run, out)
 
 
 def long_ids(docs: DataFrame) -> DataFrame:
@@ -130,15 +168,17 @@ def long_ids(docs: DataFrame) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """The ``rows`` rows of least hash of ``keys``, or all if there are fewer.
+    """The ``rows`` distinct rows of least hash of ``keys``, or all if there are fewer; rows of equal keys count as one.
 
-    The hash's range is narrowed first, from a count, so that what the tasks
-    hand to the final ordering is about the sample itself however many they are.
+    The hash's range is narrowed first, from a count, and only hashes are
+    ordered to find how far it reaches, never the rows.
     """
-    total = df.count()
-    if total <= rows:
-        return df
-    share = min(1.0, 1.2 * rows / total + 30 / total)
     hashed = F.xxhash64(*keys)
-    near = df.where(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)))
-    return near.orderBy(hashed, *keys).limit(rows)
+    hashes = stored(df.select(hashed.alias("h")).groupBy("h").agg(F.count("*").alias("n")), "sample-hashes")
+    total = hashes.count()
+    if total > rows:
+        share = min(1.0, 1.2 * rows / total + 30 / total)
+        near = hashes.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+        last = near.orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+        df = df.where((F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30))) & (hashed <= last))
+    return df.withColumn("_h", hashed).dropDuplicates(["_h"]).drop("_h")

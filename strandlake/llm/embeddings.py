@@ -4,7 +4,8 @@ A rotation learned on a bounded sample turns each vector into a balanced binary
 code.  Distinct codes are retrieved through multi-index Hamming tables: the code
 is cut into blocks, and a table for each bit of each block holds the block
 without that bit, so two codes that differ by at most one bit in some block meet
-in a table.  Codes within ``MAX_BITS`` bits stay candidates, and the original
+in a table; with more codes than such tables have buckets, wider and more tables
+take their place.  Codes within ``MAX_BITS`` bits stay candidates, and the original
 vectors behind a candidate pair are compared in double precision, block against
 block.
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, small_batches, stored
+from .common import bounded_sample, by_class, small_batches, stored
 from .graph import components
 
 BITS = 64
@@ -63,10 +64,25 @@ def codes(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.n
     return np.packbits((vectors - mean) @ projection >= 0, axis=1).view(np.int64).ravel()
 
 
-def table_masks(blocks: int = 4) -> np.ndarray:
-    """Bits that each Hamming table looks at: a block without one of its bits."""
+def table_masks(count: int, blocks: int = 4, seed: int = 29) -> np.ndarray:
+    """Bits that each Hamming table looks at, for so many codes.
+
+    While codes are few a table looks at a block without one of its bits.  As
+    they grow, buckets would hold ever more of them, so tables look at as many
+    bits as the count has; blocks are cut from the bits in several orders, and
+    there are more tables by what a bit more costs two codes a tenth apart.
+    """
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    return np.array([sum(1 << k for k in range(a, b) if k != j) for a, b in zip(edges, edges[1:]) for j in range(a, b)], np.uint64)
+    base = [sum(1 << k for k in range(a, b) if k != j) for a, b in zip(edges, edges[1:]) for j in range(a, b)]
+    narrow = BITS // blocks - 1
+    wide = min(BITS // 2, count.bit_length() - 1)
+    if wide <= narrow:
+        return np.array(base, np.uint64)
+    rng, found = np.random.default_rng(seed), []
+    while len(found) < len(base) * (1 / 0.9) ** (wide - narrow):
+        order = rng.permutation(BITS)
+        found += [sum(1 << int(k) for k in order[at : at + wide]) for at in range(0, BITS - wide + 1, wide)]
+    return np.array(found, np.uint64)
 
 
 def _unit(raw: bytes, rows: int) -> np.ndarray:
@@ -80,7 +96,7 @@ def code_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = 4) -
 
     Each pair comes once, from the first table in which the two meet.
     """
-    masks = table_masks(blocks)
+    masks = table_masks(distinct.count(), blocks)
     signed = masks.view(np.int64).tolist()
     rows = distinct.select("code", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(m)) for m in signed])).alias("which", "part"))
     dealt = rows.repartition("which", "part").sortWithinPartitions("which", "part")
@@ -219,8 +235,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
     roots = components(compared.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     least = roots.join(classes.select(F.col("cid").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.join(least, "root").select(F.col("node").alias("cid"), "component_id")
-    by_class = classes.join(totals, "cid", "left").join(linked, "cid", "left")
-    by_class = by_class.select("vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
-    out = as_bytes.join(by_class, "vec", "left")
+    per_class = classes.join(totals, "cid", "left").join(linked, "cid", "left")
+    per_class = per_class.select("vec", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    per_class = stored(per_class, "vector-components")
+    usable = as_bytes.where(F.col("vec").isNotNull())
+    out = by_class(usable, per_class, "vec", "weight", usable.count()).select("vec_id", "n_links", "component_id")
+    none = as_bytes.where(F.col("vec").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    out = out.unionByName(none)
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, shards_for, small_batches, stored
+from .common import by_class, lower_ascii, shards_for, small_batches, stored
 
 WORD = np.uint64(0x9E3779B97F4A7C15)
 #: Bit positions offered for each key at a level.
@@ -32,9 +32,10 @@ PER_SHARD = 20_000
 
 def _level_hash(low: np.ndarray, high: np.ndarray, level: int, size: int) -> np.ndarray:
     """A position below ``size``, drawn anew for each level from two words of the digest."""
-    x = low ^ (high * np.uint64(2 * level + 1)) ^ (WORD * np.uint64(level + 1))
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
+    with np.errstate(over="ignore"):
+        x = low ^ (high * np.uint64(2 * level + 1)) ^ (WORD * np.uint64(level + 1))
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     return (x % np.uint64(size)).astype(np.int64)
 
@@ -105,9 +106,9 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))).cast("binary"), 256))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
+def digests(docs: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, digest) of every row, and further columns of it."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), *[c.alias(n) for n, c in (also or {}).items()])
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
@@ -174,8 +175,8 @@ def look_up(index: DataFrame, distinct: DataFrame, shards: int) -> DataFrame:
     return index.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(run, "digest binary, locator long, size long, member boolean")
 
 
-def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, per_shard: int = PER_SHARD) -> DataFrame:
-    """(doc_id, digest, keep_id, group_size, kept) for each row of ``docs``.
+def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, per_shard: int = PER_SHARD, also: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, digest, keep_id, group_size, kept) for each row of ``docs``, and the columns of it that ``also`` names.
 
     ``history`` (doc_id, text) is what came before; without one, the rows that
     arrived first (the lower half of the ids' range) are the history of the
@@ -185,7 +186,7 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, per_shar
     id stays only where its group holds no other.  An empty table gives no rows.
     """
     small_batches(docs.sparkSession, rows=10_000)
-    rows = stored(digests(docs), "digests")
+    rows = stored(digests(docs, also), "digests")
     if history is None:
         low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         middle = ((low or 0) + (high or 0)) // 2
@@ -196,6 +197,7 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, per_shar
         past, new = stored(distinct_digests(digests(history)), "distinct-digests"), distinct_digests(rows)
     shards = shards_for(past.count(), per_shard)
     index = stored(build_index(past, shards), "digest-index")
-    classes = look_up(index, new, shards)
-    out = rows.join(classes, "digest")
-    return out.select("doc_id", "digest", F.col("locator").alias("keep_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("locator")).alias("kept"))
+    classes = stored(look_up(index, new, shards), "digest-classes")
+    out = by_class(rows, classes, "digest", "size", rows.count())
+    kept = F.col("doc_id").eqNullSafe(F.col("locator")).alias("kept")
+    return out.select("doc_id", "digest", F.col("locator").alias("keep_id"), F.col("size").alias("group_size"), kept, *(also or {}))

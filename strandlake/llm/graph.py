@@ -1,8 +1,9 @@
 """Connected components of a link table, by alternating star contraction.
 
-Each round is two keyed minima and two joins, all linear in the links; a hub
-with very many neighbours is a skewed join key, which adaptive execution
-splits, never a collected list.
+Each round is two keyed minima and two joins, all linear in the links.  A hub
+with very many neighbours is never a collected list nor one task's join: minima
+are taken on the map side first, and those of hubs are broadcast (see
+``by_class``).
 """
 
 from __future__ import annotations
@@ -10,18 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import by_class, stored
 
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _to_minimum(both: DataFrame, keep_self: bool) -> DataFrame:
-    """For rows (u, v): link each kept v, and u itself where asked, to the least of u and its v."""
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    moved = both.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))) if keep_self else moved
+def _least(both: DataFrame) -> DataFrame:
+    """(u, m, n): the least of u and its v, and how many it has."""
+    return both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,10 +36,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = _signature(edges)
     while before[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        small = _to_minimum(large, keep_self=True).where("a != b").distinct()
-        edges = stored(small, "links")
+        total = 2 * before[0]
+        large = by_class(both, _least(both), "u", "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.where("u != v").distinct(), "large-links")
+        least = _least(large)
+        small = by_class(large, least, "u", "n", total).select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        edges = stored(small.where("a != b").distinct(), "links")
         after = _signature(edges)
         if after == before:
             break

@@ -31,6 +31,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _chosen(h: np.ndarray, w: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(powers of e of the scores ``h @ w`` row by row, their sums, the scores at ``own``), all less a row's highest score where sums would overflow or vanish."""
+    s = np.matmul(h, w).reshape(-1, w.shape[-1])
+    picked = s[np.arange(len(s)), own].astype(np.float64)
+    ones = np.ones(s.shape[1], s.dtype)
+    with np.errstate(over="ignore"):
+        np.exp(s, out=s)
+        total = s @ ones
+    if len(total) and not (total.min() > 1e-30 and total.max() < 1e30):
+        s = np.matmul(h, w).reshape(-1, w.shape[-1])
+        top = s.max(axis=1)
+        s -= top[:, None]
+        picked -= top
+        np.exp(s, out=s)
+        total = s @ ones
+    return s, total, picked
+
+
 def lanes(texts: list[np.ndarray], count: int) -> list[list[int]]:
     """Texts dealt to lanes of about equal length, the longest text first; the longest lane comes first."""
     heap = [(0, k) for k in range(min(count, len(texts)))]
@@ -139,46 +157,61 @@ class Gru:
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of outputs ``y`` after states ``h``; with ``grads``, also the states' gradient."""
-        p, size, ones = self.p, self.size, np.ones(max(self.classes, self.size), F32)
+        p, k, size = self.p, self.hidden, self.size
         kind = (y // size).astype(np.int16)
         order = np.argsort(kind, kind="stable")
-        h, kind = h[order], kind[order]
+        kind = kind[order]
         own = y[order] - kind * size
-        at = np.arange(len(y))
-        scores = h @ p["wc"]
-        scores += p["bc"]
-        scores -= scores.max(axis=1, keepdims=True)
-        logp = scores[at, kind].astype(np.float64)
-        np.exp(scores, out=scores)
-        total = scores @ ones[: self.classes]
+        ones = np.empty((len(y), k + 1), F32)  # states with a one for the bias
+        ones[:, :k], ones[:, k] = h[order], 1
+        inner = np.concatenate((p["wo"], p["bo"][:, None]), axis=1)
+        scores, total, logp = _chosen(ones, np.concatenate((p["wc"], p["bc"][None, :])), kind)
         down = None
         if grads is not None:
             scores *= np.reciprocal(total)[:, None]
-            scores[at, kind] -= 1
-            grads["wc"], grads["bc"] = h.T @ scores, scores.sum(axis=0)
+            scores[np.arange(len(y)), kind] -= 1
+            g = ones.T @ scores
+            grads["wc"], grads["bc"] = g[:k], g[k]
             grads["wo"], grads["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
             down = scores @ p["wc"].T
-        edges = np.searchsorted(kind, np.arange(self.classes + 1)).tolist()
-        inside = np.empty(len(y), F32)
-        for c, (a, b) in enumerate(zip(edges, edges[1:])):
-            if a == b:
-                continue
-            part, hc, line = slice(c * size, (c + 1) * size), h[a:b], at[: b - a]
-            s = hc @ p["wo"][part].T
-            s += p["bo"][part]
-            s -= s.max(axis=1, keepdims=True)
-            logp[a:b] += s[line, own[a:b]]
-            np.exp(s, out=s)
-            inside[a:b] = s @ ones[:size]
-            if grads is not None:
-                s *= np.reciprocal(inside[a:b])[:, None]
-                s[line, own[a:b]] -= 1
-                grads["wo"][part], grads["bo"][part] = s.T @ hc, s.sum(axis=0)
-                down[a:b] += s @ p["wo"][part]
+        edges = np.searchsorted(kind, np.arange(self.classes + 1))
+        counts = np.diff(edges)
+        weights = inner.reshape(self.classes, size, k + 1)
+        within = np.empty(len(y), F32)
+        # while training windows are short: classes go by frequency, so twice as many at a time have about equally many rows, and are filled up to the most
+        low = 0
+        while low < self.classes:
+            high = low + 1 if grads is None else min(self.classes, max(low + 1, 2 * low))
+            most = int(counts[low:high].max())
+            if most and high == low + 1:
+                rows = slice(int(edges[low]), int(edges[high]))
+                s, within[rows], picked = _chosen(ones[rows], weights[low].T, own[rows])
+                logp[rows] += picked
+                if grads is not None:
+                    s *= np.reciprocal(within[rows])[:, None]
+                    s[np.arange(most), own[rows]] -= 1
+                    g = s.T @ ones[rows]
+                    grads["wo"][low * size : high * size], grads["bo"][low * size : high * size] = g[:, :k], g[:, k]
+                    down[rows] += s @ weights[low, :, :k]
+            elif most:
+                real = np.arange(most) < counts[low:high, None]
+                at = np.where(real, edges[low:high, None] + np.arange(most), 0)
+                hc, real, flat = ones[at], real.ravel(), at.ravel()
+                s, sums, picked = _chosen(hc, weights[low:high].transpose(0, 2, 1), own[flat])
+                rows = flat[real]
+                within[rows] = sums[real]
+                logp[rows] += picked[real]
+                s *= (real / sums).astype(F32)[:, None]
+                s[np.arange(len(flat)), own[flat]] -= real
+                s = s.reshape(high - low, most, size)
+                g = np.matmul(s.transpose(0, 2, 1), hc).reshape(-1, k + 1)
+                grads["wo"][low * size : high * size], grads["bo"][low * size : high * size] = g[:, :k], g[:, k]
+                down[rows] += np.matmul(s, weights[low:high, :, :k]).reshape(-1, k)[real]
+            low = high
         logp -= np.log(total)
-        logp -= np.log(inside)
+        logp -= np.log(within)
         back = np.empty_like(order)
-        back[order] = at
+        back[order] = np.arange(len(y))
         return logp[back], down[back] if down is not None else None
 
     def log_likelihoods(self, texts: list[np.ndarray], width: int = 256, window: int = 64) -> np.ndarray:
@@ -204,9 +237,10 @@ class Gru:
         """Loss an output, gradients truncated at the window's start, and the state after it."""
         p, k, kept, g = self.p, self.hidden, [], {}
         on = goes_on.astype(F32)
-        e = p["embed"][inputs] * on[:, :, None]
-        x = e.reshape(-1, k) @ p["wx"]
-        x += p["bx"]
+        e = np.empty((inputs.size, k + 1), F32)  # inputs with a one for the bias
+        np.multiply(p["embed"][inputs.ravel()], on.reshape(-1, 1), out=e[:, :k])
+        e[:, k] = 1
+        x = e @ np.concatenate((p["wx"], p["bx"][None, :]))
         out = self.states(x.reshape(*y.shape, 3 * k), goes_on, h, kept)
         real = y >= 0
         whole = bool(real.all())
@@ -239,7 +273,8 @@ class Gru:
         dx[:, :, : 2 * k] = du[:, :, : 2 * k]
         flat = dx.reshape(-1, 3 * k)
         g["u"] = before.reshape(-1, k).T @ du.reshape(-1, 3 * k)
-        g["wx"], g["bx"] = e.reshape(-1, k).T @ flat, flat.sum(axis=0)
+        both = e.T @ flat
+        g["wx"], g["bx"] = both[:k], both[k]
         de = flat @ p["wx"].T
         de *= on.reshape(-1, 1)
         g["embed"] = np.zeros_like(p["embed"])

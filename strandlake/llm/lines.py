@@ -11,9 +11,15 @@ doc_id.
 Two lines whose words are alike by J (common over all distinct words) share a
 band with probability 1 - (1 - J ** ROWS) ** BANDS.
 
+Only what is not joined yet is verified: neighbours under a key first, and of all
+other candidate pairs those that lie in different groups after that.
+
 Hot keys.  A band with more than ``HOT`` lines is not compared pairwise.  Its
-lines are compared with up to ``HEADS`` of them; those like none of these are
-compared with new heads, round by round, until no line is left.
+lines are dealt to shares, in which each is compared with the lines that were
+like none before it, its heads; heads of several shares are grouped again.  Then
+lines that lie in different groups under one key are compared wherever the
+triangle inequality allows that they are alike, so no link between groups is
+lost.
 
 Only digests and bands are shuffled by line; the lines' texts travel for the few
 that are candidates.
@@ -29,16 +35,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import long_ids, small_batches, stored
+from .common import by_class, long_ids, small_batches, stored
 from .graph import components
 
 #: Shorter lines are never dropped.
 MIN_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-#: Above so many lines under one band's key they are compared with heads, so many a round.
-HOT, HEADS = 64, 32
+#: Above so many lines under one band's key they are compared with heads, within shares of about so many.
+HOT, SHARE = 64, 1024
+#: Heads that a line is compared with before it becomes one, those next to it.
+ASKED = 2
 #: ASCII marks and control characters become spaces; line ends stay.
 SPACED = bytes(c if c in b"\n0123456789abcdefghijklmnopqrstuvwxyz" or c > 127 else 32 for c in range(256))
 #: Words of so many bytes say little, and are left out where as many others are there.
@@ -123,10 +132,10 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def pair_counts(a: str) -> np.ndarray:
-    """How often each of 1,024 hashes of neighbouring characters occurs; an edit changes four counts by one at most."""
+def pair_counts(a: str, hashes: int = 1024) -> np.ndarray:
+    """How often each of so many hashes (a power of two) of neighbouring characters occurs; an edit changes four counts by one at most."""
     c = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    return np.bincount((c[:-1] * 31 + c[1:]) & 1023, minlength=1024)
+    return np.bincount((c[:-1] * 31 + c[1:]) & (hashes - 1), minlength=hashes)
 
 
 def aligned_cost(a: list[str], b: list[str]) -> int:
@@ -147,25 +156,43 @@ def aligned_cost(a: list[str], b: list[str]) -> int:
     return cost + max(size(a[i:]), size(b[j:]))
 
 
-def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    """Whether 1 - distance / longer length reaches ``similarity``."""
-    allowed = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+def _common_start(a: str, b: str) -> int:
+    """How many characters both begin with."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def edits_within(a: str, b: str, allowed: int) -> int | None:
+    """A number of edits from one text to the other that is ``allowed`` at most, or None where it takes more."""
     if abs(len(a) - len(b)) > allowed:
-        return False
-    low, end = 0, min(len(a), len(b))
-    while low < end and a[low] == b[low]:
-        low += 1
-    high = 0
-    while high < end - low and a[-1 - high] == b[-1 - high]:
-        high += 1
-    a, b = a[low : len(a) - high], b[low : len(b) - high]
-    if max(len(a), len(b)) <= allowed:
-        return True
-    if aligned_cost(a.split(" "), b.split(" ")) <= allowed:
-        return True
+        return None
+    low = _common_start(a, b)
+    a, b = a[low:], b[low:]
+    high = _common_start(a[::-1], b[::-1])
+    a, b = a[: len(a) - high], b[: len(b) - high]
+    if (most := max(len(a), len(b))) <= allowed:
+        return most
+    if (cost := aligned_cost(a.split(" "), b.split(" "))) <= allowed:
+        return cost
     if min(len(a), len(b)) > 64 and np.abs(pair_counts(a) - pair_counts(b)).sum() > 4 * allowed:
-        return False
-    return edit_distance(a, b) <= allowed
+        return None
+    return cost if (cost := edit_distance(a, b)) <= allowed else None
+
+
+def allowed_edits(a: str, b: str, similarity: float) -> int:
+    """Most edits at which 1 - distance / longer length reaches ``similarity``."""
+    return int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+
+
+def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
+    """Whether 1 - distance / longer length reaches ``similarity``."""
+    return edits_within(a, b, allowed_edits(a, b, similarity)) is not None
 
 
 def _similar_rows(similarity: float):
@@ -220,7 +247,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _candidates(similarity: float, hot: int):
-    """Over rows sorted by key and short name: the pairs (a, b) of ordinary keys that their lengths allow, and the members (a, a) of hot ones."""
+    """Over rows sorted by key and short name: the pairs (a, b) of ordinary keys that their lengths allow, ``next`` where they are neighbours, and the members (a, a) of hot ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held_key, held_short = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -233,7 +260,7 @@ def _candidates(similarity: float, hot: int):
             sizes = np.diff(np.r_[starts, len(key)])
             heavy = np.repeat((sizes > hot) | (key[starts] == in_hot if in_hot is not None else False), sizes)
             if heavy.any():
-                yield pd.DataFrame({"key": key[heavy], "a": short[heavy], "b": short[heavy]})
+                yield pd.DataFrame({"key": key[heavy], "a": short[heavy], "b": short[heavy], "next": False})
             key, short = key[~heavy], short[~heavy]
             length = short & LONG
             at, shift = np.arange(len(key) - 1), 1
@@ -243,7 +270,7 @@ def _candidates(similarity: float, hot: int):
                 allowed = ((1 - similarity) * most + 1e-9).astype(np.int64)
                 near = at[(abs(length[at] - length[at + shift]) <= allowed) | (most == LONG)]
                 if len(near):
-                    yield pd.DataFrame({"key": key[near], "a": short[near], "b": short[near + shift]})
+                    yield pd.DataFrame({"key": key[near], "a": short[near], "b": short[near + shift], "next": shift == 1})
                 shift += 1
 
         for pdf in batches:
@@ -258,7 +285,7 @@ def _candidates(similarity: float, hot: int):
                 in_hot = None
             if len(key) > hot:  # goes on into the next batch, and is hot whatever follows
                 in_hot = int(key[0])
-                yield pd.DataFrame({"key": key, "a": short, "b": short})
+                yield pd.DataFrame({"key": key, "a": short, "b": short, "next": False})
                 key, short = key[:0], short[:0]
             held_key, held_short = key, short
         yield from work(held_key, held_short)
@@ -266,37 +293,202 @@ def _candidates(similarity: float, hot: int):
     return run
 
 
-def _against_heads(similarity: float):
-    """For each line under a hot key: the head that it is like, and whether it goes on to the next round."""
+class Held:
+    """Lines that other lines are compared with, and how far each is from another at least."""
+
+    HASHES = 512
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.counts = np.empty((16, self.HASHES), np.int16)
+
+    @classmethod
+    def counted(cls, line: str) -> np.ndarray:
+        """Counts of a line; larger ones stand at the limit, which makes no difference larger."""
+        return np.minimum(pair_counts(line, cls.HASHES), 16_000).astype(np.int16)
+
+    def add(self, row: tuple, counts: np.ndarray) -> None:
+        if len(self.rows) == len(self.counts):
+            self.counts = np.concatenate((self.counts, np.empty_like(self.counts)))
+        self.counts[len(self.rows)] = counts
+        self.rows.append(row)
+
+    def least_edits(self, counts: np.ndarray) -> np.ndarray:
+        """A number of edits to each held line that its true number is not below."""
+        return -(-np.abs(self.counts[: len(self.rows)] - counts).sum(axis=1, dtype=np.int32) // 4)
+
+
+ROW = ["line_id", "line", "part", "reach"]
+
+
+def _grouped(rows: DataFrame, group: list[str], work, schema: str) -> DataFrame:
+    """What ``work(held, row, counts)`` yields for the rows marked ``is_row`` of each group, in order; the others are held before."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, Held()
+        for pdf in batches:
+            out = []
+            for *place, is_row, own, line, part, reach in pdf.itertuples(index=False, name=None):
+                if at != place:
+                    at, held = place, Held()
+                counts = Held.counted(line)
+                if is_row:
+                    out += work(held, (own, line, part, reach), counts)
+                else:
+                    held.add((own, line, part, reach), counts)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    ordered = rows.select(*group, "is_row", *ROW)
+    # few bytes but much work: a number of partitions that is given is not made smaller
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ordered.repartition(parts, *group).sortWithinPartitions(*group, "is_row", "line_id").mapInPandas(run, schema)
+
+
+def _in_blocks(probes: DataFrame, rows: DataFrame, work, schema: str, most_probes: int = 64, most_rows: int = 1024) -> DataFrame:
+    """What ``work`` yields for every row and the probes of its key, both (key, line_id, line, part, reach), block by block.
+
+    A key's probes are cut into chunks and its rows into shares of bounded size;
+    each chunk meets each share in a group of its own, so a key may have any
+    number of either.
+    """
+    count = lambda df, c, most: df.groupBy("key").agg(F.ceil(F.count("*") / most).alias(c))
+    sizes = count(probes, "chunks", most_probes).join(count(rows, "shares", most_rows), "key")
+    place = lambda n, seed: F.pmod(F.xxhash64("line_id", F.lit(seed)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = probes.join(sizes, "key").withColumn("chunk", place("chunks", 1)).withColumn("share", every("shares")).withColumn("is_row", F.lit(False))
+    two = rows.join(sizes, "key").withColumn("share", place("shares", 2)).withColumn("chunk", every("chunks")).withColumn("is_row", F.lit(True))
+    group = ["key", "chunk", "share"]
+    return _grouped(one.select(*group, "is_row", *ROW).unionByName(two.select(*group, "is_row", *ROW)), group, work, schema)
+
+
+def _leading(similarity: float):
+    """For a line: the first of the held lines next to it that it is like, and at how many edits at most; a line like none of them is held itself."""
+
+    def work(held: Held, row: tuple, counts: np.ndarray) -> list[tuple]:
+        own, line, _, _ = row
+        least = held.least_edits(counts)
+        for i in np.argsort(least, kind="stable")[:ASKED].tolist():
+            head, text, _, _ = held.rows[i]
+            allowed = allowed_edits(line, text, similarity)
+            if least[i] <= allowed and (cost := edits_within(line, text, allowed)) is not None:
+                return [(own, line, head, cost)]
+        held.add(row, counts)
+        return [(own, line, own, 0)]
+
+    return work
+
+
+def _widest(line: str, similarity: float) -> int:
+    """Most edits to any line that it is like."""
+    return int((1 - similarity) * len(line) / similarity + 1e-9)
+
+
+def _border(similarity: float):
+    """For a line: the heads of other groups, where their lines may reach so far that it could be like one."""
+
+    def work(held: Held, row: tuple, counts: np.ndarray) -> list[tuple]:
+        own, line, part, _ = row
+        widest = _widest(line, similarity)
+        return [(own, head) for least, (head, _, group, reach) in zip(held.least_edits(counts).tolist(), held.rows) if group != part and least <= widest + reach]
+
+    return work
+
+
+def _measured(similarity: float):
+    """Of pairs of a line and a head: whether they are alike, else how many edits apart where lines of the head could be like the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            like, on = [], []
-            for own, line, heads in zip(batch.column("line_id").to_pylist(), batch.column("line").to_pylist(), batch.column("heads").to_pylist()):
-                is_head = any(h["line_id"] == own for h in heads)
-                like.append(next((h["line_id"] for h in heads if (h["line_id"] < own or not is_head) and similar(line, h["line"], similarity)), None))
-                on.append(like[-1] is None and not is_head)
-            columns = [*(batch.column(c) for c in ("key", "line_id", "line")), pa.array(like, pa.int64()), pa.array(on, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "line_id", "line", "like", "goes_on"])
+            apart = []
+            for a, b, reach in zip(*(batch.column(c).to_pylist() for c in ("line_a", "line_b", "reach"))):
+                linked = similar(a, b, similarity)
+                far = 0 if linked else edit_distance(a, b) if edits_within(a, b, _widest(a, similarity) + reach) is not None else -1
+                apart.append(far)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.int32())], names=["a", "b", "apart"])
 
     return run
 
 
-def hot_links(members: DataFrame, similarity: float = SIMILARITY, heads: int = HEADS) -> DataFrame:
-    """Verified links (a, b) among the lines (key, line_id, line) of each hot key.
+def _any_link(similarity: float):
+    """For a line of a head: those of the held lines that it is like; each of them is linked once in a group.
+
+    A held line's ``reach`` is its distance from the head and the row's at least
+    its own, so their difference is no more than the two lines' distance.
+    """
+
+    def work(held: Held, row: tuple, counts: np.ndarray) -> list[tuple]:
+        own, line, _, cost = row
+        out = []
+        for i, least in enumerate(held.least_edits(counts).tolist()):
+            other, text, done, apart = held.rows[i]
+            allowed = allowed_edits(line, text, similarity)
+            if not done and max(least, apart - cost) <= allowed and edits_within(line, text, allowed) is not None:
+                held.rows[i] = (other, text, True, apart)
+                out.append((other, own))
+        return out
+
+    return work
+
+
+def _plain(df: DataFrame, part="0", reach="0") -> DataFrame:
+    return df.select("key", "line_id", "line", F.expr(part).cast("long").alias("part"), F.expr(reach).cast("int").alias("reach"))
+
+
+def heads_of(members: DataFrame, similarity: float = SIMILARITY, most: int = SHARE) -> tuple[DataFrame, DataFrame]:
+    """(line_id, head, cost) for each line of hot keys (key, line_id, line), and further links (a, b) between heads.
+
+    A line goes by one of its keys, the least.  A key's lines are dealt to shares
+    of about ``most``; in each, line after line takes the nearest head that it is like,
+    at ``cost`` edits at most, or becomes a head.  The heads of a key are dealt
+    and grouped again in the same way while they fill more than one share.
+    """
+    first = Window.partitionBy("line_id").orderBy("key")
+    left = stored(members.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), "line-hot")
+    found, links, schema = None, None, "line_id long, line string, head long, cost int"
+    while True:
+        sizes = left.groupBy("key").agg(F.ceil(F.count("*") / most).alias("shares"))
+        dealt = _plain(left).join(sizes, "key").withColumn("share", F.pmod(F.xxhash64("line_id", F.lit(3)), F.col("shares"))).withColumn("is_row", F.lit(True))
+        done = stored(_grouped(dealt, ["key", "share", "shares"], _leading(similarity), schema), "line-heads").join(left.select("line_id", "key"), "line_id")
+        if found is None:
+            found = done.select("line_id", "head", "cost")
+        else:
+            more = done.select(F.col("line_id").alias("a"), F.col("head").alias("b"))
+            links = more if links is None else links.unionByName(more)
+        several = sizes.where("shares > 1").select("key")
+        after = stored(done.where("line_id = head").join(several, "key").select("key", "line_id", "line"), "line-hot")
+        if after.isEmpty() or after.count() == left.join(several, "key").count():
+            break
+        left = after
+    return found, links if links is not None else found.select(F.col("line_id").alias("a"), F.col("head").alias("b")).limit(0)
+
+
+def border_links(members: DataFrame, heads: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between lines of a hot key that ``groups`` (node, root) has not joined yet, at least one for any two groups that are linked.
 
-    In each round a line is compared with the key's heads, the least line of
-    each of ``heads`` slots; heads and lines like one are done, the others go on.
+    Of a key whose lines are in one group nothing is asked.  Elsewhere a line is
+    measured against the heads of the other groups.  A line that is like a line y of
+    another group is no further from y's head than its own allowance and y's own
+    distance, so where a head lies within that, and only there, the lines of that
+    head are compared.
     """
-    links, left = None, members
-    while not left.isEmpty():
-        slots = left.groupBy("key", F.pmod(F.xxhash64("line_id"), F.lit(heads)).alias("slot")).agg(F.min(F.struct("line_id", "line")).alias("head"))
-        asked = left.join(slots.groupBy("key").agg(F.sort_array(F.collect_list("head")).alias("heads")), "key")
-        done = stored(asked.mapInArrow(_against_heads(similarity), "key long, line_id long, line string, like long, goes_on boolean"), "line-heads")
-        found = done.where("like IS NOT NULL").select(F.col("line_id").alias("a"), F.col("like").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        left = done.where("goes_on").select("key", "line_id", "line")
-    return members.select(F.col("line_id").alias("a"), F.col("line_id").alias("b")).limit(0) if links is None else links
+    of = heads.join(groups.withColumnsRenamed({"node": "line_id", "root": "part"}), "line_id", "left").withColumn("part", F.coalesce("part", "line_id"))
+    known = stored(members.join(of, "line_id"), "line-members")
+    split = known.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low != _high").select("key")
+    asking = stored(known.join(split, "key"), "line-split")
+    reach = heads.groupBy("head").agg(F.max("cost").alias("reach"))
+    text = members.select(F.col("line_id").alias("head"), F.col("line").alias("head_line")).dropDuplicates(["head"])
+    asked = asking.select("key", "head", "part").distinct().join(reach, "head").join(text, "head")
+    probes = asked.select("key", F.col("head").alias("line_id"), F.col("head_line").alias("line"), "part", "reach")
+    near = _in_blocks(probes, _plain(asking, "part"), _border(similarity), "a long, b long").distinct()
+    lines = stored(members.select("line_id", "line").dropDuplicates(["line_id"]), "line-hot-texts")
+    line = lambda x: lines.select(F.col("line_id").alias(x), F.col("line").alias(f"line_{x}"))
+    asked = near.join(line("a"), "a").join(line("b"), "b").join(reach.withColumnRenamed("head", "b"), "b").select("a", "b", "line_a", "line_b", "reach")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    far = stored(asked.repartition(parts, "a", "b").mapInArrow(_measured(similarity), "a long, b long, apart int").where("apart >= 0"), "line-border")
+    links, maybe = far.where("apart = 0").select("a", "b"), far.where("apart > 0")
+    ours = maybe.join(lines, F.col("a") == F.col("line_id")).select(F.col("b").alias("key"), "line_id", "line", F.col("apart").alias("reach"))
+    theirs = heads.join(maybe.select(F.col("b").alias("head")).distinct(), "head").join(lines, "line_id").select(F.col("head").alias("key"), "line_id", "line", F.col("cost").alias("reach"))
+    return links.unionByName(_in_blocks(_plain(ours, "0", "reach"), _plain(theirs, "0", "reach"), _any_link(similarity), "a long, b long"))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
@@ -318,55 +510,82 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     return chosen.mapInArrow(run, "line_id long, line string").dropDuplicates(["line_id"])
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
-    """(doc_id, text_key, dropped array<int>) for each document with lines to drop.
-
-    A document is a doc_id and a text (``text_key`` is the text's hash); rows that
-    repeat both are one document and lose the same lines.  Null and empty texts
-    have no lines of enough words.  Every pair of lines under a band's key is
-    verified, but for hot keys, whose lines are verified against heads.
-    """
+def line_groups(docs: DataFrame, found: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+    """(name, place, n, root) for each distinct line of the occurrences ``found``: its first place, how often it occurs, and its group."""
     spark = docs.sparkSession
-    found = stored(occurrences(docs, min_words), "line-occurrences")
     place = F.struct("doc_id", "text_key", "line_no")
     names = found.groupBy("name").agg(F.min("short").alias("short"), F.min(place).alias("place"), F.count("*").alias("n"))
     names = stored(names.withColumn("line_id", F.monotonically_increasing_id()), "line-names")
     bands = found.where(F.col("bands").isNotNull()).select("short", F.posexplode("bands").alias("band", "hash"))
     keys = bands.select(F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("hash").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "short")
     small_batches(spark, rows=32_768)
-    alike = stored(keys.repartition("key").sortWithinPartitions("key", "short").mapInPandas(_candidates(similarity, hot), "key long, a long, b long"), "line-candidates")
+    alike = stored(keys.repartition("key").sortWithinPartitions("key", "short").mapInPandas(_candidates(similarity, hot), "key long, a long, b long, next boolean"), "line-candidates")
     small_batches(spark)
-    pairs = stored(alike.where("a != b").select("a", "b").distinct(), "line-pairs")
+    pairs = stored(alike.where("a != b").groupBy("a", "b").agg(F.max("next").alias("next")), "line-pairs")
     members = alike.where("a = b").select("key", F.col("a").alias("short"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("short")).unionByName(members.select("short")).distinct()
     wanted = stored(names.join(needed, "short").select("line_id", "short", "place"), "line-wanted")
     text = stored(_texts(docs, wanted, min_words).join(wanted.select("line_id", "short"), "line_id"), "line-texts")
-    side = lambda x: text.select(F.col("short").alias(f"short_{x}"), F.col("line_id").alias(x), F.col("line").alias(f"line_{x}"))
-    both = pairs.withColumnsRenamed({"a": "short_a", "b": "short_b"}).join(side("a"), "short_a").join(side("b"), "short_b")
-    near = both.select("a", "b", "line_a", "line_b").mapInArrow(_similar_rows(similarity), "a long, b long")
-    near = near.unionByName(hot_links(members.join(text, "short").select("key", "line_id", "line"), similarity))
-    roots = components(near).withColumnsRenamed({"node": "line_id"})
-    grouped = names.join(roots, "line_id", "left").select("name", "place", "n", F.coalesce("root", "line_id").alias("root"))
+    side = lambda x: text.select(F.col("short").alias(f"short_{x}"), F.col("line_id").alias(x))
+    pairs = stored(pairs.withColumnsRenamed({"a": "short_a", "b": "short_b"}).join(side("a"), "short_a").join(side("b"), "short_b").select("a", "b", "next"), "line-pairs")
+    line = lambda x: text.select(F.col("line_id").alias(x), F.col("line").alias(f"line_{x}"))
+    verified = lambda asked: asked.select("a", "b").join(line("a"), "a").join(line("b"), "b").mapInArrow(_similar_rows(similarity), "a long, b long")
+    near = verified(pairs.where("next"))
+    members = members.join(text, "short").select("key", "line_id", "line")
+    is_hot = not members.isEmpty()
+    if is_hot:
+        members = stored(members, "line-hot")
+        heads, between = heads_of(members, similarity)
+        near = near.unionByName(heads.select(F.col("line_id").alias("a"), F.col("head").alias("b"))).unionByName(between)
+    roots = components(near)
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    apart = pairs.where("not next").join(root("a"), "a", "left").join(root("b"), "b", "left").where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b")))
+    late = verified(apart)
+    if is_hot:
+        late = late.unionByName(border_links(members, heads, roots, similarity))
+    late = stored(late, "line-late")
+    if not late.isEmpty():
+        lifted = late.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        joined = components(lifted).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        roots = roots.join(joined, "root", "full").select(F.coalesce("node", "root").alias("node"), F.coalesce("to", "root").alias("root")).unionByName(joined.select(F.col("root").alias("node"), F.col("to").alias("root"))).distinct()
+    roots = roots.withColumnsRenamed({"node": "line_id"})
+    return names.join(roots, "line_id", "left").select("name", "place", "n", F.coalesce("root", "line_id").alias("root"))
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+    """(doc_id, text_key, dropped array<int>) for each document with lines to drop.
+
+    A document is a doc_id and a text (``text_key`` is the text's hash); rows that
+    repeat both are one document and lose the same lines.  Null and empty texts
+    have no lines of enough words.
+    """
+    found = stored(occurrences(docs, min_words), "line-occurrences")
+    place = F.struct("doc_id", "text_key", "line_no")
+    grouped = line_groups(docs, found, min_words, similarity, hot)
     first = grouped.groupBy("root").agg(F.min("place").alias("stays"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    by_name = grouped.join(first, "root").select("name", "stays")
-    drop = found.join(by_name, "name").where(~place.eqNullSafe(F.col("stays")))
+    by_name = stored(grouped.join(first, "root").select("name", "n", "stays"), "line-staying")
+    total = by_name.agg(F.sum("n")).first()[0] or 0
+    drop = by_class(found, by_name, "name", "n", total).where(~place.eqNullSafe(F.col("stays")))
     return drop.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and n_lines, n_dropped.
 
-    All other columns are as they were; a null text stays null and has no lines.
+    All other columns are as they were, whatever their names, but that columns
+    n_lines and n_dropped are replaced; a null text stays null and has no lines.
     Lines end at a newline; those with fewer than ``min_words`` words always stay.
     """
-    dropped = stored(repeats(docs, min_words, similarity), "dropped-lines").withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "dropped": "_dropped"})
-    key = F.xxhash64(F.col("text").cast("string"))
-    joined = docs.withColumn("_text_key", key).join(dropped.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("_text_key").eqNullSafe(F.col("_key")), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(left)
+    gone = stored(repeats(docs, min_words, similarity), "dropped-lines").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "dropped")
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    joined = rows.join(gone.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("gone_id")) & F.col("key").eqNullSafe(F.col("gone_key")), "left")
+    whole = F.col("row").getField("text")
+    lines = F.split(whole, "\n", -1)
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
+    text = F.when(F.col("dropped").isNull(), whole).otherwise(left)
     return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).alias("n_dropped"),
+        *[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in kept],
+        F.when(whole.isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+        F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).alias("n_dropped"),
     )

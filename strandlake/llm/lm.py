@@ -18,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -107,7 +108,7 @@ class LanguageModel:
         """(outputs, log10 counts of the head words, what words add to their outputs, head words, other words)."""
         found = tokens(text)
         get = self.index().get
-        at = np.array([get(w, -1) for w in found], np.int64)
+        at = np.fromiter(map(get, found, repeat(-1)), np.int64, len(found))
         inside = at >= 0
         known = at[inside]
         out = np.empty(len(found), np.int32)

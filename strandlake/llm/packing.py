@@ -11,7 +11,9 @@ capacity left; counts are backtracked from the bitsets.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
@@ -28,8 +30,10 @@ WINDOW = 4096
 END_ID = 2
 #: Rests that one shard packs; its only waste is its last windows.
 PER_SHARD = 40_000
-#: Words whose ids a worker remembers, twice over: those of late, and those before.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers, and their bytes, twice over: those of late, and those before.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 48 << 20
+#: Longer words are forgotten after their batch.
+LONGEST = 64
 # The ASCII characters that are neither white space, letters nor digits.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
@@ -44,6 +48,8 @@ class WordEncoder:
     last ASCII letter or digit of a word are a token run of their own, so such a
     word is put together from the two.  Words of letters alone are one run each
     and are encoded many at a time: each ends at its only id with a word's end.
+    The tokenizer's added tokens (as ``<|endoftext|>``) are looked for in the raw
+    text first, as the tokenizer does, and what lies between them is encoded apart.
     """
 
     def __init__(self, path: str):
@@ -51,21 +57,28 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        # without added tokens: a lower-cased word may look like one that the raw text does not hold
+        self.plain = Tokenizer.from_str(json.dumps({**parts, "added_tokens": []}))
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.added = {t.content: np.array([i], np.uint32) for i, t in self.model.get_added_tokens_decoder().items()}
+        self.splits = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.size = 0
         self.late: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.plain.encode_batch_fast(words, add_special_tokens=False)]
 
     def _together(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters alone."""
         out = []
         for at in range(0, len(words), 256):
             part = words[at : at + 256]
-            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part) and stops[-1] == len(ids):
                 raw, cuts = ids.tobytes(), (4 * np.r_[0, stops]).tolist()
@@ -80,12 +93,13 @@ class WordEncoder:
         before = self.before
         old = {w for w in missing if w in before}
         self.late.update((w, before[w]) for w in old)
+        self.size += sum(len(w) + len(before[w]) for w in old)
         return missing - old
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Make sure that ``late`` has all of the words."""
-        if len(self.late) > REMEMBERED:
-            self.before, self.late = self.late, {}
+    def _learn(self, words: set[bytes]) -> list[bytes]:
+        """Make sure that ``late`` has all of the words; returns those that it must not keep."""
+        if len(self.late) > REMEMBERED or self.size > REMEMBERED_BYTES:
+            self.before, self.late, self.size = self.late, {}, 0
         late, joined = self.late, []
         parts = self._unseen(words)
         for w in list(parts):
@@ -102,13 +116,27 @@ class WordEncoder:
             late.update(zip([w for w, _ in kind], encode([t for _, t in kind])))
         for w, core, marks in joined:
             late[w] = late[core] + late[marks]
+        new = [*parts, *(w for w, _, _ in joined)]
+        self.size += sum(len(w) + len(late[w]) for w in new)
+        return [w for w in new if len(w) > LONGEST]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
+        if self.splits and any(map(self.splits.search, texts)):
+            parts = [self.splits.split(t) for t in texts]
+            flat = iter(self._encode([p for found in parts for p in found[::2]]))
+            return [np.concatenate([self.added[p] if k % 2 else next(flat) for k, p in enumerate(found)]) for found in parts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without added tokens."""
         split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        self._learn(set().union(*split))
+        passing = self._learn(set().union(*split))
         late = self.late
-        return [np.frombuffer(b"".join(map(late.__getitem__, found)), np.uint32) for found in split]
+        out = [np.frombuffer(b"".join(map(late.__getitem__, found)), np.uint32) for found in split]
+        for w in passing:
+            self.size -= len(w) + len(late.pop(w))
+        return out
 
 
 def encoder(path: str) -> WordEncoder:

@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, long_ids, map_texts, small_batches, stored
-from .tagger import PAD, Tagger, char_ids
+from .common import bounded_sample, free_name, long_ids, map_texts, small_batches, stored
+from .tagger import PAD, Decoder, Tagger, char_ids
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
+#: Windows that are scored at once, at most.
+GROUP = 512
 #: Windows of background that training uses, at most, and the spans put into them.
 BACKGROUND = 1500
 EXAMPLES = 1500
@@ -257,42 +259,84 @@ def _read(text: str, start: int, tags: np.ndarray) -> Iterator[Span]:
         at = end
 
 
+def stretches(starts: list[int]) -> Iterator[list[int]]:
+    """The starts of windows cut where two do not overlap."""
+    begin = 0
+    for i in range(1, len(starts) + 1):
+        if i == len(starts) or starts[i] - starts[i - 1] >= WINDOW:
+            yield starts[begin:i]
+            begin = i
+
+
+FALL = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1.0)[:, None]
+
+
+class Blend:
+    """Weighted means of overlapping windows' emissions, handed on as soon as no later window reaches them."""
+
+    def __init__(self, tags: int, low: int, end: int):
+        self.low, self.end = low, end
+        self.total, self.weight = np.zeros((0, tags)), np.zeros((0, 1))
+
+    def add(self, starts: list[int], scores: np.ndarray, until: int) -> np.ndarray:
+        """Take the windows in order; the means before ``until`` are returned and let go."""
+        more = min(self.end, starts[-1] + WINDOW) - self.low - len(self.total)
+        self.total = np.concatenate((self.total, np.zeros((more, self.total.shape[1]))))
+        self.weight = np.concatenate((self.weight, np.zeros((more, 1))))
+        for s, e in zip(starts, scores):
+            k = min(WINDOW, self.end - s)
+            self.total[s - self.low : s - self.low + k] += (e * FALL)[:k]
+            self.weight[s - self.low : s - self.low + k] += FALL[:k]
+        ready = min(until, self.end) - self.low
+        means = self.total[:ready] / self.weight[:ready]
+        self.total, self.weight, self.low = self.total[ready:], self.weight[ready:], self.low + ready
+        return means
+
+
 def find(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """For each whole text: the spans of the fixed patterns, and those that the model adds.
 
-    An added span never overlaps one of the fixed patterns.
+    An added span never overlaps one of the fixed patterns.  Windows are scored
+    ``GROUP`` at a time, those of short stretches together; a longer stretch goes
+    through blending and decoding part by part.
     """
-    starts = [window_starts(t) for t in texts]
-    where = [(n, s) for n, found in enumerate(starts) for s in found]
-    scores: dict[tuple[int, int], np.ndarray] = {}
-    for at in range(0, len(where), 512):
-        part = where[at : at + 512]
-        ids = np.full((len(part), WINDOW), PAD)
-        for i, (n, s) in enumerate(part):
+    added: list[list[Span]] = [[] for _ in texts]
+
+    def emissions(where: list[tuple[int, int]]) -> np.ndarray:
+        ids = np.full((len(where), WINDOW), PAD)
+        for i, (n, s) in enumerate(where):
             found = char_ids(texts[n][s : s + WINDOW])
             ids[i, : len(found)] = found
-        for key, e in zip(part, model.emissions(ids)[0]):
-            scores[key] = e
-    fall = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1.0)[:, None]
-    out = []
+        return model.emissions(ids)[0]
+
+    def decoded(group: list[tuple[int, list[int]]]) -> None:
+        scores, at = emissions([(n, s) for n, part in group for s in part]), 0
+        for n, part in group:
+            whole = Blend(model.tags, part[0], len(texts[n])).add(part, scores[at : at + len(part)], len(texts[n]) + WINDOW)
+            added[n] += _read(texts[n], part[0], model.best_path(whole))
+            at += len(part)
+
+    group: list[tuple[int, list[int]]] = []
     for n, text in enumerate(texts):
-        base, added = base_spans(text), []
-        i = 0
-        while i < len(starts[n]):
-            j = i
-            while j + 1 < len(starts[n]) and starts[n][j + 1] - starts[n][j] < WINDOW:
-                j += 1
-            low, high = starts[n][i], min(len(text), starts[n][j] + WINDOW)
-            total, weight = np.zeros((high - low, model.tags)), np.zeros((high - low, 1))
-            for s in starts[n][i : j + 1]:
-                k = min(WINDOW, high - s)
-                total[s - low : s - low + k] += (scores[n, s] * fall)[:k]
-                weight[s - low : s - low + k] += fall[:k]
-            added += _read(text, low, model.best_path(total / weight))
-            i = j + 1
+        for part in stretches(window_starts(text)):
+            if len(part) > GROUP:
+                blend, decoder = Blend(model.tags, part[0], len(text)), Decoder(model)
+                for at in range(0, len(part), GROUP):
+                    some, after = part[at : at + GROUP], part[at + GROUP : at + GROUP + 1]
+                    decoder.push(blend.add(some, emissions([(n, s) for s in some]), after[0] if after else len(text)))
+                added[n] += _read(text, part[0], decoder.path())
+                continue
+            if sum(len(p) for _, p in group) + len(part) > GROUP:
+                decoded(group)
+                group = []
+            group.append((n, part))
+    if group:
+        decoded(group)
+    out = []
+    for text, more in zip(texts, added):
+        base = base_spans(text)
         ends = sorted((a, b) for _, a, b in base)
-        added = [x for x in added if not any(x[1] < b and a < x[2] for a, b in ends)] if added else added
-        out.append((base, added))
+        out.append((base, [x for x in more if not any(x[1] < b and a < x[2] for a, b in ends)] if more else more))
     return out
 
 
@@ -342,6 +386,6 @@ def redacted(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     def work(texts: list[str]) -> list[list]:
         return [[redact(t, base + added) for t, (base, added) in zip(texts, find(texts, broadcast.value))]]
 
-    columns = docs.columns
-    done = map_texts(docs, work, "_redacted string", keep=columns)
-    return done.select(*[F.when(F.col("text").isNotNull(), F.col("_redacted")).alias("text") if c == "text" else F.col(c) for c in columns])
+    columns, name = docs.columns, free_name(docs.columns, "redacted")
+    done = map_texts(docs, work, f"{name} string", keep=columns)
+    return done.select(*[F.when(F.col("text").isNotNull(), F.col(name)).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns])

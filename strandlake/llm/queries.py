@@ -49,9 +49,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of labelled rows outside the held-out fold."""
+    """(doc_id, text, text_hash, toxic) of labelled rows outside the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(crc_fold(F.col("doc_id"), 4) != 2)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).where(crc_fold(F.col("doc_id"), 4) != 2)
     return texts.join(known, "doc_id")
 
 

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_ids, map_texts, small_batches, stored, words
+from .common import by_class, map_texts, small_batches, stored, words
 
 BITS = 64
 
@@ -75,13 +75,15 @@ def fingerprint(text: str, size: int = 4, seed: int = 42) -> int:
 HOT = 1024
 
 
-def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) of every row; null and empty texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, also: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp long) of every row, and further columns of it; null and empty texts have fingerprint zero."""
 
     def work(texts: list[str]) -> list[np.ndarray]:
         return [np.array([fingerprint(t, size, seed) for t in texts], np.uint64).view(np.int64)]
 
-    return map_texts(long_ids(docs), work, "fp long")
+    also = also or {}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(n) for n, c in also.items()])
+    return map_texts(rows, work, "fp long", keep=("doc_id", *also))
 
 
 def block_masks(blocks: int, max_bits: int) -> list[int]:
@@ -234,23 +236,29 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, hot: int = HOT) ->
     return links.unionByName(rows.where("inner").select(F.col("point").alias("a"), F.col("fp").alias("b"))).unionByName(across)
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, seed: int = 42, max_bits: int = 4, hot: int = HOT) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text, and any other columns).
+def near_duplicates(docs: DataFrame, size: int = 4, seed: int = 42, max_bits: int = 4, hot: int = HOT, also: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp, component_id, group) for each row of ``docs`` (doc_id, text, and any other columns).
 
     component_id is the smallest doc_id reachable through links, the row's own
-    included.  Null and empty texts share fingerprint zero and link like any
-    other.  Rows that repeat a doc_id each get a row.  An empty table gives no
-    rows.  Null ids get the component of their fingerprint's class.
+    included; ``group`` is the same for the rows of one component and no others.
+    ``also`` names further columns of each row.  Null and empty texts share
+    fingerprint zero and link like any other.  Rows that repeat a doc_id each get
+    a row.  An empty table gives no rows.  A null id gets the component of its
+    fingerprint's class, null where that holds no other id.
     """
     from .graph import components
 
-    prints = stored(fingerprints(docs, size, seed), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    roots = components(fingerprint_links(classes.select("fp"), max_bits, hot)).withColumnsRenamed({"node": "fp"})
-    labelled = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = labelled.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    prints = stored(fingerprints(docs, size, seed, also), "fingerprints")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-classes")
+    # a class is named by its smallest doc_id (none counts as the largest) and its fingerprint, so the least name reachable holds the answer
+    name = F.struct(F.col("least").isNull().alias("none"), "least", "fp")
+    names = lambda end: classes.select(F.col("fp").alias(end), name.alias(f"{end}_name"))
+    links = fingerprint_links(classes.select("fp"), max_bits, hot).join(names("a"), "a").join(names("b"), "b")
+    roots = components(links.select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))).select(F.col("node.fp").alias("fp"), "root")
+    named = classes.join(roots, "fp", "left").select("fp", "n", F.coalesce("root", name).alias("root"))
+    named = stored(named.select("fp", "n", F.col("root.least").alias("component_id"), F.col("root.fp").alias("group")), "fingerprint-components")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    return by_class(prints, named, "fp", "n", total).select("doc_id", "fp", "component_id", "group", *(also or {}))
 
 
 def fingerprint_hex(fp):

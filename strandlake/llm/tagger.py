@@ -129,16 +129,35 @@ class Tagger:
 
     def best_path(self, scores: np.ndarray) -> np.ndarray:
         """The tags of highest total score over (time, tags) emissions of any length."""
-        n = len(scores)
-        best, back = self.p["first"] + scores[0], np.empty((n, self.tags), np.int16)
-        for t in range(1, n):
-            ways = best[:, None] + self.p["step"]
+        found = Decoder(self)
+        found.push(scores)
+        return found.path()
+
+
+class Decoder:
+    """The tags of highest total score over emissions that come part by part; what it holds is a byte for each place and tag."""
+
+    def __init__(self, model: Tagger):
+        self.model, self.best, self.back = model, None, []
+
+    def push(self, scores: np.ndarray) -> None:
+        back = np.zeros(scores.shape, np.int8)
+        for t, own in enumerate(scores):
+            if self.best is None:
+                self.best = self.model.p["first"] + own
+                continue
+            ways = self.best[:, None] + self.model.p["step"]
             back[t] = ways.argmax(axis=0)
-            best = ways.max(axis=0) + scores[t]
-        path = np.empty(n, np.int64)
-        path[-1] = int((best + self.p["last"]).argmax())
-        for t in range(n - 1, 0, -1):
-            path[t - 1] = back[t][path[t]]
+            self.best = ways.max(axis=0) + own
+        self.back.append(back)
+
+    def path(self) -> np.ndarray:
+        back = np.concatenate(self.back)
+        path = np.empty(len(back), np.int8)
+        tag = int((self.best + self.model.p["last"]).argmax())
+        for t in range(len(back) - 1, -1, -1):
+            path[t] = tag
+            tag = back[t, tag]
         return path
 
 

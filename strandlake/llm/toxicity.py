@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, long_ids, map_texts, small_batches, stored
+from .common import bounded_sample, free_name, long_ids, map_texts, small_batches, stored
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 16_000
@@ -38,6 +38,8 @@ RATIO = 8.0
 #: Nats by which the two shares must be likelier than one, against the many entries that are tried.
 GAIN = 10.0
 THRESHOLD = 0.3
+#: States of the automaton that a task holds at about; beyond that it begins anew.
+STATES = 20_000
 EDGE = string.punctuation + "«»„“”‘’‹›…–—¿¡|"
 STEM_LENGTHS = range(4, 8)
 #: Tokens either side of a hit that are its context.
@@ -78,6 +80,10 @@ class Trie:
         self.reach = [0] * len(self.children)  # most edits that any entry below a node allows
         for node in reversed(range(len(self.children))):
             self.reach[node] = max([self.word_edits.get(node, 0), self.stem_edits.get(node, 0), *(self.reach[k] for k in self.children[node].values())])
+        self._begin()
+
+    def _begin(self) -> None:
+        """Forget all states; they are built again as tokens need them."""
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.moves: list[dict[str, int]] = []
@@ -120,6 +126,8 @@ class Trie:
 
     def match(self, token: str) -> tuple[int | None, int | None]:
         """Edits to the nearest word, and to the nearest stem that the token begins with, where allowed."""
+        if len(self.sets) > STATES:
+            self._begin()
         state, stem = self.start, None
         for c in token:
             if c not in self.alphabet:
@@ -240,55 +248,74 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"entry": pa.array(entries, pa.string()), "sketch": pa.array(groups, pa.int64()), "toxic": pa.array(toxic, pa.int32())})
 
 
-def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[list[str], list[str]]:
-    """Words and stems out of (entry, toxic texts, clean texts) rows, in which like texts count once.
+def gain(p: int, n: int, toxic: int, clean: int) -> float:
+    """Nats by which two shares, p of the toxic and n of the clean texts, are likelier than one."""
+    every = toxic + clean
+    cells = ((p, toxic), (n, clean), (toxic - p, toxic), (clean - n, clean))
+    share = (p + n) / every, 1 - (p + n) / every
+    return sum(x * math.log(x / (side * share[k > 1])) for k, (x, side) in enumerate(cells) if x > 0)
+
+
+def telling(counted: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """The rows (entry, p, n) that ``choose`` can take, with their gain.
 
     An entry needs ``SUPPORT`` toxic texts and a share of them that is ``RATIO``
-    times its share of the clean ones, by a gain beyond chance.  Those that tell most (by the likelihood
-    ratio of the two shares) go first; of a stem and a longer one that begins
-    with it only the first is taken, and a stem counts only where it gathers
-    clearly more texts than any word of it.
+    times its share of the clean ones, by a gain beyond chance.
     """
-    every = toxic + clean
+    p, n = F.col("p").cast("double"), F.col("n").cast("double")
+    cells = ((p, toxic, False), (n, clean, False), (toxic - p, toxic, True), (clean - n, clean, True))
+    both = (p + n) / max(1, toxic + clean)
+    nats = sum((F.when(x > 0, x * F.log(x / (side * ((1 - both) if out else both)))).otherwise(0.0) for x, side, out in cells if side), F.lit(0.0))
+    enough = (p >= SUPPORT) & (p / max(1, toxic) > RATIO * (n + 0.5) / max(1, clean))
+    return counted.where(enough).withColumn("gain", nats).where(F.col("gain") > GAIN)
+
 
-    def gain(p: int, n: int) -> float:
-        cells = ((p, toxic), (n, clean), (toxic - p, toxic), (clean - n, clean))
-        share = (p + n) / every, 1 - (p + n) / every
-        return sum(x * math.log(x / (side * share[k > 1])) for k, (x, side) in enumerate(cells) if x > 0)
+def choose(rows: list[tuple[str, int, float]]) -> tuple[list[str], list[str]]:
+    """Words and stems out of telling entries (entry, toxic texts, gain), in which like texts count once; those that tell most come first.
 
-    good = {e: (p, gain(p, n)) for e, p, n in rows if p >= SUPPORT and (p / max(1, toxic)) / ((n + 0.5) / max(1, clean)) > RATIO and gain(p, n) > GAIN}
-    words = {e: p for e, (p, _) in good.items() if not e.endswith("*")}
+    Of a stem and a longer one that begins with it only the one that tells more
+    is taken, and a stem counts only where it gathers clearly more texts than any
+    word of it.
+    """
+    rows = sorted(rows, key=lambda r: (-r[2], len(r[0]), r[0]))
+    words = {e: p for e, p, _ in rows if not e.endswith("*")}
     stems: list[str] = []
-    for entry in sorted((e for e in good if e.endswith("*")), key=lambda e: (-good[e][1], len(e), e)):
-        stem, p = entry[:-1], good[entry][0]
+    for entry, p, _ in rows:
+        if not entry.endswith("*"):
+            continue
+        stem = entry[:-1]
         best = max((q for w, q in words.items() if w.startswith(stem)), default=0)
         if p >= 1.5 * best and p >= best + SUPPORT // 2 and not any(stem.startswith(s) or s.startswith(stem) for s in stems):
             stems.append(stem)
-    return sorted(w for w in words if not any(w.startswith(s) for s in stems)), stems
+    return [w for w in words if not any(w.startswith(s) for s in stems)], stems
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
-    """A model from rows (doc_id, text, toxic); rows with a null label are left out.
+    """A model from rows (doc_id, text, toxic, and a hash of the text as text_hash where it is at hand); rows with a null label are left out.
 
-    At most ``sample`` rows are used, those with the least hash of id and text.
-    Without toxic rows the lexicon is empty and every score is the prior's.
+    At most ``sample`` distinct pairs of text and label are used, those of least
+    hash.  Of the entries that tell toxic texts from clean ones the model takes
+    those of largest gain, ``entries`` words and as many stems at most.  Without
+    toxic rows the lexicon is empty and every score is the prior's.
     """
     spark = labelled.sparkSession
     small_batches(spark)
-    rows = labelled.where(F.col("toxic").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    taken = stored(bounded_sample(rows, ["text", "toxic"], sample), "toxicity-sample")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashed = F.col("text_hash") if "text_hash" in labelled.columns else F.xxhash64(text)
+    rows = labelled.where(F.col("toxic").isNotNull()).select(text.alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"), hashed.alias("text_hash"))
+    taken = stored(bounded_sample(rows, ["text_hash", "toxic"], sample), "toxicity-sample")
     totals = {r["toxic"]: r["n"] for r in taken.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     counted = taken.repartition(64).mapInArrow(_entries, "entry string, sketch long, toxic int").groupBy("entry").agg(
         F.countDistinct(F.when(F.col("toxic") == 1, F.col("sketch"))).alias("p"), F.countDistinct(F.when(F.col("toxic") == 0, F.col("sketch"))).alias("n")
     )
     counted = stored(counted, "toxicity-entries")
-    found = counted.where(f"p >= {SUPPORT} and p > n").orderBy(F.desc(F.col("p") / (F.col("n") + 1)), "entry").limit(entries * len(STEM_LENGTHS)).collect()
-    words, stems = choose([tuple(r) for r in found], totals.get(1, 0), totals.get(0, 0))
+    found = telling(counted, totals.get(1, 0), totals.get(0, 0)).orderBy(F.desc("gain"), "entry").limit(entries * (len(STEM_LENGTHS) + 1)).collect()
+    words, stems = choose([(r["entry"], r["p"], r["gain"]) for r in found])
     draft = Model(words[:entries], stems[:entries], frozenset())
     usual = counted.where(~F.col("entry").endswith("*")).where("n >= 2").select("entry")
-    near = usual.mapInPandas(_near(draft), "entry string").limit(20_000).collect()
+    near = usual.mapInPandas(_near(draft), "entry string").collect()  # words of the bounded sample that lie within the edits of an entry
     model = Model(draft.words, draft.stems, frozenset(r[0] for r in near))
-    counts = map_texts(taken.withColumn("toxic", F.col("toxic")), lambda texts: [[model.features(t) for t in texts]], "x array<double>", keep=("toxic",)).collect()
+    counts = map_texts(taken, lambda texts: [[model.features(t) for t in texts]], "x array<double>", keep=("toxic",)).collect()
     if counts:
         model.weights = fit_weights(np.array([r["x"] for r in counts]), np.array([r["toxic"] for r in counts], float))
     return model
@@ -316,7 +343,18 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def with_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with all its columns as they are, and ``_score``, ``_predicted``."""
+    """``docs`` with all its columns as they are, then the score and whether it reaches the threshold (0 or 1).
+
+    The two are named ``score`` and ``predicted``, with underscores after them
+    where ``docs`` has columns of these names.
+    """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    scored = map_texts(docs, lambda texts: [broadcast.value.score(texts)], "_score double", keep=docs.columns)
-    return scored.withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+    name, verdict = free_name(docs.columns, "score"), free_name(docs.columns, "predicted")
+    scored = map_texts(docs, lambda texts: [broadcast.value.score(texts)], f"{name} double", keep=docs.columns)
+    return scored.withColumn(verdict, (F.col(name) >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, as they are, whose score is below the threshold."""
+    scored = with_scores(docs, model, threshold)
+    return scored.where(F.col(scored.columns[-1]) == 0).select(*[f"`{c}`" for c in docs.columns])

@@ -84,6 +84,20 @@ def test_exact_against_a_history(spark):
     assert got == {5: (9, 2), 6: (7, 2), 7: (7, 2)}
 
 
+def test_hot_classes_join_like_any_other(spark):
+    from strandlake.llm.common import by_class, stored
+
+    rows = spark.range(3000).selectExpr("id", "if(id < 2000, 7, id) as k")
+    classes = stored(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")), "test-classes")
+    got = sorted(tuple(r) for r in by_class(rows, classes, "k", "n", 3000).select("id", "k", "n", "least").collect())
+    assert got == [(i, 7, 2000, 0) for i in range(2000)] + [(i, i, 1, i) for i in range(2000, 3000)]
+
+
+def test_exact_duplicates_carry_columns(spark):
+    got = exact.exact_duplicates(table(spark, [(1, "a"), (2, "A")]), also={"size": F.length("text"), "lang2": F.col("lang")})
+    assert sorted((r["doc_id"], r["kept"], r["lang2"]) for r in got.collect()) == [(1, False, "en"), (2, True, "en")]
+
+
 # SimHash
 
 
@@ -119,9 +133,20 @@ def test_simhash_components(spark, hot):
     assert len(links) > 12
     for r in got:
         assert r["fp"] & (1 << 64) - 1 == prints[r["doc_id"]] and r["component_id"] == want[r["doc_id"]]
+    groups = defaultdict(set)
+    for r in got:
+        groups[r["group"]].add(r["component_id"])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_simhash_groups_of_null_ids(spark):
+    rows = [(None, "a b c d e f"), (None, "A b c d e f"), (None, "other words stand here now"), (4, ""), (None, None)]
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(table(spark, rows)).collect())
+    assert got == Counter({(None, None): 3, (4, 4): 1, (None, 4): 1})
+    assert len({r["group"] for r in simhash.near_duplicates(table(spark, rows)).collect()}) == 3
+
+
 def test_hot_balls_stay_linear_and_exact(spark):
     rng = np.random.default_rng(12)
     centre = int(rng.integers(0, 1 << 62))
@@ -178,6 +203,15 @@ def test_repeated_lines_go_but_one(spark):
     assert lines.without_repeats(table(spark, [])).count() == 0
 
 
+def test_columns_of_any_name_pass_the_line_operator(spark):
+    text = "one line that has enough words to count as one\nanother"
+    rows = [(1, text, 5, "k", "d", "t", 9, 8), (2, text, 6, "k", "d", "t", 9, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _key string, _dropped string, _text_key string, n_lines int, `gone_id` int")
+    done = lines.without_repeats(df)
+    assert done.columns == ["doc_id", "text", "_id", "_key", "_dropped", "_text_key", "gone_id", "n_lines", "n_dropped"]
+    assert {r["doc_id"]: (r["text"], r["_id"], r["n_lines"], r["n_dropped"]) for r in done.collect()} == {1: (text, 5, 2, 0), 2: ("another", 6, 2, 1)}
+
+
 def test_near_lines_are_verified(spark):
     rng = np.random.default_rng(15)
     base = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
@@ -228,12 +262,54 @@ def test_unlike_lines_in_front_hide_no_similar_ones(spark):
     rows = [*enumerate(moved), (5, " ".join(base)), (6, swapped)]
     got = {r["doc_id"]: r["n_dropped"] for r in lines.without_repeats(table(spark, rows)).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1}
-    members = spark.createDataFrame([(7, i, t) for i, t in rows], "key long, line_id long, line string")
-    assert {(r["a"], r["b"]) for r in lines.hot_links(members, heads=1).collect()} == {(6, 5)}
     got = {r["doc_id"]: [*r["dropped"]] for r in lines.repeats(table(spark, rows), hot=2).collect()}
     assert got == {6: [0]}
 
 
+@pytest.mark.parametrize("most", [7, 1000])
+def test_lines_under_one_key_are_grouped_exactly(spark, most):
+    rng = np.random.default_rng(23)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    found = []
+    for _ in range(6):
+        line = [word() for _ in range(20)]
+        for _ in range(9):  # a walk: far members are unlike, neighbours alike
+            line = list(line)
+            for at in rng.choice(20, rng.integers(1, 4), replace=False):
+                line[at] = word()
+            found.append(" ".join(line))
+    order = rng.permutation(len(found))
+    rows = [(k, int(i), found[i]) for k in (7, 9) for i in order if k == 7 or i % 2]
+    members = spark.createDataFrame(rows, "key long, line_id long, line string")
+    of, between = (df.cache() for df in lines.heads_of(members, most=most))
+    text = dict(enumerate(found))
+    assert sorted(r["line_id"] for r in of.collect()) == list(range(len(found)))
+    assert all(lines.edit_distance(text[r["line_id"]], text[r["head"]]) <= r["cost"] <= 0.2 * max(len(text[r["line_id"]]), len(text[r["head"]])) for r in of.collect())
+    first = [(r["line_id"], r["head"]) for r in of.collect()] + [(r["a"], r["b"]) for r in between.collect()]
+    groups = graph.components(spark.createDataFrame(first, "a long, b long"))
+    more = [(r["a"], r["b"]) for r in lines.border_links(members, of, groups).collect()]
+    brute = [(a, b) for a in text for b in text if a < b and lines.similar(text[a], text[b])]
+    assert all(lines.similar(text[a], text[b]) for a, b in more)
+    assert roots(text, first + more) == roots(text, brute) and roots(text, first) != roots(text, brute)
+
+
+def test_most_similar_lines_of_the_table_share_a_group(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found = sorted({b" ".join(w) for r in docs.collect() for w in lines.normalised_lines(r["text"] or "") if len(w) >= lines.MIN_WORDS})
+    texts = [x.decode() for x in found]
+    bigrams = np.array([lines.pair_counts(t) for t in texts], np.int16)
+    length = np.array(list(map(len, texts)))
+    pairs = []
+    for i in range(len(texts)):
+        allowed = 0.2 * np.maximum(length, length[i])
+        near = np.flatnonzero((abs(length - length[i]) <= allowed) & (np.abs(bigrams - bigrams[i]).sum(axis=1) <= 4 * allowed))
+        pairs += [(i, int(j)) for j in near if j > i and lines.similar(texts[i], texts[j])]
+    assert len(pairs) >= 20
+    groups = {bytes(r["name"]): r["root"] for r in lines.line_groups(docs, lines.occurrences(docs)).collect()}
+    root = [groups[hashlib.md5(x).digest()] for x in found]
+    assert np.mean([root[i] == root[j] for i, j in pairs]) >= 0.9
+
+
 # embeddings
 
 
@@ -266,15 +342,41 @@ def test_embedding_links(spark, chunk):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_recall_on_the_tables(spark):
-    data = "/root/testdata/sf0.01"
-    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()
+def test_recall_of_pairs_planted_in_the_table(spark):
+    rng = np.random.default_rng(24)
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").collect()
     x = np.array([r["embedding"] for r in rows], np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = x @ x.T >= 0.95
-    got = {r["vec_id"]: r["n_links"] for r in queries.op8_embeddings(spark, data).collect()}
-    want = {r["vec_id"]: int(n) - 1 for r, n in zip(rows, near.sum(axis=1))}
-    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.9 * sum(want.values())
+    noise = rng.normal(size=x.shape)
+    noise -= x * ((noise * x).sum(axis=1) / (x * x).sum(axis=1))[:, None]
+    noise *= (np.linalg.norm(x, axis=1) / np.linalg.norm(noise, axis=1) * np.tan(np.arccos(rng.uniform(0.952, 0.999, len(x)))))[:, None]
+    both = np.concatenate((x, x + noise))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    unit = both / np.linalg.norm(both, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    links = near.sum(axis=1)
+    assert links.sum() >= 2 * len(x)
+    assert all(got[i]["n_links"] <= links[i] for i in range(len(both)))
+    assert sum(r["n_links"] for r in got.values()) >= 0.9 * links.sum()
+    whole = roots(range(len(both)), [(int(a), int(b)) for a, b in np.argwhere(near) if a < b])
+    assert np.mean([got[i]["component_id"] == whole[i] for i in whole]) > 0.9
+
+
+@pytest.mark.parametrize("count", [1 << 12, 1 << 20, 1 << 26])
+def test_tables_widen_with_the_count_and_keep_their_recall(count):
+    rng = np.random.default_rng(25)
+    x = rng.normal(size=(4000, 96))
+    noise = rng.normal(size=x.shape)
+    noise -= x * ((noise * x).sum(axis=1) / (x * x).sum(axis=1))[:, None]
+    noise *= (np.linalg.norm(x, axis=1) / np.linalg.norm(noise, axis=1) * np.tan(np.arccos(rng.uniform(0.95, 1, len(x)))))[:, None]
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    learned = embeddings.learn_rotation(unit(x))
+    apart = (embeddings.codes(unit(x), *learned) ^ embeddings.codes(unit(x + noise), *learned)).view(np.uint64)
+    masks = embeddings.table_masks(count)
+    assert (np.bitwise_count(masks) >= min(32, count.bit_length() - 1)).all() or count < 1 << 16
+    meet = ((apart[:, None] & masks[None, :]) == 0).any(axis=1) & (np.bitwise_count(apart) <= embeddings.MAX_BITS)
+    assert meet.mean() >= 0.9
 
 
 # urls

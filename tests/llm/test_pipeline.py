@@ -10,6 +10,13 @@ from strandlake.llm import pii
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string"
 
 
+@pytest.fixture(autouse=True)
+def quick_tagger(monkeypatch):
+    """A tagger trained for a moment: these tests are about the stages' decisions."""
+    whole = pii.train
+    monkeypatch.setattr(pii, "train", lambda background: whole(background, count=150, steps=15))
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     rng = np.random.default_rng(21)
@@ -52,6 +59,34 @@ def test_stages(spark, corpus):
     assert pipeline.run(spark, folder).count() == len(pieces)
 
 
+def test_one_row_of_each_group_stays(spark, corpus):
+    _, folder, _ = corpus
+    near = "the same long run of words " * 20
+    rows = [(1, near + "a"), (None, near + "a"), (5, "quite another text of a few words"), (5, near + "a"), (None, "lonely words without any id"), (None, "lonely words without any id"), (7, "x y"), (7, "x y")]
+    df = spark.createDataFrame([(i, t, "en", str(k), 3, "d") for k, (i, t) in enumerate(rows)], SCHEMA)
+    left = lambda d: sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=str)
+    want = sorted([(1, near + "a"), (5, rows[2][1]), (None, rows[4][1]), (7, "x y")], key=str)
+    assert left(pipeline.without_near_copies(spark, df, folder)) == want
+    want = sorted([(5, near + "a"), (5, rows[2][1]), (None, rows[4][1]), (7, "x y")], key=str)
+    assert left(pipeline.without_copies(spark, df, folder)) == want
+    same = spark.createDataFrame([(7, "x y", "en", "s", 3, "d")] * 3 + [(8, "z", "en", "s", 1, "d")] * 2, SCHEMA)
+    assert left(pipeline.without_copies(spark, same, folder)) == left(pipeline.without_near_copies(spark, same, folder)) == [(7, "x y"), (8, "z")]
+
+
+def test_clashing_names_pass_every_stage(spark, corpus):
+    docs, folder, _ = corpus
+    names = ["_text", "_score", "_predicted", "score", "predicted", "_redacted", "redacted", "row_hash", "_key_doc_id", "group", "digest", "fp", "id", "hash", "text_", "h", "n"]
+    wide = docs.limit(30)
+    for name in names:
+        wide = wide.withColumn(name, wide["doc_id"].cast("string"))
+    for name, stage in pipeline.STAGES:
+        done = stage(spark, wide, folder)
+        if name != "packing":
+            assert done.columns == wide.columns
+            assert all(r["_score"] == r["row_hash"] == r["n"] == (None if r["doc_id"] is None else str(r["doc_id"])) for r in done.collect())
+        assert done.count() > 0
+
+
 def test_empty_tables(spark, corpus):
     docs, folder, _ = corpus
     empty = docs.limit(0)

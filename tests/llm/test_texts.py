@@ -66,6 +66,30 @@ def test_word_encoder_equals_the_tokenizer():
     assert [x.tolist() for x in own.encode(texts)] == [x.ids for x in own.model.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_word_encoder_knows_added_tokens():
+    own = packing.WordEncoder(tokenizer_path(packing.VOCABULARY))
+    rng = np.random.default_rng(26)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "a", " ", "Bc", "<|", "|>", "endoftext", "1,", "é", "\n", "'s"]
+    texts = ["a<|endoftext|>", "<|endoftext|>", "<|startoftext|><|endoftext|> x", *("".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(1500))]
+    assert own.encode(["a<|endoftext|>"])[0].tolist() == [320, 49407]
+    assert [x.tolist() for x in own.encode(texts)] == [x.ids for x in own.model.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_word_encoder_forgets_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 2000)
+    own = packing.WordEncoder(tokenizer_path(packing.VOCABULARY))
+    for k in range(40):
+        texts = [f"word{k} {'x' * 5000}{k} more words of batch {k}, and {'Q9' * 300}!!"]
+        assert own.encode(texts)[0].tolist() == own.model.encode(texts[0], add_special_tokens=False).ids
+        assert own.size < 6000 and max(map(len, own.late), default=0) <= packing.LONGEST
+
+
+def test_a_word_of_a_megabyte_is_encoded():
+    own = packing.WordEncoder(tokenizer_path(packing.VOCABULARY))
+    ids = own.encode(["ab9" * 350_000, "b" * 1_000_000])
+    assert all(len(x) for x in ids) and not own.late
+
+
 def test_fill_is_as_good_as_trying_everything():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -201,6 +225,44 @@ def test_added_spans_never_overlap_base_ones(finder):
     assert not any(a < d and c < b for _, a, b in base for _, c, d in added)
 
 
+def test_long_stretches_are_decoded_like_short_ones(finder, monkeypatch):
+    rng = np.random.default_rng(27)
+    text = " ".join(pii._make(str(rng.choice(pii.KINDS)), __import__("random").Random(i)) + " word" * int(rng.integers(0, 30)) for i in range(120))
+    whole = pii.find([text, "nothing", text[:500]], finder)
+    monkeypatch.setattr(pii, "GROUP", 3)
+    assert pii.find([text, "nothing", text[:500]], finder) == whole
+
+
+def test_megabytes_of_digits_take_bounded_memory(finder):
+    import tracemalloc
+
+    tracemalloc.start()
+    pii.find(["7 " * 150_000], finder)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20
+
+
+def test_model_finds_forms_put_into_real_documents(spark):
+    import random
+
+    rng = random.Random(28)
+    texts = [t for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if len(t := r["text"] or "") > 400 and not pii.TRIGGER.search(t)]
+    model = pii.train(texts[0::2][:300], count=1500, steps=260)
+    put = found = right = total = 0
+    for text in texts[1::2][:150]:
+        at = text.index(" ", rng.randrange(50, len(text) - 200))
+        form = f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"  # the fixed pattern asks for a plus sign
+        (base, added), (none, clean) = pii.find([text[:at] + " " + form + text[at:], text], model)
+        assert not base and not none
+        put += 1
+        hit = [(a, b) for _, a, b in added if a < at + 1 + len(form) and b > at + 1]
+        found += any((a, b) == (at + 1, at + 1 + len(form)) for a, b in hit)
+        total += len(added) + len(clean)
+        right += len(hit)
+    assert put == 150 and found >= 0.9 * put and right >= 0.9 * total
+
+
 def test_personal_data_table(odd, none, finder):
     rows = pii.personal_data(odd, finder).collect()
     assert len(rows) == len(ODD) + 1 and all(not r["base"] for r in rows)
@@ -265,7 +327,39 @@ def test_toxicity_learns_words_stems_and_misspellings(labelled, odd, none):
     assert direct > quoted and direct > 0.5 and clean < 0.3
     assert toxicity.score(odd, model).count() == len(ODD) + 1 and toxicity.score(none, model).count() == 0
     kept = toxicity.with_scores(odd, model)
-    assert kept.columns == [*odd.columns, "_score", "_predicted"] and kept.where("text is null").count() == 1
+    assert kept.columns == [*odd.columns, "score_", "predicted"] and kept.where("text is null").count() == 1 and {r["score"] for r in kept.collect()} == {0.5}
+
+
+def test_lexicon_keeps_what_tells_most():
+    rows = [("aa", 40, 30.0), ("zz", 90, 80.0), ("mm", 60, 50.0), ("zz*", 95, 85.0), ("zza*", 200, 60.0)]
+    words, stems = toxicity.choose(rows)
+    assert words == ["zz", "mm", "aa"] and stems == ["zza"]
+
+
+def test_gain_in_sql_equals_the_formula(spark):
+    rows = [("a", 40, 3), ("b", 4, 0), ("c", 90, 5), ("d", 30, 0), ("e*", 100, 0), ("f", 3, 0), ("g", 50, 60)]
+    got = {r["entry"]: r["gain"] for r in toxicity.telling(spark.createDataFrame(rows, "entry string, p long, n long"), 100, 1000).collect()}
+    want = {e: g for e, p, n in rows if p >= toxicity.SUPPORT and p / 100 > toxicity.RATIO * (n + 0.5) / 1000 and (g := toxicity.gain(p, n, 100, 1000)) > toxicity.GAIN}
+    assert got == pytest.approx(want) and {"a", "c", "d", "e*"} <= set(got)
+
+
+def test_states_are_bounded(monkeypatch):
+    rng = np.random.default_rng(29)
+    trie = toxicity.Trie(["abcdefgh", "hgfedcba", "abababab"], ["cccccc"])
+    tokens = ["".join(rng.choice(list("abcdefghxy"), 9)) for _ in range(3000)]
+    want = [trie.match(t) for t in tokens]
+    monkeypatch.setattr(toxicity, "STATES", 50)
+    small = toxicity.Trie(["abcdefgh", "hgfedcba", "abababab"], ["cccccc"])
+    assert [small.match(t) for t in tokens] == want and len(small.sets) < 100
+
+
+def test_samples_hold_distinct_rows(spark):
+    from strandlake.llm.common import bounded_sample
+
+    df = spark.range(4000).selectExpr("if(id < 2000, 0, id) as k", "cast(id % 3 as string) as t")
+    few = [tuple(r) for r in bounded_sample(df, ["k", "t"], 100).collect()]
+    assert len(few) == 100 == len(set(few)) and len(bounded_sample(df.limit(0), ["k"], 5).collect()) == 0
+    assert len(bounded_sample(df, ["k", "t"], 10_000).collect()) == 2003
 
 
 def test_toxicity_without_labels(labelled, odd):
@@ -334,6 +428,27 @@ def test_language_model_scores(spark, none):
     assert {r["n_known"] for r in lm.score(df.limit(5), F.lit(False)).collect()} == {0}
 
 
+def test_memory_follows_the_outputs_and_not_the_longest_text():
+    import tracemalloc
+
+    rng = np.random.default_rng(30)
+    net = gru.Gru(rng.integers(1, 50, 2500).astype(float), 50)
+    texts = [rng.integers(0, 2500, n).astype(np.int32) for n in (60_000, *[40] * 300)]
+    tracemalloc.start()
+    found = net.log_likelihoods(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 301 and (found < 0).all() and peak < 60 << 20
+
+
+def test_texts_are_dealt_by_row(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TRAINER_TOKENS", 400)
+    rows = [(None, f"w{i % 7} w{i % 5} w{i % 3}", "en", 0.0, 0) for i in range(300)] + [(None, "w1 " * 20_000, "en", 0.0, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = lm.score(df, F.lit(True)).collect()
+    assert len(got) == 301 and max(r["n_tokens"] for r in got) == 20_001 and all(r["score"] < 0 for r in got)
+
+
 def test_tail_words_are_joined_to_their_counts(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 6)
     monkeypatch.setattr(lm, "MODEL_WORDS", 3)
