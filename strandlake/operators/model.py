@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .regions import islands, overlapping
+from .tracks import coverage
+
 
 def strand_agreement(reads: DataFrame, longest: int, bin_width: int = 1) -> DataFrame:
     """(offset, pairs): how many forward and reverse 5' ends lie each offset apart, weighted by their counts.
@@ -27,6 +30,50 @@ def fragment_length(reads: DataFrame, longest: int = 600, bin_width: int = 1) ->
     return strand_agreement(reads, longest, bin_width).agg(best.alias("m")).select((-F.col("m.low")).alias("d"), F.col("m.pairs").alias("pairs"))
 
 
-def fold_range(enriched: DataFrame, low: float, high: float, fold: str = "fe") -> DataFrame:
-    """The regions whose enrichment lies in the range that model building takes."""
-    return enriched.where((F.col(fold) >= low) & (F.col(fold) <= high))
+def strand_peaks(reads: DataFrame, genome_size: float, fold_range: tuple[float, float] = (5, 50), band: int = 300) -> DataFrame:
+    """(chrom, strand, center) of each strand's enriched stretches.
+
+    Reads of one strand are counted in windows of ``2 * band`` around each base; a
+    stretch is where the count is at least the low end of the fold range times
+    what the genome has on average, and it is taken where its highest count is
+    not above the high end.  Its center is the middle of its first highest run.
+    """
+    n = F.col("n") if "n" in reads.columns else F.lit(1).cast("long")
+    width = 2 * band
+    around = reads.select(F.concat_ws("\t", "strand", "chrom").alias("chrom"), (F.col("pos") - band).alias("start"), (F.col("pos") + band).alias("end"), n.alias("n"))
+    totals = reads.groupBy("strand").agg(F.sum(n).alias("total"))
+    runs = coverage(around, F.col("n")).withColumn("strand", F.substring_index("chrom", "\t", 1))
+    folds = runs.join(F.broadcast(totals), "strand").withColumn("fold", F.col("value") / (F.col("total") * width / F.lit(float(genome_size)))).where(F.col("fold") >= fold_range[0])
+    top = F.max(F.struct(F.col("fold").alias("f"), (-F.col("start")).alias("s"), F.col("end").alias("e"))).alias("top")
+    found = islands(folds, 0).groupBy("chrom", "strand", "region").agg(top).where(F.col("top.f") <= fold_range[1])
+    return found.select(F.substring_index("chrom", "\t", -1).alias("chrom"), "strand", F.floor((F.col("top.e") - F.col("top.s")) / 2).alias("center"))
+
+
+def paired_peaks(reads: DataFrame, genome_size: float, fold_range: tuple[float, float] = (5, 50), band: int = 300) -> DataFrame:
+    """(chrom, middle) of forward stretches with the nearest reverse one at most ``2 * band`` to their right."""
+    if len(fold_range) != 2:
+        raise ValueError("the fold range has a low and a high end")
+    peaks = strand_peaks(reads, genome_size, fold_range, band)
+    span = 2 * band
+    cell = F.floor(F.col("center") / span)
+    forward = peaks.where("strand != '-'").select("chrom", F.col("center").alias("a"), F.explode(F.array(cell, cell + 1)).alias("cell"))
+    reverse = peaks.where("strand = '-'").select("chrom", F.col("center").alias("b"), cell.alias("cell"))
+    near = forward.join(reverse, ["chrom", "cell"]).where(f"b > a and b - a <= {span}")
+    return near.groupBy("chrom", "a").agg(F.min("b").alias("b")).select("chrom", F.floor((F.col("a") + F.col("b")) / 2).alias("middle"))
+
+
+def model_length(reads: DataFrame, genome_size: float, fold_range: tuple[float, float] = (5, 50), band: int = 300, smoothing: int = 10) -> DataFrame:
+    """One row: d, the offset at which reads around paired peaks agree best, and how many pairs there are.
+
+    Forward and reverse 5' ends within ``band`` of a pair's middle are set
+    against each other; the counts by offset are summed over neighbours up to
+    ``smoothing`` away, and of several best offsets the smallest is d.  Without
+    pairs d is null.
+    """
+    pairs = paired_peaks(reads, genome_size, fold_range, band).withColumn("start", F.col("middle") - band).withColumn("end", F.col("middle") + band).withColumn("pair", F.concat_ws(":", "chrom", "middle"))
+    inside = overlapping(reads, pairs.select("chrom", "start", "end", "pair"))
+    around = inside.select(F.col("pair").alias("chrom"), (F.col("pos") - F.col("start")).alias("pos"), "strand", (F.col("n") if "n" in reads.columns else F.lit(1).cast("long")).alias("n"))
+    offsets = strand_agreement(around, 2 * band)
+    spread = offsets.withColumn("at", F.explode(F.sequence(F.col("offset") - smoothing, F.col("offset") + smoothing))).where("at > 0").groupBy("at").agg(F.sum("pairs").alias("pairs"))
+    best = spread.agg(F.max(F.struct("pairs", (-F.col("at")).alias("low"))).alias("m"))
+    return best.select((-F.col("m.low")).alias("d"), F.lit(pairs.count()).cast("long").alias("n_pairs"))

@@ -14,6 +14,8 @@ from ..functions.stats import binomial_max_duplicates
 
 #: Fragment counts are held in sixteen bits.
 COUNT_MODULUS = 65_536
+#: Reads of one place that are numbered in one row at most.
+SLICE = 4_096
 
 
 def five_prime(bed: DataFrame) -> DataFrame:
@@ -46,12 +48,16 @@ def filter_duplicates(reads: DataFrame, keep: int | str, genome_size: float | No
     places = collapse(reads, keys)
     if keep == "all":
         return places
-    if keep == "auto":
-        if not genome_size:
-            raise ValueError("the automatic limit needs a genome size")
-        total = places.agg(F.sum("n")).first()[0] or 0
-        keep = binomial_max_duplicates(int(total), genome_size)
-    return places.withColumn("n", F.least("n", F.lit(int(keep)).cast("long")))
+    return places.withColumn("n", F.least("n", F.lit(duplicate_limit(places, keep, genome_size)).cast("long")))
+
+
+def duplicate_limit(places: DataFrame, keep: int | str, genome_size: float | None = None) -> int:
+    """Reads that a place keeps: a number as it is, 'auto' by the binomial limit of the reads of all places."""
+    if keep != "auto":
+        return int(keep)
+    if not genome_size:
+        raise ValueError("the automatic limit needs a genome size")
+    return binomial_max_duplicates(int(places.agg(F.sum("n")).first()[0] or 0), genome_size)
 
 
 def duplicate_statistics(reads: DataFrame, keep: int, keys: tuple[str, ...] = ("chrom", "pos", "strand")) -> DataFrame:
@@ -81,10 +87,11 @@ def extend(reads: DataFrame, size: int, shift: int = 0) -> DataFrame:
 def sample(reads: DataFrame, fraction: float, seed: int, keys: tuple[str, ...] = ("chrom", "pos", "strand")) -> DataFrame:
     """A seeded share of the reads: each is drawn by a hash of the seed, its place and its number there.
 
-    The same reads come out however the input is partitioned.
+    The same reads come out however the input is partitioned.  A place's reads
+    are numbered in slices of bounded length.
     """
-    places = collapse(reads, keys)
-    drawn = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
-    each = places.where("n > 0").withColumn("_i", drawn)
+    places = collapse(reads, keys).where("n > 0")
+    sliced = places.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLICE)))).withColumn("_low", F.col("_s") * SLICE)
+    each = sliced.withColumn("_i", F.explode(F.sequence(F.col("_low") + 1, F.least("n", F.col("_low") + SLICE))))
     hashed = F.pmod(F.xxhash64(F.lit(seed), *keys, "_i"), F.lit(1 << 30))
     return each.where(hashed < int(fraction * (1 << 30))).groupBy(*keys).agg(F.count("*").alias("n"))

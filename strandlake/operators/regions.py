@@ -9,20 +9,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import symmetric_log_likelihood_ratio
-from .tracks import align
+from .tracks import BIN, align
 
 
-def islands(runs: DataFrame, max_gap: int, by: Sequence[str] = ("chrom",)) -> DataFrame:
+def _before(rows: DataFrame, by: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the largest ``value`` among the rows of earlier bins, from one row a bin."""
+    order = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy(*by, "_bin").agg(F.max(value).alias("_v")).withColumn(name, F.max("_v").over(order)).drop("_v")
+    return rows.join(bins, [*by, "_bin"])
+
+
+def islands(runs: DataFrame, max_gap: int, by: Sequence[str] = ("chrom",), bin_width: int = BIN) -> DataFrame:
     """Adds ``region``, the start of the island that a run belongs to.
 
-    Runs of one key belong together while the gap between them is at most
-    ``max_gap``.  Only significant runs should come here: the ordered pass goes
-    over those of one key.
+    Runs of one key, none of them null, belong together while the gap between
+    them is at most ``max_gap``.  What lies before a run is taken in two levels,
+    within its bin of the coordinate and from one row for each bin before, so a
+    key with most of the runs is spread over its bins.
     """
-    order = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reach.isNull() | (F.col("start") - reach > max_gap), F.col("start"))
-    return runs.withColumn("_opens", opens).withColumn("region", F.last("_opens", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_opens")
+    binned = _before(runs.withColumn("_bin", F.floor(F.col("start") / F.lit(bin_width))), by, F.col("end"), "_far")
+    order = Window.partitionBy(*by, "_bin").orderBy("start", "end")
+    reach = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
+    opened = binned.withColumn("_reach", reach)
+    opened = opened.withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col("start") - F.col("_reach") > max_gap), F.col("start")))
+    opened = _before(opened, by, F.col("_opens"), "_open")
+    own = F.max("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return opened.withColumn("region", F.coalesce(own, "_open")).drop("_bin", "_far", "_reach", "_opens", "_open")
 
 
 def narrow_peaks(scored: DataFrame, cutoff: float, max_gap: int, min_length: int, score: str = "q") -> DataFrame:
@@ -77,16 +89,22 @@ def gapped_peaks(broad: DataFrame) -> DataFrame:
     )
 
 
-def named(peaks: DataFrame, name: str) -> DataFrame:
+def named(peaks: DataFrame, name: str, bin_width: int = BIN) -> DataFrame:
     """Adds ``name``: numbered in order of chromosome and start.
 
-    Numbers come from counts by chromosome and an order within each.
+    Numbers come from counts by chromosome and bin of the coordinate, and an
+    order within each bin.
     """
-    sizes = peaks.groupBy("chrom").agg(F.count("*").alias("_n"))
-    before = sizes.select(F.col("chrom").alias("_c"), F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("chrom").orderBy("start", "end"))
-    ranked = peaks.withColumn("_r", rank).join(before, F.col("chrom") == F.col("_c"))
-    return ranked.withColumn("name", F.concat(F.lit(f"{name}_peak_"), (F.col("_before") + F.col("_r")).cast("string"))).drop("_r", "_c", "_before")
+    binned = peaks.withColumn("_bin", F.floor(F.col("start") / F.lit(bin_width)))
+    sizes = binned.groupBy("chrom", "_bin").agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy("chrom").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    whole = sizes.groupBy("chrom").agg(F.sum("_n").alias("_all"))
+    before = whole.select(F.col("chrom").alias("_c"), F.coalesce(F.sum("_all").over(Window.partitionBy().orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    sizes = sizes.select("chrom", "_bin", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_inside")).join(before, F.col("chrom") == F.col("_c")).drop("_c")
+    rank = F.row_number().over(Window.partitionBy("chrom", "_bin").orderBy("start", "end"))
+    ranked = binned.withColumn("_r", rank).join(sizes, ["chrom", "_bin"])
+    number = (F.col("_before") + F.col("_inside") + F.col("_r")).cast("string")
+    return ranked.withColumn("name", F.concat(F.lit(f"{name}_peak_"), number)).drop("_r", "_bin", "_inside", "_before")
 
 
 def threshold_regions(track: DataFrame, cutoff: float, max_gap: int, min_length: int, value: str = "value") -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .regions import overlapping
+
 
 def savitzky_golay_slope(signal: np.ndarray, window: int) -> np.ndarray:
     """First derivative of the least-squares parabola over a centred window; ends are padded by their values.
@@ -72,3 +74,15 @@ def sub_summits(peaks: DataFrame, track: DataFrame, window: int = 51, least_shar
             yield pd.DataFrame(out, columns=["chrom", "start", "end", "name", "summit", "height"])
 
     return grouped.mapInPandas(work, "chrom string, start long, end long, name string, summit long, height double")
+
+
+def at_summits(peaks: DataFrame, scored: DataFrame, window: int) -> DataFrame:
+    """Named peaks (chrom, start, end, name) by their sub-summits: (chrom, start, end, summit, pileup, p, fe, q, name), a row for each.
+
+    The treatment's coverage is smoothed over ``window`` bases, the fragment
+    length; pileup, p, fe and q are those of the scored run at the summit.
+    """
+    tops = sub_summits(peaks, scored.select("chrom", "start", "end", F.col("treat").alias("value")), window)
+    points = tops.select("chrom", F.col("summit").alias("pos"), F.col("start").alias("_start"), F.col("end").alias("_end"), "name")
+    hit = overlapping(points, scored.select("chrom", "start", "end", F.col("treat").alias("pileup"), "p", "fe", "q"))
+    return hit.select("chrom", F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("pos").alias("summit"), "pileup", "p", "fe", "q", "name")

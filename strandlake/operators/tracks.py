@@ -60,19 +60,35 @@ def events_of(track: DataFrame, value: str, name: str) -> DataFrame:
 def align(tracks: dict[str, DataFrame], value: str = "value", bin_width: int = BIN) -> DataFrame:
     """Runs on the union of the tracks' breakpoints, a column for each track, zero where it has no run.
 
-    Runs without length are dropped.  Values are swept as decimals, so that what
-    a run adds its end takes away without remainder.
+    Runs without length are dropped; those of one track do not overlap.  A run
+    carries its value from its start to where the track's next run or gap begins,
+    so values of any size, infinities and NaN come out as they went in.
     """
     names = list(tracks)
     parts = []
     for name, track in tracks.items():
-        own = events_of(track.select("chrom", "start", "end", F.col(value).cast("decimal(28,10)").alias("_v")), "_v", "_d")
-        parts.append(own.select("chrom", "pos", *[(F.col("_d") if n == name else F.lit(0).cast("decimal(28,10)")).alias(n) for n in names]))
+        steps = F.array(
+            F.struct(F.col("start").cast("long").alias("pos"), F.col(value).cast("double").alias("v"), F.lit(False).alias("ends")),
+            F.struct(F.col("end").cast("long").alias("pos"), F.lit(0.0).alias("v"), F.lit(True).alias("ends")),
+        )
+        own = track.where("end > start and chrom is not null").select("chrom", F.explode(steps).alias("e")).select("chrom", "e.*")
+        parts.append(own.select("chrom", "pos", *[(f if n == name else F.lit(None).cast(kind)).alias(f"{n}{suffix}") for n in names for f, kind, suffix in ((F.when(~F.col("ends"), F.col("v")), "double", ""), (F.when(F.col("ends"), True), "boolean", "_ends"))]))
     events = parts[0]
     for part in parts[1:]:
         events = events.unionByName(part)
-    runs = sweep(events, names, bin_width)
-    return runs.select("chrom", "start", "end", *[F.col(n).cast("double").alias(n) for n in names])
+    begun = [F.coalesce(F.max(n), F.when(F.max(f"{n}_ends"), 0.0)).alias(n) for n in names]
+    points = events.groupBy("chrom", "pos").agg(*begun).withColumn("_bin", F.floor(F.col("pos") / F.lit(bin_width)))
+    last = [F.max(F.when(F.col(n).isNotNull(), F.struct("pos", F.col(n).alias("v")))).alias(f"_{n}") for n in names]
+    bins = points.groupBy("chrom", "_bin").agg(F.min("pos").alias("_first"), *last)
+    before = Window.partitionBy("chrom").orderBy("_bin")
+    carried = [F.max(f"_{n}").over(before.rowsBetween(Window.unboundedPreceding, -1)).getField("v").alias(f"_{n}") for n in names]
+    offsets = bins.select(F.col("chrom").alias("_chrom"), F.col("_bin").alias("_at"), F.lead("_first").over(before).alias("_next"), *carried)
+    inside = Window.partitionBy("chrom", "_bin").orderBy("pos")
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = points.select("chrom", "_bin", "pos", F.lead("pos").over(inside).alias("_end"), *[F.last(n, ignorenulls=True).over(running).alias(n) for n in names])
+    joined = local.join(offsets, (F.col("chrom") == F.col("_chrom")) & (F.col("_bin") == F.col("_at")))
+    end = F.coalesce("_end", "_next")
+    return joined.where(end.isNotNull()).select("chrom", F.col("pos").alias("start"), end.alias("end"), *[F.coalesce(n, f"_{n}", F.lit(0.0)).alias(n) for n in names])
 
 
 def compact(track: DataFrame, values: Sequence[str] = ("value",), bin_width: int = BIN) -> DataFrame:

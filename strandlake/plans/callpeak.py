@@ -6,8 +6,10 @@ import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import background, reads, regions, scoring
+from ..operators import background, reads, regions, scoring, smooth
+from ..operators.tracks import compact
 from .scratch import stored
 
 
@@ -30,9 +32,17 @@ class PeakOptions:
     max_gap: int | None = None
     min_length: int | None = None
     clamp: bool = True
+    call_summits: bool = False
+    per_million: bool = False
+    fold_range: tuple[float, float] = (5, 50)
+    band_width: int = 300
     name: str = "NA"
     extra: dict = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        if len(self.fold_range) != 2:
+            raise ValueError("the fold range has a low and a high end")
+
     @property
     def gap(self) -> int:
         return self.tag if self.max_gap is None else self.max_gap
@@ -45,21 +55,79 @@ class PeakOptions:
         return background.Background(self.genome_size, self.fragment, self.small_local, self.large_local, self.scale_to, self.local, self.shift, self.clamp)
 
 
-def scored_track(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> DataFrame:
-    """Runs (chrom, start, end, treat, lambda, p, fe, q) of reads (chrom, pos, strand) or fragments (chrom, left, right, n)."""
+def enriched_track(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> DataFrame:
+    """Runs (chrom, start, end, treat, lambda) of reads (chrom, pos, strand) or fragments (chrom, left, right, n)."""
     if paired:
-        both = background.enrich_fragments(treat, control, options.background())
-    else:
-        limit = lambda t: reads.filter_duplicates(t, options.keep_duplicates, options.genome_size)
-        both = background.enrich_reads(limit(treat), limit(control) if control is not None else None, options.background())
+        return background.enrich_fragments(treat, control, options.background())
+    limit = lambda t: reads.filter_duplicates(t, options.keep_duplicates, options.genome_size)
+    return background.enrich_reads(limit(treat), limit(control) if control is not None else None, options.background())
+
+
+def scored_track(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> DataFrame:
+    """The enriched runs with p, fe and q."""
+    both = enriched_track(treat, control, options, paired)
     return scoring.with_q(stored(scoring.with_fold(scoring.with_poisson(both)), "scored-runs"))
 
 
 def call_narrow(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> DataFrame:
-    """Named narrow peaks."""
+    """Named narrow peaks; with ``call_summits`` a row for each summit of a peak, its attributes those at the summit."""
     cutoff, score = (options.q_cutoff, "q") if options.p_cutoff is None else (options.p_cutoff, "p")
-    found = regions.narrow_peaks(scored_track(treat, control, options, paired), -math.log10(cutoff), options.gap, options.least, score)
-    return regions.named(found, options.name)
+    scored = scored_track(treat, control, options, paired)
+    found = regions.named(regions.narrow_peaks(scored, -math.log10(cutoff), options.gap, options.least, score), options.name)
+    return smooth.at_summits(found, scored, options.fragment) if options.call_summits else found
+
+
+def signal_tracks(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The tracks (chrom, start, end, value) of treatment and background behind a call, by a million of the smaller depth with ``per_million``."""
+    runs = stored(enriched_track(treat, control, options, paired), "signal-runs")
+    if options.per_million:
+        sizes = [side.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for side in (_counted(x, options, paired) for x in (treat, control) if x is not None)]
+        depth = max(sizes) if options.scale_to == "large" else min(sizes)
+        runs = runs.select("chrom", "start", "end", *[(F.col(c) * 1e6 / max(1, depth)).alias(c) for c in ("treat", "lambda")])
+    side = lambda c: compact(runs.select("chrom", "start", "end", F.col(c).alias("value")))
+    return side("treat"), side("lambda")
+
+
+def _counted(side: DataFrame, options: PeakOptions, paired: bool) -> DataFrame:
+    return side if paired else reads.filter_duplicates(side, options.keep_duplicates, options.genome_size)
+
+
+def table_header(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False, broad: bool = False, tag: str = "BED", files: tuple[str, str | None] = ("", None)) -> list[str]:
+    """The lines that stand above a table of peaks: what was asked for, and what was counted."""
+    lines = [
+        "ARGUMENTS LIST:",
+        f"name = {options.name}",
+        f"format = {tag}",
+        f"ChIP-seq file = {[files[0]]}",
+        f"control file = {[files[1]] if files[1] else None}",
+        f"effective genome size = {options.genome_size:.2e}",
+        f"band width = {options.band_width}",
+        f"model fold = {list(options.fold_range)}",
+        f"qvalue cutoff = {options.q_cutoff:.2e}" if options.p_cutoff is None else f"pvalue cutoff = {options.p_cutoff:.2e}",
+        'The maximum gap between significant sites is assigned as the read length/tag size.' if options.max_gap is None else f"The maximum gap between significant sites = {options.max_gap}",
+        'The minimum length of peaks is assigned as the predicted fragment length "d".' if options.min_length is None else f"The minimum length of peaks = {options.min_length}",
+        f"{'Larger' if options.scale_to == 'small' else 'Smaller'} dataset will be scaled towards {'smaller' if options.scale_to == 'small' else 'larger'} dataset.",
+        f"Range for calculating regional lambda is: {options.small_local} bps and {options.large_local} bps",
+        f"Broad region calling is {'on' if broad else 'off'}",
+        f"Paired-End mode is {'on' if paired else 'off'}",
+        *(["Searching for subpeak summits is on"] if options.call_summits else []),
+        None,
+        f"{'fragment' if paired else 'tag'} size is determined as {options.fragment if paired else options.tag} bps",
+    ]
+    kind = "fragments" if paired else "tags"
+    for name, side in (("treatment", treat), ("control", control)):
+        if side is None:
+            continue
+        places = side if paired else reads.collapse(side)
+        lines.append(f"total {kind} in {name}: {places.agg(F.coalesce(F.sum('n'), F.lit(0))).first()[0]}")
+        if not paired and options.keep_duplicates != "all":
+            keep = reads.duplicate_limit(places, options.keep_duplicates, options.genome_size)
+            told = reads.duplicate_statistics(side, keep).first()
+            lines += [f"tags after filtering in {name}: {told['kept']}", f"maximum duplicate tags at the same position in {name} = {keep}", f"Redundant rate in {name}: {told['redundant_rate'] or 0:.2f}"]
+    lines.append(f"d = {options.fragment}")
+    if not options.local:
+        lines.append("local lambda is disabled!")
+    return ["" if x is None else f"# {x}" for x in lines]
 
 
 def call_broad(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> DataFrame:

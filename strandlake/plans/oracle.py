@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import GAP, GENOME, LARGE, LEAST, P_CUTOFF, SIZE, SMALL, WEAK
+from .queries import GAP, GENOME, LARGE, LEAST, P_CUTOFF, Q_CUTOFF, Q_WEAK, SIZE, SMALL, WEAK
 
 ITEMS = """items AS (
     SELECT l_returnflag AS chrom, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS pos,
@@ -46,19 +46,23 @@ def _coverage(intervals: str) -> str:
     return _compacted(_swept(events, ["value"]), ["value"])
 
 
-def _enriched(control: bool = True, scale: str = "small", local: bool = True) -> str:
-    """CTEs tot (totals and scales) and both (treat, lambda), over t and c."""
+def _enriched(control: bool = True, scale: str = "small", local: bool = True, pairs: bool = False) -> str:
+    """CTEs tot (totals and scales) and both (treat, lambda), over t and c (or fragments tf and cf, both ends of which count half)."""
     widths = {"d": SIZE, "small": SMALL, "large": LARGE} if control else {"large": LARGE}
     names = ["treat", *widths]
     zeros = {n: ", ".join(f"{'w' if m == n else '0'} AS {m}" for m in names) for n in names}
     events = []
-    sources = [("treat", f"SELECT chrom, greatest(s, 0) AS s, e, w FROM ({_extended('t')})")]
-    side = "c" if control else "t"
-    sources += [(n, f"SELECT chrom, greatest(pos - {w // 2}, 0) AS s, pos + {w - w // 2} AS e, n AS w FROM {side}") for n, w in widths.items()]
+    pieces, side = _extended("t"), "c" if control else "t"
+    treated, ends, share = "t", side, 1.0
+    if pairs:
+        pieces, treated, side, share = "SELECT chrom, l AS s, r AS e, n AS w FROM tf", "tf", f"{side}f", 0.5
+        ends = f"(SELECT chrom, l AS pos, n FROM {side} UNION ALL SELECT chrom, r AS pos, n FROM {side})"
+    sources = [("treat", f"SELECT chrom, greatest(s, 0) AS s, e, w FROM ({pieces})")]
+    sources += [(n, f"SELECT chrom, greatest(pos - {w // 2}, 0) AS s, pos + {w - w // 2} AS e, n AS w FROM {ends}") for n, w in widths.items()]
     for n, q in sources:
         events.append(f"SELECT chrom, s AS pos, {zeros[n]} FROM ({q}) WHERE e > s")
         events.append(f"SELECT chrom, e AS pos, {zeros[n].replace('w AS', '-w AS')} FROM ({q}) WHERE e > s")
-    events.append("SELECT DISTINCT chrom, 0, " + ", ".join("0" for _ in names) + " FROM t")
+    events.append("SELECT DISTINCT chrom, 0, " + ", ".join("0" for _ in names) + f" FROM {treated}")
     total = f"(SELECT sum(n) FROM {side})"
     if not control:
         scales = "1.0::DOUBLE AS ts, 1.0::DOUBLE AS cs"
@@ -67,11 +71,11 @@ def _enriched(control: bool = True, scale: str = "small", local: bool = True) ->
     else:
         scales = "CASE WHEN tn > cn THEN 1.0 ELSE cn / tn END::DOUBLE AS ts, CASE WHEN tn > cn THEN tn / cn ELSE 1.0 END::DOUBLE AS cs"
     base = f"cn * {SIZE}::DOUBLE / {GENOME}::DOUBLE * cs"
-    rates = "".join(f", {n} * ({SIZE}::DOUBLE / {w} * cs)" for n, w in widths.items()) if local else ""
+    rates = "".join(f", {n} * ({share}::DOUBLE * {SIZE} / {w} * cs)" for n, w in widths.items()) if local else ""
     runs = f"""SELECT r.chrom, "start", least("end", last) AS "end", treat * ts AS treat, greatest({base}{rates}) AS "lambda"
-        FROM ({_swept(" UNION ALL ".join(events), names)}) r JOIN (SELECT chrom, max(e) AS last FROM ({_extended('t')}) GROUP BY chrom) l ON r.chrom = l.chrom, tot
+        FROM ({_swept(" UNION ALL ".join(events), names)}) r JOIN (SELECT chrom, max(e) AS last FROM ({pieces}) GROUP BY chrom) l ON r.chrom = l.chrom, tot
         WHERE "start" < last"""
-    return f"""tot AS (SELECT tn, cn, {scales} FROM (SELECT (SELECT sum(n) FROM t)::DOUBLE AS tn, {total}::DOUBLE AS cn)),
+    return f"""tot AS (SELECT tn, cn, {scales} FROM (SELECT (SELECT sum(n) FROM {treated})::DOUBLE AS tn, {total}::DOUBLE AS cn)),
     both_ AS ({_compacted(runs, ["treat", '"lambda"'])})"""
 
 
@@ -83,6 +87,8 @@ SCORES = f"""pairs AS (SELECT k, l, round(-log10({TAIL}), 9) AS p FROM (SELECT D
     qs AS (SELECT p, greatest(0, min(raw) OVER (ORDER BY p DESC)) AS q FROM ranks),
     scored AS (SELECT w.*, q FROM withp w JOIN qs USING (p))"""
 BASE = f"WITH {ITEMS}, {SIDES}"
+PAIRS = """tf AS (SELECT chrom, pos AS l, pos + length AS r, sum(cnt) AS n FROM items WHERE treated GROUP BY ALL),
+    cf AS (SELECT chrom, pos AS l, pos + length AS r, sum(cnt) AS n FROM items WHERE NOT treated GROUP BY ALL)"""
 SCORED = f"{BASE}, {_enriched()}, src AS (SELECT * FROM both_), {SCORES}"
 
 
@@ -92,16 +98,23 @@ def _islands(source: str, gap: int, by: str = "chrom") -> str:
             SELECT *, max("end") OVER (PARTITION BY {by} ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({source})))"""
 
 
-NARROW = f"""{SCORED}, isl AS ({_islands(f'SELECT * FROM scored WHERE p > {P_CUTOFF}', GAP)}),
+def _narrow(score: str, cutoff: float) -> str:
+    return f"""{SCORED}, isl AS ({_islands(f'SELECT * FROM scored WHERE {score} > {cutoff}', GAP)}),
     ends AS (SELECT chrom, region, min("start") AS "start", max("end") AS "end", max(treat) AS top FROM isl GROUP BY ALL),
     tops AS (SELECT i.chrom, i.region, i."start" AS s, i."end" AS e, i.treat AS pileup, i.p, i.fe, i.q, row_number() OVER o AS r, count(*) OVER (PARTITION BY i.chrom, i.region) AS n
              FROM isl i JOIN ends d ON i.chrom = d.chrom AND i.region = d.region AND i.treat = d.top WINDOW o AS (PARTITION BY i.chrom, i.region ORDER BY i."start")),
     narrow AS (SELECT d.chrom, d."start", d."end", (s + e) // 2 AS summit, pileup, p, fe, q FROM ends d JOIN tops t ON d.chrom = t.chrom AND d.region = t.region
                WHERE r = (n + 1) // 2 AND d."end" - d."start" >= {LEAST})"""
-BROAD = f"""{SCORED}, low AS ({_islands(f'SELECT * FROM scored WHERE p > {WEAK}', 4 * GAP)}),
+
+
+def _broad(score: str, weak: float) -> str:
+    return f"""{SCORED}, low AS ({_islands(f'SELECT * FROM scored WHERE {score} > {weak}', 4 * GAP)}),
     wide AS (SELECT chrom, region, min("start") AS "start", max("end") AS "end", sum(treat * ("end" - "start")) / sum("end" - "start") AS pileup,
-                    sum(p * ("end" - "start")) / sum("end" - "start") AS p, sum(fe * ("end" - "start")) / sum("end" - "start") AS fe FROM low GROUP BY ALL
-             HAVING max("end") - min("start") >= {LEAST})"""
+                    sum(p * ("end" - "start")) / sum("end" - "start") AS p, sum(fe * ("end" - "start")) / sum("end" - "start") AS fe, sum(q * ("end" - "start")) / sum("end" - "start") AS q
+             FROM low GROUP BY ALL HAVING max("end") - min("start") >= {LEAST})"""
+
+
+NARROW, BROAD = _narrow("p", P_CUTOFF), _broad("p", WEAK)
 BLOCKS = f"""{BROAD}, core AS ({_islands(f'SELECT chrom, region AS outer_, "start", "end" FROM low WHERE p > {P_CUTOFF}', GAP, 'chrom, outer_')}),
     inner_ AS (SELECT chrom, outer_, region, min("start") AS s, max("end") AS e FROM core GROUP BY ALL HAVING max("end") - min("start") >= {LEAST}),
     parts AS (
@@ -137,6 +150,9 @@ METHODS = {
     "loglr": LOGLR, "slogllr": _llr("a", "b"),
 }
 
+POISSON = f"""{TRACKS}, src AS (SELECT chrom, {RUN}, a::DOUBLE AS treat, b::DOUBLE AS "lambda" FROM ({_aligned({"a": "ta", "b": "tb"})})),
+    pairs AS (SELECT k, l, CASE WHEN l <= 0 THEN 'infinity'::DOUBLE ELSE round(-log10({TAIL.replace("ln(l)", "ln(greatest(l, 1e-300))")}), 9) END AS p FROM (SELECT DISTINCT floor(treat + 1e-9) AS k, "lambda" AS l FROM src)),
+    {SCORES[SCORES.index("withp AS"):]}"""
 _STRANDS = {f"{k}{i}": _coverage(_extended("t" if k == "t" else "c", where=f"strand = '{s}'")) for i, s in ((1, "+"), (2, "-")) for k in "tc"}
 DIFF = f"""{BASE}, {", ".join(f"tr_{n} AS ({q})" for n, q in _STRANDS.items())},
     told AS (SELECT chrom, "start", "end", {_llr("t1", "t2")} AS ratio, {_llr("t1", "c1")} AS s1, {_llr("t2", "c2")} AS s2 FROM ({_aligned({n: f"tr_{n}" for n in _STRANDS})})),
@@ -207,7 +223,12 @@ ORACLE: dict[str, str] = {
     "scale_large": f'{BASE}, {_enriched(scale="large")} SELECT chrom, {RUN}, round(treat, 6) AS treat, round("lambda", 6) AS "lambda" FROM both_',
     "lambda_nolambda": f'{BASE}, {_enriched(local=False)} SELECT chrom, {RUN}, round(treat, 6) AS treat, round("lambda", 6) AS "lambda" FROM both_',
     "lambda_nocontrol": f'{BASE}, {_enriched(control=False)} SELECT chrom, {RUN}, round(treat, 6) AS treat, round("lambda", 6) AS "lambda" FROM both_',
+    "lambda_fragments": f'WITH {ITEMS}, {PAIRS}, {_enriched(pairs=True)} SELECT chrom, {RUN}, round(treat, 6) AS treat, round("lambda", 6) AS "lambda" FROM both_',
+    "peaks_narrow_q": f"{_narrow('q', Q_CUTOFF)} SELECT chrom, {RUN}, summit, round(pileup, 4) AS pileup, round(p, 4) AS p, round(fe, 4) AS fe, round(q, 4) AS q, 'run_peak_' || row_number() OVER (ORDER BY chrom, \"start\") AS name FROM narrow",
+    "peaks_broad_q": f"{_broad('q', Q_WEAK)} SELECT chrom, {RUN}, round(pileup, 4) AS pileup, round(p, 4) AS p, round(fe, 4) AS fe, round(q, 4) AS q, 'run_peak_' || row_number() OVER (ORDER BY chrom, \"start\") AS name FROM wide",
+    "signal_per_million": f"{BASE}, {_enriched()}, million AS (SELECT chrom, {RUN}, treat * 1e6::DOUBLE / least(tn, cn) AS value FROM both_, tot) SELECT chrom, {RUN}, round(value, 4) AS value FROM ({_compacted('SELECT * FROM million', ['value'])})",
     **{f"bdgcmp_{m}": _method(x) for m, x in METHODS.items()},
+    **{f"bdgcmp_{m}": f"{POISSON} SELECT chrom, {RUN}, round(value, 6) AS value FROM ({_compacted(f'SELECT chrom, {RUN}, {c} AS value FROM scored', ['value'])})" for m, c in (("ppois", "p"), ("qpois", "q"))},
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,13 @@ from ..functions import stats
 from ..operators import arithmetic, background, model, reads, regions, scoring, smooth, states, tracks
 from ..streaming import coverage as streaming
 from . import adapter
-from .callpeak import PeakOptions, scored_track
+from .callpeak import PeakOptions, enriched_track, scored_track, signal_tracks
+from .openregions import open_regions
 from .scratch import stored
 
 GENOME, SIZE, SMALL, LARGE = 7500.0, 8, 50, 400
 P_CUTOFF, WEAK, GAP, LEAST = 1.0, 0.6, 3, 4
+Q_CUTOFF, Q_WEAK = 0.4, 0.2
 HOW = background.Background(GENOME, SIZE, SMALL, LARGE)
 OPTIONS = PeakOptions(GENOME, fragment=SIZE, tag=GAP, keep_duplicates="all", small_local=SMALL, large_local=LARGE)
 PLACE = ("chrom", "pos", "strand")
@@ -35,6 +38,10 @@ def _track(spark: SparkSession, sf_dir: str, treated: bool) -> DataFrame:
     return tracks.coverage(reads.extend(_side(spark, sf_dir, treated), SIZE), F.col("n"))
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enriched_track(adapter.reads(spark, sf_dir, True), adapter.reads(spark, sf_dir, False), OPTIONS)
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_track(adapter.reads(spark, sf_dir, True), adapter.reads(spark, sf_dir, False), OPTIONS)
 
@@ -183,11 +190,11 @@ def track_combine(spark, sf_dir):
 
 
 def poisson_score(spark, sf_dir):
-    return _rounded(_scored(spark, sf_dir).select("chrom", "start", "end", "p"), 5, "p")
+    return _rounded(scoring.with_poisson(_runs(spark, sf_dir)).select("chrom", "start", "end", "p"), 5, "p")
 
 
 def fold_enrichment(spark, sf_dir):
-    return _rounded(_scored(spark, sf_dir).select("chrom", "start", "end", "fe"), 5, "fe")
+    return _rounded(scoring.with_fold(_runs(spark, sf_dir)).select("chrom", "start", "end", "fe"), 5, "fe")
 
 
 def qtable(spark, sf_dir):
@@ -275,6 +282,42 @@ def summits_sg(spark, sf_dir):
     return smooth.sub_summits(named, _track(spark, sf_dir, True), window=5)
 
 
+def peaks_summits(spark, sf_dir):
+    """Every sub-summit of every narrow peak, with its scores."""
+    scored = stored(_scored(spark, sf_dir), "scored-runs")
+    named = regions.named(regions.narrow_peaks(scored, P_CUTOFF, GAP, LEAST, "p"), "run")
+    return _rounded(smooth.at_summits(named, scored, SIZE), 4, "pileup", "p", "fe", "q")
+
+
+def peaks_narrow_q(spark, sf_dir):
+    """Narrow peaks by a cutoff of q."""
+    return _rounded(regions.named(regions.narrow_peaks(_scored(spark, sf_dir), Q_CUTOFF, GAP, LEAST, "q"), "run"), 4, "pileup", "p", "fe", "q")
+
+
+def peaks_broad_q(spark, sf_dir):
+    """Broad peaks by cutoffs of q, with the names of their gapped form."""
+    found = regions.broad_peaks(_scored(spark, sf_dir), Q_CUTOFF, Q_WEAK, GAP, 4 * GAP, LEAST, "q")
+    return _rounded(regions.named(found, "run").select("chrom", "start", "end", "pileup", "p", "fe", "q", "name"), 4, "pileup", "p", "fe", "q")
+
+
+def signal_per_million(spark, sf_dir):
+    """The treatment's signal behind a call, by a million reads of the smaller depth."""
+    options = replace(OPTIONS, per_million=True)
+    treat, _ = signal_tracks(adapter.reads(spark, sf_dir, True), adapter.reads(spark, sf_dir, False), options)
+    return _rounded(treat, 4, "value")
+
+
+def predictd_model(spark, sf_dir):
+    """The fragment length by paired peaks of the two strands."""
+    return model.model_length(_side(spark, sf_dir, True), GENOME, (0.5, 50), 20, 2)
+
+
+def open_states(spark, sf_dir):
+    """Stretches in the open state of digested fragment lengths."""
+    found = open_regions(_fragments(spark, sf_dir), [(5.0, 3.0), (20.0, 5.0), (35.0, 5.0), (48.0, 3.0)], step=4, sequence_bins=200, min_length=4, rounds=3)
+    return _rounded(found, 4, "posterior")
+
+
 def _state_rows(spark, sf_dir) -> DataFrame:
     found = tracks.align({"a": _track(spark, sf_dir, True), "b": _track(spark, sf_dir, False)})
     return found.select("chrom", "start", F.log1p("a").alias("x"), F.log1p("b").alias("y"))
@@ -317,7 +360,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     read_stats, tag_size, redundant_rate, filterdup_1, filterdup_auto, filterdup_all, fragments_dedup, fragment_counts_wrapped, intervals_normalised, union_replicates,
     binomial_limit, mean_fragment, shifted_extension, pileup_se, pileup_pe, pileup_weighted, pileup_signals, scale_small, scale_large, lambda_nolambda, lambda_nocontrol,
     lambda_fragments, track_align, track_compact, track_transform, track_combine, poisson_score, fold_enrichment, qtable, score_histogram, peaks_narrow, summits,
-    peaks_broad, peaks_gapped, cutoff_analysis, bdgpeakcall, bdgdiff, reads_in_regions, refinepeak, predictd, digestion, randsample, summits_sg, kmeans_state,
+    peaks_broad, peaks_gapped, cutoff_analysis, bdgpeakcall, bdgdiff, reads_in_regions, refinepeak, predictd, digestion, randsample, summits_sg, peaks_summits, peaks_narrow_q, peaks_broad_q, signal_per_million, predictd_model, open_states, kmeans_state,
     hmm_posterior, stream_counts, stream_pileup, *[_arithmetic(m) for m in (*arithmetic.METHODS, "ppois", "qpois")],
 ]
 

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: later branches read runs, not the sweep, and a lost executor costs a read.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset is one made.
+    The folder is ``spark.checkpoint.dir``; only on a single machine is one made where that is unset.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root}/strandlake/{name}-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
 
 
 def _six_digits(values: pd.Series) -> pd.Series:
@@ -54,13 +55,14 @@ def summits(peaks: DataFrame) -> DataFrame:
 
 def peak_table(peaks: DataFrame) -> DataFrame:
     """The spreadsheet rows, one-based, with a summit column where the peaks have one."""
-    middle = [(F.col("summit") + 1).cast("string")] if "summit" in peaks.columns else []
+    middle = [(F.col("summit") + 1).cast("string")] if "summit" in peaks.columns else []  # which broad peaks have not
     return _ordered(peaks).select(_row(F.col("chrom"), F.col("start") + 1, F.col("end"), F.col("end") - F.col("start"), *middle, six_digits("pileup"), six_digits("p"), six_digits("fe"), six_digits("q"), F.col("name")))
 
 
-def bedgraph(track: DataFrame, value: str = "value") -> DataFrame:
-    """Four columns, values with five decimals."""
-    return _ordered(track).select(_row(F.col("chrom"), F.col("start"), F.col("end"), F.format_string("%.5f", F.col(value).cast("double"))))
+def bedgraph(track: DataFrame, value: str = "value", single: bool = False) -> DataFrame:
+    """Four columns, values with five decimals; with ``single`` the values are those of single precision."""
+    number = F.col(value).cast("float").cast("double") if single else F.col(value).cast("double")
+    return _ordered(track).select(_row(F.col("chrom"), F.col("start"), F.col("end"), F.format_string("%.5f", number)))
 
 
 def bed_reads(reads: DataFrame, length: int) -> DataFrame:
@@ -69,11 +71,31 @@ def bed_reads(reads: DataFrame, length: int) -> DataFrame:
     return reads.orderBy("chrom", F.col("strand") == "-", "pos").select(_row(F.col("chrom"), start, start + length, ".", ".", F.col("strand")))
 
 
+def table_columns(broad: bool = False) -> str:
+    """The line of column names of the spreadsheet rows."""
+    return "\t".join(["chr", "start", "end", "length", *([] if broad else ["abs_summit"]), "pileup", "-log10(pvalue)", "fold_enrichment", "-log10(qvalue)", "name"])
+
+
 def track_line(name: str, description: str) -> str:
     """The heading that region files carry even where they are empty."""
     return f'track name="{name}" description="{description}" visibility=1'
 
 
+def with_heading(lines: DataFrame, heading: list[str]) -> DataFrame:
+    """The heading's lines in a partition of their own before the others, so that they are there where there are no others."""
+    spark = lines.sparkSession
+    return spark.createDataFrame([(x,) for x in heading], "value string").coalesce(1).union(lines)
+
+
+def condition_regions(found: DataFrame, kind: str, name: str) -> DataFrame:
+    """The regions of one kind of difference: a heading, then place, numbered name and score with five decimals."""
+    rows = _ordered(found.where(F.col("kind") == kind))
+    number = F.row_number().over(Window.partitionBy("chrom").orderBy("start", "end"))
+    lines = rows.select("chrom", "start", "end", number.alias("number"), "score").orderBy("chrom", "start", "end")
+    named = F.concat(F.lit(f"{name}_{kind}_"), F.col("chrom"), F.lit("_"), F.col("number"))
+    return with_heading(lines.select(_row(F.col("chrom"), F.col("start"), F.col("end"), named, F.format_string("%.5f", F.col("score").cast("double")))), [track_line(name, f"regions of kind {kind}")])
+
+
 def _ordered(rows: DataFrame) -> DataFrame:
     return rows.orderBy("chrom", "start", "end")
 

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from strandlake.plans import oracle, queries
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ["read_stats", "filterdup_auto", "fragments_dedup", "pileup_se", "pileup_weighted", "scale_small", "lambda_nocontrol", "track_align", "bdgcmp_loglr", "poisson_score", "qtable", "peaks_narrow", "peaks_gapped", "bdgdiff", "refinepeak", "predictd", "stream_counts"]
+CHECKED = ["read_stats", "filterdup_auto", "fragments_dedup", "pileup_se", "pileup_weighted", "scale_small", "lambda_nocontrol", "track_align", "bdgcmp_loglr", "poisson_score", "qtable", "peaks_narrow", "peaks_gapped", "bdgdiff", "refinepeak", "predictd", "stream_counts", "lambda_fragments", "bdgcmp_ppois", "bdgcmp_qpois", "peaks_narrow_q", "peaks_broad_q", "signal_per_million"]
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +43,6 @@ def test_query_equals_sql(spark, duck, name):
             assert (got[c].astype(str) == want[c].astype(str)).all(), c
 
 
-@pytest.mark.parametrize("name", ["bdgcmp_ppois", "bdgcmp_qpois", "lambda_fragments", "randsample", "summits_sg", "kmeans_state", "hmm_posterior"])
+@pytest.mark.parametrize("name", ["randsample", "summits_sg", "peaks_summits", "predictd_model", "open_states", "kmeans_state", "hmm_posterior"])
 def test_query_without_sql_has_rows(spark, name):
     assert queries.queries()[name](spark, DATA).count() > 0

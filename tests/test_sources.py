@@ -44,3 +44,15 @@ def test_tracks_and_reads(spark):
     ends = spark.createDataFrame([("c", 300, "+"), ("c", 300, "-"), ("c", 100, "+")], "chrom string, pos long, strand string")
     assert [r[0].split("\t")[1] + r[0][-1] for r in writers.bed_reads(ends, 50).collect()] == ["100+", "300+", "250-"]
     assert writers.track_line("n", "d") == 'track name="n" description="d" visibility=1'
+
+
+def test_headings_stand_before_the_rows(spark, tmp_path):
+    from strandlake.sources import writers
+
+    found = spark.createDataFrame([("cond1", "c", 5, 9, 3.25), ("common", "c", 1, 2, 9.0), ("cond1", "b", 7, 8, 4.0)], "kind string, chrom string, start long, end long, score double")
+    for kind, rows in (("cond1", ["b\t7\t8\tx_cond1_b_1\t4.00000", "c\t5\t9\tx_cond1_c_1\t3.25000"]), ("cond2", [])):
+        lines = writers.condition_regions(found, kind, "x")
+        assert [r["value"] for r in lines.collect()] == [writers.track_line("x", f"regions of kind {kind}"), *rows]
+        writers.write(lines, f"{tmp_path}/{kind}")
+        text = "".join(p.read_text() for p in sorted((tmp_path / kind).glob("part-*")))
+        assert text.splitlines()[0].startswith("track") and text.splitlines()[1:] == rows

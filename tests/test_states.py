@@ -100,3 +100,57 @@ def test_fragment_length(spark):
     rows = [("c", int(a), "+") for a in at] + [("c", int(a) + 150, "-") for a in at]
     got = model.fragment_length(spark.createDataFrame(rows, "chrom string, pos long, strand string"), 400).first()
     assert got["d"] == 150 and got["pairs"] >= 300
+
+
+def test_clusters_with_known_centres():
+    # Points, and the centres and inertia of the best clustering.
+    x = [(0.0, 0.0), (0.2, 0.0), (0.0, 0.2), (10.0, 10.0), (10.2, 10.0), (10.0, 10.2), (20.0, 0.0), (20.2, 0.0), (20.0, 0.2), (10.3, 10.1), (0.1, 0.2), (20.1, 0.1)]
+    centres, inertia = states.kmeans(np.array(x), 3)
+    assert centres == pytest.approx(np.array([[0.075, 0.1], [10.125, 10.075], [20.075, 0.075]]), abs=1e-12)
+    assert inertia == pytest.approx(0.2175, abs=1e-12)
+
+
+def test_open_regions_follow_short_fragments(spark):
+    import random
+
+    from strandlake.plans.openregions import digested_signal, open_regions
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(6):
+        for _ in range(250):  # short fragments pile up over 400 bases
+            left = 20_000 * k + 5_000 + rng.randint(0, 350)
+            rows.append(("c", left, left + rng.randint(35, 70), 1))
+        for _ in range(500):  # and long ones everywhere
+            left = 20_000 * k + rng.randint(0, 15_000)
+            rows.append(("c", left, left + rng.choice((200, 400, 600)) + rng.randint(-15, 15), 1))
+    df = spark.createDataFrame(rows, "chrom string, left long, right long, n long")
+    total = digested_signal(df).selectExpr("sum(s0 + s1 + s2 + s3) * 10").first()[0]
+    assert total == pytest.approx(sum(r[2] - r[1] for r in rows), rel=1e-3)
+    found = open_regions(df).collect()
+    for k in range(6):
+        inside = [r for r in found if r["start"] < 20_000 * k + 5_420 and r["end"] > 20_000 * k + 5_000]
+        assert sum(min(r["end"], 20_000 * k + 5_420) - max(r["start"], 20_000 * k + 5_000) for r in inside) > 300
+    assert sum(r["end"] - r["start"] for r in found) < 6 * 800
+    assert open_regions(df.limit(0)).count() == 0
+
+
+def test_fragment_length_of_paired_peaks(spark):
+    import random
+
+    from strandlake.operators import model
+
+    rng = random.Random(7)
+    rows = []
+    for k in range(25):
+        middle = 4_000 * k + 2_000
+        for _ in range(60):
+            at = middle + round(rng.gauss(0, 25))
+            rows += [("c", at - 75, "+"), ("c", at + 75, "-")]
+    rows += [("c", rng.randrange(100_000), rng.choice("+-")) for _ in range(600)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, strand string")
+    got = model.model_length(df, 100_000.0, (2, 50), 300).first()
+    assert got["n_pairs"] >= 20 and abs(got["d"] - 150) <= 10
+    assert model.model_length(df, 100_000.0, (900, 1000)).first()["d"] is None
+    with pytest.raises(ValueError, match="low and a high"):
+        model.paired_peaks(df, 1e5, (5,))

@@ -73,3 +73,33 @@ def test_arithmetic_rejects_unknown_methods(spark):
     a = spark.createDataFrame([("x", 0, 10, 3.0)], "chrom string, start long, end long, value double")
     with pytest.raises(ValueError):
         arithmetic.compare(a, a, "nonsense")
+
+
+def test_alignment_keeps_every_value(spark):
+    inf = float("inf")
+    a = spark.createDataFrame([("c", 0, 10, inf), ("c", 10, 20, 3e-11), ("c", 30, 40, 1e300), ("d", 5, 6, -inf)], "chrom string, start long, end long, value double")
+    b = spark.createDataFrame([("c", 5, 35, inf), ("c", 35, 36, 2.5)], "chrom string, start long, end long, value double")
+    for width in (1 << 18, 7):
+        got = sorted((r["chrom"], r["start"], r["end"], r["a"], r["b"]) for r in tracks.align({"a": a, "b": b}, bin_width=width).collect())
+        assert got == [("c", 0, 5, inf, 0.0), ("c", 5, 10, inf, inf), ("c", 10, 20, 3e-11, inf), ("c", 20, 30, 0.0, inf), ("c", 30, 35, 1e300, inf), ("c", 35, 36, 1e300, 2.5), ("c", 36, 40, 1e300, 0.0), ("d", 5, 6, -inf, 0.0)]
+
+
+def test_islands_and_names_do_not_depend_on_bins(spark):
+    import random
+
+    from strandlake.operators import regions
+
+    rng = random.Random(4)
+    rows = [(rng.choice("cd"), s, s + rng.randint(1, 60)) for s in (rng.randrange(4000) for _ in range(150))]
+    df = spark.createDataFrame(rows, "chrom string, start long, end long")
+    want = sorted((r["chrom"], r["start"], r["end"], r["region"]) for r in regions.islands(df, 5, bin_width=1 << 18).collect())
+    reach = {}
+    for c, s, e in sorted(rows):
+        far, region = reach.get(c, (None, None))
+        region = s if far is None or s - far > 5 else region
+        reach[c] = (e if far is None else max(far, e), region)
+        assert (c, s, e, region) in want
+    for width in (16, 100, 1000):
+        assert sorted((r["chrom"], r["start"], r["end"], r["region"]) for r in regions.islands(df, 5, bin_width=width).collect()) == want
+    names = [sorted((r["name"], r["chrom"], r["start"], r["end"]) for r in regions.named(df.distinct(), "n", width).collect()) for width in (64, 1 << 18)]
+    assert names[0] == names[1] and len({n for n, *_ in names[0]}) == len(names[0])
