@@ -36,7 +36,7 @@ def strand_peaks(reads: DataFrame, genome_size: float, fold_range: tuple[float,
     Reads of one strand are counted in windows of ``2 * band`` around each base; a
     stretch is where the count is at least the low end of the fold range times
     what the genome has on average, and it is taken where its highest count is
-    not above the high end.  Its center is the middle of its first highest run.
+    not above the high end.  Its center is its middle.
     """
     n = F.col("n") if "n" in reads.columns else F.lit(1).cast("long")
     width = 2 * band
@@ -44,9 +44,9 @@ def strand_peaks(reads: DataFrame, genome_size: float, fold_range: tuple[float,
     totals = reads.groupBy("strand").agg(F.sum(n).alias("total"))
     runs = coverage(around, F.col("n")).withColumn("strand", F.substring_index("chrom", "\t", 1))
     folds = runs.join(F.broadcast(totals), "strand").withColumn("fold", F.col("value") / (F.col("total") * width / F.lit(float(genome_size)))).where(F.col("fold") >= fold_range[0])
-    top = F.max(F.struct(F.col("fold").alias("f"), (-F.col("start")).alias("s"), F.col("end").alias("e"))).alias("top")
-    found = islands(folds, 0).groupBy("chrom", "strand", "region").agg(top).where(F.col("top.f") <= fold_range[1])
-    return found.select(F.substring_index("chrom", "\t", -1).alias("chrom"), "strand", F.floor((F.col("top.e") - F.col("top.s")) / 2).alias("center"))
+    ends = (F.min("start") + F.max("end")).alias("ends")
+    found = islands(folds, 0).groupBy("chrom", "strand", "region").agg(F.max("fold").alias("top"), ends).where(F.col("top") <= fold_range[1])
+    return found.select(F.substring_index("chrom", "\t", -1).alias("chrom"), "strand", F.floor(F.col("ends") / 2).alias("center"))
 
 
 def paired_peaks(reads: DataFrame, genome_size: float, fold_range: tuple[float, float] = (5, 50), band: int = 300) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .regions import overlapping
 
 
+#: Bases that coverage is smoothed over at least.
+NARROWEST = 51
+
+
 def savitzky_golay_slope(signal: np.ndarray, window: int) -> np.ndarray:
     """First derivative of the least-squares parabola over a centred window; ends are padded by their values.
 

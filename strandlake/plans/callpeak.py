@@ -74,7 +74,7 @@ def call_narrow(treat: DataFrame, control: DataFrame | None, options: PeakOption
     cutoff, score = (options.q_cutoff, "q") if options.p_cutoff is None else (options.p_cutoff, "p")
     scored = scored_track(treat, control, options, paired)
     found = regions.named(regions.narrow_peaks(scored, -math.log10(cutoff), options.gap, options.least, score), options.name)
-    return smooth.at_summits(found, scored, options.fragment) if options.call_summits else found
+    return smooth.at_summits(found, scored, max(smooth.NARROWEST, options.fragment)) if options.call_summits else found
 
 
 def signal_tracks(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> tuple[DataFrame, DataFrame]:
