@@ -107,8 +107,8 @@ def text_digest(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
-    """(doc_id, digest) of every row, and further columns of it."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), *[c.alias(n) for n, c in (also or {}).items()])
+    """(doc_id, digest) of every row, and further columns of it, named own_ and their name."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), *[c.alias(f"own_{n}") for n, c in (also or {}).items()])
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
@@ -200,4 +200,4 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, per_shar
     classes = stored(look_up(index, new, shards), "digest-classes")
     out = by_class(rows, classes, "digest", "size", rows.count())
     kept = F.col("doc_id").eqNullSafe(F.col("locator")).alias("kept")
-    return out.select("doc_id", "digest", F.col("locator").alias("keep_id"), F.col("size").alias("group_size"), kept, *(also or {}))
+    return out.select("doc_id", "digest", F.col("locator").alias("keep_id"), F.col("size").alias("group_size"), kept, *[F.col(f"own_{n}").alias(n) for n in also or {}])

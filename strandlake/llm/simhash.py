@@ -76,14 +76,14 @@ HOT = 1024
 
 
 def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, also: dict[str, Column] | None = None) -> DataFrame:
-    """(doc_id, fp long) of every row, and further columns of it; null and empty texts have fingerprint zero."""
+    """(doc_id, fp long) of every row, and further columns of it, named own_ and their name; null and empty texts have fingerprint zero."""
 
     def work(texts: list[str]) -> list[np.ndarray]:
         return [np.array([fingerprint(t, size, seed) for t in texts], np.uint64).view(np.int64)]
 
     also = also or {}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(n) for n, c in also.items()])
-    return map_texts(rows, work, "fp long", keep=("doc_id", *also))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(f"own_{n}") for n, c in also.items()])
+    return map_texts(rows, work, "fp long", keep=("doc_id", *[f"own_{n}" for n in also]))
 
 
 def block_masks(blocks: int, max_bits: int) -> list[int]:
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, seed: int = 42, max_bits: in
     named = classes.join(roots, "fp", "left").select("fp", "n", F.coalesce("root", name).alias("root"))
     named = stored(named.select("fp", "n", F.col("root.least").alias("component_id"), F.col("root.fp").alias("group")), "fingerprint-components")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    return by_class(prints, named, "fp", "n", total).select("doc_id", "fp", "component_id", "group", *(also or {}))
+    return by_class(prints, named, "fp", "n", total).select("doc_id", "fp", "component_id", "group", *[F.col(f"own_{n}").alias(n) for n in also or {}])
 
 
 def fingerprint_hex(fp):

@@ -95,7 +95,7 @@ def test_hot_classes_join_like_any_other(spark):
 
 def test_exact_duplicates_carry_columns(spark):
     got = exact.exact_duplicates(table(spark, [(1, "a"), (2, "A")]), also={"size": F.length("text"), "lang2": F.col("lang")})
-    assert sorted((r["doc_id"], r["kept"], r["lang2"]) for r in got.collect()) == [(1, False, "en"), (2, True, "en")]
+    assert sorted((r["doc_id"], r["kept"], r["size"], r["lang2"]) for r in got.collect()) == [(1, False, 1, "en"), (2, True, 1, "en")]
 
 
 # SimHash
