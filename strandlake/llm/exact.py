@@ -58,7 +58,11 @@ class PerfectHash:
 
     @classmethod
     def build(cls, digests: list[bytes]) -> PerfectHash:
-        low, high = _halves(digests)
+        return cls.build_words(*_halves(digests))
+
+    @classmethod
+    def build_words(cls, low: np.ndarray, high: np.ndarray) -> PerfectHash:
+        """The hash of keys given as two words each, which are distinct in the first or the second."""
         levels = []
         while len(low):
             size = max(64, GAMMA * len(low))
@@ -70,11 +74,12 @@ class PerfectHash:
         return cls(levels)
 
     def slots(self, digests: list[bytes]) -> np.ndarray:
-        out = np.full(len(digests), -1, np.int64)
-        if not digests:
-            return out
-        low, high = _halves(digests)
-        open_ = np.arange(len(digests))
+        return self.slots_of(*_halves(digests)) if digests else np.empty(0, np.int64)
+
+    def slots_of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The slots of keys given as two words each."""
+        out = np.full(len(low), -1, np.int64)
+        open_ = np.arange(len(low))
         for k, bits in enumerate(self.levels):
             at = _level_hash(low[open_], high[open_], k, len(bits))
             hit = bits[at]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, embeddings, exact, lines, lm, packing, pii, simhash, toxicity, urltemplates
+from . import bytebpe, crosstok, embeddings, exact, lines, lm, packing, pii, simhash, toxicity, urltemplates
 from .common import crc_fold, table
 
 
@@ -78,6 +78,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text aligned between two tokenizers, with how usual its links are in the corpus."""
+    return crosstok.align(table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL = {
     "op10_exact_dedup": """
         WITH d AS (
@@ -91,7 +96,7 @@ ORACLE_SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator's query over its whole table."""
-    return {f.__name__: f for f in (op1_gru_lm, op2_packing, op3_url_templates, op4_pii, op5_byte_bpe, op6_toxicity, op7_line_dedup, op8_embeddings, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_gru_lm, op2_packing, op3_url_templates, op4_pii, op5_byte_bpe, op6_toxicity, op7_line_dedup, op8_embeddings, op9_simhash, op10_exact_dedup, op13_crosstok)}
 
 
 def oracle_sql() -> dict[str, str]:
