@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, crosstok, embeddings, exact, lines, lm, packing, pii, simhash, toxicity, urltemplates
+from . import bytebpe, crosstok, decontaminate, embeddings, exact, lines, lm, packing, pii, simhash, toxicity, urltemplates
 from .common import crc_fold, table
 
 
@@ -78,6 +78,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a ten-word run of a benchmark item, and the items."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op13_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text aligned between two tokenizers, with how usual its links are in the corpus."""
     return crosstok.align(table(spark, sf_dir, "documents"))
@@ -91,12 +98,23 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op12_decontaminate": r"""
+        WITH low AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        d AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+        b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+        h AS (SELECT DISTINCT r, i, n FROM dw SEMI JOIN bw USING (n, s)),
+        hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
+        its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT dw.r, bw.item FROM dw JOIN bw USING (n, s)) GROUP BY r)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator's query over its whole table."""
-    return {f.__name__: f for f in (op1_gru_lm, op2_packing, op3_url_templates, op4_pii, op5_byte_bpe, op6_toxicity, op7_line_dedup, op8_embeddings, op9_simhash, op10_exact_dedup, op13_crosstok)}
+    return {f.__name__: f for f in (op1_gru_lm, op2_packing, op3_url_templates, op4_pii, op5_byte_bpe, op6_toxicity, op7_line_dedup, op8_embeddings, op9_simhash, op10_exact_dedup, op12_decontaminate, op13_crosstok)}
 
 
 def oracle_sql() -> dict[str, str]:
