@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, crosstok, decontaminate, embeddings, exact, lines, lm, packing, pii, simhash, toxicity, urltemplates
+from . import bytebpe, covertree, crosstok, decontaminate, embeddings, exact, lines, lm, packing, pii, simhash, toxicity, urltemplates
 from .common import crc_fold, table
 
 
@@ -78,6 +78,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every anchor's positives the negatives that score nearly as high."""
+    return covertree.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a ten-word run of a benchmark item, and the items."""
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -98,6 +103,16 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op11_hard_negatives": """
+        WITH e AS (SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS (SELECT vec_id, label, v, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+        s AS (SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, sum(a.x * c.x) AS score FROM parts a JOIN parts c USING (i) WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+        p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own AND vec_id IS DISTINCT FROM anchor_id
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id NULLS LAST) <= 5),
+        n AS (SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id NULLS LAST) AS rank
+            FROM p JOIN s USING (anchor_id) WHERE s.label <> p.own AND 80 * positive_score <= 100 * score AND score <= positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, CAST(positive_score AS BIGINT) AS positive_score, CAST(negative_score AS BIGINT) AS negative_score FROM n WHERE rank <= 5""",
     "op12_decontaminate": r"""
         WITH low AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         d AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
@@ -114,7 +129,7 @@ ORACLE_SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator's query over its whole table."""
-    return {f.__name__: f for f in (op1_gru_lm, op2_packing, op3_url_templates, op4_pii, op5_byte_bpe, op6_toxicity, op7_line_dedup, op8_embeddings, op9_simhash, op10_exact_dedup, op12_decontaminate, op13_crosstok)}
+    return {f.__name__: f for f in (op1_gru_lm, op2_packing, op3_url_templates, op4_pii, op5_byte_bpe, op6_toxicity, op7_line_dedup, op8_embeddings, op9_simhash, op10_exact_dedup, op11_hard_negatives, op12_decontaminate, op13_crosstok)}
 
 
 def oracle_sql() -> dict[str, str]:
