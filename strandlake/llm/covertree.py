@@ -18,8 +18,7 @@ smallest ids, which are all that a ranking can ask for.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,35 +114,47 @@ class CoverTree:
             part = order[k : k + LEAF]
             self.children[node].append(self._node(self.centers[node], gaps[part], ids[part]))
 
-    def search(self, queries: np.ndarray, reach, take) -> None:
-        """Show ``take(query number, ids, scores)`` the leaves that may matter, best first.
+    def _bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(upper, lower) bounds of the scores below each node for each query, level by level: a child's are never wider than its parent's."""
+        wide = queries.astype(np.float64)
+        sizes = np.sqrt((wide**2).sum(axis=1))
+        both = (sizes**2 + self.top**2)[:, None]
+        distance = np.sqrt(np.maximum(0.0, both - 2 * wide @ self.points[self.centers].T.astype(np.float64)))
+        near, far = np.array(self.near), np.array(self.far)
+        slack = 1e-7 * (both + 1) + 0.5
+        upper = (both - np.maximum(0.0, np.maximum(distance - far, near - distance)) ** 2) / 2 + slack
+        lower = np.minimum((both - (distance + far) ** 2) / 2 - slack, HIGHEST)
+        level = self.children[0]
+        parent = np.zeros(len(self.centers), np.int64)
+        for node, children in enumerate(self.children):
+            parent[children] = node
+        while level:
+            upper[:, level] = np.minimum(upper[:, level], upper[:, parent[level]])
+            lower[:, level] = np.maximum(lower[:, level], lower[:, parent[level]])
+            level = [c for node in level for c in self.children[node]]
+        return upper, lower
+
+    def search(self, queries: np.ndarray, floor: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query numbers, candidates, their scores) of the leaves that may matter, each query's best first.
 
-        ``reach(query number)`` is the array of windows (low, high) that still
-        matter, asked again after each leaf.
+        A query is done when the best leaf that is left lies below its
+        ``floor``, which the caller raises as it learns; leaves above ``high``
+        are left out.  Queries that go to one leaf at once are scored together.
         """
         if not self.centers or not len(queries):
             return
-        sizes = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-        both = sizes**2 + self.top**2
-        distance = np.sqrt(np.maximum(0.0, both[:, None] - 2 * queries.astype(np.float64) @ self.points[self.centers].T.astype(np.float64)))
-        slack = 1e-7 * (both + 1) + 0.5
-        near, far = np.array(self.near), np.array(self.far)
-        least = np.maximum(0.0, np.maximum(distance - far, near - distance))
-        upper = np.minimum((both[:, None] - least**2) / 2, (sizes * self.top)[:, None]) + slack[:, None]
-        lower = np.maximum((both[:, None] - (distance + far) ** 2) / 2, -(sizes * self.top)[:, None]) - slack[:, None]
-        lower = np.minimum(lower, HIGHEST)
-        for q in range(len(queries)):
-            ups, lows, windows = upper[q].tolist(), lower[q].tolist(), reach(q)
-            heap = [(-ups[0], 0)]
-            while heap and -heap[0][0] >= windows[:, 0].min():
-                best, node = heapq.heappop(heap)
-                if not ((-best >= windows[:, 0]) & (lows[node] <= windows[:, 1])).any():
-                    continue
-                if (leaf := self.leaves[node]) is not None:
-                    take(q, leaf, scores(queries[q : q + 1], self.points[leaf])[0])
-                    windows = reach(q)
-                for child in self.children[node]:
-                    heapq.heappush(heap, (-min(ups[child], -best), child))
+        upper, lower = self._bounds(queries)
+        leaves = np.array([k for k, x in enumerate(self.leaves) if x is not None])
+        order = leaves[np.argsort(-upper[:, leaves], axis=1, kind="stable")]
+        rows, alive = np.arange(len(queries)), np.ones(len(queries), bool)
+        for own in order.T:
+            alive &= upper[rows, own] >= floor
+            if not alive.any():
+                return
+            todo = np.flatnonzero(alive & (lower[rows, own] <= high))
+            for leaf in np.unique(own[todo]).tolist():
+                at = todo[own[todo] == leaf]
+                yield at, self.leaves[leaf], scores(queries[at], self.points[self.leaves[leaf]])
 
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -356,22 +367,23 @@ def _met(requests: DataFrame, trees: Trees, most: int, same: bool) -> DataFrame:
             labels, ids = np.array(held.column("label").to_pylist(), np.int64), held.column("ids").to_pylist()
             queries = _list_matrix(wanted.column("vector").combine_chunks(), width)
             whose = wanted.drop_columns(["vector"]).to_pylist()
+            label = np.array([r["label"] for r in whose], np.int64)
             best = [[[] for _ in r["windows"]] for r in whose]
-            limits = [np.array([(w["floor"], w["high"]) for w in r["windows"]], np.float64) for r in whose]
-
-            def take(q: int, leaf: np.ndarray, found: np.ndarray) -> None:
-                right = np.flatnonzero((labels[leaf] == whose[q]["label"]) == same)
-                near = found[right].astype(np.float64)
-                for k, w in enumerate(whose[q]["windows"]):
-                    low, high = limits[q][k]
-                    inside = right[(near >= low) & (near <= high)]
-                    fresh = [(-int(found[i]), x is None, x) for i in inside if w["low"] <= found[i] <= w["high"] for x in ids[leaf[i]] if not (same and x == whose[q]["anchor_id"])]
-                    if fresh:
-                        best[q][k] = sorted(best[q][k] + fresh, key=lambda x: (x[0], x[1], x[2] or 0))[:most]
-                        if len(best[q][k]) == most:
-                            limits[q][k, 0] = max(low, float(-best[q][k][-1][0]))
-
-            tree.search(queries, lambda q: limits[q], take)
+            lows = [[w["floor"] for w in r["windows"]] for r in whose]
+            floor, high = np.array([min(x) for x in lows], np.float64), np.array([max(w["high"] for w in r["windows"]) for r in whose], np.float64)
+            for at, leaf, found in tree.search(queries, floor, high):
+                near = found.astype(np.float64)
+                right = ((labels[leaf][None] == label[at][:, None]) == same) & (near >= floor[at][:, None]) & (near <= high[at][:, None])
+                for row in np.flatnonzero(right.any(axis=1)).tolist():
+                    q, columns = int(at[row]), np.flatnonzero(right[row])
+                    each = list(zip(found[row, columns].tolist(), leaf[columns].tolist()))
+                    for k, w in enumerate(whose[q]["windows"]):
+                        fresh = [(-score, x is None, x) for score, i in each if lows[q][k] <= score <= w["high"] for x in ids[i] if not (same and x == whose[q]["anchor_id"])]
+                        if fresh:
+                            best[q][k] = sorted(best[q][k] + fresh, key=lambda x: (x[0], x[1], x[2] or 0))[:most]
+                            if len(best[q][k]) == most:
+                                lows[q][k] = max(lows[q][k], -best[q][k][-1][0])
+                    floor[q] = min(lows[q])
             out = [(r["request"], w["window"], -score, x) for r, b in zip(whose, best) for w, own in zip(r["windows"], b) for score, _, x in own]
         columns = list(zip(*out)) or [[]] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["request", "window", "score", "vec_id"])

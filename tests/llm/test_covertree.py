@@ -90,12 +90,10 @@ def test_tree_shows_every_leaf_that_matters():
     true, shown = asked @ points.T, 0
     for low, high in ((-np.inf, np.inf), (50_000, 120_000), (400_000, np.inf)):
         seen = [set() for _ in asked]
-
-        def take(q, leaf, found):
-            assert (found == true[q][leaf]).all()
-            seen[q] |= set(leaf.tolist())
-
-        tree.search(asked, lambda q: np.array([(low, high)]), take)
+        for at, leaf, scored in tree.search(asked, np.full(20, low), np.full(20, high)):
+            assert (scored == true[at][:, leaf]).all()
+            for q in at:
+                seen[q] |= set(leaf.tolist())
         for q in range(20):
             assert set(np.flatnonzero((true[q] >= low) & (true[q] <= high)).tolist()) <= seen[q]
         shown += sum(map(len, seen))
@@ -105,8 +103,8 @@ def test_tree_shows_every_leaf_that_matters():
 def test_scores_beyond_doubles():
     a = np.array([[1 << 40, 3], [1 << 62, 1]], np.int64)
     assert covertree.scores(a, a).tolist() == [[covertree.HIGHEST] * 2] * 2
-    b = np.array([[(1 << 31) + 1, 3], [-(1 << 33), 5]], np.int64)
-    assert covertree.scores(b, b[:1]).tolist() == [[((1 << 31) + 1) ** 2 + 9], [-(1 << 33) * ((1 << 31) + 1) + 15]]
+    b = np.array([[(1 << 29) + 1, 3], [-(1 << 31), 5]], np.int64)
+    assert covertree.scores(b, b[:1]).tolist() == [[((1 << 29) + 1) ** 2 + 9], [-(1 << 31) * ((1 << 29) + 1) + 15]]
 
 
 @pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
