@@ -141,21 +141,26 @@ class Remembered:
     def __init__(self, model: Aligner, make):
         self.model, self.make, self.young, self.old = model, make, {}, {}
 
+    def _keep(self, piece: str, value):
+        if len(piece) <= LONGEST:
+            if len(self.young) >= PIECES:
+                self.old, self.young = self.young, {}
+            self.young[piece] = value
+        return value
+
     def of(self, texts: list[str]) -> list[tuple[list[str], dict]]:
         """For each text its pieces in order, and the batch's values by piece."""
         cut = [PLACE.split(" " + t) if t else [] for t in texts]
         found, new = {}, []
         for piece in {p for pieces in cut for p in pieces}:
-            if (got := self.young.get(piece, 0)) == 0 and (got := self.old.get(piece, 0)) == 0:
-                new.append(piece)
+            if piece in self.young:
+                found[piece] = self.young[piece]
+            elif piece in self.old:
+                found[piece] = self._keep(piece, self.old[piece])
             else:
-                found[piece] = got
+                new.append(piece)
         for piece, value in zip(new, self.make(self.model.align(new)) if new else ()):
-            found[piece] = value
-            if len(piece) <= LONGEST:
-                if len(self.young) >= PIECES:
-                    self.old, self.young = self.young, {}
-                self.young[piece] = value
+            found[piece] = self._keep(piece, value)
         return [(pieces, found) for pieces in cut]
 
 
