@@ -26,11 +26,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +42,15 @@ from .common import forget, free_name, map_texts, shards_for, small_batches, sto
 from .exact import PerfectHash
 
 #: Single spaces between other characters: both tokenizers have a token's end before each.
-PLACE = re.compile(r"(?<=\S)(?= \S)")
+PLACE = re.compile(r"(?<=\S) (?=\S)")
+#: Where white space follows white space, or ends a text, not every space is such a place.
+WIDE = re.compile(r"\s\s|\s\Z")
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Distinct pairs of a shard, about, and shards that a worker holds at once.
 PER_SHARD = 1 << 18
 HELD = 16
-#: Pieces of one generation of a worker's memory, and the longest piece that is remembered.
-PIECES = 120_000
-LONGEST = 200
+#: Pieces that a worker remembers before it begins anew.
+PIECES = 400_000
 #: Distinct pairs that a task gathers before it hands them on.
 GATHERED = 1 << 20
 
@@ -61,15 +62,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-@dataclass
+def pieces_of(text: str) -> list[str]:
+    """A space and ``text``, cut before each place, every piece without its first space; none for the empty text."""
+    if not text:
+        return []
+    return PLACE.split(text) if WIDE.search(text) or text[0].isspace() else text.split(" ")
+
+
 class Aligned:
-    """A piece of text: its numbers of tokens and groups, its links as pair codes, and the groups in writing."""
+    """Pieces aligned: by piece the numbers of tokens, groups and links, and all links as pair codes in order; pieces that do not come back byte by byte have none."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    links: np.ndarray
-    written: bytes
+    def __init__(self, good: np.ndarray, numbers: np.ndarray, links: np.ndarray, written: list[bytes] | None):
+        self.good, self.numbers, self.links, self.written = good, numbers, links, written
+        self.starts = np.cumsum(numbers[:, 3]) - numbers[:, 3]
 
 
 class Aligner:
@@ -81,6 +86,7 @@ class Aligner:
 
         self.first = Tokenizer.from_file(first)
         self.first.encode_special_tokens = True
+        self.fast = self._by_rank(first)
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
         letters = byte_letters()
         self.bytes_a = [bytes(letters[c] for c in self.first.id_to_token(i) or "" if c in letters) for i in range(self.first.get_vocab_size(with_added_tokens=True))]
@@ -90,43 +96,85 @@ class Aligner:
         written = [[str(i).encode() for i in range(len(t))] for t in (self.bytes_a, self.bytes_b)]
         self.inside, self.last = ([np.array([x + end for x in t], object) for t, end in zip(written, ends)] for ends in ((b",", b","), (b"|", b";")))
 
+    def _by_rank(self, first: str):
+        """The first vocabulary as a rank encoding, which gives the same ids sooner, if its merges stand in the order of their ids; else None."""
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(first) as file:
+            told = json.load(file)
+        model, split, vocabulary = told["model"], told["pre_tokenizer"] or {}, told["model"]["vocab"]
+        merges = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model.get("merges", [])]
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if all(c in letters for c in token) and token not in {t["content"] for t in told["added_tokens"]}}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and told["normalizer"] is None
+        if not plain or merges != sorted(merges) or len(ranks) != 256 + len(merges) or any(model.get(x) for x in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        return tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _first_ids(self, pieces: list[str]) -> list[list[int]]:
+        if self.fast:
+            return [self.fast.encode_ordinary(" " + p) for p in pieces]
+        return [e.ids for e in self.first.encode_batch([" " + p for p in pieces], add_special_tokens=False)]
+
     @staticmethod
     def _piece(piece: str) -> bytes:
         if re.fullmatch("<0x[0-9A-F]{2}>", piece):
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def align(self, pieces: list[str]) -> list[Aligned | None]:
-        """Each piece, beginning with a space, aligned; None where a tokenizer does not give its bytes back."""
-        ids_a = [e.ids for e in self.first.encode_batch(pieces, add_special_tokens=False)]
-        ids_b = self.second.encode([p[1:] for p in pieces], num_threads=1)
-        out: list[Aligned | None] = [None] * len(pieces)
-        good = []
-        for i, piece in enumerate(pieces):
-            raw = piece.encode()
-            if b"".join([self.bytes_a[x] for x in ids_a[i]]) == raw == b"".join([self.bytes_b[x] for x in ids_b[i]]):
-                good.append(i)
-        if not good:
-            return out
-        a, b = (np.array([x for i in good for x in ids[i]], np.int64) for ids in (ids_a, ids_b))
-        ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
-        common = np.intersect1d(ends_a, ends_b)
-        every = np.union1d(ends_a, ends_b)
+    def align(self, pieces: list[str], write: bool = False) -> Aligned:
+        """Pieces without their first space, aligned; with ``write`` their groups too, each ended by ``;``."""
+        ids_a = self._first_ids(pieces)
+        ids_b = self.second.encode(pieces, num_threads=1)
+        good = np.ones(len(pieces), bool)
+        a, b, counts, sizes = self._flat(ids_a, ids_b, pieces)
+        if not self._same(a, b, counts, sizes, pieces):
+            for i, piece in enumerate(pieces):
+                raw = (" " + piece).encode()
+                good[i] = b"".join([self.bytes_a[x] for x in ids_a[i]]) == raw == b"".join([self.bytes_b[x] for x in ids_b[i]])
+            keep = np.flatnonzero(good).tolist()
+            a, b, counts, sizes = self._flat([ids_a[i] for i in keep], [ids_b[i] for i in keep], [pieces[i] for i in keep])
+        numbers, written = np.zeros((len(pieces), 4), np.int64), [b""] * len(pieces)
+        if not len(sizes):
+            return Aligned(good, numbers, np.empty(0, np.int64), written)
+        ends_a, ends_b, tops = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b]), np.cumsum(sizes)
+        common = ends_a[ends_b[np.searchsorted(ends_b, ends_a)] == ends_a]
+        every = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
+        every = every[np.concatenate((every[1:] != every[:-1], [True]))]
         links = a[np.searchsorted(ends_a, every)] * self.width + b[np.searchsorted(ends_b, every)]
-        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
-        words = np.empty(len(a) + len(b), object)
-        place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
-        place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
-        for place, ids, ends, group, side in ((place_a, a, ends_a, group_a, 0), (place_b, b, ends_b, group_b, 1)):
-            words[place] = np.where(common[group] == ends, self.last[side][ids], self.inside[side][ids])
-        tops = np.cumsum([len(pieces[i].encode()) for i in good])
-        cut = lambda ends: [0, *np.searchsorted(ends, tops, "right").tolist()]
-        at_a, at_b, at_group, at_link = cut(ends_a), cut(ends_b), cut(common), cut(every)
-        for k, i in enumerate(good):
-            n_a, n_b = at_a[k + 1] - at_a[k], at_b[k + 1] - at_b[k]
-            text = b"".join(words[at_a[k] + at_b[k] : at_a[k + 1] + at_b[k + 1]].tolist())
-            out[i] = Aligned(n_a, n_b, at_group[k + 1] - at_group[k], links[at_link[k] : at_link[k + 1]].copy(), text)
-        return out
+        cut = lambda ends: np.diff(np.concatenate(([0], np.searchsorted(ends, tops, "right"))))
+        numbers[good] = np.stack((counts[0], counts[1], cut(common), cut(every)), axis=1)
+        if write:
+            group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+            words = np.empty(len(a) + len(b), object)
+            place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
+            place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
+            for place, ids, ends, group, side in ((place_a, a, ends_a, group_a, 0), (place_b, b, ends_b, group_b, 1)):
+                last = common[group] == ends
+                words[place[last]], words[place[~last]] = self.last[side][ids[last]], self.inside[side][ids[~last]]
+            words, stops = words.tolist(), np.cumsum(counts[0] + counts[1]).tolist()
+            for i, begin, end in zip(np.flatnonzero(good).tolist(), [0, *stops], stops):
+                written[i] = b"".join(words[begin:end])
+        return Aligned(good, numbers, links, written)
+
+    @staticmethod
+    def _flat(ids_a: list, ids_b: list, pieces: list[str]):
+        """Both sides' ids in one array each, their numbers by piece, and the pieces' bytes with their first space."""
+        flat = [np.fromiter(itertools.chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b)]
+        counts = [np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b)]
+        return *flat, counts, np.array([len(p) if p.isascii() else len(p.encode()) for p in pieces], np.int64) + 1
+
+    def _same(self, a: np.ndarray, b: np.ndarray, counts: list[np.ndarray], sizes: np.ndarray, pieces: list[str]) -> bool:
+        """Whether both sides give back every piece: all bytes in a row are the same, and so is where each piece ends."""
+        tops = np.cumsum(sizes)
+        for ids, n, table, lengths in ((a, counts[0], self.bytes_a, self.sizes[0]), (b, counts[1], self.bytes_b, self.sizes[1])):
+            ends = np.concatenate(([0], np.cumsum(lengths[ids])))
+            if (ends[np.cumsum(n)] != tops).any() or b"".join([table[i] for i in ids.tolist()]) != "".join([" " + p for p in pieces]).encode():
+                return False
+        return True
 
 
 @functools.lru_cache(maxsize=1)
@@ -136,32 +184,50 @@ def aligner(first: str, second: str) -> Aligner:
 
 
 class Remembered:
-    """What ``make`` says of pieces, kept for two generations of ``PIECES`` and made for a batch's new pieces at once."""
-
-    def __init__(self, model: Aligner, make):
-        self.model, self.make, self.young, self.old = model, make, {}, {}
-
-    def _keep(self, piece: str, value):
-        if len(piece) <= LONGEST:
-            if len(self.young) >= PIECES:
-                self.old, self.young = self.young, {}
-            self.young[piece] = value
-        return value
-
-    def of(self, texts: list[str]) -> list[tuple[list[str], dict]]:
-        """For each text its pieces in order, and the batch's values by piece."""
-        cut = [PLACE.split(" " + t) if t else [] for t in texts]
-        found, new = {}, []
-        for piece in {p for pieces in cut for p in pieces}:
-            if piece in self.young:
-                found[piece] = self.young[piece]
-            elif piece in self.old:
-                found[piece] = self._keep(piece, self.old[piece])
-            else:
-                new.append(piece)
-        for piece, value in zip(new, self.make(self.model.align(new)) if new else ()):
-            found[piece] = self._keep(piece, value)
-        return [(pieces, found) for pieces in cut]
+    """Numbers of the pieces that a worker has met, in rows that grow; forgotten altogether when there are too many.
+
+    ``make(pieces)`` gives for new pieces an array of numbers with a row each, and a list of values of
+    differing lengths in one array with the lengths, or None.
+    """
+
+    def __init__(self, make):
+        self.make = make
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.rows: np.ndarray | None = None
+        self.flat = np.empty(0, np.int64)
+        self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.written: list[bytes] = []
+
+    def of(self, cut: list[list[str]]) -> None:
+        """Make sure that every piece of a batch is known."""
+        if len(self.known) > PIECES:
+            self._clear()
+        new = list({p for pieces in cut for p in pieces}.difference(self.known))
+        if not new:
+            return
+        rows, flat, lengths, written = self.make(new)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.rows = rows if self.rows is None else np.concatenate((self.rows, rows))
+        self.starts = np.concatenate((self.starts, np.cumsum(lengths) - lengths + len(self.flat)))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.flat = np.concatenate((self.flat, flat))
+        self.written += written
+
+    def gathered(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of all pieces ``ids`` in a row, and for each the number of its place in ``ids``."""
+        n = self.lengths[ids]
+        whose = np.repeat(np.arange(len(ids)), n)
+        return self.flat[np.repeat(self.starts[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())], whose
+
+
+def _memory(name: str, make) -> Remembered:
+    """What this worker remembers for the job ``name``; of other jobs it forgets all."""
+    if "crosstok" not in MEMORY or MEMORY["crosstok"][0] != name:
+        MEMORY["crosstok"] = name, Remembered(make)
+    return MEMORY["crosstok"][1]
 
 
 class Slots:
@@ -219,30 +285,36 @@ def _scan(docs: DataFrame, run, schema: str) -> DataFrame:
 
 
 def distinct_pairs(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """(code) of every pair of ids that any text links; a task hands on what it has gathered without repeats."""
+    """(code) of every pair of ids that any piece of a text links; a task hands on what it has gathered without repeats."""
+
+    own_name = uuid.uuid4().hex
+
+    def make(pieces):
+        found = aligner(first, second).align(pieces)
+        return np.empty((len(pieces), 0), np.int64), found.links, found.numbers[:, 3], []
 
     def run(batches):
+        # What a piece's links are is remembered from task to task, what has been told only within the task.
+        memory, told = _memory(own_name, make), set()
         gathered: list[np.ndarray] = []
-        memory = Remembered(aligner(first, second), lambda found: [x and np.unique(x.links) if x else None for x in found])
-        told: set[str] = set()
 
-        def told_of() -> pa.RecordBatch:
+        def handed() -> pa.RecordBatch:
             codes = np.unique(np.concatenate(gathered))
             gathered.clear()
             return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64())], names=["code"])
 
         for texts in batches:
-            for pieces, values in memory.of(texts):
-                if all(values[p] is not None for p in pieces):
-                    fresh = set(pieces) - told
-                    gathered += [values[p] for p in fresh]
-                    told |= fresh
+            new = list({p for t in texts for p in pieces_of(t)} - told)
+            if new:
+                told.update(new)
+                memory.of([new])
+                gathered.append(np.unique(memory.gathered(np.array([memory.known[p] for p in new]))[0]))
             if len(told) > PIECES:
                 told.clear()
             if sum(map(len, gathered)) > GATHERED:
-                yield told_of()
+                yield handed()
         if gathered:
-            yield told_of()
+            yield handed()
 
     return _scan(docs, run, "code long").distinct()
 
@@ -281,21 +353,33 @@ def count_vectors(docs: DataFrame, tables: DataFrame, shards: int, lowest: int,
     groups = 4 * spark.sparkContext.defaultParallelism
     fan = max(1, math.isqrt(groups))
 
+    own_name = uuid.uuid4().hex
+
     def run(batches):
         slots = Slots(shared.value, shards)
         counts = np.zeros(slots.size, np.int64)
 
-        def make(found):
-            flat = [x.links for x in found if x]
-            at = iter(np.split(slots.find(np.concatenate(flat)), np.cumsum([len(x) for x in flat])[:-1]) if flat else ())
-            return [np.unique(y[y >= 0]) if x and len(y := next(at)) else (None if x is None else np.empty(0, np.int64)) for x in found]
+        def make(pieces):
+            found = aligner(first, second).align(pieces)
+            at = slots.find(found.links)
+            inside, ends = np.concatenate(([0], np.cumsum(at >= 0))), np.concatenate((found.starts, [len(at)]))
+            return found.good[:, None].astype(np.int64), at[at >= 0], np.diff(inside[ends]), []
 
-        memory = Remembered(aligner(first, second), make)
+        memory = _memory(own_name, make)
         for texts in batches:
-            for pieces, values in memory.of(texts):
-                each = [values[p] for p in set(pieces)]
-                if each and all(x is not None for x in each):
-                    counts[np.unique(np.concatenate(each))] += 1
+            cut = [pieces_of(t) for t in texts]
+            memory.of(cut)
+            each = [[memory.known[p] for p in set(pieces)] for pieces in cut]
+            ids = np.fromiter(itertools.chain.from_iterable(each), np.int64)
+            doc = np.repeat(np.arange(len(each)), list(map(len, each)))
+            if len(ids):
+                bad = np.unique(doc[memory.rows[ids, 0] == 0])
+                ids, doc = (x[~np.isin(doc, bad)] for x in (ids, doc)) if len(bad) else (ids, doc)
+                at, whose = memory.gathered(ids)
+                # Each document counts once for a pair.
+                once = np.sort(doc[whose] * max(1, slots.size) + at)
+                once = once[np.concatenate(([True], once[1:] != once[:-1]))[: len(once)]]
+                counts += np.bincount(once % max(1, slots.size), minlength=slots.size) if len(once) else 0
         part = int.from_bytes(hashlib.blake2b(counts.tobytes(), digest_size=4).digest(), "little") % fan
         for shard, begin in slots.before.items():
             own = counts[begin : begin + len(slots.parts[shard][1])]
@@ -382,29 +466,29 @@ def _looked_up(docs: DataFrame, shared, shared_tops, shards: int, width: int, fi
             counts = np.concatenate([np.frombuffer(r[3], "<i8") if r[3] is not None else np.zeros(len(r[2]) // 8, np.int64) for r in sorted(shared.value)] or [np.empty(0, np.int64)])
             tops = shared_tops.value
 
-            def make(found):
-                out = []
-                flat = [x.links for x in found if x]
-                at = iter(np.split(slots.find(np.concatenate(flat)), np.cumsum([len(x) for x in flat])[:-1]) if flat else ())
-                for x in found:
-                    if x is None:
-                        out.append(None)
-                        continue
-                    own = next(at)
-                    n = counts[own[own >= 0]]
-                    best = int((n == tops[x.links[own >= 0] // width]).sum())
-                    out.append((x.n_a, x.n_b, x.n_groups, len(x.links), best, int(n.sum()), x.written))
-                return out
-
-            MEMORY["crosstok"] = own_name, Remembered(aligner(first, second), make)
+            def make(pieces):
+                found = aligner(first, second).align(pieces, write=True)
+                at = slots.find(found.links)
+                n = np.where(at >= 0, counts[at], 0) if len(counts) else np.zeros(len(at), np.int64)
+                best = (at >= 0) & (n == tops[found.links // width])
+                both = np.zeros((2, len(at) + 1), np.int64)
+                both[0, 1:], both[1, 1:] = np.cumsum(best), np.cumsum(n)
+                ends = np.concatenate((found.starts, [len(at)]))
+                rows = np.concatenate((found.numbers, np.diff(both[:, ends]).T, ~found.good[:, None]), axis=1)
+                return rows, np.empty(0, np.int64), np.zeros(len(pieces), np.int64), found.written
+
+            MEMORY["crosstok"] = own_name, Remembered(make)
+        memory = MEMORY["crosstok"][1]
+        cut = [pieces_of(t) for t in texts]
+        memory.of(cut)
         rows = []
-        for pieces, values in MEMORY["crosstok"][1].of(texts):
-            each = [values[p] for p in pieces]
-            if not each or any(x is None for x in each):
+        for pieces in cut:
+            ids = [memory.known[p] for p in pieces]
+            total = memory.rows[ids].sum(axis=0).tolist() if ids else [1] * 7
+            if total[6]:
                 rows.append((0, 0, 0, 0, 0, 0, ""))
-                continue
-            columns = list(zip(*each))
-            rows.append((*map(sum, columns[:6]), hashlib.sha256(b"".join(columns[6])[:-1]).hexdigest()))
+            else:
+                rows.append((*total[:6], hashlib.sha256(b"".join([memory.written[i] for i in ids])[:-1]).hexdigest()))
         return list(zip(*rows))
 
     name = free_name(["doc_id", "text"], "text_hash")

@@ -92,6 +92,17 @@ def test_query_equals_whole_encodings(spark):
     assert want is None or got == want
 
 
+def test_rank_encoding_gives_the_tokenizers_ids():
+    model = crosstok.aligner(tokenizer_path(crosstok.FIRST), tokenizer_path(crosstok.SECOND))
+    import random
+
+    rng = random.Random(5)
+    letters = "".join(chr(c) for c in [*range(0x20, 0x7F), *range(0xA0, 0x250), 0x301, 0x660, 0x661, 0xB2, 0x2167, 0x3000, 0x2003, 0x85, 0x200B, 0x4E2D, 0x1F600, 0x1E9E, 0x10400, 0x16A0, 0x1F1E6, 9, 10, 13])
+    pieces = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(20_000)] + [t for t in TEXTS if t]
+    assert model.fast is not None
+    assert model._first_ids(pieces) == [e.ids for e in model.first.encode_batch([" " + p for p in pieces], add_special_tokens=False)]
+
+
 def test_slots_hold_their_pairs():
     import numpy as np
 
