@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import stored
+
 
 def kmeans(x: np.ndarray, k: int, starts: int = 10, rounds: int = 300, tolerance: float = 1e-4, seed: int = 12345) -> tuple[np.ndarray, float]:
     """(centres in ascending order, inertia) of the best of several runs of Lloyd's method with spread-out starts."""
@@ -54,35 +56,84 @@ def _nearest(points: DataFrame, features: Sequence[str], centres: np.ndarray) ->
     return points.withColumn("own", own).withColumn("far", best)
 
 
-def kmeans_rows(points: DataFrame, features: Sequence[str], k: int, starts: int = 10, rounds: int = 300, tolerance: float = 1e-4, seed: int = 12345) -> tuple[np.ndarray, float]:
-    """``kmeans`` over all rows of a table of weighted points: a start is drawn by weight and distance, a round is one aggregate."""
+def _seeds(points: DataFrame, features: Sequence[str], k: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(candidates, weights): oversampled seeding, a bounded number of points drawn together each round by weight and distance."""
     rng = np.random.RandomState(seed)
+    unit = lambda: (F.pmod(F.xxhash64(*features, F.lit(int(rng.randint(1 << 30)))), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    first = points.orderBy(-F.log(unit()) / F.col("n"), *features).select(*features).first()
+    chosen = np.array([list(first)], np.float64)
+    for _ in range(rounds):
+        near = _nearest(points, features, chosen)
+        cost = near.agg(F.sum(F.col("n") * F.col("far"))).first()[0]
+        if not cost:
+            break
+        drawn = near.where((F.col("far") > 0) & (unit() < F.col("n") * F.col("far") * (3 * k / cost))).select(*features).collect()
+        if drawn:
+            chosen = np.concatenate((chosen, np.array([list(r) for r in drawn], np.float64)))
+    sizes = {r["own"]: r["n"] for r in _nearest(points, features, chosen).groupBy("own").agg(F.sum("n").alias("n")).collect()}
+    return chosen, np.array([sizes.get(i, 0) for i in range(len(chosen))], np.float64)
+
+
+def _spread_start(chosen: np.ndarray, weight: np.ndarray, k: int, rng: np.random.RandomState) -> np.ndarray:
+    """``k`` of the candidates, each drawn by its weight and its distance to those before it."""
+    centres = [rng.choice(len(chosen), p=weight / weight.sum())]
+    while len(centres) < k:
+        far = weight * ((chosen[:, None] - chosen[centres][None]) ** 2).sum(axis=2).min(axis=1)
+        centres.append(rng.choice(len(chosen), p=far / far.sum()) if far.sum() > 0 else centres[-1])
+    return chosen[centres]
+
+
+def _moved(points: DataFrame, features: Sequence[str], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, costs) after one round of every start at once: one pass over the points, partial sums by batch."""
+    starts, k, size = centres.shape
+    names = [f"s{i}" for i in range(size)]
+
+    def run(batches):
+        for pdf in batches:
+            x, n = pdf[list(features)].to_numpy(np.float64), pdf["n"].to_numpy(np.float64)
+            out = []
+            for start in range(starts):
+                gaps = ((x[:, None] - centres[start][None]) ** 2).sum(axis=2)
+                own = gaps.argmin(axis=1)
+                sums = [np.bincount(own, n * x[:, i], k) for i in range(size)]
+                out.append(pd.DataFrame({"start": start, "own": range(k), "n": np.bincount(own, n, k), "cost": np.bincount(own, n * gaps[np.arange(len(x)), own], k), **dict(zip(names, sums))}))
+            yield pd.concat(out)
+
+    schema = "start int, own int, n double, cost double, " + ", ".join(f"{c} double" for c in names)
+    parts = points.select("n", *features).mapInPandas(run, schema)
+    moved, costs = centres.copy(), np.zeros(starts)
+    for r in parts.groupBy("start", "own").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *names)]).collect():
+        costs[r["start"]] += r["cost"]
+        if r["n"]:
+            moved[r["start"], r["own"]] = [r[c] / r["n"] for c in names]
+    return moved, costs
+
+
+def kmeans_rows(points: DataFrame, features: Sequence[str], k: int, starts: int = 10, rounds: int = 300, tolerance: float = 1e-4, seed: int = 12345) -> tuple[np.ndarray, float]:
+    """``kmeans`` over all rows of a table of weighted points.
+
+    All starts come from one oversampled set of seeds and move together: a
+    round of every start is one pass over the points.
+    """
     spread = points.agg(F.sum("n"), *[F.sum(F.col("n") * F.col(f)) / F.sum("n") for f in features], *[F.sum(F.col("n") * F.col(f) ** 2) / F.sum("n") for f in features]).first()
     if not spread[0]:
         return np.empty((0, len(features))), 0.0
     mean, square = np.array(spread[1 : len(features) + 1]), np.array(spread[len(features) + 1 :])
     limit = tolerance * float((square - mean**2).mean())
-    best: tuple[np.ndarray, float] | None = None
-    for _ in range(starts):
-        centres = np.empty((0, len(features)))
-        while len(centres) < k:
-            weight = F.col("n") * F.col("far") if len(centres) else F.col("n")
-            draw = -F.log((F.pmod(F.xxhash64(*features, F.lit(int(rng.randint(1 << 30)))), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))) / weight
-            rows = _nearest(points, features, centres).where("far > 0") if len(centres) else points
-            pick = rows.orderBy(draw, *features).select(*features).first()
-            centres = np.concatenate((centres, [list(pick) if pick else centres[-1]]))
-        for _ in range(rounds):
-            sums = {r["own"]: r for r in _nearest(points, features, centres).groupBy("own").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f)).alias(f) for f in features]).collect()}
-            moved = np.array([[sums[j][f] / sums[j]["n"] for f in features] if j in sums else centres[j] for j in range(k)])
-            step = ((moved - centres) ** 2).sum()
-            centres = moved
-            if step <= limit:
-                break
-        inertia = float(_nearest(points, features, centres).agg(F.sum(F.col("n") * F.col("far"))).first()[0])
-        if best is None or inertia < best[1]:
-            best = centres, inertia
-    centres, inertia = best
-    return centres[np.lexsort(centres.T[::-1])], inertia
+    chosen, weight = _seeds(points, features, k, 4, seed)
+    rng = np.random.RandomState(seed)
+    centres = np.array([_spread_start(chosen, weight, k, rng) for _ in range(starts)])
+    open_ = np.arange(starts)
+    for _ in range(rounds):
+        moved, _ = _moved(points, features, centres[open_])
+        steps = ((moved - centres[open_]) ** 2).sum(axis=(1, 2))
+        centres[open_] = moved
+        open_ = open_[steps > limit]
+        if not len(open_):
+            break
+    _, costs = _moved(points, features, centres)
+    best = centres[costs.argmin()]
+    return best[np.lexsort(best.T[::-1])], float(costs.min())
 
 
 @dataclass
@@ -174,30 +225,161 @@ def _start_model(points: DataFrame, features: Sequence[str], k: int) -> Gaussian
     return GaussianHmm(np.full(k, 1 / k), step, centres, covariances + 1e-3 * np.eye(size))
 
 
-def _sums(model: GaussianHmm, position: str, features: Sequence[str]):
-    """What one sequence adds to the expected starts, moves, weights and moments (about the model's means)."""
-    centre = model.means
+#: Coordinates of a block of a sequence, and blocks that are put together at once.
+BLOCK, FAN = 1 << 17, 1024
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(position)[list(features)].to_numpy(np.float64)
-        a, b, dens = model._forward_backward(x)
-        whole = np.logaddexp.reduce(a[-1])
-        g = np.exp(a + b - whole)
-        with np.errstate(divide="ignore"):
-            moves = np.exp(a[:-1, :, None] + np.log(model.step)[None] + (dens[1:] + b[1:])[:, None, :] - whole).sum(axis=0)
-        off = x[:, None] - centre[None]
-        flat = np.concatenate((g[0], moves.ravel(), g.sum(axis=0), np.einsum("tj,tjd->jd", g, off).ravel(), np.einsum("tj,tjd,tje->jde", g, off, off).ravel()))
-        return pd.DataFrame({"at": range(len(flat)), "x": flat})
 
-    return run
+def _times(left: np.ndarray, right: np.ndarray, best: bool = False) -> np.ndarray:
+    """The product of two matrices of logarithms: sums of probabilities, or with ``best`` the largest."""
+    both = left[..., :, :, None] + right[..., None, :, :]
+    return both.max(axis=-2) if best else np.logaddexp.reduce(both, axis=-2)
+
+
+def _logs(model: GaussianHmm) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(divide="ignore"):
+        return np.log(model.step), np.log(model.start)
+
+
+def _flat(x: np.ndarray) -> list[float]:
+    return np.asarray(x, np.float64).ravel().tolist()
+
+
+ELEMENT = "first array<double>, rest array<double>"
+#: The vectors at a block's two ends; a sequence's first block is entered by none.
+BORDER = "into array<double>, after array<double>"
+
 
+def _element(model: GaussianHmm, x: np.ndarray, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What a block does to the vector of states before it: the densities of its first row, and the product of the matrices of its other rows."""
+    step, _ = _logs(model)
+    dens = model.log_density(x)
+    rest = np.where(np.eye(len(step), dtype=bool), 0.0, -np.inf)
+    for row in dens[1:]:
+        rest = _times(rest, step + row, best)
+    return dens[0], rest - max(0.0, rest.max()) if np.isfinite(rest.max()) else rest
 
-def fit_rows(rows: DataFrame, points: DataFrame, sequence: str, position: str, features: Sequence[str], k: int = 3, rounds: int = 20, floor: float = 1e-3) -> GaussianHmm:
-    """``GaussianHmm.fit`` over every sequence of a table, from the clusters of its weighted points; a round is one aggregate of sums."""
+
+def _joined(step: np.ndarray, elements: list[tuple[np.ndarray, np.ndarray]], best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring blocks as one."""
+    first, rest = elements[0]
+    for dens, more in elements[1:]:
+        rest = _times(_times(rest, step + dens, best), more, best)
+        rest = rest - rest.max() if np.isfinite(rest.max()) else rest
+    return first, rest
+
+
+def _walk(step: np.ndarray, start: np.ndarray, elements: list[tuple[np.ndarray, np.ndarray]], into: np.ndarray | None, after: np.ndarray, best: bool) -> list[tuple[np.ndarray | None, np.ndarray]]:
+    """The vectors at the ends of each of some neighbouring blocks, from those at the ends of all of them."""
+    vector, ahead = (lambda v, m: _times(v[None], m, best)[0]), (lambda m, v: _times(m, v[:, None], best)[:, 0])
+    before: list[np.ndarray | None] = []
+    for dens, rest in elements:
+        before.append(into)
+        into = vector((start if into is None else vector(into, step)) + dens, rest)
+        into = into - into.max()
+    behind = [after]
+    for dens, rest in reversed(elements[1:]):
+        after = ahead(step, dens + ahead(rest, after))
+        after = after - after.max()
+        behind.append(after)
+    return list(zip(before, reversed(behind)))
+
+
+def _borders(elements: DataFrame, model: GaussianHmm, sequence: str, best: bool) -> DataFrame:
+    """(sequence, _block, into, after) of the blocks (sequence, _block, first, rest): a prefix product over blocks from both sides.
+
+    More than ``FAN`` blocks are put together ``FAN`` at a time, and the larger blocks walked first.
+    """
+    k = len(model.start)
+    step, start = _logs(model)
+    kind = elements.schema[sequence].dataType.simpleString()
+    unpack = lambda pdf: [(np.array(a), np.array(b).reshape(k, k)) for a, b in zip(pdf["first"], pdf["rest"])]
+    names = [sequence, "_block", "into", "after"]
+
+    def table(pdf, into, after):
+        found = _walk(step, start, unpack(pdf), into, after, best)
+        return pd.DataFrame({sequence: pdf[sequence], "_block": pdf["_block"], "into": [None if a is None else _flat(a) for a, _ in found], "after": [_flat(b) for _, b in found]})[names]
+
+    schema = f"{sequence} {kind}, _block long, {BORDER}"
+    if (elements.groupBy(sequence).count().agg(F.max("count")).first()[0] or 0) <= FAN:
+        return elements.groupBy(sequence).applyInPandas(lambda pdf: table(pdf.sort_values("_block"), None, np.zeros(k)), schema)
+    placed = elements.withColumn("_wide", F.floor(F.col("_block") / FAN))
+
+    def join(pdf):
+        pdf = pdf.sort_values("_block")
+        first, rest = _joined(step, unpack(pdf), best)
+        return pd.DataFrame({sequence: pdf[sequence].iloc[:1], "_block": pdf["_wide"].iloc[:1], "first": [_flat(first)], "rest": [_flat(rest)]})
+
+    wide = stored(placed.groupBy(sequence, "_wide").applyInPandas(join, f"{sequence} {kind}, _block long, {ELEMENT}"), "state-blocks")
+    ends = _borders(wide, model, sequence, best).withColumnRenamed("_block", "_wide")
+
+    def narrow(pdf, own):
+        into = own["into"].iloc[0]
+        return table(pdf.sort_values("_block"), None if into is None else np.array(into), np.array(own["after"].iloc[0]))
+
+    return placed.groupBy(sequence, "_wide").cogroup(ends.groupBy(sequence, "_wide")).applyInPandas(narrow, schema)
+
+
+def _by_block(rows: DataFrame, model: GaussianHmm, sequence: str, position: str, features: Sequence[str], work, schema: str, block: int, best: bool = False) -> DataFrame:
+    """``work(rows of a block in order, densities, vector before or None, vector after)`` for each block of each whole sequence."""
+    kind = rows.schema[sequence].dataType.simpleString()
+    placed = rows.withColumn("_block", F.floor(F.col(position) / block))
+
+    def element(pdf):
+        pdf = pdf.sort_values(position)
+        first, rest = _element(model, pdf[list(features)].to_numpy(np.float64), best)
+        return pd.DataFrame({sequence: pdf[sequence].iloc[:1], "_block": pdf["_block"].iloc[:1], "first": [_flat(first)], "rest": [_flat(rest)]})
+
+    elements = stored(placed.groupBy(sequence, "_block").applyInPandas(element, f"{sequence} {kind}, _block long, {ELEMENT}"), "state-elements")
+    ends = _borders(elements, model, sequence, best)
+
+    def local(pdf, own):
+        pdf = pdf.sort_values(position)
+        into = own["into"].iloc[0]
+        return work(pdf, model.log_density(pdf[list(features)].to_numpy(np.float64)), None if into is None else np.array(into), np.array(own["after"].iloc[0]))
+
+    return placed.groupBy(sequence, "_block").cogroup(ends.groupBy(sequence, "_block")).applyInPandas(local, schema)
+
+
+def _inside(model: GaussianHmm, dens: np.ndarray, into: np.ndarray | None, after: np.ndarray, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward vectors of a block's rows, from the vectors at its ends."""
+    step, start = _logs(model)
+    fold = np.max if best else np.logaddexp.reduce
+    a, b = np.empty_like(dens), np.empty_like(dens)
+    a[0] = (start if into is None else fold(into[:, None] + step, axis=0)) + dens[0]
+    for t in range(1, len(dens)):
+        a[t] = fold(a[t - 1][:, None] + step, axis=0) + dens[t]
+    b[-1] = after
+    for t in reversed(range(len(dens) - 1)):
+        b[t] = fold(step + dens[t + 1] + b[t + 1], axis=1)
+    return a, b
+
+
+def fit_rows(rows: DataFrame, points: DataFrame, sequence: str, position: str, features: Sequence[str], k: int = 3, rounds: int = 20, floor: float = 1e-3, block: int = BLOCK) -> GaussianHmm:
+    """``GaussianHmm.fit`` over the whole sequences of a table, from the clusters of its weighted points.
+
+    A round is a product of matrices by block, a prefix product over the blocks,
+    and one aggregate of sums; no sequence is cut or held as a whole.
+    """
     size = len(features)
     model = _start_model(points, features, k)
     for _ in range(rounds):
-        parts = rows.select(sequence, position, *features).groupBy(sequence).applyInPandas(_sums(model, position, features), "at int, x double")
+        own = model
+        step, _ = _logs(own)
+
+        def sums(pdf, dens, into, after, own=own, step=step):
+            x = pdf[list(features)].to_numpy(np.float64)
+            a, b = _inside(own, dens, into, after)
+            g = np.exp(a + b - np.logaddexp.reduce(a + b, axis=1)[:, None])
+            before, ahead = (a[:-1], (dens + b)[1:]) if into is None else (np.concatenate((into[None], a[:-1])), dens + b)
+            pairs = before[:, :, None] + step[None] + ahead[:, None, :]
+            whole = np.logaddexp.reduce(pairs.reshape(len(pairs), -1), axis=1) if len(pairs) else np.empty(0)
+            moves = np.exp(pairs - whole[:, None, None]).sum(axis=0)
+            off = x[:, None] - own.means[None]
+            first = g[0] if into is None else np.zeros(k)
+            flat = np.concatenate((first, moves.ravel(), g.sum(axis=0), np.einsum("tj,tjd->jd", g, off).ravel(), np.einsum("tj,tjd,tje->jde", g, off, off).ravel()))
+            return pd.DataFrame({"at": range(len(flat)), "x": flat})
+
+        parts = _by_block(rows.select(sequence, position, *features), own, sequence, position, features, sums, "at int, x double", block)
         flat = np.array([r["x"] for r in sorted(parts.groupBy("at").agg(F.sum("x").alias("x")).collect(), key=lambda r: r["at"])])
         if not len(flat):
             break
@@ -209,27 +391,26 @@ def fit_rows(rows: DataFrame, points: DataFrame, sequence: str, position: str, f
     return model
 
 
-def decode(rows: DataFrame, model: GaussianHmm, sequence: str, position: str, features: Sequence[str]) -> DataFrame:
-    """(sequence, position, state, posteriors) of every row, each sequence decoded by itself in order of position.
+def decode(rows: DataFrame, model: GaussianHmm, sequence: str, position: str, features: Sequence[str], block: int = BLOCK, best: bool = False) -> DataFrame:
+    """(sequence, position, state, posteriors) of every row given the whole of its sequence, in order of position.
 
-    A sequence is handled in one task; callers cut long chromosomes into
-    sequences of bounded length first (``cut_sequences``).
+    A sequence is spread over blocks of ``block`` coordinates: each block's product of transfer
+    matrices, a prefix product over the blocks from both sides, and a pass
+    within each block.  The blocks' size does not change the result.  With
+    ``best`` the states are those of the likeliest path and ``posteriors`` are
+    the log scores of the best path through each state, less the best of all.
     """
     keep = [sequence, position]
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(position)
-        p = model.posteriors(pdf[list(features)].to_numpy(np.float64))
+    def work(pdf, dens, into, after):
+        a, b = _inside(model, dens, into, after, best)
+        total = a + b
+        p = total - total.max(axis=1)[:, None] if best else np.exp(total - np.logaddexp.reduce(total, axis=1)[:, None])
         return pd.DataFrame({sequence: pdf[sequence], position: pdf[position], "state": p.argmax(axis=1).astype(np.int32), "posteriors": list(p)})
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{c} {types[c]}" for c in keep) + ", state int, posteriors array<double>"
-    return rows.select(*keep, *features).groupBy(sequence).applyInPandas(work, schema)
-
-
-def cut_sequences(rows: DataFrame, chrom: str, position: str, length: int) -> DataFrame:
-    """Adds ``sequence``: chromosome and stretch of ``length`` coordinates."""
-    return rows.withColumn("sequence", F.concat_ws(":", chrom, F.floor(F.col(position) / length)))
+    return _by_block(rows.select(*keep, *features), model, sequence, position, features, work, schema, block, best)
 
 
 #: Mean and spread of fragment lengths in each component: nucleosome-free, one, two, three nucleosomes.

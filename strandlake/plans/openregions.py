@@ -28,7 +28,6 @@ def open_regions(
     fragments: DataFrame,
     components: Sequence[tuple[float, float]] = states.COMPONENTS,
     step: int = 10,
-    sequence_bins: int = 2_000,
     max_gap: int = 0,
     min_length: int = 100,
     rounds: int = 10,
@@ -36,7 +35,7 @@ def open_regions(
     """(chrom, start, end, posterior) of stretches in the open state, of fragments (chrom, left, right, n).
 
     Square roots of the digested signals are the observations.  Bins that follow
-    one another are a sequence, cut at gaps and at ``sequence_bins``; a model of
+    one another are a sequence, taken whole; a model of
     three states is fitted from clusters over all sequences, and the open state
     is the one whose mean of the shortest component is largest.  ``posterior`` is
     the mean over the region's bins.
@@ -44,14 +43,14 @@ def open_regions(
     names = [f"x{i}" for i in range(len(components))]
     signal = digested_signal(fragments, components, step)
     rows = signal.select("chrom", "bin", (F.col("bin") * step).alias("start"), ((F.col("bin") + 1) * step).alias("end"), *[F.sqrt(f"s{i}").alias(x) for i, x in enumerate(names)])
-    rows = regions.islands(rows, 0).withColumn("sequence", F.concat_ws(":", "chrom", "region", F.floor((F.col("bin") - F.col("region") / step) / sequence_bins))).drop("region")
+    rows = regions.islands(rows, 0).withColumn("sequence", F.concat_ws("\t", "region", "chrom")).drop("region")
     rows = stored(rows, "digested-signal")
     if rows.isEmpty():
         return rows.select("chrom", "start", "end", F.lit(0.0).alias("posterior"))
     points = stored(states.weighted_points(rows, names), "signal-points")
     model = states.fit_rows(rows, points, "sequence", "start", names, rounds=rounds)
     opened = int(model.means[:, 0].argmax())
-    found = states.decode(rows.withColumn("sequence", F.concat_ws("\t", "sequence", "chrom")), model, "sequence", "start", names).where(F.col("state") == opened)
-    open_bins = found.select(F.substring_index("sequence", "\t", -1).alias("chrom"), "start", (F.col("start") + step).alias("end"), F.element_at("posteriors", opened + 1).alias("p"))
+    found = states.decode(rows, model, "sequence", "start", names).where(F.col("state") == opened)
+    open_bins = found.select(F.expr("substring(sequence, instr(sequence, '\t') + 1)").alias("chrom"), "start", (F.col("start") + step).alias("end"), F.element_at("posteriors", opened + 1).alias("p"))
     whole = regions.islands(open_bins, max_gap).groupBy("chrom", "region").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.avg("p").alias("posterior"))
     return whole.where(F.col("end") - F.col("start") >= min_length).select("chrom", "start", "end", "posterior")

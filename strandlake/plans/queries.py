@@ -314,7 +314,7 @@ def predictd_model(spark, sf_dir):
 
 def open_states(spark, sf_dir):
     """Stretches in the open state of digested fragment lengths."""
-    found = open_regions(_fragments(spark, sf_dir), [(5.0, 3.0), (20.0, 5.0), (35.0, 5.0), (48.0, 3.0)], step=4, sequence_bins=200, min_length=4, rounds=3)
+    found = open_regions(_fragments(spark, sf_dir), [(5.0, 3.0), (20.0, 5.0), (35.0, 5.0), (48.0, 3.0)], step=4, min_length=4, rounds=3)
     return _rounded(found, 4, "posterior")
 
 
@@ -331,11 +331,18 @@ def kmeans_state(spark, sf_dir):
 
 
 def hmm_posterior(spark, sf_dir):
-    """States of every stretch of coverage, learned from all of them, decoded in sequences of bounded length."""
-    rows = stored(states.cut_sequences(_state_rows(spark, sf_dir), "chrom", "start", 500), "state-rows")
+    """States of every stretch of coverage given its whole chromosome, learned from all of them."""
+    rows = stored(_state_rows(spark, sf_dir), "state-rows")
     points = stored(states.weighted_points(rows, ["x", "y"]), "state-points")
-    fitted = states.fit_rows(rows, points, "sequence", "start", ["x", "y"], rounds=5)
-    return states.decode(rows, fitted, "sequence", "start", ["x", "y"]).select("sequence", "start", "state", F.round(F.array_max("posteriors"), 6).alias("posterior"))
+    fitted = states.fit_rows(rows, points, "chrom", "start", ["x", "y"], rounds=5)
+    return states.decode(rows, fitted, "chrom", "start", ["x", "y"]).select("chrom", "start", "state", F.round(F.array_max("posteriors"), 6).alias("posterior"))
+
+
+def hmm_path(spark, sf_dir):
+    """The likeliest path of states over each whole chromosome, under a model of given low, middle and high coverage."""
+    model = states.GaussianHmm(np.full(3, 1 / 3), np.where(np.eye(3, dtype=bool), 0.9, 0.05), np.array([[0.5, 0.5], [2.5, 2.5], [4.5, 4.5]]), np.array([np.eye(2)] * 3))
+    rows = _state_rows(spark, sf_dir)
+    return states.decode(rows, model, "chrom", "start", ["x", "y"], block=512, best=True).select("chrom", "start", "state")
 
 
 def stream_counts(spark, sf_dir):
@@ -361,7 +368,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     binomial_limit, mean_fragment, shifted_extension, pileup_se, pileup_pe, pileup_weighted, pileup_signals, scale_small, scale_large, lambda_nolambda, lambda_nocontrol,
     lambda_fragments, track_align, track_compact, track_transform, track_combine, poisson_score, fold_enrichment, qtable, score_histogram, peaks_narrow, summits,
     peaks_broad, peaks_gapped, cutoff_analysis, bdgpeakcall, bdgdiff, reads_in_regions, refinepeak, predictd, digestion, randsample, summits_sg, peaks_summits, peaks_narrow_q, peaks_broad_q, signal_per_million, predictd_model, open_states, kmeans_state,
-    hmm_posterior, stream_counts, stream_pileup, *[_arithmetic(m) for m in (*arithmetic.METHODS, "ppois", "qpois")],
+    hmm_posterior, hmm_path, stream_counts, stream_pileup, *[_arithmetic(m) for m in (*arithmetic.METHODS, "ppois", "qpois")],
 ]
 
 

@@ -63,10 +63,10 @@ def test_posteriors_match_enumeration():
 def test_fit_and_decode_by_sequence(spark):
     rng = np.random.default_rng(1)
     rows = [("c", i, float(v)) for i, v in enumerate(np.r_[rng.normal(0, 0.3, 60), rng.normal(4, 0.3, 60)])]
-    df = states.cut_sequences(spark.createDataFrame(rows, "chrom string, start long, x double"), "chrom", "start", 1000)
+    df = spark.createDataFrame(rows, "chrom string, start long, x double")
     x = np.array([[r[2]] for r in rows])
     hmm = states.GaussianHmm.from_kmeans(x, 2).fit([x], rounds=3)
-    got = {r["start"]: r["state"] for r in states.decode(df, hmm, "sequence", "start", ["x"]).collect()}
+    got = {r["start"]: r["state"] for r in states.decode(df, hmm, "chrom", "start", ["x"], block=25).collect()}
     assert len(got) == 120 and {got[i] for i in range(60)} == {0} and {got[i] for i in range(60, 120)} == {1}
 
 
@@ -80,13 +80,52 @@ def test_hmm_query_learns_from_every_row(spark, monkeypatch):
     monkeypatch.setattr(queries, "_state_rows", lambda *_: df)
     got = {r["start"]: r["state"] for r in queries.hmm_posterior(spark, "").collect()}
     assert len(got) == 2200 and {got[i] for i in range(1200)} == {0} and {got[i] for i in range(1200, 1800)} == {1} and {got[i] for i in range(1800, 2200)} == {2}
-    cut = states.cut_sequences(df, "chrom", "start", 500)
-    whole = states.GaussianHmm.from_kmeans(x, 3).fit([g[["x", "y"]].to_numpy() for _, g in cut.orderBy("start").toPandas().groupby("sequence")], rounds=2)
-    spread = states.fit_rows(cut, states.weighted_points(cut, ["x", "y"]), "sequence", "start", ["x", "y"], rounds=2)
+    whole = states.GaussianHmm.from_kmeans(x, 3).fit([g[["x", "y"]].to_numpy() for _, g in df.orderBy("start").toPandas().groupby("chrom")], rounds=2)
+    spread = states.fit_rows(df, states.weighted_points(df, ["x", "y"]), "chrom", "start", ["x", "y"], rounds=2, block=300)
     for name in ("start", "step", "means", "covariances"):
         assert getattr(spread, name) == pytest.approx(getattr(whole, name), abs=1e-3)
 
 
+MODEL = states.GaussianHmm(np.array([0.6, 0.3, 0.1]), np.array([[0.8, 0.15, 0.05], [0.1, 0.7, 0.2], [0.3, 0.3, 0.4]]), np.array([[0.0, 0.0], [2.0, 1.0], [4.0, 3.0]]), np.array([[[1, 0.4], [0.4, 1.0]]] * 3))
+
+
+@pytest.mark.parametrize("block,fan", [(1 << 17, 1024), (100, 1024), (7, 5), (1, 1024)])
+def test_blocks_do_not_change_posteriors(spark, monkeypatch, block, fan):
+    monkeypatch.setattr(states, "FAN", fan)
+    rng = np.random.default_rng(5)
+    found = {c: rng.normal(1.5, 2, (n, 2)) for c, n in (("a", 400), ("b", 37), ("c", 1))}
+    df = spark.createDataFrame([(c, 3 * i - 50, *map(float, v)) for c, x in found.items() for i, v in enumerate(x)], "chrom string, start long, x double, y double")
+    got = states.decode(df, MODEL, "chrom", "start", ["x", "y"], block=block).orderBy("start").toPandas()
+    for c, x in found.items():
+        own = np.array(got[got["chrom"] == c]["posteriors"].tolist())
+        assert own == pytest.approx(MODEL.posteriors(x), abs=1e-9)
+
+
+def test_likeliest_path_over_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(1.5, 2, (150, 2))
+    dens = MODEL.log_density(x)
+    best, back = np.log(MODEL.start) + dens[0], []
+    for row in dens[1:]:
+        both = best[:, None] + np.log(MODEL.step)
+        back.append(both.argmax(axis=0))
+        best = both.max(axis=0) + row
+    path = [int(best.argmax())]
+    for own in reversed(back):
+        path.append(int(own[path[-1]]))
+    df = spark.createDataFrame([("a", i, *map(float, v)) for i, v in enumerate(x)], "chrom string, start long, x double, y double")
+    got = states.decode(df, MODEL, "chrom", "start", ["x", "y"], block=11, best=True).orderBy("start").collect()
+    assert [r["state"] for r in got] == path[::-1]
+
+
+def test_spread_starts_are_no_worse(spark):
+    # Points whose best clustering has the inertia 0.2175.
+    x = [(0.0, 0.0), (0.2, 0.0), (0.0, 0.2), (10.0, 10.0), (10.2, 10.0), (10.0, 10.2), (20.0, 0.0), (20.2, 0.0), (20.0, 0.2), (10.3, 10.1), (0.1, 0.2), (20.1, 0.1)]
+    df = spark.createDataFrame(x, "x double, y double")
+    centres, inertia = states.kmeans_rows(states.weighted_points(df, ["x", "y"]), ["x", "y"], 3)
+    assert inertia == pytest.approx(0.2175, abs=1e-9) and centres == pytest.approx(states.kmeans(np.array(x), 3)[0], abs=1e-9)
+
+
 def test_digestion_weights_sum_to_one(spark):
     df = spark.createDataFrame([("c", 0, 50), ("c", 0, 210), ("c", 0, 3000)], "chrom string, left long, right long")
     rows = states.digested(df).collect()
