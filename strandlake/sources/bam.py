@@ -1,7 +1,7 @@
 """Reader of BAM alignments: BGZF blocks, the binary records, and the tags that variants need.
 
-A file is one partition of the read: records run across blocks, so a file is
-decoded from its start, block by block, and never held whole.
+``read`` takes a file as one cell of Spark's binary source, which suits small
+files in any store that Spark reads; ``bgzf.read`` splits files of any size.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ SCHEMA = "name string, flag int, chrom string, pos long, end long, mapq int, cig
 # The letters of the binary encoding.
 BASES = "=ACMGRSVTWYHKDBN"
 OPERATIONS = "MIDNSHP=X"
+TYPES = pa.schema([("name", pa.string()), ("flag", pa.int32()), ("chrom", pa.string()), ("pos", pa.int64()), ("end", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("quals", pa.list_(pa.int32())), ("md", pa.string())])
 #: Records handed on at once.
 BATCH = 4096
 
@@ -87,25 +88,28 @@ def records(raw: bytes) -> Iterator[tuple]:
         names.append(stream.take(struct.unpack("<i", stream.take(4))[0])[:-1].decode())
         stream.take(4)
     while head := stream.take(4):
-        data = stream.take(struct.unpack("<i", head)[0])
-        ref, pos, name_size, mapq, _, operations, flag, size = struct.unpack_from("<iiBBHHHi", data)
-        at = 32
-        name = data[at : at + name_size - 1].decode()
-        at += name_size
-        steps = [(x >> 4, OPERATIONS[x & 15]) for x in struct.unpack_from(f"<{operations}I", data, at)]
-        at += 4 * operations
-        packed = data[at : at + (size + 1) // 2]
-        at += (size + 1) // 2
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:size]
-        quals = list(data[at : at + size])
-        at += size
-        end = pos + sum(n for n, op in steps if op in "MDN=X")
-        yield name, flag, names[ref] if ref >= 0 else None, pos, end, mapq, "".join(f"{n}{op}" for n, op in steps), seq, quals, _tag(data[at:], b"MD")
+        yield parsed(stream.take(struct.unpack("<i", head)[0]), names)
+
+
+def parsed(data: bytes, names: list[str]) -> tuple:
+    """One record's bytes, after its size, as a row of ``SCHEMA``."""
+    ref, pos, name_size, mapq, _, operations, flag, size = struct.unpack_from("<iiBBHHHi", data)
+    at = 32
+    name = data[at : at + name_size - 1].decode()
+    at += name_size
+    steps = [(x >> 4, OPERATIONS[x & 15]) for x in struct.unpack_from(f"<{operations}I", data, at)]
+    at += 4 * operations
+    packed = data[at : at + (size + 1) // 2]
+    at += (size + 1) // 2
+    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:size]
+    quals = list(data[at : at + size])
+    at += size
+    end = pos + sum(n for n, op in steps if op in "MDN=X")
+    return name, flag, names[ref] if ref >= 0 else None, pos, end, mapq, "".join(f"{n}{op}" for n, op in steps), seq, quals, _tag(data[at:], b"MD")
 
 
 def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Alignments (``SCHEMA``) of BAM files, zero-based and half-open."""
-    types = pa.schema([("name", pa.string()), ("flag", pa.int32()), ("chrom", pa.string()), ("pos", pa.int64()), ("end", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("quals", pa.list_(pa.int32())), ("md", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,10 +118,10 @@ def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 for row in records(raw):
                     rows.append(row)
                     if len(rows) == BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), types)], schema=types)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), TYPES)], schema=TYPES)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), types)], schema=types)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), TYPES)], schema=TYPES)
 
     files = spark.read.format("binaryFile").load(paths).select("content")
     return files.mapInArrow(run, SCHEMA)
