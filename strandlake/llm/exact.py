@@ -184,7 +184,7 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, per_shar
     """(doc_id, digest, keep_id, group_size, kept) for each row of ``docs``, and the columns of it that ``also`` names.
 
     ``history`` (doc_id, text) is what came before; without one, the rows that
-    arrived first (the lower half of the ids' range) are the history of the
+    arrived first (those with ids up to the median, about) are the history of the
     rest, and every row is returned.  Texts are equal when identical after A-Z
     lower-casing; null counts as ''.  Of equal texts the largest doc_id stays.
     Rows that repeat a doc_id and its text are all kept or all dropped; a null
@@ -193,14 +193,14 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, per_shar
     small_batches(docs.sparkSession, rows=10_000)
     rows = stored(digests(docs, also), "digests")
     if history is None:
-        low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-        middle = ((low or 0) + (high or 0)) // 2
-        early = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
+        middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+        early = F.coalesce(F.col("doc_id") <= F.lit(middle).cast("long"), F.lit(False))
         split = stored(rows.groupBy("digest", early.alias("early")).agg(F.max("doc_id").alias("locator"), F.count("*").alias("size")), "distinct-digests")
         past, new = split.where("early").drop("early"), split.where("not early").drop("early")
     else:
-        past, new = stored(distinct_digests(digests(history)), "distinct-digests"), distinct_digests(rows)
-    shards = shards_for(past.count(), per_shard)
+        past, new = (stored(distinct_digests(x), "distinct-digests") for x in (digests(history), rows))
+    # A shard holds both sides' digests, so the larger side says how many there are.
+    shards = shards_for(max(past.count(), new.count()), per_shard)
     index = stored(build_index(past, shards), "digest-index")
     classes = stored(look_up(index, new, shards), "digest-classes")
     out = by_class(rows, classes, "digest", "size", rows.count())

@@ -84,6 +84,19 @@ def test_exact_against_a_history(spark):
     assert got == {5: (9, 2), 6: (7, 2), 7: (7, 2)}
 
 
+@pytest.mark.parametrize("ids,history", [([None] * 300, None), ([-(1 << 60), *range(299)], None), (range(300), [(1, "text 1")])])
+def test_shards_follow_the_larger_side(spark, monkeypatch, ids, history):
+    sizes, look_up = [], exact.look_up
+
+    def spied(index, distinct, shards):
+        sizes.append(max(r["count"] for r in distinct.withColumn("shard", exact._shard(shards)).groupBy("shard").count().collect()))
+        return look_up(index, distinct, shards)
+
+    monkeypatch.setattr(exact, "look_up", spied)
+    got = exact.exact_duplicates(table(spark, [(i, f"text {k}") for k, i in enumerate(ids)]), history and table(spark, history), per_shard=40).collect()
+    assert len(got) == 300 and all(r["kept"] for r in got) and max(sizes) <= 80
+
+
 def test_hot_classes_join_like_any_other(spark):
     from strandlake.llm.common import by_class, stored
 
