@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import arithmetic, background, model, reads, regions, scoring, smooth, states, tracks
+from ..operators import arithmetic, assembly, background, model, reads, regions, scoring, smooth, states, tracks, variants
 from ..streaming import coverage as streaming
 from . import adapter
 from .callpeak import PeakOptions, enriched_track, scored_track, signal_tracks
@@ -345,6 +345,22 @@ def hmm_path(spark, sf_dir):
     return states.decode(rows, model, "chrom", "start", ["x", "y"], block=512, best=True).select("chrom", "start", "state")
 
 
+def callvar_assembly(spark, sf_dir):
+    """Substitutions, insertions and deletions of the treatment's alignments against the control's, by local assembly of every stretch that reads cover."""
+    treat, control = (adapter.alignments(spark, sf_dir, x) for x in (True, False))
+    width = 256
+    marked = treat.select("chrom", F.explode(F.sequence(F.floor(F.col("pos") / width), F.floor((F.col("end") - 1) / width))).alias("k")).distinct()
+    found = assembly.call_assembled(treat, marked.select("chrom", (F.col("k") * width).alias("start"), ((F.col("k") + 1) * width).alias("end")), control)
+    return _rounded(found, 4, "score")
+
+
+def callvar_bases(spark, sf_dir):
+    """Substitutions by base counts at every place that the treatment's alignments cover."""
+    treat = adapter.alignments(spark, sf_dir, True)
+    spans = treat.groupBy("chrom").agg(F.min("pos").alias("start"), F.max("end").alias("end"))
+    return _rounded(variants.call_variants(variants.base_counts(treat, spans)), 3, "score")
+
+
 def stream_counts(spark, sf_dir):
     """Events in six-hour windows; the plan that the streaming test runs on a stream."""
     found = streaming.windowed_counts(adapter.signals(spark, sf_dir), "6 hours")
@@ -368,7 +384,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     binomial_limit, mean_fragment, shifted_extension, pileup_se, pileup_pe, pileup_weighted, pileup_signals, scale_small, scale_large, lambda_nolambda, lambda_nocontrol,
     lambda_fragments, track_align, track_compact, track_transform, track_combine, poisson_score, fold_enrichment, qtable, score_histogram, peaks_narrow, summits,
     peaks_broad, peaks_gapped, cutoff_analysis, bdgpeakcall, bdgdiff, reads_in_regions, refinepeak, predictd, digestion, randsample, summits_sg, peaks_summits, peaks_narrow_q, peaks_broad_q, signal_per_million, predictd_model, open_states, kmeans_state,
-    hmm_posterior, hmm_path, stream_counts, stream_pileup, *[_arithmetic(m) for m in (*arithmetic.METHODS, "ppois", "qpois")],
+    hmm_posterior, hmm_path, callvar_assembly, callvar_bases, stream_counts, stream_pileup, *[_arithmetic(m) for m in (*arithmetic.METHODS, "ppois", "qpois")],
 ]
 
 
