@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import stored
 from .regions import islands, overlapping
 from .tracks import coverage
 
@@ -38,12 +39,14 @@ def strand_peaks(reads: DataFrame, genome_size: float, fold_range: tuple[float,
     what the genome has on average, and it is taken where its highest count is
     not above the high end.  Its center is its middle.
     """
+    reads = reads.where("chrom is not null and pos is not null and strand is not null")
     n = F.col("n") if "n" in reads.columns else F.lit(1).cast("long")
     width = 2 * band
     around = reads.select(F.concat_ws("\t", "strand", "chrom").alias("chrom"), (F.col("pos") - band).alias("start"), (F.col("pos") + band).alias("end"), n.alias("n"))
     totals = reads.groupBy("strand").agg(F.sum(n).alias("total"))
     runs = coverage(around, F.col("n")).withColumn("strand", F.substring_index("chrom", "\t", 1))
     folds = runs.join(F.broadcast(totals), "strand").withColumn("fold", F.col("value") / (F.col("total") * width / F.lit(float(genome_size)))).where(F.col("fold") >= fold_range[0])
+    folds = stored(folds, "strand-folds")
     ends = (F.min("start") + F.max("end")).alias("ends")
     found = islands(folds, 0).groupBy("chrom", "strand", "region").agg(F.max("fold").alias("top"), ends).where(F.col("top") <= fold_range[1])
     return found.select(F.substring_index("chrom", "\t", -1).alias("chrom"), "strand", F.floor(F.col("ends") / 2).alias("center"))
@@ -53,7 +56,7 @@ def paired_peaks(reads: DataFrame, genome_size: float, fold_range: tuple[float,
     """(chrom, middle) of forward stretches with the nearest reverse one at most ``2 * band`` to their right."""
     if len(fold_range) != 2:
         raise ValueError("the fold range has a low and a high end")
-    peaks = strand_peaks(reads, genome_size, fold_range, band)
+    peaks = stored(strand_peaks(reads, genome_size, fold_range, band), "strand-peaks")
     span = 2 * band
     cell = F.floor(F.col("center") / span)
     forward = peaks.where("strand != '-'").select("chrom", F.col("center").alias("a"), F.explode(F.array(cell, cell + 1)).alias("cell"))
@@ -70,7 +73,7 @@ def model_length(reads: DataFrame, genome_size: float, fold_range: tuple[float,
     ``smoothing`` away, and of several best offsets the smallest is d.  Without
     pairs d is null.
     """
-    pairs = paired_peaks(reads, genome_size, fold_range, band).withColumn("start", F.col("middle") - band).withColumn("end", F.col("middle") + band).withColumn("pair", F.concat_ws(":", "chrom", "middle"))
+    pairs = stored(paired_peaks(reads, genome_size, fold_range, band), "paired-peaks").withColumn("start", F.col("middle") - band).withColumn("end", F.col("middle") + band).withColumn("pair", F.concat_ws(":", "chrom", "middle"))
     inside = overlapping(reads, pairs.select("chrom", "start", "end", "pair"))
     around = inside.select(F.col("pair").alias("chrom"), (F.col("pos") - F.col("start")).alias("pos"), "strand", (F.col("n") if "n" in reads.columns else F.lit(1).cast("long")).alias("n"))
     offsets = strand_agreement(around, 2 * band)

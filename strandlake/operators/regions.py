@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import symmetric_log_likelihood_ratio
+from ..plans.scratch import stored
 from .tracks import BIN, align
 
 
@@ -128,12 +129,14 @@ def condition_differences(treat1: DataFrame, control1: DataFrame, treat2: DataFr
     Runs where either condition stands out from its control by the cutoff are
     told apart by the log10 likelihood ratio of the two treatments.
     """
-    tracks = {n: t.withColumnRenamed(value, "value") for n, t in (("t1", treat1), ("c1", control1), ("t2", treat2), ("c2", control2))}
+    # Every step reads what is before it twice, so tracks and runs are stored: each track is made once.
+    tracks = {n: stored(t.withColumnRenamed(value, "value"), "condition-track") for n, t in (("t1", treat1), ("c1", control1), ("t2", treat2), ("c2", control2))}
     runs = align(tracks)
     ratio: Column = symmetric_log_likelihood_ratio(F.col("t1"), F.col("t2"))
     stands = lambda n: symmetric_log_likelihood_ratio(F.col(f"t{n}"), F.col(f"c{n}")) >= cutoff
     kind = F.when(ratio >= cutoff, F.when(stands(1), F.lit("cond1"))).when(ratio <= -cutoff, F.when(stands(2), F.lit("cond2"))).when(stands(1) & stands(2), F.lit("common"))
-    told = islands(runs.withColumn("kind", kind).withColumn("ratio", ratio).where("kind is not null"), max_gap, ("kind", "chrom"))
+    marked = stored(runs.withColumn("kind", kind).withColumn("ratio", ratio).where("kind is not null"), "condition-runs")
+    told = islands(marked, max_gap, ("kind", "chrom"))
     found = told.groupBy("kind", "chrom", "region").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.abs("ratio")).alias("score"))
     return found.where(F.col("end") - F.col("start") >= min_length).select("kind", "chrom", "start", "end", "score")
 

@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import background, reads, regions, scoring, smooth
+from ..operators import background, model, reads, regions, scoring, smooth
 from ..operators.tracks import compact
 from .scratch import stored
 
 
 @dataclass(frozen=True)
 class PeakOptions:
-    """What a call is made with; the cutoff is a probability."""
+    """What a call is made with; the cutoff is a probability.
+
+    ``fragment`` is the length that reads are extended to.  None asks for the
+    model: reads of the treatment around pairs of strand peaks, whose fold over
+    the mean lies in ``fold_range`` in windows of twice ``band_width``, tell it
+    (``with_length``); ``fallback`` stands in where there are too few pairs.
+    """
 
     genome_size: float
-    fragment: int = 200
+    fragment: int | None = 200
     tag: int = 200
     q_cutoff: float = 0.05
     broad_cutoff: float = 0.1
@@ -37,7 +43,8 @@ class PeakOptions:
     fold_range: tuple[float, float] = (5, 50)
     band_width: int = 300
     name: str = "NA"
-    extra: dict = field(default_factory=dict)
+    fallback: int | None = None
+    least_pairs: int = 100
 
     def __post_init__(self) -> None:
         if len(self.fold_range) != 2:
@@ -55,10 +62,23 @@ class PeakOptions:
         return background.Background(self.genome_size, self.fragment, self.small_local, self.large_local, self.scale_to, self.local, self.shift, self.clamp)
 
 
+def with_length(treat: DataFrame, options: PeakOptions) -> PeakOptions:
+    """The options with a fragment length: their own, or that of the paired-peak model over the treatment's reads, duplicates limited."""
+    if options.fragment is not None:
+        return options
+    limited = stored(reads.filter_duplicates(treat, options.keep_duplicates, options.genome_size), "model-reads")
+    found = model.model_length(limited, options.genome_size, options.fold_range, options.band_width).first()
+    length = found["d"] if found["d"] is not None and found["n_pairs"] >= options.least_pairs else options.fallback
+    if length is None:
+        raise ValueError(f"{found['n_pairs']} paired peaks are too few for a model of the fragment length; give a fragment or a fallback")
+    return replace(options, fragment=int(length))
+
+
 def enriched_track(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> DataFrame:
     """Runs (chrom, start, end, treat, lambda) of reads (chrom, pos, strand) or fragments (chrom, left, right, n)."""
     if paired:
         return background.enrich_fragments(treat, control, options.background())
+    options = with_length(treat, options)
     limit = lambda t: reads.filter_duplicates(t, options.keep_duplicates, options.genome_size)
     return background.enrich_reads(limit(treat), limit(control) if control is not None else None, options.background())
 
@@ -71,6 +91,7 @@ def scored_track(treat: DataFrame, control: DataFrame | None, options: PeakOptio
 
 def call_narrow(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> DataFrame:
     """Named narrow peaks; with ``call_summits`` a row for each summit of a peak, its attributes those at the summit."""
+    options = options if paired else with_length(treat, options)
     cutoff, score = (options.q_cutoff, "q") if options.p_cutoff is None else (options.p_cutoff, "p")
     scored = scored_track(treat, control, options, paired)
     found = regions.named(regions.narrow_peaks(scored, -math.log10(cutoff), options.gap, options.least, score), options.name)
@@ -94,6 +115,7 @@ def _counted(side: DataFrame, options: PeakOptions, paired: bool) -> DataFrame:
 
 def table_header(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False, broad: bool = False, tag: str = "BED", files: tuple[str, str | None] = ("", None)) -> list[str]:
     """The lines that stand above a table of peaks: what was asked for, and what was counted."""
+    options = options if paired else with_length(treat, options)
     lines = [
         "ARGUMENTS LIST:",
         f"name = {options.name}",
@@ -132,6 +154,7 @@ def table_header(treat: DataFrame, control: DataFrame | None, options: PeakOptio
 
 def call_broad(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> DataFrame:
     """Named broad peaks with their gapped blocks; weak stretches bridge four gaps."""
+    options = options if paired else with_length(treat, options)
     scored = scored_track(treat, control, options, paired)
     found = regions.broad_peaks(scored, -math.log10(options.q_cutoff), -math.log10(options.broad_cutoff), options.gap, 4 * options.gap, options.least)
     return regions.named(regions.gapped_peaks(found), options.name)

@@ -14,7 +14,7 @@ from ..functions import stats
 from ..operators import arithmetic, assembly, background, model, reads, regions, scoring, smooth, states, tracks, variants
 from ..streaming import coverage as streaming
 from . import adapter
-from .callpeak import PeakOptions, enriched_track, scored_track, signal_tracks
+from .callpeak import PeakOptions, call_narrow, enriched_track, scored_track, signal_tracks
 from .openregions import open_regions
 from .scratch import stored
 
@@ -312,6 +312,13 @@ def predictd_model(spark, sf_dir):
     return model.model_length(_side(spark, sf_dir, True), GENOME, (0.5, 50), 20, 2)
 
 
+def peaks_modelled(spark, sf_dir):
+    """Narrow peaks of a call that takes its fragment length from the paired-peak model."""
+    options = replace(OPTIONS, fragment=None, fold_range=(0.5, 50), band_width=20, least_pairs=1, fallback=SIZE, p_cutoff=10**-P_CUTOFF, min_length=LEAST, name="run")
+    found = call_narrow(adapter.reads(spark, sf_dir, True), adapter.reads(spark, sf_dir, False), options)
+    return _rounded(found, 4, "pileup", "p", "fe", "q")
+
+
 def open_states(spark, sf_dir):
     """Stretches in the open state of digested fragment lengths."""
     found = open_regions(_fragments(spark, sf_dir), [(5.0, 3.0), (20.0, 5.0), (35.0, 5.0), (48.0, 3.0)], step=4, min_length=4, rounds=3)
@@ -383,7 +390,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     read_stats, tag_size, redundant_rate, filterdup_1, filterdup_auto, filterdup_all, fragments_dedup, fragment_counts_wrapped, intervals_normalised, union_replicates,
     binomial_limit, mean_fragment, shifted_extension, pileup_se, pileup_pe, pileup_weighted, pileup_signals, scale_small, scale_large, lambda_nolambda, lambda_nocontrol,
     lambda_fragments, track_align, track_compact, track_transform, track_combine, poisson_score, fold_enrichment, qtable, score_histogram, peaks_narrow, summits,
-    peaks_broad, peaks_gapped, cutoff_analysis, bdgpeakcall, bdgdiff, reads_in_regions, refinepeak, predictd, digestion, randsample, summits_sg, peaks_summits, peaks_narrow_q, peaks_broad_q, signal_per_million, predictd_model, open_states, kmeans_state,
+    peaks_broad, peaks_gapped, cutoff_analysis, bdgpeakcall, bdgdiff, reads_in_regions, refinepeak, predictd, digestion, randsample, summits_sg, peaks_summits, peaks_narrow_q, peaks_broad_q, signal_per_million, predictd_model, peaks_modelled, open_states, kmeans_state,
     hmm_posterior, hmm_path, callvar_assembly, callvar_bases, stream_counts, stream_pileup, *[_arithmetic(m) for m in (*arithmetic.METHODS, "ppois", "qpois")],
 ]
 

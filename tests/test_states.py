@@ -193,3 +193,27 @@ def test_fragment_length_of_paired_peaks(spark):
     assert model.model_length(df, 100_000.0, (900, 1000)).first()["d"] is None
     with pytest.raises(ValueError, match="low and a high"):
         model.paired_peaks(df, 1e5, (5,))
+    nulls = df.unionByName(df.limit(500).selectExpr("cast(null as string) as chrom", "pos", "strand"))
+    assert model.model_length(nulls, 100_000.0, (2, 50), 300).first() == got
+    assert {r["chrom"] for r in model.strand_peaks(nulls, 100_000.0, (2, 50), 300).collect()} == {"c"}
+
+    from strandlake.plans.callpeak import PeakOptions, call_narrow, table_header, with_length
+
+    options = PeakOptions(100_000.0, fragment=None, tag=50, fold_range=(2, 50), least_pairs=20, keep_duplicates="all")
+    own = with_length(df, options)
+    assert own.fragment == got["d"]
+    rows = sorted(map(tuple, call_narrow(df, None, options).collect()))
+    assert rows == sorted(map(tuple, call_narrow(df, None, own).collect())) and len(rows) >= 20
+    middles = {4_000 * k + 2_000 for k in range(25)}
+    assert sum(any(abs(r[3] - m) <= 30 for m in middles) for r in rows) >= 20
+    assert f"# d = {got['d']}" in table_header(df, None, options)
+    with pytest.raises(ValueError, match="too few"):
+        with_length(df, PeakOptions(100_000.0, fragment=None, fold_range=(900, 1000)))
+    assert with_length(df, PeakOptions(100_000.0, fragment=None, fold_range=(900, 1000), fallback=147)).fragment == 147
+
+
+def test_differences_read_every_track_twice_at_most(spark):
+    from strandlake.plans import queries
+
+    plan = queries.bdgdiff(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 8 and "l_shipdate" not in plan
