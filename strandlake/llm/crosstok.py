@@ -205,7 +205,7 @@ class Remembered:
         """Make sure that every piece of a batch is known."""
         if len(self.known) > PIECES:
             self._clear()
-        new = list({p for pieces in cut for p in pieces}.difference(self.known))
+        new = list(set().union(*cut).difference(self.known))
         if not new:
             return
         rows, flat, lengths, written = self.make(new)
@@ -304,7 +304,7 @@ def distinct_pairs(docs: DataFrame, first: str, second: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64())], names=["code"])
 
         for texts in batches:
-            new = list({p for t in texts for p in pieces_of(t)} - told)
+            new = list(set().union(*map(pieces_of, texts)) - told)
             if new:
                 told.update(new)
                 memory.of([new])
@@ -369,7 +369,7 @@ def count_vectors(docs: DataFrame, tables: DataFrame, shards: int, lowest: int,
         for texts in batches:
             cut = [pieces_of(t) for t in texts]
             memory.of(cut)
-            each = [[memory.known[p] for p in set(pieces)] for pieces in cut]
+            each = [list(map(memory.known.__getitem__, set(pieces))) for pieces in cut]
             ids = np.fromiter(itertools.chain.from_iterable(each), np.int64)
             doc = np.repeat(np.arange(len(each)), list(map(len, each)))
             if len(ids):
@@ -481,14 +481,18 @@ def _looked_up(docs: DataFrame, shared, shared_tops, shards: int, width: int, fi
         memory = MEMORY["crosstok"][1]
         cut = [pieces_of(t) for t in texts]
         memory.of(cut)
+        each = [list(map(memory.known.__getitem__, pieces)) for pieces in cut]
+        filled = [k for k, ids in enumerate(each) if ids]
+        totals = np.zeros((len(cut), 7), np.int64)
+        if filled:
+            starts = np.cumsum([0, *(len(each[k]) for k in filled[:-1])])
+            totals[filled] = np.add.reduceat(memory.rows[np.fromiter(itertools.chain.from_iterable(each), np.int64)], starts, axis=0)
         rows = []
-        for pieces in cut:
-            ids = [memory.known[p] for p in pieces]
-            total = memory.rows[ids].sum(axis=0).tolist() if ids else [1] * 7
-            if total[6]:
+        for ids, total in zip(each, totals.tolist()):
+            if total[6] or not ids:
                 rows.append((0, 0, 0, 0, 0, 0, ""))
             else:
-                rows.append((*total[:6], hashlib.sha256(b"".join([memory.written[i] for i in ids])[:-1]).hexdigest()))
+                rows.append((*total[:6], hashlib.sha256(b"".join(map(memory.written.__getitem__, ids))[:-1]).hexdigest()))
         return list(zip(*rows))
 
     name = free_name(["doc_id", "text"], "text_hash")
