@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,12 +117,104 @@ def threshold_regions(track: DataFrame, cutoff: float, max_gap: int, min_length:
     return found.where(F.col("end") - F.col("start") >= min_length).select("chrom", "start", "end", F.floor((F.col("m.e") - F.col("m.s")) / 2).alias("summit"), F.col("m.v").alias("score"))
 
 
-def cutoff_analysis(scored: DataFrame, cutoffs: Sequence[float], max_gap: int, min_length: int, score: str = "p") -> DataFrame:
-    """(cutoff, regions, bases, mean_length) at each of the given cutoffs; the list is a parameter, so bounded."""
-    steps = F.explode(F.filter(F.array(*[F.lit(float(c)) for c in cutoffs]), lambda c: F.col(score) > c)).alias("cutoff")
-    each = islands(scored.select("chrom", "start", "end", steps), max_gap, ("cutoff", "chrom"))
-    found = each.groupBy("cutoff", "chrom", "region").agg((F.max("end") - F.min("start")).alias("length")).where(F.col("length") >= min_length)
-    return found.groupBy("cutoff").agg(F.count("*").alias("regions"), F.sum("length").alias("bases"), F.avg("length").alias("mean_length"))
+def _levels(start: np.ndarray, end: np.ndarray, level: np.ndarray, max_gap: int, min_length: int) -> list[tuple[int, int, int, int | None, int | None]]:
+    """(level, regions, bases, start, end) of one bin's runs, in order of place: at each level above zero the islands of the runs that reach it.
+
+    The first and the last island of the bin may go on in others, so each is a
+    row of its own with its start and end; of the rest the number and the bases are told
+    of those of ``min_length`` and more.  Runs are taken away from the lowest level on, which tells what
+    lies beside each when it comes back, and then put back from the highest on.
+    """
+    size = len(start)
+    rising = np.argsort(level, kind="stable").tolist()
+    starts, ends, levels = start.tolist(), end.tolist(), level.tolist()
+    left, right = list(range(-1, size - 1)), [*range(1, size), -1]
+    for i in rising:
+        if left[i] >= 0:
+            right[left[i]] = right[i]
+        if right[i] >= 0:
+            left[right[i]] = left[i]
+    root, begins, stops = list(range(size)), starts[:], ends[:]
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    regions = bases = 0
+    first = last = -1
+    out = []
+
+    def count(i: int, sign: int) -> None:
+        nonlocal regions, bases
+        if stops[i] - begins[i] >= min_length:
+            regions, bases = regions + sign, bases + sign * (stops[i] - begins[i])
+
+    def join(i: int, j: int) -> None:
+        i, j = find(i), find(j)
+        if i != j:
+            count(i, -1)
+            count(j, -1)
+            root[j] = i
+            begins[i], stops[i] = min(begins[i], begins[j]), max(stops[i], stops[j])
+            count(i, 1)
+
+    def tell(at: int) -> None:
+        edges = {find(first), find(last)}
+        inner = [(regions, bases)]
+        for i in edges:
+            long = stops[i] - begins[i] >= min_length
+            inner.append((-1, begins[i] - stops[i]) if long else (0, 0))
+            out.append((at, 0, 0, begins[i], stops[i]))
+        if sum(n for n, _ in inner):
+            out.append((at, sum(n for n, _ in inner), sum(b for _, b in inner), None, None))
+
+    at = levels[rising[-1]] if size else 0
+    for i in reversed(rising):
+        while at > levels[i]:
+            tell(at)
+            at -= 1
+        count(i, 1)
+        if left[i] >= 0 and starts[i] - ends[left[i]] <= max_gap:
+            join(left[i], i)
+        if right[i] >= 0 and starts[right[i]] - ends[i] <= max_gap:
+            join(i, right[i])
+        first = i if first < 0 else min(first, i)
+        last = max(last, i)
+    while size and at > 0:
+        tell(at)
+        at -= 1
+    return out
+
+
+def cutoff_analysis(scored: DataFrame, cutoffs: Sequence[float], max_gap: int, min_length: int, score: str = "p", bin_width: int = BIN) -> DataFrame:
+    """(cutoff, regions, bases, mean_length) at each of the given cutoffs, however many; cutoffs without a region have no row.
+
+    Runs of a chromosome do not overlap.  All cutoffs come from one pass over each bin's runs,
+    which are put together from the highest score on; of a bin only the first and
+    the last region at a cutoff meet those of other bins.  So rows that move
+    are runs once, and three for each bin and cutoff.
+    """
+    steps = np.array(sorted({float(c) for c in cutoffs}))
+    if not len(steps):
+        raise ValueError("there are no cutoffs")
+    high = scored.where(F.col(score) > F.lit(float(steps[0]))).where("chrom is not null and end > start")
+    binned = high.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col(score).cast("double").alias("score"), F.floor(F.col("start") / F.lit(bin_width)).alias("_bin"))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        chrom = pdf["chrom"].iloc[0]
+        pdf = pdf.sort_values("start")
+        found = _levels(pdf["start"].to_numpy(), pdf["end"].to_numpy(), np.searchsorted(steps, pdf["score"].to_numpy(), "left"), max_gap, min_length)
+        out = pd.DataFrame(found, columns=["level", "regions", "bases", "start", "end"]).astype({"start": "Int64", "end": "Int64"})
+        return pd.DataFrame({"cutoff": steps[out["level"].to_numpy(np.int64) - 1], "chrom": chrom, "regions": out["regions"], "bases": out["bases"], "start": out["start"], "end": out["end"]})
+
+    parts = stored(binned.groupBy("chrom", "_bin").applyInPandas(work, "cutoff double, chrom string, regions long, bases long, start long, end long"), "cutoff-parts")
+    edges = islands(parts.where("start is not null").select("cutoff", "chrom", "start", "end"), max_gap, ("cutoff", "chrom"), bin_width)
+    edges = edges.groupBy("cutoff", "chrom", "region").agg((F.max("end") - F.min("start")).alias("bases")).where(F.col("bases") >= min_length)
+    every = parts.where("start is null").select("cutoff", "regions", "bases").unionByName(edges.select("cutoff", F.lit(1).cast("long").alias("regions"), "bases"))
+    found = every.groupBy("cutoff").agg(F.sum("regions").alias("regions"), F.sum("bases").alias("bases"))
+    return found.withColumn("mean_length", F.col("bases") / F.col("regions"))
 
 
 def condition_differences(treat1: DataFrame, control1: DataFrame, treat2: DataFrame, control2: DataFrame, cutoff: float, max_gap: int, min_length: int, value: str = "value") -> DataFrame:

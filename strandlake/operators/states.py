@@ -417,10 +417,61 @@ def decode(rows: DataFrame, model: GaussianHmm, sequence: str, position: str, fe
 COMPONENTS = ((50.0, 20.0), (200.0, 20.0), (400.0, 20.0), (600.0, 20.0))
 
 
-def digested(fragments: DataFrame, components: Sequence[tuple[float, float]] = COMPONENTS) -> DataFrame:
-    """Fragments with the weights w0, w1, ... of the length components, normal densities that sum to one."""
+#: Bins of fragment lengths that the driver holds at most; shorter lengths than this are bins of their own.
+LENGTHS = 1 << 20
+
+
+def length_mixture(fragments: DataFrame, components: Sequence[tuple[float, ...]] = COMPONENTS, rounds: int = 500, narrowest: float = 0.5, lengths: int = LENGTHS) -> list[tuple[float, float, float]]:
+    """(mean, spread, share) of each length component: a mixture of normal densities fitted by expectation maximisation.
+
+    Begins from ``components`` with equal shares and stops where the likelihood no longer rises; the order of the components is kept.
+    Every fragment (left, right, and n, one where it is not given) counts, by
+    one aggregate over lengths.  Where the longest fragment has over ``lengths`` bases, lengths are put
+    together in stretches of a power of two, at most ``lengths`` of them, each at its own mean.  Spreads are
+    at least ``narrowest``.  Without fragments the components come back as they are.
+    """
+    n = F.col("n") if "n" in fragments.columns else F.lit(1).cast("long")
+    sizes = fragments.where("right > left").select((F.col("right") - F.col("left")).cast("long").alias("length"), n.alias("n")).groupBy("length").agg(F.sum("n").alias("n"))
+    longest = sizes.agg(F.max("length")).first()[0]
+    start = [(float(c[0]), float(c[1]), 1 / len(components)) for c in components]
+    if longest is None:
+        return start
+    width = 1
+    while longest // width >= lengths:
+        width *= 2
+    found = sizes.groupBy(F.floor(F.col("length") / width).alias("at")).agg((F.sum(F.col("length") * F.col("n").cast("double")) / F.sum("n")).alias("x"), F.sum("n").cast("double").alias("n")).orderBy("at").toPandas()
+    return fit_mixture(found["x"].to_numpy(), found["n"].to_numpy(), start, rounds, narrowest)
+
+
+def fit_mixture(x: np.ndarray, n: np.ndarray, start: Sequence[tuple[float, float, float]], rounds: int = 500, narrowest: float = 0.5) -> list[tuple[float, float, float]]:
+    """(mean, spread, share) of normal components over values ``x`` that occur ``n`` times."""
+    mean, spread, share = (np.array(v, np.float64) for v in zip(*start))
+    before = -np.inf
+    for _ in range(rounds):
+        with np.errstate(divide="ignore"):
+            logs = np.log(share) - np.log(spread) - 0.5 * ((x[:, None] - mean) / spread) ** 2
+        whole = np.logaddexp.reduce(logs, axis=1)
+        likely = float(n @ whole)
+        if likely - before <= 1e-9 * abs(likely):
+            break
+        before = likely
+        own = np.exp(logs - whole[:, None]) * n[:, None]
+        weight = own.sum(axis=0)
+        share = weight / weight.sum()
+        held = weight > 1e-9 * weight.sum()
+        safe = np.where(held, weight, 1.0)
+        mean = np.where(held, (own * x[:, None]).sum(axis=0) / safe, mean)
+        spread = np.where(held, np.maximum(narrowest, np.sqrt((own * (x[:, None] - mean) ** 2).sum(axis=0) / safe)), spread)
+    return [(float(m), float(s), float(w)) for m, s, w in zip(mean, spread, share)]
+
+
+def digested(fragments: DataFrame, components: Sequence[tuple[float, ...]] = COMPONENTS) -> DataFrame:
+    """Fragments with the weights w0, w1, ... of the length components, normal densities that sum to one.
+
+    A component is a mean and a spread, and its share of the fragments where that is known.
+    """
     length = F.col("right") - F.col("left")
-    logs = [-((length - F.lit(m)) ** 2) / F.lit(2 * s * s) - F.log(F.lit(s)) for m, s in components]
+    logs = [-((length - F.lit(c[0])) ** 2) / F.lit(2 * c[1] * c[1]) - F.log(F.lit(c[1])) + F.lit(float(np.log(max(c[2], 1e-300))) if len(c) > 2 else 0.0) for c in components]
     top = F.greatest(*logs)
     parts = [F.exp(x - top) for x in logs]
     total = sum(parts[1:], parts[0])

@@ -163,8 +163,23 @@ LIMIT = f"""lim AS (SELECT greatest(1, min(x)) AS m FROM (
     SELECT x, sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(1 / {GENOME}) + (n - x) * ln(1 - 1 / {GENOME}))) OVER (ORDER BY x) AS cdf
     FROM (SELECT sum(n)::DOUBLE AS n FROM t), (SELECT unnest(range(0, 400)) AS x) WHERE x <= n) WHERE cdf >= 1 - 1e-5)"""
 CUTS = " UNION ALL ".join(f"SELECT {c}::DOUBLE AS cutoff, * FROM scored WHERE p > {c}" for c in (0.5, 0.8, 1.0, 1.5))
+CURVE = " UNION ALL ".join(f"SELECT {round(0.313 + 0.037 * k, 3)}::DOUBLE AS cutoff" for k in range(60))
 PARTS = ((5.0, 3.0), (20.0, 5.0), (35.0, 5.0), (48.0, 3.0))
 _DENSITY = [f"exp(-power(length - {m}, 2) / {2 * s * s}) / {s}" for m, s in PARTS]
+#: Coverage of the treated reads base by base in each narrow peak, and the smoothed slope over five bases.
+SLOPES = f"""{NARROW}, named AS (SELECT chrom, "start" AS a, "end" AS b, 'run_peak_' || row_number() OVER (ORDER BY chrom, "start") AS name FROM narrow),
+    cov AS ({_coverage(_extended('t'))}), bases AS (SELECT *, unnest(range(a, b)) AS i FROM named),
+    sig AS (SELECT bases.*, coalesce(value, 0) AS f FROM bases LEFT JOIN cov ON cov.chrom = bases.chrom AND i >= cov."start" AND i < cov."end"),
+    slopes AS (SELECT *, 2 * (coalesce(lead(f, 2) OVER o, last_value(f) OVER o) - coalesce(lag(f, 2) OVER o, first_value(f) OVER o)) + coalesce(lead(f) OVER o, last_value(f) OVER o) - coalesce(lag(f) OVER o, first_value(f) OVER o) AS g
+        FROM sig WINDOW o AS (PARTITION BY name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    turns AS (SELECT *, lead(g) OVER w AS ng, lead(f) OVER w AS nf FROM slopes WINDOW w AS (PARTITION BY name ORDER BY i)),
+    found AS (SELECT chrom, a, b, name, CASE WHEN ng = 0 THEN i + 1 ELSE i END AS summit, CASE WHEN ng = 0 THEN nf ELSE f END AS height FROM turns WHERE g > 0 AND ng <= 0 AND b - a >= 3),
+    whole AS (SELECT * FROM found UNION ALL SELECT chrom, a, b, name, i, f FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY f DESC, i) AS r FROM sig) WHERE r = 1 AND name NOT IN (SELECT name FROM found))"""
+_SHARES = ", ".join(f"CAST(round(d{i} / (d0 + d1 + d2 + d3) * 1000000) AS BIGINT) AS w{i}" for i in range(4))
+BINNED = f"""WITH {ITEMS}, den AS (SELECT chrom, pos AS l, pos + length AS r, cnt, {", ".join(f"{x} AS d{i}" for i, x in enumerate(_DENSITY))} FROM items),
+    parts AS (SELECT chrom, l, r, cnt, {_SHARES} FROM den WHERE r > l),
+    bins AS (SELECT *, least(r, (bin + 1) * 4) - greatest(l, bin * 4) AS inside FROM (SELECT *, unnest(range(CAST(floor(l / 4) AS BIGINT), CAST(floor((r - 1) / 4) AS BIGINT) + 1)) AS bin FROM parts))
+    SELECT chrom, bin, {", ".join(f"round(sum(w{i} * cnt * inside)::DOUBLE / 4000000, 8) AS s{i}" for i in range(4))} FROM bins GROUP BY chrom, bin"""
 REFINED = f"""{NARROW}, hits AS (SELECT d.chrom, d."start" AS a, d."end" AS b, pos, n FROM narrow d JOIN t ON d.chrom = t.chrom AND pos >= d."start" AND pos < d."end"),
     ev AS (SELECT chrom, a, b, pos, sum(v) AS v FROM (SELECT chrom, a, b, pos - 3 AS pos, n AS v FROM hits UNION ALL SELECT chrom, a, b, pos + 3, -n FROM hits) GROUP BY ALL),
     rs AS (SELECT chrom, a, b, pos, lead(pos) OVER o AS nxt, sum(v) OVER o AS score FROM ev WINDOW o AS (PARTITION BY chrom, a, b ORDER BY pos))
@@ -206,6 +221,8 @@ ORACLE: dict[str, str] = {
     "peaks_broad": f"{BROAD} SELECT chrom, {RUN}, round(pileup, 4) AS pileup, round(p, 4) AS p, round(fe, 4) AS fe FROM wide",
     "peaks_gapped": f"""{BLOCKS} SELECT chrom, a AS "start", b AS "end", count(*) AS block_count, string_agg((e - s)::VARCHAR, ',' ORDER BY s, e) AS block_sizes,
         string_agg((s - a)::VARCHAR, ',' ORDER BY s, e) AS block_starts FROM parts GROUP BY chrom, region, a, b""",
+    "cutoff_curve": f"""{SCORED}, cuts AS (SELECT cutoff, scored.* FROM scored JOIN ({CURVE}) ON p > cutoff), found AS (SELECT cutoff, chrom, region, max("end") - min("start") AS length FROM ({_islands("SELECT * FROM cuts", GAP, "cutoff, chrom")})
+        GROUP BY ALL HAVING max("end") - min("start") >= {LEAST}) SELECT cutoff, count(*) AS regions, CAST(sum(length) AS BIGINT) AS bases, round(avg(length), 6) AS mean_length FROM found GROUP BY cutoff""",
     "cutoff_analysis": f"""{SCORED}, cuts AS ({CUTS}), found AS (SELECT cutoff, chrom, region, max("end") - min("start") AS length FROM ({_islands("SELECT * FROM cuts", GAP, "cutoff, chrom")})
         GROUP BY ALL HAVING max("end") - min("start") >= {LEAST}) SELECT cutoff, count(*) AS regions, CAST(sum(length) AS BIGINT) AS bases, round(avg(length), 6) AS mean_length FROM found GROUP BY cutoff""",
     "bdgpeakcall": f"""{TRACKS}, isl AS ({_islands("SELECT * FROM ta WHERE value >= (SELECT floor(avg(value) * 1.1) FROM ta)", GAP)}),
@@ -217,6 +234,9 @@ ORACLE: dict[str, str] = {
     "refinepeak": REFINED,
     "predictd": f"""{BASE} SELECT b.pos - a.pos AS "offset", CAST(sum(a.n * b.n) AS BIGINT) AS pairs FROM t a JOIN t b ON a.chrom = b.chrom AND a.strand = '+' AND b.strand = '-'
         AND b.pos > a.pos AND b.pos - a.pos <= 40 GROUP BY 1""",
+    "summits_sg": f"""{SLOPES} SELECT chrom, a AS "start", b AS "end", name || CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN chr(CAST(96 + row_number() OVER (PARTITION BY name ORDER BY summit) AS INTEGER)) ELSE '' END AS name,
+        summit, height::DOUBLE AS height FROM whole""",
+    "digested_bins": BINNED,
     "digestion": f"""WITH {ITEMS}, den AS (SELECT chrom, cnt, {", ".join(f"{x} AS d{i}" for i, x in enumerate(_DENSITY))} FROM items)
         SELECT chrom, {", ".join(f"round(sum(d{i} / (d0 + d1 + d2 + d3) * cnt), 3) AS w{i}" for i in range(4))} FROM den GROUP BY chrom""",
     "scale_small": f'{BASE}, {_enriched()} SELECT chrom, {RUN}, round(treat, 6) AS treat, round("lambda", 6) AS "lambda" FROM both_',

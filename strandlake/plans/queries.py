@@ -15,12 +15,15 @@ from ..operators import arithmetic, assembly, background, model, reads, regions,
 from ..streaming import coverage as streaming
 from . import adapter
 from .callpeak import PeakOptions, call_narrow, enriched_track, scored_track, signal_tracks
-from .openregions import open_regions
+from .openregions import digested_signal, open_regions
 from .scratch import stored
 
 GENOME, SIZE, SMALL, LARGE = 7500.0, 8, 50, 400
+#: Length components of the tables' fragments, shorter than any real ones.
+LENGTHS = [(5.0, 3.0), (20.0, 5.0), (35.0, 5.0), (48.0, 3.0)]
 P_CUTOFF, WEAK, GAP, LEAST = 1.0, 0.6, 3, 4
 Q_CUTOFF, Q_WEAK = 0.4, 0.2
+CURVE = [round(0.313 + 0.037 * k, 3) for k in range(60)]
 HOW = background.Background(GENOME, SIZE, SMALL, LARGE)
 OPTIONS = PeakOptions(GENOME, fragment=SIZE, tag=GAP, keep_duplicates="all", small_local=SMALL, large_local=LARGE)
 PLACE = ("chrom", "pos", "strand")
@@ -236,6 +239,12 @@ def cutoff_analysis(spark, sf_dir):
     return _rounded(found, 6, "mean_length")
 
 
+def cutoff_curve(spark, sf_dir):
+    """Regions at each of sixty cutoffs."""
+    found = regions.cutoff_analysis(_scored(spark, sf_dir), CURVE, GAP, LEAST)
+    return _rounded(found.withColumn("cutoff", F.round("cutoff", 3)), 6, "mean_length")
+
+
 def bdgpeakcall(spark, sf_dir):
     found = _track(spark, sf_dir, True)
     high = found.agg(F.avg("value") * 1.1).first()[0]
@@ -321,10 +330,30 @@ def peaks_modelled(spark, sf_dir):
 
 def open_states(spark, sf_dir):
     """Stretches in the open state of digested fragment lengths."""
-    found = open_regions(_fragments(spark, sf_dir), [(5.0, 3.0), (20.0, 5.0), (35.0, 5.0), (48.0, 3.0)], step=4, min_length=4, rounds=3)
+    found = open_regions(_fragments(spark, sf_dir), LENGTHS, step=4, min_length=4, rounds=3, fit_lengths=False)
     return _rounded(found, 4, "posterior")
 
 
+def open_states_fitted(spark, sf_dir):
+    """Stretches in the open state, with length components fitted to the fragments."""
+    return _rounded(open_regions(_fragments(spark, sf_dir), LENGTHS, step=4, min_length=4, rounds=3), 4, "posterior")
+
+
+def length_mixture(spark, sf_dir):
+    """The fitted length components, and the fragments that each holds."""
+    fragments = _fragments(spark, sf_dir)
+    found = states.length_mixture(fragments, LENGTHS)
+    held = states.digested(fragments, found).agg(*[F.sum(F.col(f"w{i}") * F.col("n")).alias(f"w{i}") for i in range(len(found))])
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("component"), *[F.round(F.lit(v), 4).alias(c) for c, v in zip(("mean", "spread", "share"), part)], F.round(f"w{i}", 2).alias("fragments")) for i, part in enumerate(found)]))
+    return held.select(rows.alias("r")).select("r.*")
+
+
+def digested_bins(spark, sf_dir):
+    """The mean coverage of each length component in bins of four bases."""
+    found = digested_signal(_fragments(spark, sf_dir), LENGTHS, 4)
+    return _rounded(found, 8, *[f"s{i}" for i in range(len(LENGTHS))])
+
+
 def _state_rows(spark, sf_dir) -> DataFrame:
     found = tracks.align({"a": _track(spark, sf_dir, True), "b": _track(spark, sf_dir, False)})
     return found.select("chrom", "start", F.log1p("a").alias("x"), F.log1p("b").alias("y"))
@@ -390,7 +419,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     read_stats, tag_size, redundant_rate, filterdup_1, filterdup_auto, filterdup_all, fragments_dedup, fragment_counts_wrapped, intervals_normalised, union_replicates,
     binomial_limit, mean_fragment, shifted_extension, pileup_se, pileup_pe, pileup_weighted, pileup_signals, scale_small, scale_large, lambda_nolambda, lambda_nocontrol,
     lambda_fragments, track_align, track_compact, track_transform, track_combine, poisson_score, fold_enrichment, qtable, score_histogram, peaks_narrow, summits,
-    peaks_broad, peaks_gapped, cutoff_analysis, bdgpeakcall, bdgdiff, reads_in_regions, refinepeak, predictd, digestion, randsample, summits_sg, peaks_summits, peaks_narrow_q, peaks_broad_q, signal_per_million, predictd_model, peaks_modelled, open_states, kmeans_state,
+    peaks_broad, peaks_gapped, cutoff_analysis, cutoff_curve, bdgpeakcall, bdgdiff, reads_in_regions, refinepeak, predictd, digestion, randsample, summits_sg, peaks_summits, peaks_narrow_q, peaks_broad_q, signal_per_million, predictd_model, peaks_modelled, open_states, open_states_fitted, length_mixture, digested_bins, kmeans_state,
     hmm_posterior, hmm_path, callvar_assembly, callvar_bases, stream_counts, stream_pileup, *[_arithmetic(m) for m in (*arithmetic.METHODS, "ppois", "qpois")],
 ]
 
