@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_texts, shards_for, small_batches, stored, words
 from .gru import Gru
@@ -172,36 +173,49 @@ def _outputs(column) -> list[np.ndarray]:
     return [np.frombuffer(x, "<i2").astype(np.int32) for x in column]
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """(row, key, number) of (row, key): rows of one key are numbered from 0 on, within each partition that ``row`` names and over the counts of those before."""
+    placed = rows.withColumn("part", F.shiftright("row", 33))
+    inside = placed.withColumn("_r", F.row_number().over(Window.partitionBy("key", "part").orderBy("row")))
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("key", "part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return inside.join(before, ["key", "part"]).select("row", "key", (F.col("_r") - 1 + F.col("_before")).alias("number"))
+
+
 def _train(model: LanguageModel, encoded: DataFrame) -> None:
     """Rounds of parallel training on every text that teaches; the averaged parameters end up in ``model``.
 
-    Texts are dealt by row, so ids that are null or repeat make no trainer larger.
+    Texts are dealt by a hash of what they hold and their number among equal
+    ones, so neither ids nor the table's partitions matter, and copies are spread.
     """
     spark = encoded.sparkSession
     size = encoded.agg(F.sum("n_tokens")).first()[0] or 0
     if not size:
         return
     trainers = shards_for(size, TRAINER_TOKENS)
-    deal = lambda seed, parts: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(parts))
-    dealt = encoded.select("row", "outputs", deal(1, trainers).alias("trainer"), deal(2, ROUNDS).alias("round"))
+    deal = lambda seed, parts: F.pmod(F.xxhash64("key", "number", F.lit(seed)), F.lit(parts))
+    numbers = numbered(encoded.select("row", F.xxhash64("outputs").alias("key")))
+    dealt = encoded.select("row", "outputs").join(numbers, "row").select("key", "outputs", deal(1, trainers).alias("trainer"), deal(2, ROUNDS).alias("round"))
+    dealt = stored(dealt, "dealt-texts")
     network = model.network
     for k in range(ROUNDS):
         start = spark.sparkContext.broadcast(network)
         rate = RATE * (1 - k / ROUNDS)
 
         def work(pdf: pd.DataFrame) -> pd.DataFrame:
-            texts = _outputs(pdf.sort_values("row")["outputs"])
+            texts = _outputs(pdf.sort_values("key")["outputs"])
             size = sum(map(len, texts))
             own = start.value.copy()
             own.train(texts, rate, width=max(8, min(LANES, size // LANE_TOKENS)))
             parts = np.array_split(own.flat(), BLOCKS)
-            return pd.DataFrame({"block": range(BLOCKS), "weights": [x.tobytes() for x in parts], "n": [size] * BLOCKS})
+            return pd.DataFrame({"block": range(BLOCKS), "trainer": pdf["trainer"].iloc[0], "weights": [x.tobytes() for x in parts], "n": [size] * BLOCKS})
 
         def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("trainer")
             total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for w, n in zip(pdf["weights"], pdf["n"]))
             return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "weights": [(total / pdf["n"].sum()).astype(np.float32).tobytes()]})
 
-        trained = dealt.where(F.col("round") == k).groupBy("trainer").applyInPandas(work, "block int, weights binary, n long")
+        trained = dealt.where(F.col("round") == k).groupBy("trainer").applyInPandas(work, "block int, trainer long, weights binary, n long")
         blocks = trained.groupBy("block").applyInPandas(mean, "block int, weights binary").collect()
         if blocks:
             network.load(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(blocks, key=lambda r: r["block"])]))
