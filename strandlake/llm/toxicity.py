@@ -29,8 +29,6 @@ from .common import bounded_sample, free_name, long_ids, map_texts, small_batche
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 16_000
-#: Lexicon entries at most; a bound on what is sent to every task.
-ENTRIES = 2_000
 #: Independent toxic texts that an entry must occur in.
 SUPPORT = 4
 #: Times that an entry's share of the toxic texts exceeds its share of the clean ones.
@@ -279,23 +277,32 @@ def choose(rows: list[tuple[str, int, float]]) -> tuple[list[str], list[str]]:
     """
     rows = sorted(rows, key=lambda r: (-r[2], len(r[0]), r[0]))
     words = {e: p for e, p, _ in rows if not e.endswith("*")}
+    starts = lambda w: {w[:k] for k in STEM_LENGTHS if k <= len(w)}
+    best: dict[str, int] = {}
+    for w, p in words.items():
+        for s in starts(w):
+            best[s] = max(best.get(s, 0), p)
     stems: list[str] = []
+    taken: set[str] = set()
+    within: set[str] = set()
     for entry, p, _ in rows:
         if not entry.endswith("*"):
             continue
         stem = entry[:-1]
-        best = max((q for w, q in words.items() if w.startswith(stem)), default=0)
-        if p >= 1.5 * best and p >= best + SUPPORT // 2 and not any(stem.startswith(s) or s.startswith(stem) for s in stems):
+        most = best.get(stem, 0)
+        if p >= 1.5 * most and p >= most + SUPPORT // 2 and stem not in within and not starts(stem) & taken:
             stems.append(stem)
-    return [w for w in words if not any(w.startswith(s) for s in stems)], stems
+            taken.add(stem)
+            within |= starts(stem)
+    return [w for w in words if not starts(w) & taken], stems
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from rows (doc_id, text, toxic, and a hash of the text as text_hash where it is at hand); rows with a null label are left out.
 
     At most ``sample`` distinct pairs of text and label are used, those of least
-    hash.  Of the entries that tell toxic texts from clean ones the model takes
-    those of largest gain, ``entries`` words and as many stems at most.  Without
+    hash.  The model takes every entry that tells toxic texts from clean ones by
+    its gain; each needs ``SUPPORT`` of the sample's toxic texts.  Without
     toxic rows the lexicon is empty and every score is the prior's.
     """
     spark = labelled.sparkSession
@@ -309,9 +316,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Mo
         F.countDistinct(F.when(F.col("toxic") == 1, F.col("sketch"))).alias("p"), F.countDistinct(F.when(F.col("toxic") == 0, F.col("sketch"))).alias("n")
     )
     counted = stored(counted, "toxicity-entries")
-    found = telling(counted, totals.get(1, 0), totals.get(0, 0)).orderBy(F.desc("gain"), "entry").limit(entries * (len(STEM_LENGTHS) + 1)).collect()
+    found = telling(counted, totals.get(1, 0), totals.get(0, 0)).collect()
     words, stems = choose([(r["entry"], r["p"], r["gain"]) for r in found])
-    draft = Model(words[:entries], stems[:entries], frozenset())
+    draft = Model(words, stems, frozenset())
     usual = counted.where(~F.col("entry").endswith("*")).where("n >= 2").select("entry")
     near = usual.mapInPandas(_near(draft), "entry string").collect()  # words of the bounded sample that lie within the edits of an entry
     model = Model(draft.words, draft.stems, frozenset(r[0] for r in near))
