@@ -34,8 +34,6 @@ from .common import lower_ascii, stored
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # Words that mark a host by its name.
 SEEDS = ("adult", "bet", "bets", "betting", "casino", "escort", "pill", "pills", "porn", "sex", "spam", "viagra", "xxx")
-#: Levels that are split; deeper segments stand as one.
-DEPTH = 4
 #: Children from which a node's segments may become a wildcard, and the share that spares it.
 FAN, PREVAILS = 16, 0.5
 #: Smoothing of a purity: the prior, how many labelled pages it weighs, and how many a neighbour weighs at most.
@@ -108,7 +106,18 @@ def _merged(rows: DataFrame, node: Sequence[str], child: str) -> DataFrame:
     return _joined(rows, to, [*node, child]).withColumn(child, F.coalesce("to", child)).drop("to")
 
 
-def templates(rows: DataFrame, depth: int = DEPTH, fan: int = FAN) -> DataFrame:
+def branching(paths: DataFrame, fan: int = FAN) -> int:
+    """The deepest level at which a node of over ``fan`` pages has two children or more, of distinct (host, segments, n); 1 at least.
+
+    The end of a path is a child as well.
+    """
+    size = F.size("segments")
+    step = F.explode(F.transform(F.sequence(F.lit(1), size + 1), lambda i: F.struct(i.alias("level"), F.xxhash64(F.slice("segments", F.lit(1), i - 1)).alias("node"), F.when(i <= size, F.xxhash64(F.get("segments", i - 1))).otherwise(F.lit(0)).alias("child"))))
+    nodes = paths.select("host", "n", step.alias("x")).groupBy("host", "x.level", "x.node").agg(F.sum("n").alias("n"), F.min("x.child").alias("low"), F.max("x.child").alias("high"))
+    return nodes.where((F.col("n") > fan) & (F.col("low") != F.col("high"))).agg(F.max("level")).first()[0] or 1
+
+
+def templates(rows: DataFrame, depth: int, fan: int = FAN) -> DataFrame:
     """Adds g1..g<depth>, the template of (host, s1..s<depth>, rest, n, pos, labelled) rows, and t1..t<depth>, its place in the merged tree."""
     done = rows
     for level in range(1, depth + 1):
@@ -159,7 +168,7 @@ def nearest(branches: DataFrame, chain: Sequence[Sequence[str]], name: str, salt
     return known
 
 
-def purity(general: DataFrame, depth: int = DEPTH) -> DataFrame:
+def purity(general: DataFrame, depth: int) -> DataFrame:
     """(host, g1.., rest, purity) for each template of (host, g1.., t1.., rest, n, labelled, pos) rows."""
     g, t = ([f"{x}{i}" for i in range(1, depth + 1)] for x in "gt")
     rows = stored(_totals(general, ["host", *g, *t, "rest"]), "url-branches")
@@ -176,14 +185,15 @@ def purity(general: DataFrame, depth: int = DEPTH) -> DataFrame:
     return found.select("host", *g, "rest", (top / bottom).alias("purity"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = SEEDS, depth: int = DEPTH, fan: int = FAN) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = SEEDS, depth: int | None = None, fan: int = FAN) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) for each row of ``pages`` (page_id, url, and any others).
 
     ``verdict`` is the rule's where one fits, else 'block' for a rejected
     template and 'allow' for any other.  A null url, or one without ``://``, has
     empty host and path and is judged like any other page of that host.
     Repeated rows each get a row and count each as a page; an empty table gives
-    no rows.
+    no rows.  Levels go on as deep as any node of over ``fan`` pages branches
+    (``branching``), or to ``depth`` where one is given; the segments below that are one, ``**``.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -191,8 +201,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds: Seq
     parts = F.split(F.col("path"), "/")
     seeded = F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(s) for s in seeds])) if seeds else F.lit(False)
     label = F.when(F.col("rule_verdict").isNotNull(), (F.col("rule_verdict") == "block").cast("long")).when(seeded, F.lit(1).cast("long"))
+    if depth is None:
+        typed = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _typed)
+        depth = branching(base.select("host", typed.alias("segments")).groupBy("host", "segments").agg(F.count("*").alias("n")), fan)
     names = [f"s{i}" for i in range(1, depth + 1)]
-    segments = [F.when(F.size(parts) > i, _typed(parts[i])).alias(f"s{i}") for i in range(1, depth + 1)]
+    segments = [F.when(F.size(parts) > i, _typed(F.get(parts, F.lit(i)))).alias(f"s{i}") for i in range(1, depth + 1)]
     rest = F.when(F.size(parts) > depth + 1, F.lit("**")).alias("rest")
     rows = base.select("*", rule.alias("rule"), verdict.alias("rule_verdict")).select("*", *segments, rest, label.alias("label"))
     keys = ["host", *names, "rest"]
