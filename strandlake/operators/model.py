@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,20 +11,63 @@ from ..plans.scratch import stored
 from .regions import islands, overlapping
 from .tracks import coverage
 
+#: Bins of a tile whose strands are correlated at once, and bits of a count that one transform takes.
+TILE, LIMB = 1 << 16, 12
 
-def strand_agreement(reads: DataFrame, longest: int, bin_width: int = 1) -> DataFrame:
+
+def _agreement(forward: np.ndarray, reverse: np.ndarray, span: int) -> np.ndarray:
+    """At each offset 1 to ``span``, the sum over places of ``forward[i] * reverse[i + offset]``, in whole numbers.
+
+    One fast Fourier correlation a pair of limbs: counts are cut into limbs of
+    ``LIMB`` bits, so the transform's error stays far below a half and rounding
+    makes the sums exact.
+    """
+    size, reach = 1 << int(len(forward) + len(reverse)).bit_length(), min(span, len(reverse) - 1)
+    limbs = lambda counts: [np.fft.rfft((counts >> k & (1 << LIMB) - 1).astype(float), size) for k in range(0, max(1, int(counts.max()).bit_length()), LIMB)]
+    sums = np.zeros(span, dtype=np.int64)
+    for i, one in enumerate(limbs(forward)):
+        for j, other in enumerate(limbs(reverse)):
+            both = np.fft.irfft(np.conj(one) * other, size)[1 : reach + 1]
+            sums[:reach] += np.rint(both).astype(np.int64) << LIMB * (i + j)
+    return sums
+
+
+def strand_agreement(reads: DataFrame, longest: int, bin_width: int = 1, tile: int = TILE) -> DataFrame:
     """(offset, pairs): how many forward and reverse 5' ends lie each offset apart, weighted by their counts.
 
-    Positions are brought to bins; the join is an equality on bins of the
-    largest offset, with two neighbours for each forward read.
+    Positions are brought to bins and counted first.  A chromosome is cut into
+    tiles; a forward end lies in its own, a reverse end also in the tile before where
+    a forward end of that one may reach it, so each pair is counted once.  Within a
+    tile the counts are correlated, so the work follows the tiles that hold reads,
+    not the pairs of reads: a place with any number of reads costs as much as one.
+    Rows without chrom, pos or strand do not count; offsets without pairs have no row.
     """
     n = F.col("n") if "n" in reads.columns else F.lit(1).cast("long")
-    binned = reads.select("chrom", F.floor(F.col("pos") / bin_width).alias("at"), "strand", n.alias("n")).groupBy("chrom", "at", "strand").agg(F.sum("n").alias("n"))
     span = -(-longest // bin_width)
-    forward = binned.where("strand != '-'").select("chrom", "at", "n", F.explode(F.array(F.floor(F.col("at") / span), F.floor(F.col("at") / span) + 1)).alias("cell"))
-    reverse = binned.where("strand = '-'").select(F.col("chrom").alias("c"), F.col("at").alias("to"), F.col("n").alias("m"), F.floor(F.col("at") / span).alias("k"))
-    pairs = forward.join(reverse, (F.col("chrom") == F.col("c")) & (F.col("cell") == F.col("k"))).where(f"to > at and to - at <= {span}")
-    return pairs.groupBy(((F.col("to") - F.col("at")) * bin_width).alias("offset")).agg(F.sum(F.col("n") * F.col("m")).alias("pairs"))
+    if span < 1:
+        raise ValueError("the longest offset is at least one")
+    width = max(tile, span)
+    placed = reads.where("chrom is not null and pos is not null and strand is not null")
+    ends = placed.select("chrom", F.floor(F.col("pos") / bin_width).alias("at"), (F.col("strand") == "-").alias("back"), n.cast("long").alias("n")).groupBy("chrom", "at", "back").agg(F.sum("n").alias("n"))
+    own = F.floor(F.col("at") / F.lit(width))
+    tiles = F.when(F.col("back") & (F.col("at") - own * width < span), F.array(own - 1, own)).otherwise(F.array(own))
+    spread = ends.where("n > 0").withColumn("tile", F.explode(tiles))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, n, back = pdf["at"].to_numpy(), pdf["n"].to_numpy(), pdf["back"].to_numpy(dtype=bool)
+        if back.all() or not back.any():
+            return pd.DataFrame({"step": [], "pairs": []}).astype("int64")
+        low = at.min()
+        sides = []
+        for mine in (~back, back):
+            counts = np.zeros(at[mine].max() - low + 1, dtype=np.int64)
+            counts[at[mine] - low] = n[mine]
+            sides.append(counts)
+        sums = _agreement(*sides, span)
+        return pd.DataFrame({"step": np.flatnonzero(sums) + 1, "pairs": sums[sums != 0]})
+
+    found = spread.groupBy("chrom", "tile").applyInPandas(work, "step long, pairs long")
+    return found.groupBy((F.col("step") * bin_width).alias("offset")).agg(F.sum("pairs").alias("pairs"))
 
 
 def fragment_length(reads: DataFrame, longest: int = 600, bin_width: int = 1) -> DataFrame:
