@@ -261,3 +261,23 @@ def refine_summits(regions: DataFrame, reads: DataFrame, half_window: int) -> Da
     best = runs.groupBy("chrom", "start", "end").agg(F.max(F.struct("score", (-F.col("pos")).alias("low"), "next")).alias("m"))
     summit = F.floor((F.col("m.next") - F.col("m.low")) / 2)
     return best.select("chrom", "start", "end", F.least(F.greatest(summit, F.col("start")), F.col("end") - 1).alias("summit"), F.col("m.score").alias("score"))
+
+
+def cutoff_scores(scored: DataFrame, cutoffs: Sequence[float], max_gap: int, min_length: int) -> DataFrame:
+    """(pscore, qscore, npeaks, lpeaks, avelpeak): what each cutoff of p would call, and the least q of the runs above it.
+
+    As ``cutoff_analysis``; q comes from the distinct scores, of which each stretch
+    between two cutoffs sends its least q on.
+    """
+    steps = np.array(sorted({float(c) for c in cutoffs}))
+    found = cutoff_analysis(scored, cutoffs, max_gap, min_length)
+
+    @F.pandas_udf("long")
+    def level(p: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(steps, p.to_numpy(), "left"))
+
+    least = scored.where(F.col("p") > F.lit(float(steps[0]))).select("p", "q").distinct().groupBy(level(F.col("p").cast("double")).alias("level")).agg(F.min("q").alias("least"))
+    ranks = scored.sparkSession.createDataFrame([(k + 1, float(c)) for k, c in enumerate(steps)], "level long, cutoff double")  # one row a cutoff
+    above = Window.partitionBy().orderBy(F.desc("level"))
+    told = ranks.join(least, "level", "left").select("cutoff", F.min("least").over(above).alias("qscore"))
+    return found.join(told, "cutoff").select(F.col("cutoff").alias("pscore"), "qscore", F.col("regions").alias("npeaks"), F.col("bases").alias("lpeaks"), F.col("mean_length").alias("avelpeak"))

@@ -121,13 +121,20 @@ def compare(a: DataFrame, b: DataFrame, method, value: str = "value") -> DataFra
     return compact(both.select("chrom", "start", "end", method(F.col("a"), F.col("b")).alias("value")))
 
 
-def coverage(intervals: DataFrame, weight: Column | None = None) -> DataFrame:
+def coverage(intervals: DataFrame, weight: Column | None = None, lengths: DataFrame | None = None, bin_width: int = BIN) -> DataFrame:
     """Coverage runs (chrom, start, end, value) of intervals (chrom, start, end), from zero to the last end.
 
     Starts below zero count from zero; intervals without length do not count.
-    The leading stretch without coverage is a run of value zero.
+    The leading stretch without coverage is a run of value zero.  With ``lengths``
+    (chrom, length) no run reaches beyond its chromosome's end, and chromosomes that
+    are not there, or have no length above zero, have no runs; of several lengths the
+    largest counts.  The length is swept with the intervals, so nothing is joined on chromosomes.
     """
     w = F.lit(1).cast("long") if weight is None else weight
     clipped = intervals.select("chrom", F.greatest(F.col("start"), F.lit(0)).cast("long").alias("start"), F.col("end").cast("long").alias("end"), w.alias("w")).where("end > start")
     events = events_of(clipped, "w", "value").unionByName(clipped.select("chrom").distinct().select("chrom", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("value")))
-    return sweep(events, ["value"], merged=True)
+    if lengths is None:
+        return sweep(events, ["value"], bin_width, merged=True)
+    ends = lengths.groupBy("chrom").agg(F.max("length").cast("long").alias("end")).where("end > 0").select("chrom", F.lit(0).cast("long").alias("start"), "end", F.col("end").alias("limit"))
+    runs = sweep(events.unionByName(events_of(ends, "limit", "limit"), allowMissingColumns=True), ["value", "limit"], bin_width, merged=True)
+    return runs.where("limit > 0 and not (value = 0 and end = limit)").drop("limit")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import background, model, reads, regions, scoring, smooth
 from ..operators.tracks import compact
+from ..sources import ordered, writers
 from .scratch import stored
 
 
@@ -89,18 +91,21 @@ def scored_track(treat: DataFrame, control: DataFrame | None, options: PeakOptio
     return scoring.with_q(stored(scoring.with_fold(scoring.with_poisson(both)), "scored-runs"))
 
 
-def call_narrow(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> DataFrame:
-    """Named narrow peaks; with ``call_summits`` a row for each summit of a peak, its attributes those at the summit."""
+def call_narrow(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False, scored: DataFrame | None = None) -> DataFrame:
+    """Named narrow peaks; with ``call_summits`` a row for each summit of a peak, its attributes those at the summit.
+
+    ``scored`` are the call's scored runs where they are there already.
+    """
     options = options if paired else with_length(treat, options)
     cutoff, score = (options.q_cutoff, "q") if options.p_cutoff is None else (options.p_cutoff, "p")
-    scored = scored_track(treat, control, options, paired)
+    scored = scored_track(treat, control, options, paired) if scored is None else scored
     found = regions.named(regions.narrow_peaks(scored, -math.log10(cutoff), options.gap, options.least, score), options.name)
     return smooth.at_summits(found, scored, max(smooth.NARROWEST, options.fragment)) if options.call_summits else found
 
 
-def signal_tracks(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The tracks (chrom, start, end, value) of treatment and background behind a call, by a million of the smaller depth with ``per_million``."""
-    runs = stored(enriched_track(treat, control, options, paired), "signal-runs")
+def signal_tracks(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False, scored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The tracks (chrom, start, end, value) of treatment and background behind a call, by a million of the smaller depth with ``per_million``.  ``scored`` as in ``call_narrow``."""
+    runs = stored(enriched_track(treat, control, options, paired), "signal-runs") if scored is None else scored
     if options.per_million:
         sizes = [side.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for side in (_counted(x, options, paired) for x in (treat, control) if x is not None)]
         depth = max(sizes) if options.scale_to == "large" else min(sizes)
@@ -152,10 +157,10 @@ def table_header(treat: DataFrame, control: DataFrame | None, options: PeakOptio
     return ["" if x is None else f"# {x}" for x in lines]
 
 
-def call_broad(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False) -> DataFrame:
-    """Named broad peaks with their gapped blocks; weak stretches bridge four gaps."""
+def call_broad(treat: DataFrame, control: DataFrame | None, options: PeakOptions, paired: bool = False, scored: DataFrame | None = None) -> DataFrame:
+    """Named broad peaks with their gapped blocks; weak stretches bridge four gaps.  ``scored`` as in ``call_narrow``."""
     options = options if paired else with_length(treat, options)
-    scored = scored_track(treat, control, options, paired)
+    scored = scored_track(treat, control, options, paired) if scored is None else scored
     found = regions.broad_peaks(scored, -math.log10(options.q_cutoff), -math.log10(options.broad_cutoff), options.gap, 4 * options.gap, options.least)
     return regions.named(regions.gapped_peaks(found), options.name)
 
@@ -164,3 +169,35 @@ def for_fragments(options: PeakOptions, fragments: DataFrame) -> PeakOptions:
     """The options with fragment and tag length taken from the fragments' mean."""
     size = int(background.mean_fragment(fragments))
     return replace(options, fragment=size, tag=size)
+
+
+#: Cutoffs of p that a table of cutoffs tells, unless others are asked for.
+CUTOFFS = tuple(round(0.3 * k, 1) for k in range(1, 34))
+
+
+def write_call(treat: DataFrame, control: DataFrame | None, options: PeakOptions, folder: str, paired: bool = False, broad: bool = False, tag: str = "BED", files: tuple[str, str | None] = ("", None), signals: bool = False, cutoffs: Sequence[float] | None = None) -> list[str]:
+    """All files of a call, each a folder of the ordered sink under ``folder``; their paths.
+
+    Peaks and their table always; summits of narrow peaks; broad peaks with their
+    gapped form; with ``signals`` both tracks; with ``cutoffs`` (``CUTOFFS``, or others)
+    what each would have called.  Files of a call without peaks have their headings.
+    """
+    options = options if paired else with_length(treat, options)
+    scored = stored(scored_track(treat, control, options, paired), "call-scores")
+    found = stored((call_broad if broad else call_narrow)(treat, control, options, paired, scored), "called-peaks")
+    heading = table_header(treat, control, options, paired, broad, tag, files)
+    made = [("peaks.xls", writers.peak_table(found), [*heading, writers.table_columns(broad)])]
+    if broad:
+        made += [("peaks.broadPeak", writers.broad_peak(found), []), ("peaks.gappedPeak", writers.gapped_peak(found), [])]
+    else:
+        made += [("peaks.narrowPeak", writers.narrow_peak(found), []), ("summits.bed", writers.summits(found), [])]
+    if signals:
+        made += [(name, writers.bedgraph(track, single=True), []) for name, track in zip(("treat_pileup.bdg", "control_lambda.bdg"), signal_tracks(treat, control, options, paired, scored))]
+    if cutoffs is not None:
+        told = regions.cutoff_scores(scored, cutoffs, options.gap, options.least)
+        made.append(("cutoff_analysis.txt", writers.cutoff_table(told), [writers.CUTOFF_COLUMNS]))
+    out = []
+    for name, lines, above in made:
+        out.append(f"{folder.rstrip('/')}/{options.name}_{name}")
+        ordered.write(lines, out[-1], above)
+    return out

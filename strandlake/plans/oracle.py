@@ -205,6 +205,8 @@ ORACLE: dict[str, str] = {
     "pileup_se": f"{BASE} {_coverage(_extended('t'))}",
     "pileup_pe": f"WITH {ITEMS} {_coverage('SELECT DISTINCT chrom, pos AS s, pos + length AS e, 1 AS w FROM items')}",
     "pileup_weighted": f"WITH {ITEMS} {_coverage('SELECT chrom, pos AS s, pos + length AS e, cnt AS w FROM items')}",
+    "pileup_clamped": f"""WITH {ITEMS}, ends AS (SELECT chrom, max(pos + length) - 30 AS last FROM items GROUP BY chrom)
+        {_coverage('SELECT i.chrom, pos AS s, least(pos + length, last) AS e, cnt AS w FROM items i JOIN ends ON i.chrom = ends.chrom')}""",
     "pileup_signals": f"WITH {SIGNALS} {_coverage('SELECT chrom, pos AS s, pos + 30 AS e, 1 AS w FROM items')}",
     "stream_pileup": f"WITH {SIGNALS} {_compacted(_swept('SELECT chrom, pos, 1 AS value FROM items UNION ALL SELECT chrom, pos + 30, -1 FROM items', ['value']), ['value'])}",
     "stream_counts": "SELECT strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01'), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
@@ -223,6 +225,9 @@ ORACLE: dict[str, str] = {
         string_agg((s - a)::VARCHAR, ',' ORDER BY s, e) AS block_starts FROM parts GROUP BY chrom, region, a, b""",
     "cutoff_curve": f"""{SCORED}, cuts AS (SELECT cutoff, scored.* FROM scored JOIN ({CURVE}) ON p > cutoff), found AS (SELECT cutoff, chrom, region, max("end") - min("start") AS length FROM ({_islands("SELECT * FROM cuts", GAP, "cutoff, chrom")})
         GROUP BY ALL HAVING max("end") - min("start") >= {LEAST}) SELECT cutoff, count(*) AS regions, CAST(sum(length) AS BIGINT) AS bases, round(avg(length), 6) AS mean_length FROM found GROUP BY cutoff""",
+    "cutoff_scores": f"""{SCORED}, cuts AS (SELECT cutoff, scored.* FROM scored JOIN ({CURVE}) ON p > cutoff), least AS (SELECT cutoff, min(q) AS q FROM cuts GROUP BY cutoff),
+        found AS (SELECT cutoff, chrom, region, max("end") - min("start") AS length FROM ({_islands("SELECT * FROM cuts", GAP, "cutoff, chrom")}) GROUP BY ALL HAVING max("end") - min("start") >= {LEAST})
+        SELECT cutoff AS pscore, round(any_value(least.q), 4) AS qscore, count(*) AS npeaks, CAST(sum(length) AS BIGINT) AS lpeaks, round(avg(length), 6) AS avelpeak FROM found JOIN least USING (cutoff) GROUP BY cutoff""",
     "cutoff_analysis": f"""{SCORED}, cuts AS ({CUTS}), found AS (SELECT cutoff, chrom, region, max("end") - min("start") AS length FROM ({_islands("SELECT * FROM cuts", GAP, "cutoff, chrom")})
         GROUP BY ALL HAVING max("end") - min("start") >= {LEAST}) SELECT cutoff, count(*) AS regions, CAST(sum(length) AS BIGINT) AS bases, round(avg(length), 6) AS mean_length FROM found GROUP BY cutoff""",
     "bdgpeakcall": f"""{TRACKS}, isl AS ({_islands("SELECT * FROM ta WHERE value >= (SELECT floor(avg(value) * 1.1) FROM ta)", GAP)}),

@@ -128,6 +128,12 @@ def pileup_weighted(spark, sf_dir):
     return tracks.coverage(found, F.col("n"))
 
 
+def pileup_clamped(spark, sf_dir):
+    """Coverage of fragments up to chromosome ends that lie 30 before the last end."""
+    found = _fragments(spark, sf_dir).select("chrom", F.col("left").alias("start"), F.col("right").alias("end"), "n")
+    return tracks.coverage(found, F.col("n"), found.groupBy("chrom").agg((F.max("end") - 30).alias("length")))
+
+
 def pileup_signals(spark, sf_dir):
     """Coverage of half-hour windows after each event."""
     found = adapter.signals(spark, sf_dir).select("chrom", F.col("pos").alias("start"), (F.col("pos") + 30).alias("end"))
@@ -245,6 +251,12 @@ def cutoff_curve(spark, sf_dir):
     return _rounded(found.withColumn("cutoff", F.round("cutoff", 3)), 6, "mean_length")
 
 
+def cutoff_scores(spark, sf_dir):
+    """What each of sixty cutoffs of p would call, with the q that it stands for."""
+    found = regions.cutoff_scores(_scored(spark, sf_dir), CURVE, GAP, LEAST)
+    return _rounded(found.withColumn("pscore", F.round("pscore", 3)).withColumn("qscore", F.round("qscore", 4)), 6, "avelpeak")
+
+
 def bdgpeakcall(spark, sf_dir):
     found = _track(spark, sf_dir, True)
     high = found.agg(F.avg("value") * 1.1).first()[0]
@@ -417,9 +429,9 @@ def binomial_limit(spark, sf_dir):
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     read_stats, tag_size, redundant_rate, filterdup_1, filterdup_auto, filterdup_all, fragments_dedup, fragment_counts_wrapped, intervals_normalised, union_replicates,
-    binomial_limit, mean_fragment, shifted_extension, pileup_se, pileup_pe, pileup_weighted, pileup_signals, scale_small, scale_large, lambda_nolambda, lambda_nocontrol,
+    binomial_limit, mean_fragment, shifted_extension, pileup_se, pileup_pe, pileup_weighted, pileup_clamped, pileup_signals, scale_small, scale_large, lambda_nolambda, lambda_nocontrol,
     lambda_fragments, track_align, track_compact, track_transform, track_combine, poisson_score, fold_enrichment, qtable, score_histogram, peaks_narrow, summits,
-    peaks_broad, peaks_gapped, cutoff_analysis, cutoff_curve, bdgpeakcall, bdgdiff, reads_in_regions, refinepeak, predictd, digestion, randsample, summits_sg, peaks_summits, peaks_narrow_q, peaks_broad_q, signal_per_million, predictd_model, peaks_modelled, open_states, open_states_fitted, length_mixture, digested_bins, kmeans_state,
+    peaks_broad, peaks_gapped, cutoff_analysis, cutoff_curve, cutoff_scores, bdgpeakcall, bdgdiff, reads_in_regions, refinepeak, predictd, digestion, randsample, summits_sg, peaks_summits, peaks_narrow_q, peaks_broad_q, signal_per_million, predictd_model, peaks_modelled, open_states, open_states_fitted, length_mixture, digested_bins, kmeans_state,
     hmm_posterior, hmm_path, callvar_assembly, callvar_bases, stream_counts, stream_pileup, *[_arithmetic(m) for m in (*arithmetic.METHODS, "ppois", "qpois")],
 ]
 

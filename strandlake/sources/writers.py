@@ -87,6 +87,16 @@ def with_heading(lines: DataFrame, heading: list[str]) -> DataFrame:
     return spark.createDataFrame([(x,) for x in heading], "value string").coalesce(1).union(lines)
 
 
+#: The line above a table of cutoffs (fixed value).
+CUTOFF_COLUMNS = "pscore\tqscore\tnpeaks\tlpeaks\tavelpeak"
+
+
+def cutoff_table(found: DataFrame) -> DataFrame:
+    """Five columns, the highest cutoff first, scores and the mean length with two decimals."""
+    two = lambda c: F.format_string("%.2f", c)
+    return found.orderBy(F.desc("pscore")).select(_row(two("pscore"), two("qscore"), F.col("npeaks").cast("string"), F.col("lpeaks").cast("string"), two("avelpeak")))
+
+
 def condition_regions(found: DataFrame, kind: str, name: str) -> DataFrame:
     """The regions of one kind of difference: a heading, then place, numbered name and score with five decimals."""
     rows = _ordered(found.where(F.col("kind") == kind))

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from strandlake.plans import oracle, queries
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ["read_stats", "filterdup_auto", "fragments_dedup", "pileup_se", "pileup_weighted", "scale_small", "lambda_nocontrol", "track_align", "bdgcmp_loglr", "poisson_score", "qtable", "peaks_narrow", "peaks_gapped", "bdgdiff", "refinepeak", "predictd", "stream_counts", "lambda_fragments", "bdgcmp_ppois", "bdgcmp_qpois", "peaks_narrow_q", "peaks_broad_q", "signal_per_million"]
+CHECKED = ["read_stats", "filterdup_auto", "fragments_dedup", "pileup_se", "pileup_weighted", "pileup_clamped", "cutoff_scores", "scale_small", "lambda_nocontrol", "track_align", "bdgcmp_loglr", "poisson_score", "qtable", "peaks_narrow", "peaks_gapped", "bdgdiff", "refinepeak", "predictd", "stream_counts", "lambda_fragments", "bdgcmp_ppois", "bdgcmp_qpois", "peaks_narrow_q", "peaks_broad_q", "signal_per_million"]
 
 
 @pytest.fixture(scope="module")

@@ -8,7 +8,7 @@ from test_peaks import CONTROL, FRAGMENTS, OPTIONS, TREAT
 from strandlake.operators import reads
 from strandlake.plans import callpeak
 from strandlake.plans.callpeak import PeakOptions, call_broad, call_narrow, for_fragments, signal_tracks, table_header
-from strandlake.sources import writers
+from strandlake.sources import ordered, writers
 
 # What stands in the files of each call, fields divided by spaces.
 USUAL = "chr1 7823 8176 t_peak_1 30 . 4.56731 6.98586 3.04664 181"
@@ -212,6 +212,30 @@ def test_table_headers(few, counted):
     assert writers.table_columns().split("\t") == ["chr", "start", "end", "length", "abs_summit", "pileup", "-log10(pvalue)", "fold_enrichment", "-log10(qvalue)", "name"]
 
 
+def test_all_files_of_a_call(few, tmp_path):
+    lines = lambda path: "".join(open(p).read() for p in ordered.parts(path)).splitlines()
+    made = callpeak.write_call(*few, replace(OPTIONS, name="t"), str(tmp_path), files=("treat.bed", "ctrl.bed"), signals=True, cutoffs=callpeak.CUTOFFS)
+    by = {p.rpartition("/t_")[2]: lines(p) for p in made}
+    found = call_narrow(*few, replace(OPTIONS, name="t"))
+    scored = callpeak.scored_track(*few, OPTIONS)
+    assert by["peaks.narrowPeak"] == [r[0] for r in writers.narrow_peak(found).collect()] and by["summits.bed"] == [r[0] for r in writers.summits(found).collect()]
+    assert by["peaks.xls"][:-1] == [*table_header(*few, replace(OPTIONS, name="t"), files=("treat.bed", "ctrl.bed")), writers.table_columns()]
+    assert [x.replace("\t", " ") for x in by["treat_pileup.bdg"]] == PILEUP.split("\n")
+    table = [x.split("\t") for x in by["cutoff_analysis.txt"]]
+    assert table[0] == writers.CUTOFF_COLUMNS.split("\t") and len(table) > 2
+    rows = scored.collect()
+    for p, q, n, bases, mean in table[1:]:
+        above = [r for r in rows if r["p"] > float(p)]
+        assert q == f"{min(r['q'] for r in above):.2f}" and int(n) >= 1 and mean == f"{int(bases) / int(n):.2f}"
+    assert [float(x[0]) for x in table[1:]] == sorted((float(x[0]) for x in table[1:]), reverse=True)
+
+
+def test_files_of_a_call_without_peaks(few, tmp_path):
+    lines = lambda path: "".join(open(p).read() for p in ordered.parts(path)).splitlines()
+    made = callpeak.write_call(*few, replace(OPTIONS, name="t", q_cutoff=1e-9, broad_cutoff=1e-8), str(tmp_path), broad=True, cutoffs=[50.0])
+    assert [len(lines(p)) for p in made[1:]] == [0, 0, 1] and lines(made[0])[-1] == writers.table_columns(broad=True)
+
+
 def test_a_fold_range_has_two_ends():
     with pytest.raises(ValueError, match="low and a high"):
         PeakOptions(48200.0, fold_range=(5,))

@@ -43,6 +43,25 @@ def test_coverage_starts_at_zero_clamps_and_merges(spark):
     assert got == [(0, 6, 1), (6, 10, 0), (10, 12, 1)]
 
 
+@pytest.mark.parametrize("width", [3, 1 << 18])
+def test_coverage_ends_with_its_chromosome(spark, width):
+    rng = np.random.default_rng(5)
+    rows = [(c, int(s), int(s + n)) for c in "abcd" for s, n in zip(rng.integers(-9, 60, 40), rng.integers(0, 12, 40))]
+    rows += [("e", 70, 80), ("f", 3, 50), (None, 1, 2)]
+    sizes = [("a", 40), ("b", 1), ("b", 25), ("c", 500), ("d", 0), ("e", 60), ("f", 50), (None, 9)]
+    df, lengths = spark.createDataFrame(rows, "chrom string, start long, end long"), spark.createDataFrame(sizes, "chrom string, length long")
+    got = tracks.coverage(df, lengths=lengths, bin_width=width).collect()
+    limit = {c: max(n for d, n in sizes if d == c) for c, _ in sizes}
+    for c in "abcdef":
+        runs = sorted((r["start"], r["end"], r["value"]) for r in got if r["chrom"] == c)
+        own = [(max(0, s), min(e, limit[c])) for d, s, e in rows if d == c]
+        last = max((e for s, e in own if e > s), default=0)
+        bases = [sum(s <= x < e for s, e in own) for x in range(last)]
+        assert [v for s, e, v in runs for _ in range(s, e)] == bases
+        assert all(x[1] == y[0] and x[2] != y[2] for x, y in zip(runs, runs[1:])) and (not runs or runs[0][0] == 0)
+    assert {r["chrom"] for r in got} == set("abcf")
+
+
 def test_coverage_of_nothing(spark):
     assert tracks.coverage(spark.createDataFrame([], "chrom string, start long, end long")).count() == 0
 
