@@ -11,18 +11,16 @@ doc_id.
 Two lines whose words are alike by J (common over all distinct words) share a
 band with probability 1 - (1 - J ** ROWS) ** BANDS.
 
-Only what is not joined yet is verified: neighbours under a key first, and of all
-other candidate pairs those that lie in different groups after that.
-
-Hot keys.  A band with more than ``HOT`` lines is not compared pairwise.  Its
-lines are dealt to shares, in which each is compared with the lines that were
-like none before it, its heads; heads of several shares are grouped again.  Then
-lines that lie in different groups under one key are compared wherever the
-triangle inequality allows that they are alike, so no link between groups is
-lost.
+Only what is not joined yet is verified.  First each line meets the next one
+under its keys, in one order for all keys, which joins nearly all that is alike
+with as many pairs as lines.  Then, only where lines under one key still lie in
+different groups, those outside the key's largest group meet all lines of other
+groups.  They meet within tasks, in blocks of bounded size, and two lines only
+under the first key that they share; what leaves a task is a link, never a pair
+that was looked at.  So no link between groups is lost, however many lines a key has.
 
 Only digests and bands are shuffled by line; the lines' texts travel for the few
-that are candidates.
+that share a key.
 """
 
 from __future__ import annotations
@@ -44,8 +42,12 @@ from .graph import components
 MIN_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-#: Above so many lines under one band's key they are compared with heads, within shares of about so many.
-HOT, SHARE = 64, 1024
+#: Lines of one key that meet others in one block, about.
+SHARE = 1024
+#: Pairs that a task gathers before it verifies them.
+POOL = 8192
+#: Pairs that are measured at once, fewest and most; words of 64 rows to which that pays, and words of masks at most.
+FEWEST, MOST, WIDEST, MASKS = 48, 1024, 32, 4_000_000
 #: Heads that a line is compared with before it becomes one, those next to it.
 ASKED = 2
 #: ASCII marks and control characters become spaces; line ends stay.
@@ -58,6 +60,8 @@ STEPS = sorted(((x, y) for x in range(4) for y in range(4) if x or y), key=sum)
 LONG = 4095
 #: Lines that a task remembers having given the bands of.
 SEEN = 1_000_000
+#: Bits of the filter of lines whose texts are needed, at most (a power of two).
+FILTER = 1 << 28
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -168,21 +172,29 @@ def _common_start(a: str, b: str) -> int:
     return low
 
 
-def edits_within(a: str, b: str, allowed: int) -> int | None:
-    """A number of edits from one text to the other that is ``allowed`` at most, or None where it takes more."""
+def told_within(a: str, b: str, allowed: int) -> tuple[int | None, str, str]:
+    """A number of edits that tells, without a table of edits, whether ``allowed`` are enough (then it is at least the distance), or None; and what both texts do not begin and end with."""
     if abs(len(a) - len(b)) > allowed:
-        return None
+        return allowed + 1, a, b
     low = _common_start(a, b)
     a, b = a[low:], b[low:]
     high = _common_start(a[::-1], b[::-1])
     a, b = a[: len(a) - high], b[: len(b) - high]
     if (most := max(len(a), len(b))) <= allowed:
-        return most
+        return most, a, b
     if (cost := aligned_cost(a.split(" "), b.split(" "))) <= allowed:
-        return cost
+        return cost, a, b
     if min(len(a), len(b)) > 64 and np.abs(pair_counts(a) - pair_counts(b)).sum() > 4 * allowed:
-        return None
-    return cost if (cost := edit_distance(a, b)) <= allowed else None
+        return allowed + 1, a, b
+    return None, a, b
+
+
+def edits_within(a: str, b: str, allowed: int) -> int | None:
+    """A number of edits from one text to the other that is ``allowed`` at most, or None where it takes more."""
+    cost, a, b = told_within(a, b, allowed)
+    if cost is None:
+        cost = edit_distance(a, b)
+    return cost if cost <= allowed else None
 
 
 def allowed_edits(a: str, b: str, similarity: float) -> int:
@@ -195,11 +207,103 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return edits_within(a, b, allowed_edits(a, b, similarity)) is not None
 
 
+def distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Levenshtein distances of pairs, a column of all their tables at a time as words of 64 bits.
+
+    The shorter texts are the tables' rows, all of as many words: both texts of
+    a pair end in as many equal marks as fill the last one, which changes no distance.
+    """
+    a, b = zip(*((x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)))
+    width = max(1, -(-max(map(len, a)) // 64))
+    order = sorted(range(len(a)), key=lambda i: len(a[i]) - len(b[i]))  # the most columns first, once all have equally many rows
+    code = lambda x: np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4")
+    rows = np.zeros((len(a), 64 * width), np.uint32)
+    columns = np.zeros((len(a), 64 * width + max(len(y) - len(x) for x, y in zip(a, b))), np.uint32)
+    for place, i in enumerate(order):
+        rows[place, : len(a[i])] = code(a[i]) + 1
+        columns[place, : len(b[i])] = code(b[i]) + 1
+    kinds, ids = np.unique(np.concatenate((rows, columns), axis=1), return_inverse=True)
+    if width * len(kinds) * len(a) > MASKS and len(a) > 1:
+        half = len(a) // 2
+        return np.concatenate((distances(a[:half], b[:half]), distances(a[half:], b[half:])))
+    ids = np.ascontiguousarray(ids.reshape(len(a), -1).T) * len(a) + np.arange(len(a))
+    masks = np.zeros((width, len(kinds) * len(a)), np.uint64)
+    for i in range(64 * width):
+        masks[i // 64, ids[i]] |= np.uint64(1 << i % 64)
+    ids = ids[64 * width :]
+    ends = np.array([64 * width + len(b[i]) - len(a[i]) for i in order])
+    left = np.searchsorted(-ends, -np.arange(len(ids)), side="left")
+    up, down = np.full((width, len(a)), ~np.uint64(0)), np.zeros((width, len(a)), np.uint64)
+    score = np.full(len(a), 64 * width, np.int64)
+    one, top = np.uint64(1), np.uint64(63)
+    for j, n in enumerate(left.tolist()):
+        at, grows, falls = ids[j, :n], one, np.uint64(0)
+        for w in range(width):
+            same, vp, vn = masks[w].take(at), up[w, :n], down[w, :n]
+            across = same | vn
+            same |= falls
+            cross = same & vp
+            cross += vp
+            cross ^= vp
+            cross |= same
+            more = ~(cross | vp)
+            more |= vn
+            cross &= vp
+            over, under = more >> top, cross >> top
+            more <<= one
+            more |= grows
+            cross <<= one
+            cross |= falls
+            np.bitwise_and(more, across, out=vn)
+            across |= more
+            np.invert(across, out=across)
+            np.bitwise_or(cross, across, out=vp)
+            grows, falls = over, under
+        score[:n] += grows.astype(np.int64) - falls.astype(np.int64)
+    out = np.empty(len(a), np.int64)
+    out[order] = score
+    return out
+
+
+def similar_pairs(a: list[str], b: list[str], similarity: float = SIMILARITY) -> np.ndarray:
+    """For each pair whether it is ``similar``; those that nothing cheaper tells are measured many at once."""
+    keep = np.zeros(len(a), bool)
+    left: dict[int, list[tuple[int, str, str, int]]] = {}
+    for i, (x, y) in enumerate(zip(a, b)):
+        allowed = allowed_edits(x, y, similarity)
+        told, x, y = told_within(x, y, allowed)
+        if told is None:
+            left.setdefault(-(-min(len(x), len(y)) // 64), []).append((i, x, y, allowed))
+        else:
+            keep[i] = told <= allowed
+    for width, rest in left.items():
+        for at in range(0, len(rest), MOST):
+            part = rest[at : at + MOST]
+            if len(part) < FEWEST or width > WIDEST:
+                found = [edit_distance(x, y) for _, x, y, _ in part]
+            else:
+                found = distances([r[1] for r in part], [r[2] for r in part]).tolist()
+            for (i, _, _, allowed), cost in zip(part, found):
+                keep[i] = cost <= allowed
+    return keep
+
+
 def _similar_rows(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            keep = similar_pairs(rows.column("line_a").to_pylist(), rows.column("line_b").to_pylist(), similarity)
+            yield from rows.select(["a", "b"]).filter(pa.array(keep)).to_batches()
+            held.clear()
+
         for batch in batches:
-            keep = [similar(x, y, similarity) for x, y in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= POOL or sum(x.nbytes for x in held) > 32 << 20:
+                yield from flush()
+        if held:
+            yield from flush()
 
     return run
 
@@ -212,14 +316,14 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, line_no, name, short, bands) for each line of enough words; bands are null where the task has given them already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             found = [(row, k, b" ".join(line)) for row, text in enumerate(batch.column("text").to_pylist()) if text for k, line in _long_enough(text, min_words)]
             rows = pa.array([f[0] for f in found], pa.int64())
             names = [hashlib.md5(f[2]).digest() for f in found]
             shorts = [short_name(n, f[2]) for n, f in zip(names, found)]
             new = []
-            for i, x in enumerate(shorts):
+            for i, x in enumerate(names):
                 if x not in seen:
                     seen.add(x)
                     new.append(i)
@@ -246,49 +350,37 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, text_key long, line_no int, name binary, short long, bands array<int>")
 
 
-def _candidates(similarity: float, hot: int):
-    """Over rows sorted by key and short name: the pairs (a, b) of ordinary keys that their lengths allow, ``next`` where they are neighbours, and the members (a, a) of hot ones."""
+def _neighbours(similarity: float):
+    """Over rows sorted by key and short name: of keys with several lines each line ``a`` and the next one ``b``, where there is one and lengths allow that they are alike, else itself."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_key, held_short = np.empty(0, np.int64), np.empty(0, np.int64)
-        in_hot: int | None = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held_short, goes_on = np.empty(0, np.int64), np.empty(0, np.int64), False
+
+        def work(key: np.ndarray, short: np.ndarray, more: bool) -> pa.RecordBatch:
+            """The rows but the last, or with it where no ``more`` follow."""
+            after = np.r_[key[1:] == key[:-1], False]
+            several = after | np.r_[goes_on, after[:-1]]
+            following = np.r_[short[1:], short[-1]]
+            length, next_length = short & LONG, following & LONG
+            most = np.maximum(length, next_length)
+            near = after & ((abs(length - next_length) <= ((1 - similarity) * most + 1e-9).astype(np.int64)) | (most == LONG))
+            if more:
+                several[-1] = False
+            return pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (key, short, np.where(near, following, short))], names=["key", "a", "b"])
 
-        def work(key: np.ndarray, short: np.ndarray) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            key = np.concatenate((held_key, batch.column("key").to_numpy()))
+            short = np.concatenate((held_short, batch.column("short").to_numpy()))
             if not len(key):
-                return
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            sizes = np.diff(np.r_[starts, len(key)])
-            heavy = np.repeat((sizes > hot) | (key[starts] == in_hot if in_hot is not None else False), sizes)
-            if heavy.any():
-                yield pd.DataFrame({"key": key[heavy], "a": short[heavy], "b": short[heavy], "next": False})
-            key, short = key[~heavy], short[~heavy]
-            length = short & LONG
-            at, shift = np.arange(len(key) - 1), 1
-            while len(at := at[at + shift < len(key)]):
-                at = at[key[at] == key[at + shift]]
-                most = np.maximum(length[at], length[at + shift])
-                allowed = ((1 - similarity) * most + 1e-9).astype(np.int64)
-                near = at[(abs(length[at] - length[at + shift]) <= allowed) | (most == LONG)]
-                if len(near):
-                    yield pd.DataFrame({"key": key[near], "a": short[near], "b": short[near + shift], "next": shift == 1})
-                shift += 1
-
-        for pdf in batches:
-            key = np.concatenate((held_key, pdf["key"].to_numpy(np.int64)))
-            short = np.concatenate((held_short, pdf["short"].to_numpy(np.int64)))
-            new = np.r_[True, (key[1:] != key[:-1]) | (short[1:] != short[:-1])][: len(key)]
+                continue
+            new = np.r_[True, (key[1:] != key[:-1]) | (short[1:] != short[:-1])]
             key, short = key[new], short[new]
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            yield from work(key[:cut], short[:cut])
-            key, short = key[cut:], short[cut:]
-            if len(key) and in_hot is not None and key[0] != in_hot:
-                in_hot = None
-            if len(key) > hot:  # goes on into the next batch, and is hot whatever follows
-                in_hot = int(key[0])
-                yield pd.DataFrame({"key": key, "a": short, "b": short, "next": False})
-                key, short = key[:0], short[:0]
-            held_key, held_short = key, short
-        yield from work(held_key, held_short)
+            yield work(key, short, True)
+            if len(key) > 1:
+                goes_on = bool(key[-1] == key[-2])
+            held_key, held_short = key[-1:], short[-1:]
+        if len(held_key):
+            yield work(held_key, held_short, False)
 
     return run
 
@@ -344,23 +436,6 @@ def _grouped(rows: DataFrame, group: list[str], work, schema: str) -> DataFrame:
     return ordered.repartition(parts, *group).sortWithinPartitions(*group, "is_row", "line_id").mapInPandas(run, schema)
 
 
-def _in_blocks(probes: DataFrame, rows: DataFrame, work, schema: str, most_probes: int = 64, most_rows: int = 1024) -> DataFrame:
-    """What ``work`` yields for every row and the probes of its key, both (key, line_id, line, part, reach), block by block.
-
-    A key's probes are cut into chunks and its rows into shares of bounded size;
-    each chunk meets each share in a group of its own, so a key may have any
-    number of either.
-    """
-    count = lambda df, c, most: df.groupBy("key").agg(F.ceil(F.count("*") / most).alias(c))
-    sizes = count(probes, "chunks", most_probes).join(count(rows, "shares", most_rows), "key")
-    place = lambda n, seed: F.pmod(F.xxhash64("line_id", F.lit(seed)), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    one = probes.join(sizes, "key").withColumn("chunk", place("chunks", 1)).withColumn("share", every("shares")).withColumn("is_row", F.lit(False))
-    two = rows.join(sizes, "key").withColumn("share", place("shares", 2)).withColumn("chunk", every("chunks")).withColumn("is_row", F.lit(True))
-    group = ["key", "chunk", "share"]
-    return _grouped(one.select(*group, "is_row", *ROW).unionByName(two.select(*group, "is_row", *ROW)), group, work, schema)
-
-
 def _leading(similarity: float):
     """For a line: the first of the held lines next to it that it is like, and at how many edits at most; a line like none of them is held itself."""
 
@@ -378,58 +453,6 @@ def _leading(similarity: float):
     return work
 
 
-def _widest(line: str, similarity: float) -> int:
-    """Most edits to any line that it is like."""
-    return int((1 - similarity) * len(line) / similarity + 1e-9)
-
-
-def _border(similarity: float):
-    """For a line: the heads of other groups, where their lines may reach so far that it could be like one."""
-
-    def work(held: Held, row: tuple, counts: np.ndarray) -> list[tuple]:
-        own, line, part, _ = row
-        widest = _widest(line, similarity)
-        return [(own, head) for least, (head, _, group, reach) in zip(held.least_edits(counts).tolist(), held.rows) if group != part and least <= widest + reach]
-
-    return work
-
-
-def _measured(similarity: float):
-    """Of pairs of a line and a head: whether they are alike, else how many edits apart where lines of the head could be like the line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            apart = []
-            for a, b, reach in zip(*(batch.column(c).to_pylist() for c in ("line_a", "line_b", "reach"))):
-                linked = similar(a, b, similarity)
-                far = 0 if linked else edit_distance(a, b) if edits_within(a, b, _widest(a, similarity) + reach) is not None else -1
-                apart.append(far)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.int32())], names=["a", "b", "apart"])
-
-    return run
-
-
-def _any_link(similarity: float):
-    """For a line of a head: those of the held lines that it is like; each of them is linked once in a group.
-
-    A held line's ``reach`` is its distance from the head and the row's at least
-    its own, so their difference is no more than the two lines' distance.
-    """
-
-    def work(held: Held, row: tuple, counts: np.ndarray) -> list[tuple]:
-        own, line, _, cost = row
-        out = []
-        for i, least in enumerate(held.least_edits(counts).tolist()):
-            other, text, done, apart = held.rows[i]
-            allowed = allowed_edits(line, text, similarity)
-            if not done and max(least, apart - cost) <= allowed and edits_within(line, text, allowed) is not None:
-                held.rows[i] = (other, text, True, apart)
-                out.append((other, own))
-        return out
-
-    return work
-
-
 def _plain(df: DataFrame, part="0", reach="0") -> DataFrame:
     return df.select("key", "line_id", "line", F.expr(part).cast("long").alias("part"), F.expr(reach).cast("int").alias("reach"))
 
@@ -462,55 +485,160 @@ def heads_of(members: DataFrame, similarity: float = SIMILARITY, most: int = SHA
     return found, links if links is not None else found.select(F.col("line_id").alias("a"), F.col("head").alias("b")).limit(0)
 
 
-def border_links(members: DataFrame, heads: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between lines of a hot key that ``groups`` (node, root) has not joined yet, at least one for any two groups that are linked.
+class _Asking:
+    """Lines (line_id, part, line, bands) of a block that ask."""
 
-    Of a key whose lines are in one group nothing is asked.  Elsewhere a line is
-    measured against the heads of the other groups.  A line that is like a line y of
-    another group is no further from y's head than its own allowance and y's own
-    distance, so where a head lies within that, and only there, the lines of that
-    head are compared.
+    def __init__(self, rows: list[tuple]) -> None:
+        self.rows = rows
+        self.ids, self.parts, self.lengths = (np.array(x, np.int64) for x in zip(*((r[0], r[1], len(r[2])) for r in rows)))
+        self.bands = np.array([r[3] for r in rows], np.int32) if rows[0][3] is not None else None
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def met_by(self, own: int, part: int, line: str, bands: list[int] | None, asks: bool, key: int, similarity: float) -> list[tuple]:
+        """Those of other parts that could be like a line and meet it under this key."""
+        allowed = ((1 - similarity) * np.maximum(self.lengths, len(line)) + 1e-9).astype(np.int64)
+        meets = (self.parts != part) & (abs(self.lengths - len(line)) <= allowed)
+        if asks:
+            meets &= self.ids < own
+        found = np.flatnonzero(meets)
+        if len(found) and self.bands is not None:
+            found = found[(self.bands[found] == np.array(bands, np.int32)).argmax(axis=1) == key >> 32]
+        return [self.rows[i] for i in found.tolist()]
+
+
+def _meetings(similarity: float):
+    """Links (a, b) of lines of different parts that are alike, over rows sorted by key, chunk and share: those that ask come first in each block, and then those that are asked.
+
+    Two lines of several common keys, by their bands, meet in the first, and two
+    that both ask meet once.  Parts that the task has linked are not asked again.
     """
-    of = heads.join(groups.withColumnsRenamed({"node": "line_id", "root": "part"}), "line_id", "left").withColumn("part", F.coalesce("part", "line_id"))
-    known = stored(members.join(of, "line_id"), "line-members")
-    split = known.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low != _high").select("key")
-    asking = stored(known.join(split, "key"), "line-split")
-    reach = heads.groupBy("head").agg(F.max("cost").alias("reach"))
-    text = members.select(F.col("line_id").alias("head"), F.col("line").alias("head_line")).dropDuplicates(["head"])
-    asked = asking.select("key", "head", "part").distinct().join(reach, "head").join(text, "head")
-    probes = asked.select("key", F.col("head").alias("line_id"), F.col("head_line").alias("line"), "part", "reach")
-    near = _in_blocks(probes, _plain(asking, "part"), _border(similarity), "a long, b long").distinct()
-    lines = stored(members.select("line_id", "line").dropDuplicates(["line_id"]), "line-hot-texts")
-    line = lambda x: lines.select(F.col("line_id").alias(x), F.col("line").alias(f"line_{x}"))
-    asked = near.join(line("a"), "a").join(line("b"), "b").join(reach.withColumnRenamed("head", "b"), "b").select("a", "b", "line_a", "line_b", "reach")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    far = stored(asked.repartition(parts, "a", "b").mapInArrow(_measured(similarity), "a long, b long, apart int").where("apart >= 0"), "line-border")
-    links, maybe = far.where("apart = 0").select("a", "b"), far.where("apart > 0")
-    ours = maybe.join(lines, F.col("a") == F.col("line_id")).select(F.col("b").alias("key"), "line_id", "line", F.col("apart").alias("reach"))
-    theirs = heads.join(maybe.select(F.col("b").alias("head")).distinct(), "head").join(lines, "line_id").select(F.col("head").alias("key"), "line_id", "line", F.col("cost").alias("reach"))
-    return links.unionByName(_in_blocks(_plain(ours, "0", "reach"), _plain(theirs, "0", "reach"), _any_link(similarity), "a long, b long"))
-
-
-def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """(line_id, line) of the normalised lines whose place is in ``wanted`` (line_id, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asking, pool, linked = None, [], [], set()  # a block's lines that ask are put in arrays when the first row follows
+
+        def flush() -> pa.RecordBatch:
+            left = [p for p in pool if (p[0][1], p[1][1]) not in linked]
+            alike = [left[i] for i in np.flatnonzero(similar_pairs([x[2] for x, _ in left], [y[2] for _, y in left], similarity))] if left else []
+            pool.clear()
+            first = {(x[1], y[1]): (x[0], y[0]) for x, y in alike}
+            linked.update(first)
+            if len(linked) > SEEN:
+                linked.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in first.values()], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            ids, lines = [], []
-            for text, asked in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-                found = dict(_long_enough(text or "", min_words))
-                for w in asked:
-                    ids.append(w["line_id"])
-                    lines.append(b" ".join(found[w["line_no"]]).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_pydict({"line_id": pa.array(ids, pa.int64()), "line": pa.array(lines, pa.string())})
-
-    places = wanted.groupBy(F.col("place.doc_id").alias("_id"), F.col("place.text_key").alias("_key")).agg(F.collect_list(F.struct(F.col("place.line_no").alias("line_no"), "line_id")).alias("wanted"))
-    keyed = long_ids(docs).withColumn("text_key", F.xxhash64("text"))
-    chosen = keyed.join(places.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key"))).select("text", "wanted")
-    return chosen.mapInArrow(run, "line_id long, line string").dropDuplicates(["line_id"])
+            columns = ("key", "chunk", "share", "is_row", "asks", "line_id", "part", "line", "bands")
+            for *block, is_row, asks, own, part, line, bands in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if block != at:
+                    at, asking = block, []
+                if not is_row:
+                    asking.append((own, part, line, bands))
+                    continue
+                if len(asking) and isinstance(asking, list):
+                    asking = _Asking(asking)
+                if len(asking):
+                    pool += [(x, (own, part, line)) for x in asking.met_by(own, part, line, bands, asks, block[0], similarity)]
+                if len(pool) >= POOL:
+                    yield flush()
+        yield flush()
+
+    return run
+
+
+def border_links(members: DataFrame, lines: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, share: int = SHARE) -> DataFrame:
+    """Links (a, b) between lines of a key that ``groups`` (node, root) has not joined yet, at least one for any two groups that are linked.
+
+    ``members`` has (key, line_id), and the line where ``lines`` has only its
+    line_id; ``bands`` of ``lines`` tell under which keys it stands.  Of a key
+    whose lines are in one group nothing is asked.  Elsewhere the lines outside the
+    key's largest group meet those of all other groups, ``share`` with ``share``.
+    """
+    if "line" not in lines.columns:
+        lines = lines.select("line_id").join(members.select("line_id", "line").dropDuplicates(["line_id"]), "line_id")
+    if "bands" not in lines.columns:
+        lines = lines.withColumn("bands", F.lit(None).cast("array<int>"))
+    of = lines.select("line_id").join(groups.withColumnsRenamed({"node": "line_id", "root": "part"}), "line_id", "left").withColumn("part", F.coalesce("part", "line_id"))
+    known = stored(members.select("key", "line_id").join(of, "line_id"), "line-members")
+    parts = known.groupBy("key", "part").agg(F.count("*").alias("n"))
+    split = parts.groupBy("key").agg(F.max_by("part", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).where(F.col("all") > F.col("most"))
+    shares = lambda n: F.ceil(n / share)
+    asked = known.join(split, "key").select("key", "line_id", "part", (F.col("part") != F.col("main")).alias("asks"), shares(F.col("all") - F.col("most")).alias("chunks"), shares(F.col("all")).alias("shares"))
+    asked = asked.join(lines.select("line_id", "line", "bands"), "line_id")
+    place = lambda n, seed: F.pmod(F.xxhash64("line_id", F.lit(seed)), F.col(n))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    as_row = F.transform(every("chunks"), lambda c: F.struct(c.alias("chunk"), place("shares", 2).alias("share"), F.lit(True).alias("is_row")))
+    as_asking = F.transform(every("shares"), lambda c: F.struct(place("chunks", 1).alias("chunk"), c.alias("share"), F.lit(False).alias("is_row")))
+    dealt = asked.select("key", "line_id", "part", "asks", "line", "bands", F.explode(F.when(F.col("asks"), F.concat(as_row, as_asking)).otherwise(as_row)).alias("at"))
+    dealt = dealt.select("key", "at.chunk", "at.share", "at.is_row", "asks", "line_id", "part", "line", "bands")
+    # few bytes but much work: a number of partitions that is given is not made smaller
+    count = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = ["key", "chunk", "share"]
+    return dealt.repartition(count, *block).sortWithinPartitions(*block, "is_row").mapInArrow(_meetings(similarity), "a long, b long")
+
+
+def _slots(short: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a filter of so many bits (a power of two) that a short name falls on."""
+    return ((short.astype(np.uint64) >> np.uint64(12)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _filter_of(needed: DataFrame) -> np.ndarray:
+    """A bit for each short name of ``needed`` (short), in bytes: sixteen times as many bits as names, ``FILTER`` at most, so others mostly fall on none."""
+    rows = needed.count()
+    bits = min(FILTER, max(1 << 12, 1 << (16 * rows).bit_length()))
+    size = max(1 << 12, bits // 64)
+
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(size, np.uint8)
+        part[_slots(pdf["short"].to_numpy(np.int64), bits) % size] = 1
+        return pd.DataFrame({"slice": [key[0]], "found": [np.packbits(part, bitorder="little").tobytes()]})
+
+    slot = F.shiftrightunsigned("short", 12).bitwiseAND(F.lit(bits - 1))
+    found = needed.withColumn("slice", F.floor(slot / size)).groupBy("slice").applyInPandas(fill, "slice long, found binary").collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in found:
+        out[r["slice"] * size // 8 : (r["slice"] + 1) * size // 8] = np.frombuffer(r["found"], np.uint8)
+    return out
+
+
+def _texts(docs: DataFrame, needed: DataFrame, min_words: int) -> DataFrame:
+    """(name, line, bands) of all lines whose short name is in ``needed``, from another scan of the documents: some more of others, and some repeated.
+
+    What is needed goes to the tasks as a filter of bounded size, so hardly any line is shuffled in vain.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(needed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        seen: set[bytes] = set()
+        for batch in batches:
+            found = [b" ".join(words) for text in batch.column("text").to_pylist() if text for _, words in _long_enough(text, min_words)]
+            names = [hashlib.md5(x).digest() for x in found]
+            # the bits of a short name above its length are those of the digest
+            slots = _slots(np.frombuffer(b"".join(x[:8] for x in names), ">i8").astype(np.int64), len(held) * 8)
+            new = []
+            for i in np.flatnonzero(held[slots >> 3] >> (slots & 7) & 1).tolist():
+                if names[i] not in seen:
+                    seen.add(names[i])
+                    new.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            bands = line_bands([found[i] for i in new])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([names[i] for i in new], pa.binary()),
+                    pa.array([found[i].decode("utf-8", "surrogatepass") for i in new], pa.string()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel(), pa.int32())),
+                ],
+                names=["name", "line", "bands"],
+            )
+
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "name binary, line string, bands array<int>")
 
 
-def line_groups(docs: DataFrame, found: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+def line_groups(docs: DataFrame, found: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hot: int = SHARE) -> DataFrame:
     """(name, place, n, root) for each distinct line of the occurrences ``found``: its first place, how often it occurs, and its group."""
     spark = docs.sparkSession
     place = F.struct("doc_id", "text_key", "line_no")
@@ -519,32 +647,20 @@ def line_groups(docs: DataFrame, found: DataFrame, min_words: int = MIN_WORDS, s
     bands = found.where(F.col("bands").isNotNull()).select("short", F.posexplode("bands").alias("band", "hash"))
     keys = bands.select(F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("hash").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "short")
     small_batches(spark, rows=32_768)
-    alike = stored(keys.repartition("key").sortWithinPartitions("key", "short").mapInPandas(_candidates(similarity, hot), "key long, a long, b long, next boolean"), "line-candidates")
+    alike = stored(keys.repartition("key").sortWithinPartitions("key", "short").mapInArrow(_neighbours(similarity), "key long, a long, b long"), "line-candidates")
     small_batches(spark)
-    pairs = stored(alike.where("a != b").groupBy("a", "b").agg(F.max("next").alias("next")), "line-pairs")
-    members = alike.where("a = b").select("key", F.col("a").alias("short"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("short")).unionByName(members.select("short")).distinct()
-    wanted = stored(names.join(needed, "short").select("line_id", "short", "place"), "line-wanted")
-    text = stored(_texts(docs, wanted, min_words).join(wanted.select("line_id", "short"), "line_id"), "line-texts")
-    side = lambda x: text.select(F.col("short").alias(f"short_{x}"), F.col("line_id").alias(x))
-    pairs = stored(pairs.withColumnsRenamed({"a": "short_a", "b": "short_b"}).join(side("a"), "short_a").join(side("b"), "short_b").select("a", "b", "next"), "line-pairs")
-    line = lambda x: text.select(F.col("line_id").alias(x), F.col("line").alias(f"line_{x}"))
-    verified = lambda asked: asked.select("a", "b").join(line("a"), "a").join(line("b"), "b").mapInArrow(_similar_rows(similarity), "a long, b long")
-    near = verified(pairs.where("next"))
-    members = members.join(text, "short").select("key", "line_id", "line")
-    is_hot = not members.isEmpty()
-    if is_hot:
-        members = stored(members, "line-hot")
-        heads, between = heads_of(members, similarity)
-        near = near.unionByName(heads.select(F.col("line_id").alias("a"), F.col("head").alias("b"))).unionByName(between)
+    needed = stored(alike.select(F.col("a").alias("short")).distinct(), "line-needed")
+    wanted = names.join(needed, "short").select("line_id", "short", "name")
+    text = stored(_texts(docs, needed, min_words).join(wanted, "name").dropDuplicates(["line_id"]).select("line_id", "short", "line", "bands"), "line-texts")
+    side = lambda x: text.select(F.col("short").alias(f"short_{x}"), F.col("line_id").alias(x), F.col("line").alias(f"line_{x}"))
+    pairs = alike.where("a != b").select(F.col("a").alias("short_a"), F.col("b").alias("short_b")).distinct().join(side("a"), "short_a").join(side("b"), "short_b")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = pairs.select("a", "b", "line_a", "line_b").repartition(parts, "a", "b").mapInArrow(_similar_rows(similarity), "a long, b long")
     roots = components(near)
-    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    apart = pairs.where("not next").join(root("a"), "a", "left").join(root("b"), "b", "left").where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b")))
-    late = verified(apart)
-    if is_hot:
-        late = late.unionByName(border_links(members, heads, roots, similarity))
-    late = stored(late, "line-late")
+    members = alike.select("key", F.col("a").alias("short")).join(text.select("short", "line_id"), "short")
+    late = stored(border_links(members, text, roots, similarity, hot), "line-late")
     if not late.isEmpty():
+        root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
         lifted = late.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
         joined = components(lifted).select(F.col("node").alias("root"), F.col("root").alias("to"))
         roots = roots.join(joined, "root", "full").select(F.coalesce("node", "root").alias("node"), F.coalesce("to", "root").alias("root")).unionByName(joined.select(F.col("root").alias("node"), F.col("to").alias("root"))).distinct()
@@ -552,12 +668,12 @@ def line_groups(docs: DataFrame, found: DataFrame, min_words: int = MIN_WORDS, s
     return names.join(roots, "line_id", "left").select("name", "place", "n", F.coalesce("root", "line_id").alias("root"))
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hot: int = SHARE) -> DataFrame:
     """(doc_id, text_key, dropped array<int>) for each document with lines to drop.
 
     A document is a doc_id and a text (``text_key`` is the text's hash); rows that
     repeat both are one document and lose the same lines.  Null and empty texts
-    have no lines of enough words.
+    have no lines of enough words.  Of a hot key ``hot`` lines meet as many at a time.
     """
     found = stored(occurrences(docs, min_words), "line-occurrences")
     place = F.struct("doc_id", "text_key", "line_no")

@@ -1,5 +1,6 @@
 """Operators on groups: exact and near duplicates, lines, embeddings, urls, components."""
 
+import collections
 import hashlib
 import math
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandlake.llm import embeddings, exact, graph, lines, queries, simhash, urltemplates
+from strandlake.llm import common, embeddings, exact, graph, lines, queries, simhash, urltemplates
 
 SCHEMA = "doc_id long, text string, lang string, digest string, fp long"
 
@@ -306,6 +307,46 @@ def test_lines_under_one_key_are_grouped_exactly(spark, most):
     assert roots(text, first + more) == roots(text, brute) and roots(text, first) != roots(text, brute)
 
 
+def test_near_copies_make_no_table_of_all_their_pairs(spark):
+    rng = np.random.default_rng(29)
+    base = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(40)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        copy[i % 40] = f"other{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(100 + i, " ".join(rng.permutation(base))) for i in range(5)]
+    before = len(common.WRITTEN)
+    docs = table(spark, rows)
+    groups = [r["root"] for r in lines.line_groups(docs, lines.occurrences(docs)).collect()]
+    assert sorted(collections.Counter(groups).values()) == [1] * 5 + [60]
+    written = {p.rsplit("/", 1)[1].rsplit("-", 1)[0]: p for p in common.WRITTEN[before:]}
+    assert spark.read.parquet(written["line-candidates"]).count() <= lines.BANDS * len(rows)
+    assert spark.read.parquet(written["line-late"]).count() <= len(rows)
+
+
+def test_distances_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(31)
+    letters = list("abcde é東😀")
+    text = lambda n: "".join(rng.choice(letters, n))
+    for rows in (1, 63, 64, 65, 200):
+        a = [text(rows) for _ in range(60)]
+        b = [x[: rng.integers(0, rows + 1)] + text(rng.integers(0, 90)) + x[rng.integers(0, rows + 1) :] for x in a]
+        pairs = [(x, y) for x, y in zip(a, b) if -(-min(len(x), len(y)) // 64) == -(-rows // 64)]
+        assert lines.distances(*map(list, zip(*pairs))).tolist() == [lines.edit_distance(x, y) for x, y in pairs]
+        assert lines.similar_pairs(a, b).tolist() == [lines.similar(x, y) for x, y in zip(a, b)]
+
+
+def test_texts_of_needed_lines_come_through_a_filter(spark):
+    found = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(50)]
+    shorts = [lines.short_name(hashlib.md5(x.encode()).digest(), x.encode()) for x in found]
+    needed = spark.createDataFrame([(x,) for x in shorts[:20]], "short long")
+    docs = table(spark, [*enumerate(found), (99, None)])
+    got = {r["line"]: r["bands"] for r in lines._texts(docs, needed, lines.MIN_WORDS).collect()}
+    assert set(found[:20]) <= set(got) and len(got) <= 30
+    assert [got[x] for x in found[:20]] == lines.line_bands([x.encode() for x in found[:20]]).tolist()
+
+
 def test_most_similar_lines_of_the_table_share_a_group(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     found = sorted({b" ".join(w) for r in docs.collect() for w in lines.normalised_lines(r["text"] or "") if len(w) >= lines.MIN_WORDS})
