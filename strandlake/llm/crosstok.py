@@ -51,6 +51,8 @@ PER_SHARD = 1 << 18
 HELD = 16
 #: Pieces that a worker remembers before it begins anew.
 PIECES = 400_000
+#: Pieces that are encoded in a row, and tokens whose bytes are compared at once.
+JOINED, SPELLED = 1024, 1 << 17
 #: Distinct pairs that a task gathers before it hands them on.
 GATHERED = 1 << 20
 
@@ -93,6 +95,8 @@ class Aligner:
         self.bytes_b = [self._piece(self.second.id_to_piece(i)) for i in range(self.second.get_piece_size())]
         self.width = len(self.bytes_b)
         self.sizes = [np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b)]
+        self.letters = [np.frombuffer(b"".join(t), np.uint8) for t in (self.bytes_a, self.bytes_b)]
+        self.begins = [np.cumsum(n) - n for n in self.sizes]
         written = [[str(i).encode() for i in range(len(t))] for t in (self.bytes_a, self.bytes_b)]
         self.inside, self.last = ([np.array([x + end for x in t], object) for t, end in zip(written, ends)] for ends in ((b",", b","), (b"|", b";")))
 
@@ -119,6 +123,17 @@ class Aligner:
             return [self.fast.encode_ordinary(" " + p) for p in pieces]
         return [e.ids for e in self.first.encode_batch([" " + p for p in pieces], add_special_tokens=False)]
 
+    def _first_joined(self, pieces: list[str]) -> np.ndarray | None:
+        """The first vocabulary's ids of all pieces in a row, many pieces at once; those that are empty, or begin or end in white space, can not stand in a row and come alone."""
+        if not self.fast:
+            return None
+        alone = [i for i, p in enumerate(pieces) if not p or p[0].isspace() or p[-1].isspace()]
+        rows: list[str] = []
+        for low, high in zip([0, *(i + 1 for i in alone)], [*alone, len(pieces)]):
+            rows += [" " + " ".join(pieces[at : min(high, at + JOINED)]) for at in range(low, high, JOINED)]
+            rows += [" " + p for p in pieces[high : high + 1]]
+        return np.fromiter(itertools.chain.from_iterable(map(self.fast.encode_ordinary, rows)), np.int64)
+
     @staticmethod
     def _piece(piece: str) -> bytes:
         if re.fullmatch("<0x[0-9A-F]{2}>", piece):
@@ -127,16 +142,27 @@ class Aligner:
 
     def align(self, pieces: list[str], write: bool = False) -> Aligned:
         """Pieces without their first space, aligned; with ``write`` their groups too, each ended by ``;``."""
-        ids_a = self._first_ids(pieces)
         ids_b = self.second.encode(pieces, num_threads=1)
         good = np.ones(len(pieces), bool)
-        a, b, counts, sizes = self._flat(ids_a, ids_b, pieces)
-        if not self._same(a, b, counts, sizes, pieces):
+        sizes = self._sizes(pieces)
+        b, n_b = self._flat(ids_b)
+        a = self._first_joined(pieces)
+        if a is not None:  # a token's end at each piece's end is asked for below
+            counts = [np.diff(np.searchsorted(np.cumsum(self.sizes[0][a]), np.cumsum(sizes), "right"), prepend=0), n_b]
+        if a is None or not self._same(a, b, counts, sizes, pieces):
+            ids_a = self._first_ids(pieces)
+            a, n_a = self._flat(ids_a)
+            counts = [n_a, n_b]
+            whole = self._same(a, b, counts, sizes, pieces)
+        else:
+            whole = True
+        if not whole:
             for i, piece in enumerate(pieces):
                 raw = (" " + piece).encode()
                 good[i] = b"".join([self.bytes_a[x] for x in ids_a[i]]) == raw == b"".join([self.bytes_b[x] for x in ids_b[i]])
             keep = np.flatnonzero(good).tolist()
-            a, b, counts, sizes = self._flat([ids_a[i] for i in keep], [ids_b[i] for i in keep], [pieces[i] for i in keep])
+            (a, n_a), (b, n_b), sizes = self._flat([ids_a[i] for i in keep]), self._flat([ids_b[i] for i in keep]), sizes[good]
+            counts = [n_a, n_b]
         numbers, written = np.zeros((len(pieces), 4), np.int64), [b""] * len(pieces)
         if not len(sizes):
             return Aligned(good, numbers, np.empty(0, np.int64), written)
@@ -161,19 +187,29 @@ class Aligner:
         return Aligned(good, numbers, links, written)
 
     @staticmethod
-    def _flat(ids_a: list, ids_b: list, pieces: list[str]):
-        """Both sides' ids in one array each, their numbers by piece, and the pieces' bytes with their first space."""
-        flat = [np.fromiter(itertools.chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b)]
-        counts = [np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b)]
-        return *flat, counts, np.array([len(p) if p.isascii() else len(p.encode()) for p in pieces], np.int64) + 1
+    def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' ids in one array, and their numbers by piece."""
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    @staticmethod
+    def _sizes(pieces: list[str]) -> np.ndarray:
+        """The pieces' bytes with their first space."""
+        return np.array([len(p) if p.isascii() else len(p.encode()) for p in pieces], np.int64) + 1
 
     def _same(self, a: np.ndarray, b: np.ndarray, counts: list[np.ndarray], sizes: np.ndarray, pieces: list[str]) -> bool:
         """Whether both sides give back every piece: all bytes in a row are the same, and so is where each piece ends."""
         tops = np.cumsum(sizes)
-        for ids, n, table, lengths in ((a, counts[0], self.bytes_a, self.sizes[0]), (b, counts[1], self.bytes_b, self.sizes[1])):
-            ends = np.concatenate(([0], np.cumsum(lengths[ids])))
-            if (ends[np.cumsum(n)] != tops).any() or b"".join([table[i] for i in ids.tolist()]) != "".join([" " + p for p in pieces]).encode():
+        raw = np.frombuffer("".join([" " + p for p in pieces]).encode(), np.uint8)
+        for side, (ids, n) in enumerate(((a, counts[0]), (b, counts[1]))):
+            ends = np.concatenate(([0], np.cumsum(self.sizes[side][ids])))
+            if (ends[np.cumsum(n)] != tops).any() or ends[-1] != len(raw):
                 return False
+            for low in range(0, len(ids), SPELLED):
+                own, begin = ids[low : low + SPELLED], ends[low]
+                lengths = self.sizes[side][own]
+                at = np.repeat(self.begins[side][own] - (ends[low : low + len(own)] - begin), lengths) + np.arange(lengths.sum())
+                if (self.letters[side][at] != raw[begin : begin + len(at)]).any():
+                    return False
         return True
 
 

@@ -1,8 +1,10 @@
 """Alignment of two tokenizers against one that encodes whole texts and compares all ranges."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from strandlake.llm import crosstok, queries
@@ -103,6 +105,30 @@ def test_rank_encoding_gives_the_tokenizers_ids():
     assert model._first_ids(pieces) == [e.ids for e in model.first.encode_batch([" " + p for p in pieces], add_special_tokens=False)]
 
 
+def test_pieces_are_encoded_in_rows_and_as_if_alone():
+    aligner = crosstok.Aligner(tokenizer_path(crosstok.FIRST), tokenizer_path(crosstok.SECOND))
+    rng = random.Random(5)
+    pieces = ["".join(rng.choices("abcde'sXY12,.-é東😀\u0301\u200b\n\x1c▁<0x41>", k=rng.randrange(1, 12))) for _ in range(3000)]
+    pieces = sorted({p for p in pieces if not p[0].isspace() and not p[-1].isspace()})
+    fast, calls = aligner.fast, []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return fast.encode_ordinary(text)
+
+    usual = [p for p in pieces if aligner.align([p]).good[0]]
+    assert len(usual) > 1000
+    aligner.fast = Counted()
+    found = aligner.align(usual, write=True)
+    assert found.good.all() and len(calls) <= len(usual) // crosstok.JOINED + 1
+    alone = [aligner.align([p], write=True) for p in usual]
+    assert found.written == [x.written[0] for x in alone] and (found.numbers == np.concatenate([x.numbers for x in alone])).all()
+    assert (found.links == np.concatenate([x.links for x in alone])).all()
+    mixed = aligner.align([*pieces, "", " odd", "odd\n"])
+    assert mixed.good.tolist() == [bool(aligner.align([p]).good[0]) for p in [*pieces, "", " odd", "odd\n"]]
+
+
 def test_slots_hold_their_pairs():
     import numpy as np
 
