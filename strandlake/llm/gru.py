@@ -31,6 +31,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _gates(w: np.ndarray) -> np.ndarray:
+    """The columns of each gate and of the new state, one after the other."""
+    return np.ascontiguousarray(w.reshape(len(w), 3, -1).transpose(1, 0, 2))
+
+
+def _columns(w: np.ndarray) -> np.ndarray:
+    """What ``_gates`` was made of."""
+    return w.transpose(1, 0, 2).reshape(w.shape[1], -1)
+
+
 def _chosen(h: np.ndarray, w: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(powers of e of the scores ``h @ w`` row by row, their sums, the scores at ``own``), all less a row's highest score where sums would overflow or vanish."""
     s = np.matmul(h, w).reshape(-1, w.shape[-1])
@@ -128,29 +138,31 @@ class Gru:
     def states(self, x: np.ndarray, goes_on: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Hidden states of a window, each the one that its output is predicted from.
 
-        ``x`` is the projected input that leads to each state: the output before.
+        ``x`` is the projected input that leads to each state, the output before, as (gate, time, lane, unit).
         ``keep`` gets the states before, the gates, and the two parts of the new state.
         """
-        k, u = self.hidden, self.p["u"]
-        out = np.empty((len(x), *h.shape), F32)
-        before, gates = (np.empty_like(out), np.empty((*out.shape[:2], 2 * k), F32)) if keep is not None else (None, None)
+        k, u = self.hidden, _gates(self.p["u"])
+        steps = x.shape[1]
+        out = np.empty((steps, *h.shape), F32)
+        before, gates = (np.empty_like(out), np.empty((2, *out.shape), F32)) if keep is not None else (None, None)
         inner, new = (np.empty_like(out), np.empty_like(out)) if keep is not None else (None, None)
+        a = np.empty((3, len(h), k), F32)
         with np.errstate(over="ignore"):
             for t, whole in enumerate(goes_on.all(axis=1).tolist()):
                 if not whole:
                     h = h * goes_on[t][:, None]
-                a = h @ u
-                a[:, : 2 * k] += x[t][:, : 2 * k]
-                g = _sigmoid(a[:, : 2 * k])
-                c = g[:, k:] * a[:, 2 * k :]
-                c += x[t][:, 2 * k :]
+                np.matmul(h, u, out=a)
+                g = a[:2]
+                g += x[:2, t]
+                _sigmoid(g)
+                c = g[1] * a[2]
+                c += x[2, t]
                 np.tanh(c, out=c)
                 if keep is not None:
-                    before[t], gates[t], inner[t], new[t] = h, g, a[:, 2 * k :], c
-                h = h - c
-                h *= g[:, :k]
+                    before[t], gates[:, t], inner[t], new[t] = h, g, a[2], c
+                h = np.subtract(h, c, out=out[t])
+                h *= g[0]
                 h += c
-                out[t] = h
         if keep is not None:
             keep += [before, gates, inner, new]
         return out
@@ -219,13 +231,15 @@ class Gru:
         if not texts:
             return np.empty(0)
         laid = Lanes(texts, width)
-        table = (self.p["embed"] @ self.p["wx"] + self.p["bx"]).astype(F32)
+        bias = self.p["bx"].reshape(3, 1, -1)
+        table = (np.matmul(self.p["embed"], _gates(self.p["wx"])) + bias).astype(F32)
         logp = np.zeros(len(laid.flat), F32)
         h = np.zeros((len(laid.lengths), self.hidden), F32)
         for at, real, before in laid.windows(window):
             on = laid.goes_on[at] | ~real
-            x = table[laid.flat[before]]
-            x[~on] = self.p["bx"]
+            x = table[:, laid.flat[before]]
+            if not on.all():
+                x[:, ~on] = bias
             out = self.states(x, on, h[: at.shape[1]])
             h = out[-1]
             logp[at[real]] = self.outputs(out[real], laid.flat[at[real]])[0]
@@ -240,8 +254,8 @@ class Gru:
         e = np.empty((inputs.size, k + 1), F32)  # inputs with a one for the bias
         np.multiply(p["embed"][inputs.ravel()], on.reshape(-1, 1), out=e[:, :k])
         e[:, k] = 1
-        x = e @ np.concatenate((p["wx"], p["bx"][None, :]))
-        out = self.states(x.reshape(*y.shape, 3 * k), goes_on, h, kept)
+        x = np.matmul(e, _gates(np.concatenate((p["wx"], p["bx"][None, :]))))
+        out = self.states(x.reshape(3, *y.shape, k), goes_on, h, kept)
         real = y >= 0
         whole = bool(real.all())
         logp, down = self.outputs(out.reshape(-1, k), y.ravel(), g) if whole else self.outputs(out[real], y[real], g)
@@ -251,31 +265,44 @@ class Gru:
             grad = np.zeros_like(out)
             grad[real] = down
         before, gates, inner, new = kept
-        z, r = gates[:, :, :k], gates[:, :, k:]
-        to_new = (1 - z) * (1 - new * new)
-        to_z = (before - new) * z * (1 - z)
-        to_r = inner * r * (1 - r)
-        dx, du = np.empty((*y.shape, 3 * k), F32), np.empty((*y.shape, 3 * k), F32)
-        back = np.ascontiguousarray(p["u"].T)
+        z, r = gates
+        rest = 1 - z
+        to_z = before - new
+        to_z *= z
+        to_z *= rest
+        to_new = new * new
+        np.subtract(1, to_new, out=to_new)
+        to_new *= rest
+        to_r = 1 - r
+        to_r *= r
+        to_r *= inner
+        dx, scaled = np.empty((3, *y.shape, k), F32), np.empty((*y.shape, k), F32)  # ``scaled`` is what the state before's share of the new state gets
+        back, pulled = _gates(p["u"]).transpose(0, 2, 1).copy(), np.empty((3, len(h), k), F32)
         dh = np.zeros_like(h)
         goes = goes_on.all(axis=1).tolist()
         for t in reversed(range(len(y))):
-            dh = dh + grad[t]
-            dn = dx[t][:, 2 * k :]
-            np.multiply(dh, to_new[t], out=dn)
-            np.multiply(dh, to_z[t], out=du[t][:, :k])
-            np.multiply(dn, to_r[t], out=du[t][:, k : 2 * k])
-            np.multiply(dn, r[t], out=du[t][:, 2 * k :])
+            dh += grad[t]
+            dn = np.multiply(dh, to_new[t], out=dx[2, t])
+            np.multiply(dh, to_z[t], out=dx[0, t])
+            np.multiply(dn, to_r[t], out=dx[1, t])
+            np.multiply(dn, r[t], out=scaled[t])
             dh *= z[t]
-            dh += du[t] @ back
+            np.matmul(dx[:2, t], back[:2], out=pulled[:2])
+            np.matmul(scaled[t], back[2], out=pulled[2])
+            dh += pulled[0]
+            dh += pulled[1]
+            dh += pulled[2]
             if not goes[t]:
                 dh *= on[t][:, None]
-        dx[:, :, : 2 * k] = du[:, :, : 2 * k]
-        flat = dx.reshape(-1, 3 * k)
-        g["u"] = before.reshape(-1, k).T @ du.reshape(-1, 3 * k)
-        both = e.T @ flat
+        flat = dx.reshape(3, -1, k)
+        turned = before.reshape(-1, k).T
+        g["u"] = _columns(np.stack((turned @ flat[0], turned @ flat[1], turned @ scaled.reshape(-1, k))))
+        both = _columns(np.matmul(e.T, flat))
         g["wx"], g["bx"] = both[:k], both[k]
-        de = flat @ p["wx"].T
+        wx = _gates(p["wx"])
+        de = flat[0] @ wx[0].T
+        de += flat[1] @ wx[1].T
+        de += flat[2] @ wx[2].T
         de *= on.reshape(-1, 1)
         g["embed"] = np.zeros_like(p["embed"])
         order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")

@@ -394,6 +394,26 @@ def test_network_gradients_of_the_language_model(monkeypatch):
             assert grads[name].reshape(-1)[i] == pytest.approx((up - down) / 2e-5, rel=1e-2, abs=1e-5)
 
 
+def test_gates_lie_one_after_the_other():
+    rng = np.random.default_rng(8)
+    net = gru.Gru(np.arange(40, 0, -1), 5, hidden=6)
+    net.p["u"] = rng.normal(size=(6, 18)).astype(np.float32)
+    assert (gru._columns(gru._gates(net.p["u"])) == net.p["u"]).all()
+    x, h = rng.normal(size=(3, 7, 4, 6)).astype(np.float32), rng.normal(size=(4, 6)).astype(np.float32)
+    goes_on = rng.random((7, 4)) < 0.7
+    kept: list = []
+    found = net.states(x, goes_on, h, kept)
+    assert kept[1].shape == (2, 7, 4, 6) and all(g.flags.c_contiguous for g in kept[1])
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for t in range(7):
+        h = h * goes_on[t][:, None]
+        a = h @ net.p["u"]
+        z, r = sigmoid(a[:, :6] + x[0, t]), sigmoid(a[:, 6:12] + x[1, t])
+        h = z * h + (1 - z) * np.tanh(r * a[:, 12:] + x[2, t])
+        assert found[t] == pytest.approx(h, abs=1e-5)
+        assert kept[1][:, t] == pytest.approx(np.stack((z, r)), abs=1e-5)
+
+
 def test_log_likelihood_does_not_depend_on_lanes_and_windows():
     rng = np.random.default_rng(9)
     net = gru.Gru(rng.integers(1, 50, 40).astype(float), 7, hidden=6)
