@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .variants import SKIPPED
+from .variants import SKIPPED, reads_in
 
 #: Letters of a k-mer, reads that must show it, k-mers of a bubble's side at most, bubbles that may leave one place.
 K, LEAST, LONGEST, BRANCHES = 21, 3, 250, 64
@@ -76,9 +76,9 @@ def kmer_counts(treat: DataFrame, control: DataFrame | None, regions: DataFrame,
     sides = [(treat, 1, 0)] + ([(control, 0, 1)] if control is not None else [])
     parts = []
     for side, n, m in sides:
-        reads = _in_regions(_usable(side, least_mapq).select("chrom", "pos", "end", "seq"), regions).where(F.length("seq") >= k)
+        reads = _in_regions(_usable(side, least_mapq).select("chrom", "pos", "end", "seq", reads_in(side)), regions).where(F.length("seq") >= k)
         # Reads alike in a region are one row with a count before they are cut up.
-        alike = reads.groupBy("chrom", "first", "stop", "seq").agg(F.count("*").alias("c"))
+        alike = reads.groupBy("chrom", "first", "stop", "seq").agg(F.sum("n").alias("c"))
         cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda i: F.substring("seq", i, F.lit(k))))
         parts.append(alike.select("chrom", "first", "stop", F.explode(cut).alias("kmer"), (F.col("c") * n).alias("n"), (F.col("c") * m).alias("m")))
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -213,6 +213,7 @@ def call_assembled(treat: DataFrame, regions: DataFrame, control: DataFrame | No
     is the treatment's log10 likelihood ratio of its genotype over no variant, and
     a variant is called where it is at least ``least_score``.  Alignments without
     MD, unmapped or poorly mapped take no part; regions without reads have no calls.
+    Those with a column ``n`` stand for so many reads alike.
     """
     counted = kmer_counts(treat, control, regions, k, least, least_mapq)
     grounds = references(treat, control, regions, 2 * k, least_mapq)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.bam import aligned_bases
@@ -15,23 +16,33 @@ from .regions import overlapping
 SKIPPED = 0x4 | 0x100 | 0x200 | 0x400 | 0x800
 
 
+def reads_in(alignments: DataFrame) -> Column:
+    """How many reads an alignment stands for: its ``n``, or one."""
+    return (F.col("n") if "n" in alignments.columns else F.lit(1)).cast("long").alias("n")
+
+
 def base_counts(alignments: DataFrame, regions: DataFrame, least_mapq: int = 20, least_quality: int = 20) -> DataFrame:
     """(chrom, pos, ref, base, n, error) of the bases inside regions, by position.
 
     ``error`` sums the error probabilities of the bases' qualities.  Counts are
-    partial on each task, so a deep position is a few rows.
+    partial in each batch and on each task, so a deep position is a few rows.
+    Alignments with a column ``n`` stand for so many reads alike.
     """
     used = alignments.where((F.col("flag").bitwiseAND(SKIPPED) == 0) & (F.col("mapq") >= least_mapq) & F.col("md").isNotNull())
-    schema = "chrom string, pos long, base string, quality int, ref string"
+    schema = "chrom string, pos long, base string, quality int, ref string, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r["chrom"], p, b, q, ref) for r in batch.to_pylist() for p, b, q, ref in aligned_bases(r["pos"], r["cigar"], r["seq"], r["quals"], r["md"]) if q >= least_quality]
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string()))], names=["chrom", "pos", "base", "quality", "ref"])
+            counts: Counter = Counter()
+            for r in batch.to_pylist():
+                for p, b, q, ref in aligned_bases(r["pos"], r["cigar"], r["seq"], r["quals"], r["md"]):
+                    if q >= least_quality:
+                        counts[r["chrom"], p, b, q, ref] += r["n"]
+            columns = [*(list(zip(*counts)) or [[]] * 5), list(counts.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["chrom", "pos", "base", "quality", "ref", "n"])
 
-    bases = used.select("chrom", "pos", "cigar", "seq", "quals", "md").mapInArrow(run, schema)
-    counted = bases.groupBy("chrom", "pos", "ref", "base").agg(F.count("*").alias("n"), F.sum(F.pow(F.lit(10.0), -F.col("quality") / 10)).alias("error"))
+    bases = used.select("chrom", "pos", "cigar", "seq", "quals", "md", reads_in(used)).mapInArrow(run, schema)
+    counted = bases.groupBy("chrom", "pos", "ref", "base").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.lit(10.0), -F.col("quality") / 10)).alias("error"))
     inside = overlapping(counted, regions.select("chrom", "start", "end"))
     return inside.select("chrom", "pos", "ref", "base", "n", "error").distinct()
 

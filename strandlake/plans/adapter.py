@@ -95,13 +95,18 @@ def aligned(chrom: str, pos: int, carries: bool) -> tuple[int, str, str, str]:
 
 
 def alignments(spark: SparkSession, sf_dir: str, treated: bool) -> DataFrame:
-    """Alignments (name, flag, chrom, pos, end, mapq, cigar, seq, quals, md) of line items; of the treated ones those of even quantities carry all variants, of the others none but those that every read has."""
+    """Alignments (name, flag, chrom, pos, end, mapq, cigar, seq, quals, md, n) of line items; of the treated ones those of even quantities carry all variants, of the others none but those that every read has.
+
+    Items of a place that carry the same give the same alignment, which is made once; ``n`` tells of how many items.
+    """
     rows = items(spark, sf_dir).where(F.col("treated") == treated).where("chrom is not null and pos is not null")
+    carries = F.coalesce(F.col("length") % 2 == 0, F.lit(False)) if treated else F.lit(False)
+    alike = rows.groupBy("chrom", "pos", carries.alias("carries")).agg(F.count("*").alias("n"))
 
     def run(batches):
         for pdf in batches:
-            made = [aligned(c, int(p), treated and n % 2 == 0) for c, p, n in zip(pdf["chrom"], pdf["pos"], pdf["length"])]
+            made = [aligned(c, int(p), bool(x)) for c, p, x in zip(pdf["chrom"], pdf["pos"], pdf["carries"])]
             end, cigar, seq, md = zip(*made) if made else ([],) * 4
-            yield pd.DataFrame({"name": "", "flag": 0, "chrom": pdf["chrom"], "pos": pdf["pos"], "end": list(end), "mapq": 60, "cigar": list(cigar), "seq": list(seq), "quals": [[40] * len(x) for x in seq], "md": list(md)})
+            yield pd.DataFrame({"name": "", "flag": 0, "chrom": pdf["chrom"], "pos": pdf["pos"], "end": list(end), "mapq": 60, "cigar": list(cigar), "seq": list(seq), "quals": [[40] * len(x) for x in seq], "md": list(md), "n": pdf["n"]})
 
-    return rows.select("chrom", "pos", "length").mapInPandas(run, "name string, flag int, chrom string, pos long, end long, mapq int, cigar string, seq string, quals array<int>, md string")
+    return alike.mapInPandas(run, "name string, flag int, chrom string, pos long, end long, mapq int, cigar string, seq string, quals array<int>, md string, n long")

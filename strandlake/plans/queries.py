@@ -395,7 +395,7 @@ def hmm_path(spark, sf_dir):
 
 def callvar_assembly(spark, sf_dir):
     """Substitutions, insertions and deletions of the treatment's alignments against the control's, by local assembly of every stretch that reads cover."""
-    treat, control = (adapter.alignments(spark, sf_dir, x) for x in (True, False))
+    treat, control = (stored(adapter.alignments(spark, sf_dir, x), "alignments") for x in (True, False))
     width = 256
     marked = treat.select("chrom", F.explode(F.sequence(F.floor(F.col("pos") / width), F.floor((F.col("end") - 1) / width))).alias("k")).distinct()
     found = assembly.call_assembled(treat, marked.select("chrom", (F.col("k") * width).alias("start"), ((F.col("k") + 1) * width).alias("end")), control)
