@@ -404,7 +404,7 @@ def callvar_assembly(spark, sf_dir):
 
 def callvar_bases(spark, sf_dir):
     """Substitutions by base counts at every place that the treatment's alignments cover."""
-    treat = adapter.alignments(spark, sf_dir, True)
+    treat = stored(adapter.alignments(spark, sf_dir, True), "alignments")
     spans = treat.groupBy("chrom").agg(F.min("pos").alias("start"), F.max("end").alias("end"))
     return _rounded(variants.call_variants(variants.base_counts(treat, spans)), 3, "score")
 

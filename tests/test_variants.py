@@ -56,3 +56,21 @@ def test_heterozygous_site_is_called_inside_regions_only(spark, path):
     assert [(r["pos"], r["ref"], r["alt"], r["genotype"], r["depth"], r["alt_n"]) for r in found] == [(106, "A", "G", "0/1", 10, 5)]
     outside = spark.createDataFrame([("chr1", 0, 104)], "chrom string, start long, end long")
     assert variants.call_variants(variants.base_counts(alignments, outside)).count() == 0
+
+
+def test_counted_alignments_and_batches_tell_what_each_read_tells(spark, path):
+    from pyspark.sql import functions as F
+
+    each = bam.read(spark, path)
+    assert each.count() == 11
+    alike = each.groupBy(*[c for c in each.columns if c != "name"]).agg(F.count("*").alias("n"))
+    inside = spark.createDataFrame([("chr1", 0, 200)], "chrom string, start long, end long")
+    got, want = ({(r["pos"], r["ref"], r["base"]): (r["n"], round(r["error"], 12)) for r in variants.base_counts(x, inside).collect()} for x in (alike, each))
+    assert got == want and got[106, "A", "G"] == (5, 0.0005) and got[100, "A", "A"] == (10, 0.001)
+
+
+def test_base_query_scans_the_table_once(spark):
+    from strandlake.plans import queries
+
+    plan = queries.callvar_bases(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan
